@@ -4,15 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docmill.llm import exact_dedup, sharding, url_filter
+from docmill.llm import bpe, exact_dedup, line_dedup, packing, sharding, simhash, url_filter
+
+#: The vocabulary of op2 and op7.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents that at least five documents hold, kept in the largest doc_id alone."""
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = """
+WITH lines AS (
+  SELECT doc_id, rid, u.pos, u.line, translate(trim(u.line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS own FROM documents) d,
+    LATERAL (SELECT unnest(own) AS line, unnest(range(len(own))) AS pos) u
+), keys AS (SELECT k, max(doc_id) AS keep_id FROM lines WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT rid) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM (SELECT l.*, keep_id IS NOT NULL AND doc_id <> keep_id AS gone FROM lines l LEFT JOIN keys USING (k)) GROUP BY rid, doc_id
+"""
+
+
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), VOCABULARY, with_ids=False)
+
+
 #: Bytes of text in a shard of op3.
 SHARD_BYTES = 16 << 20
 
@@ -53,6 +81,16 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents and of their edited texts."""
+    return simhash.fingerprints(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded texts of documents."""
+    return bpe.encode_digests(_table(spark, sf_dir, "documents", "doc_id", "text"), VOCABULARY)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on the urls of pages."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -72,8 +110,16 @@ FROM (SELECT page_id, host, path, max(CASE WHEN ruled IS NULL THEN NULL ELSE {{'
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_shard": op3_shard, "op5_exact_dedup": op5_exact_dedup, "op9_url_filter": op9_url_filter}
+    return {
+        "op1_line_dedup": op1_line_dedup,
+        "op2_pack": op2_pack,
+        "op3_shard": op3_shard,
+        "op5_exact_dedup": op5_exact_dedup,
+        "op6_simhash": op6_simhash,
+        "op7_bpe": op7_bpe,
+        "op9_url_filter": op9_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_shard": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op9_url_filter": OP9_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_shard": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op9_url_filter": OP9_SQL}

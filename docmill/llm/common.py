@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _own: dict[str, str] = {}
-_written: list[tuple[str, str]] = []
+_written: list[tuple[str, str, str]] = []
+_owner = ContextVar("owner", default="")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,16 +31,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docmill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark.sparkContext.applicationId, path))
+    _written.append((_owner.get(), spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables written so far; call it only when results built on them have been written."""
+@contextmanager
+def owned(owner: str):
+    """Scratch tables written inside belong to `owner`, which may release() them."""
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
+def release(spark: SparkSession, owner: str) -> None:
+    """Delete the scratch tables of `owner`; what was built on them must have been written."""
     app, jvm = spark.sparkContext.applicationId, spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for item in [x for x in _written if x[0] == app]:
-        path = jvm.org.apache.hadoop.fs.Path(item[1])
+    for item in [x for x in _written if x[:2] == (owner, app)]:
+        path = jvm.org.apache.hadoop.fs.Path(item[2])
         path.getFileSystem(conf).delete(path, True)
         _written.remove(item)
 

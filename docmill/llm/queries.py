@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import bpe, exact_dedup, line_dedup, packing, sharding, simhash, url_filter
+from docmill.llm import bpe, exact_dedup, jaccard, line_dedup, packing, sharding, simhash, substring_dedup, toxicity, url_filter
 
 #: The vocabulary of op2 and op7.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -69,6 +70,11 @@ FROM hashed JOIN leaves ON h >> (60 - depth)::INT = prefix
 """
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the sentences of spans that stand earlier in the corpus."""
+    return substring_dedup.dedup_spans(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of documents, the largest doc_id kept."""
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -91,6 +97,26 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents", "doc_id", "text"), VOCABULARY)
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets overlap by three quarters."""
+    return jaccard.similar_groups(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP8_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)
+"""
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on the urls of pages."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -109,17 +135,27 @@ FROM (SELECT page_id, host, path, max(CASE WHEN ruled IS NULL THEN NULL ELSE {{'
 """
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of documents."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_pack": op2_pack,
         "op3_shard": op3_shard,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_simhash": op6_simhash,
         "op7_bpe": op7_bpe,
+        "op8_jaccard": op8_jaccard,
         "op9_url_filter": op9_url_filter,
+        "op10_toxicity": op10_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_shard": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op9_url_filter": OP9_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_shard": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_jaccard": OP8_SQL, "op9_url_filter": OP9_SQL}

@@ -1,30 +1,21 @@
-"""The registered queries over the driver's tables, with their DuckDB counterparts."""
+"""All queries of the reference's operators over the driver's tables, with their DuckDB counterparts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from docmill.session import table
-
-
-def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and characters by source."""
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
-
 
-SOURCE_STATS_SQL = "SELECT source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY source"
+from docmill.plans import analytics_queries, rank_queries, text_queries  # noqa: F401  they register their queries
+from docmill.plans.registry import QUERIES, SQL, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_stats(spark, sf_dir)
+    """Vector search with a metadata filter."""
+    return rank_queries.vector_topk_filtered(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"source_stats": source_stats}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"source_stats": SOURCE_STATS_SQL}
+    return dict(SQL)

@@ -28,7 +28,7 @@ def _get(v: Column, path: str, kind: str = "string") -> Column:
 
 
 def _values(v: Column) -> Column:
-    """The members of an object, as texts, without empty ones."""
+    """The members of an object in the order of their keys, as texts, without empty ones."""
     own = F.map_values(F.coalesce(v.try_cast("map<string,string>"), F.create_map().cast("map<string,string>")))
     return F.filter(own, lambda x: x.isNotNull() & (x != ""))
 
@@ -59,7 +59,7 @@ def safe_list(v: Column) -> Column:
 
 
 def references(v: Column) -> Column:
-    """Legal references from a value of any shape; of objects the description or text."""
+    """Legal references from a value of any shape; of objects the description or text, else their own texts in the order of the keys."""
     kind = _kind(v)
 
     def under(key: str) -> Column:
@@ -73,7 +73,8 @@ def references(v: Column) -> Column:
 
     found = F.flatten(F.array(*(under(k) for k in REFERENCE_KEYS)))
     text = X.strip(X.or_empty(_get(v, "$")))
-    whole = F.filter(F.transform(_values(v), X.strip), lambda x: (x != "") & ~x.startswith("{") & ~x.startswith("["))
+    members = F.map_values(F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    whole = F.filter(F.transform(F.filter(members, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: X.strip(_get(x, "$"))), lambda x: x != "")
     listed = F.transform(F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>")), safe_str)
     return (
         F.when(kind.startswith("ARRAY"), F.filter(listed, lambda x: x != ""))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -32,7 +33,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/docmill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((_owner.get(), spark.sparkContext.applicationId, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more, and let Spark drop the shuffle files of plans that are gone."""
+    for df in tables:
+        _delete(df.sparkSession, df._scratch)
+        _written[:] = [x for x in _written if x[2] != df._scratch]
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 @contextmanager
@@ -47,11 +64,9 @@ def owned(owner: str):
 
 def release(spark: SparkSession, owner: str) -> None:
     """Delete the scratch tables of `owner`; what was built on them must have been written."""
-    app, jvm = spark.sparkContext.applicationId, spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    app = spark.sparkContext.applicationId
     for item in [x for x in _written if x[:2] == (owner, app)]:
-        path = jvm.org.apache.hadoop.fs.Path(item[2])
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, item[2])
         _written.remove(item)
 
 

@@ -8,13 +8,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import partitions, saved
+from docmill.llm.common import discard, partitions, saved
 
 WIDTH, SHARE = 5, 75
 #: Bits of the shingle sketch, coordinates of a count vector, points in a leaf, rows on one side of a block's task, ids that may be broadcast.
-SKETCH_BITS, GROUPS, LEAF, CHUNK, BROADCAST_IDS = 20, 64, 16, 2000, 1_000_000
-#: A shingle bucket counts as frequent in a task from this count plus four times the mean on; in all, from HOT on.
-TASK_HOT, HOT = 8, 64
+SKETCH_BITS, GROUPS, LEAF, CHUNK, BROADCAST_IDS = 24, 64, 16, 2000, 1_000_000
+#: Rounds in which the members of a block are compared with one of them, before the trees take over.
+ROUNDS = 5
+#: A bucket of shingles goes on from a task if it holds two or more, and more than chance puts there; it counts as frequent from HOT on.
+HOT = 12
 NO_ID = (1 << 63) - 1
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -25,26 +27,53 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, words: dict[bytes, int], width: int = WIDTH) -> np.ndarray:
-    """The distinct shingles as sorted 64-bit hashes. Words end at ASCII white space; A-Z count as a-z; fewer words than `width` are one shingle."""
-    own = (text or "").encode().lower().split()
-    if not own:
-        return np.zeros(0, np.uint64)
-    if len(words) > 1_000_000:
-        words.clear()
-    out = []
-    for w in own:
-        if (h := words.get(w)) is None:
-            h = words[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    h = np.array(out, np.uint64)
-    if len(h) < width:
-        return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), len(h))], np.uint64)
-    n = len(h) - width + 1
-    acc = np.zeros(n, np.uint64)
-    for j in range(width):
-        acc = _mix(acc + h[j : j + n] * _FACTORS[j % len(_FACTORS)])
-    return np.unique(acc)
+_DRAW = np.random.default_rng(20)
+_BYTES, _PLACES = (_DRAW.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1) for n in (256, 4096))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of texts whose words are hashed at a time.
+PIECE = 1 << 20
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of the texts, and how many words each text has: sums of a byte's number times that of its place."""
+    data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+    space = _SPACE[data]
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+    lengths = ends - starts
+    letters = np.flatnonzero(~space)
+    place = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    sums = np.cumsum(_BYTES[data[letters]] * _PLACES[place & 4095] * ((place >> 12) * 2 + 1).astype(np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), sums])
+    at = np.cumsum(lengths)
+    edges = np.cumsum([len(t) + 1 for t in texts])
+    return _mix(sums[at] - sums[at - lengths] + lengths.astype(np.uint64)), np.diff(np.searchsorted(starts, edges, "right"), prepend=0)
+
+
+def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
+    """The distinct shingles of each text as sorted 64-bit hashes. Words end at ASCII white space; A-Z count as a-z; fewer words than `width` are one shingle."""
+    out: list[np.ndarray] = []
+    piece: list[bytes] = []
+    size = 0
+    for k, t in enumerate(texts):
+        piece.append((t or "").encode().lower())
+        size += len(piece[-1])
+        if size < PIECE and k < len(texts) - 1:
+            continue
+        h, counts = _word_hashes(piece)
+        acc = np.zeros(max(0, len(h) - width + 1), np.uint64)
+        for j in range(width):
+            acc = _mix(acc + h[j : j + len(acc)] * _FACTORS[j % len(_FACTORS)])
+        at = 0
+        for n in counts.tolist():
+            if n >= width:
+                one = np.sort(acc[at : at + n - width + 1])
+                out.append(one[np.concatenate([[True], one[1:] != one[:-1]])])
+            else:
+                out.append(np.array([xxhash.xxh3_64_intdigest(h[at : at + n].tobytes(), n)] if n else [], np.uint64))
+            at += n
+        piece, size = [], 0
+    return out
 
 
 def required(n: int, share: int = SHARE) -> int:
@@ -52,139 +81,196 @@ def required(n: int, share: int = SHARE) -> int:
     return -(-share * n // 100)
 
 
-def count_vector(own: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.minimum(np.bincount((own % np.uint64(groups)).astype(np.int64), minlength=groups), 65535).astype(np.uint16)
+def count_vector(own: np.ndarray) -> np.ndarray:
+    """Counts of the set's shingles by their last bits, as bytes: a coordinate for two shingles, GROUPS at least. 255 stands for that or more."""
+    groups = GROUPS
+    while groups * 2 < len(own) and groups < 1 << 15:
+        groups *= 2
+    return np.minimum(np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
+
+
+def folded(vector: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """A count vector with fewer coordinates."""
+    return np.minimum(vector.reshape(-1, groups).sum(0, dtype=np.int64), 255).astype(np.uint8)
+
+
+def _wide(vectors: np.ndarray) -> np.ndarray:
+    """As integers; a full byte bounds nothing."""
+    return np.where(vectors == 255, 1 << 40, vectors.astype(np.int64))
+
+
+def may_link_pair(a: bytes, a_size: int, b: bytes, b_size: int, share: int = SHARE) -> bool:
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    groups = min(len(x), len(y))
+    return bool(np.minimum(_wide(folded(x, groups)), _wide(folded(y, groups))).sum() * (100 + share) >= share * (a_size + b_size))
+
+
+def may_link(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, share: int = SHARE) -> np.ndarray:
+    """Whether the count vectors allow intersection / union of share / 100: no more is shared than the sum of the smaller counts."""
+    return np.minimum(a, b).sum(-1, dtype=np.int64) * (100 + share) >= share * (a_sizes + b_sizes)
 
 
 class RTree:
-    """Count vectors in nested boxes: each box knows the greatest count in every coordinate and its smallest set.
+    """Count vectors in nested boxes: each box knows the greatest count in every coordinate and its smallest and largest set.
 
-    Two sets share no more than the sum of their smaller counts, coordinate by coordinate; for a box that sum with its
-    greatest counts bounds all of its points. Boxes come from halving the points along the widest coordinate.
+    The sum of the smaller counts with a box's greatest counts bounds what any of its points shares with a query. Boxes come
+    from halving the points along the widest coordinate, or their sizes if those spread more.
     """
 
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray, leaf: int = LEAF):
-        self.leaf, self.order, bounds, todo = leaf, np.arange(len(vectors)), [], [(0, len(vectors))]
-        self.levels = []
+        self.order, self.leaf, self.boxes = np.arange(len(vectors)), leaf, {}
+        wide = np.concatenate([_wide(vectors), sizes[:, None]], 1).astype(np.int64)
+        todo = [(0, len(vectors))] if len(vectors) else []
         while todo:
-            bounds.append(todo)
-            nxt = []
-            for a, b in todo:
-                if b - a > leaf:
-                    own = self.order[a:b]
-                    mid = (b - a) // 2
-                    axis = int(np.ptp(vectors[own], axis=0).argmax())
-                    self.order[a:b] = own[np.argpartition(vectors[own, axis], mid)]
-                    nxt += [(a, a + mid), (a + mid, b)]
-            todo = nxt
-        self.vectors, self.sizes = vectors[self.order], sizes[self.order]
-        for spans in bounds:
-            boxes = np.array([self.vectors[a:b].max(0) for a, b in spans])
-            self.levels.append((spans, boxes, np.array([self.sizes[a:b].min() for a, b in spans]), np.cumsum([b - a > leaf for a, b in spans]) - 1))
-
-    def near(self, vector: np.ndarray, size: int, share: int = SHARE) -> np.ndarray:
-        """Points whose bound doesn't rule out intersection / union of share / 100 with a set of that vector and size."""
-        fits = lambda v, n: np.minimum(v, vector).sum(1, dtype=np.int64) * (100 + share) >= share * (size + n.astype(np.int64))
-        at, found = np.zeros(1, np.int64), []
-        for spans, boxes, least, inner in self.levels:
-            at = at[fits(boxes[at], least[at])]
-            deeper = []
-            for x in at.tolist():
-                a, b = spans[x]
-                if b - a > self.leaf:
-                    deeper += [2 * inner[x], 2 * inner[x] + 1]
-                else:
-                    found.append(a + np.flatnonzero(fits(self.vectors[a:b], self.sizes[a:b])))
-            if not deeper:
-                break
-            at = np.array(deeper, np.int64)
-        return self.order[np.concatenate(found)] if found else np.zeros(0, np.int64)
+            a, b = todo.pop()
+            own = wide[self.order[a:b]]
+            top, low = own.max(0), own.min(0)
+            self.boxes[a, b] = (top[:-1], low[-1], top[-1])
+            if b - a > leaf:
+                axis, mid = int((top - low).argmax()), (b - a) // 2
+                self.order[a:b] = self.order[a:b][np.argpartition(own[:, axis], mid)]
+                todo += [(a, a + mid), (a + mid, b)]
+        self.vectors, self.sizes = wide[self.order, :-1], wide[self.order, -1]
+
+    def near(self, vectors: np.ndarray, sizes: np.ndarray, share: int = SHARE) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) pairs that the bounds and the sizes don't rule out."""
+        vectors, sizes = _wide(vectors), sizes.astype(np.int64)
+        todo, out = [(0, len(self.order), np.arange(len(vectors)))] if len(self.order) else [], []
+        while todo:
+            a, b, q = todo.pop()
+            top, low, high = self.boxes[a, b]
+            q = q[(high * 100 >= share * sizes[q]) & (sizes[q] * 100 >= share * low)]
+            q = q[may_link(vectors[q], sizes[q], top, low, share)]
+            if not len(q):
+                continue
+            if b - a > self.leaf:
+                mid = a + (b - a) // 2
+                todo += [(a, mid, q), (mid, b, q)]
+                continue
+            n, m = self.sizes[a:b], sizes[q][:, None]
+            x, y = np.nonzero((n * 100 >= share * m) & (m * 100 >= share * n))
+            ok = may_link(vectors[q[x]], sizes[q[x]], self.vectors[a + y], self.sizes[a + y], share)
+            out.append((q[x[ok]], self.order[a + y[ok]]))
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _summaries(docs: DataFrame, width: int, sketch_bits: int) -> DataFrame:
     """key, n, s1, s2 (128 bits of the set) for each row; a task's last row has its frequent shingle buckets and their counts instead."""
 
     def run(batches):
-        words: dict[bytes, int] = {}
-        counts = np.zeros(1 << sketch_bits, np.int64)
+        counts = np.zeros(1 << sketch_bits, np.uint32)
         names = ["key", "n", "s1", "s2", "buckets", "counts"]
         for b in batches:
             n, s1, s2 = [], [], []
-            sets = [shingles(t, words, width) for t in b.column(1).to_pylist()]
-            counts += np.bincount((np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(64 - sketch_bits)).astype(np.int64), minlength=len(counts))
+            sets = shingle_sets(b.column(1).to_pylist(), width)
             for own in sets:
                 h = xxhash.xxh3_128_intdigest(own.tobytes())
                 n.append(len(own))
                 s1.append((h >> 64) - (1 << 63))
                 s2.append((h & (1 << 64) - 1) - (1 << 63))
+            np.add.at(counts, (np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(64 - sketch_bits)).astype(np.int64), 1)
             none = pa.nulls(b.num_rows, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (n, s1, s2)), none, none], names)
-        top = np.flatnonzero(counts >= TASK_HOT + 4 * counts.mean())
+        mean = counts.mean()
+        top = np.flatnonzero(counts >= max(2, np.ceil(mean + 4 * np.sqrt(mean))))
         if len(top):
             none = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (top, counts[top])], names)
+            yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array([x], pa.list_(pa.int64())) for x in (top, counts[top].astype(np.int64))], names)
 
     return docs.mapInArrow(run, "key long, n long, s1 long, s2 long, buckets array<long>, counts array<long>")
 
 
+def _ranks(told: DataFrame, sketch_bits: int) -> np.ndarray:
+    """The order class of each bucket: 0, or the binary logarithm of its count if it is frequent. The driver gets 5 bytes a bucket at most."""
+    sums = told.where("buckets IS NOT NULL").select(F.explode(F.arrays_zip("buckets", "counts")).alias("x")).groupBy(F.col("x.buckets").alias("b")).agg(F.sum("x.counts").alias("c"))
+    sums = saved(sums, "buckets")
+    least = HOT + 4 * (sums.agg(F.sum("c")).first()[0] or 0) / (1 << sketch_bits)
+
+    def pack(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().astype(np.uint32).tobytes()]), pa.array([b.column(1).to_numpy().astype(np.uint8).tobytes()])], ["b", "r"])
+
+    ranks = np.zeros(1 << sketch_bits, np.uint8)
+    for r in sums.where(F.col("c") >= least).select("b", F.floor(F.log2("c")).cast("int")).mapInArrow(pack, "b binary, r binary").collect():
+        ranks[np.frombuffer(r["b"], np.uint32)] = np.frombuffer(r["r"], np.uint8)
+    return ranks
+
+
 def _prefixes(docs: DataFrame, ranks, width: int, share: int, sketch_bits: int) -> DataFrame:
-    """key and the prefix of each set: its rarest shingles, as many as any partner must share one of."""
+    """node, n, vector (GROUPS coordinates), fine (as many as suit the size) and tokens: the rarest shingles of the set, as many as any partner must share one of."""
 
     def run(batches):
-        words: dict[bytes, int] = {}
         table = ranks.value
         for b in batches:
-            keys, out = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                own = shingles(t, words, width)
+            keys, sizes, vectors, fine, out = [], [], [], [], []
+            for i, own in enumerate(shingle_sets(b.column(1).to_pylist(), width)):
                 if len(own):
-                    order = np.lexsort((own, table[(own >> np.uint64(64 - sketch_bits)).astype(np.int64)]))
+                    order = np.argsort(table[(own >> np.uint64(64 - sketch_bits)).astype(np.int64)], kind="stable")
                     keys.append(i)
-                    out.append(own[order[: len(own) - required(len(own), share) + 1]].view(np.int64))
+                    sizes.append(len(own))
+                    fine.append((v := count_vector(own)).tobytes())
+                    vectors.append(folded(v).tobytes())
+                    out.append(_mix(own[order[: len(own) - required(len(own), share) + 1]]).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), lists], ["key", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(sizes, pa.int64()), pa.array(vectors, pa.binary()), pa.array(fine, pa.binary()), lists], ["node", "n", "vector", "fine", "tokens"])
 
-    return docs.mapInArrow(run, "key long, tokens array<long>")
+    return docs.mapInArrow(run, "node long, n long, vector binary, fine binary, tokens array<long>")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A list of ids with the hint to broadcast it, if it is short enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def _sets(docs: DataFrame, active: DataFrame, width: int) -> DataFrame:
-    """node, n, vector and set of the documents in `active`."""
-    wanted = docs.join(F.broadcast(active) if active.count() <= BROADCAST_IDS else active, docs["key"] == active["node"], "left_semi")
+    """node, n and set of the documents in `active`."""
+
+    def run(batches):
+        for b in batches:
+            own = shingle_sets(b.column(1).to_pylist(), width)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "n", "own"])
+
+    wanted = docs.join(_small(active), docs["key"] == active["node"], "left_semi")
+    return wanted.select("key", "text").mapInArrow(run, "node long, n long, own binary")
+
+
+def _close(pairs: DataFrame, info: DataFrame, share: int) -> DataFrame:
+    """The pairs a, b that sizes and count vectors don't rule out."""
+    named = _small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    info = info.join(named, "node", "left_semi")
+    side = lambda x: info.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("fine").alias(f"{x}_fine"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.greatest("a_n", "b_n") * share <= F.least("a_n", "b_n") * 100)
 
     def run(batches):
-        words: dict[bytes, int] = {}
         for b in batches:
-            own = [shingles(t, words, width) for t in b.column(1).to_pylist()]
-            cols = [pa.array([len(x) for x in own], pa.int64()), pa.array([count_vector(x).tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["node", "n", "vector", "own"])
+            keep = [i for i, (an, av, bn, bv) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 6)))) if may_link_pair(av, an, bv, bn, share)]
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
 
-    return wanted.select("key", "text").mapInArrow(run, "node long, n long, vector binary, own binary")
+    return both.select("a", "b", "a_n", "a_fine", "b_n", "b_fine").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs a, b whose sets link: first by the bound of their count vectors, then by the sets themselves."""
-    fits = lambda n: (F.greatest("a_n", n) * share <= F.least("a_n", n) * 100)
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("vector").alias("a_vector"), F.col("own").alias("a_own"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("vector").alias("b_vector"), F.col("own").alias("b_own"))
-    sizes = sets.select(F.col("node").alias("b"), F.col("n").alias("b_n0"))
-    close = pairs.join(sizes, "b").join(left.select("a", "a_n"), "a").where(fits(F.col("b_n0"))).select("a", "b")
-    both = close.join(left, "a").join(right, "b")
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, share: int) -> DataFrame:
+    """The pairs a, b whose sets link."""
+    pairs = saved(pairs, "pairs")
+    sets = saved(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), width), "sets")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("own").alias(f"{x}_own"))
 
     def run(batches):
         for b in batches:
             keep = []
-            for i, (an, av, ao, bn, bv, bo) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 8)))):
-                need = share * (an + bn)
-                if int(np.minimum(np.frombuffer(av, np.uint16), np.frombuffer(bv, np.uint16)).sum(dtype=np.int64)) * (100 + share) < need:
-                    continue
+            for i, (an, ao, bn, bo) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 6)))):
                 shared = len(np.intersect1d(np.frombuffer(ao, np.uint64), np.frombuffer(bo, np.uint64), assume_unique=True))
-                if shared * (100 + share) >= need:
+                if shared * (100 + share) >= share * (an + bn):
                     keep.append(i)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
 
-    return both.select("a", "b", "a_n", "a_vector", "a_own", "b_n", "b_vector", "b_own").mapInArrow(run, "a long, b long")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "a_own", "b_n", "b_own")
+    links = saved(both.mapInArrow(run, "a long, b long").distinct(), "links")
+    discard(pairs, sets)
+    return links
 
 
 def _survivors(members: DataFrame, share: int, chunk: int) -> DataFrame:
@@ -206,20 +292,30 @@ def _survivors(members: DataFrame, share: int, chunk: int) -> DataFrame:
     groups = major.unionByName(cross).unionByName(inner)
     dealt = groups.repartition(partitions(members.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
 
-    def block(rows: list[tuple]) -> list[tuple[int, int]]:
+    def few(rows: list[tuple]) -> set[tuple[int, int]]:
+        """A block of a leaf's size at most is its own only box."""
+        both = rows[0][1] < 0 and rows[0][1] == -1 - rows[0][2]
         own = [r for r in rows if r[6] in (0, 2)]
-        asked = own if rows[0][1] < 0 and rows[0][1] == -1 - rows[0][2] else [r for r in rows if r[6] in (1, 3)]
-        if not own or not asked:
-            return []
-        tree = RTree(np.frombuffer(b"".join(r[7] for r in own), np.uint16).reshape(len(own), -1), np.array([r[5] for r in own]))
-        out = []
-        for r in asked:
-            for x in tree.near(np.frombuffer(r[7], np.uint16), r[5], share).tolist():
-                o = own[x]
-                if o[4] != r[4]:
-                    out.append((min(o[3], r[3]), max(o[3], r[3])))
+        out = set()
+        for i, (_, _, _, a, x, n, _, v) in enumerate(own):
+            for _, _, _, b, y, m, _, w in own[i + 1 :] if both else [r for r in rows if r[6] in (1, 3)]:
+                if x != y and n * 100 >= share * m and m * 100 >= share * n and may_link_pair(v, n, w, m, share):
+                    out.add((min(a, b), max(a, b)))
         return out
 
+    def block(rows: list[tuple]) -> set[tuple[int, int]]:
+        if len(rows) <= LEAF:
+            return few(rows)
+        side = np.array([r[6] for r in rows])
+        node, label, size = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+        vectors = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
+        own = np.flatnonzero((side == 0) | (side == 2))
+        asked = own if rows[0][1] < 0 and rows[0][1] == -1 - rows[0][2] else np.flatnonzero((side == 1) | (side == 3))
+        q, x = RTree(vectors[own], size[own]).near(vectors[asked], size[asked], share)
+        q, x = asked[q], own[x]
+        ok = label[q] != label[x]
+        return set(zip(np.minimum(node[q], node[x])[ok].tolist(), np.maximum(node[q], node[x])[ok].tolist()))
+
     def run(batches):
         at, rows, found = None, [], set()
         for b in batches:
@@ -255,10 +351,18 @@ def components(links: DataFrame) -> DataFrame:
         around = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
         best = labels.join(around, labels["node"] == around["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         roots = labels.select(F.col("node").alias("root"), F.col("label").alias("further"))
-        nxt = saved(best.join(roots, best["label"] == roots["root"], "left").select("node", "old", F.least("label", "further").alias("label")), "labels")
-        labels = nxt.select("node", "label")
-        if nxt.where("label != old").isEmpty():
-            return labels
+        after = saved(best.join(roots, best["label"] == roots["root"], "left").select("node", "old", F.least("label", "further").alias("label")), "labels")
+        done = after.where("label != old").isEmpty()
+        if done:
+            return after.select("node", "label")
+        labels = after.select("node", "label")
+
+
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """token, node, label; a node without links is its own component."""
+    if labels is None:
+        return members.select("token", "node", F.col("node").alias("label"))
+    return members.join(_small(labels), "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: int = SHARE, chunk: int = CHUNK, sketch_bits: int = SKETCH_BITS) -> DataFrame:
@@ -272,9 +376,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     No link is lost: linked sets share a shingle among the first n - ceil(share * n / 100) + 1 of each in one global
     order, whatever that order is. It puts frequent shingles last, by a sketch of bounded size, so that common passages
     don't bring documents together. Equal sets become one node first. In each block of documents with a common prefix
-    shingle, members are first compared with three of them (smallest id in three orders); what links is one component.
-    Only blocks that still hold several components go on to the count-vector R-tree, in pieces of bounded size, which
-    leaves the pairs of different components that may link; the exact sets decide. Neither a block's pairs nor all links
+    shingle, members are first compared with one of them, for a few rounds with another one each while that links some;
+    what links is one component. Blocks that still hold several components go to the count-vector R-tree, in pieces of
+    bounded size, which leaves the pairs of different components that may link; the exact sets decide. Neither a block's pairs nor all links
     are ever listed: copies cost a few comparisons each.
     """
     spark = df.sparkSession
@@ -282,27 +386,51 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     told = saved(_summaries(docs, width, sketch_bits), "shingle-sums")
     rows = told.where("key IS NOT NULL").select("key", "n", "s1", "s2")
     classes = saved(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("key").alias("node")), "shingle-classes")
-    frequent = told.where("buckets IS NOT NULL").select(F.explode(F.arrays_zip("buckets", "counts")).alias("x")).groupBy("x.buckets").agg(F.sum("x.counts").alias("c")).where(F.col("c") >= HOT)
-    ranks = np.zeros(1 << sketch_bits, np.uint8)
-    for r in frequent.selectExpr("buckets", "CAST(floor(log2(c)) AS INT) AS rank").collect():  # at most 2 ^ sketch_bits rows
-        ranks[r["buckets"]] = r["rank"]
-    ranks = spark.sparkContext.broadcast(ranks)
-    prefixes = _prefixes(docs, ranks, width, share, sketch_bits).join(classes.select(F.col("node").alias("key")).distinct(), "key", "left_semi")
-    tokens = saved(prefixes, "prefixes").select(F.col("key").alias("node"), F.explode("tokens").alias("token"))
-    flips = [0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D]
-    leaders = tokens.groupBy("token").agg(*(F.min(F.col("node").bitwiseXOR(F.lit(x))).alias(f"l{k}") for k, x in enumerate(flips)), F.max("node").alias("most")).where("l0 != most")
-    leaders = leaders.select("token", F.array(*(F.col(f"l{k}").bitwiseXOR(F.lit(x)) for k, x in enumerate(flips))).alias("leaders"))
-    shared = saved(tokens.join(leaders, "token"), "shared-tokens")
-    stars = shared.select("node", F.explode(F.array_distinct("leaders")).alias("leader")).where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    sets = saved(_sets(docs, shared.select("node").distinct(), width), "shingle-sets")
-    links = saved(_verified(stars, sets, share), "star-links")
-    labels = components(links)
-    members = shared.select("token", "node").join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
-    mixed = members.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
-    open_ = members.join(mixed, "token").join(sets.select("node", "n", "vector"), "node")
-    more = saved(_verified(_survivors(open_, share, chunk), sets, share), "cross-links")
+    ranks = spark.sparkContext.broadcast(_ranks(told, sketch_bits))
+    copies = saved(rows.where("n > 0").select("key").distinct().join(classes, F.col("key") == F.col("node"), "left_anti"), "copies")
+    first = docs.join(_small(copies), "key", "left_anti")
+    prefixes = saved(_prefixes(first, ranks, width, share, sketch_bits), "prefixes")
+    info = prefixes.select("node", "n", "vector", "fine")
+    tokens = prefixes.select("node", F.explode("tokens").alias("token"))
+    ends = tokens.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("leader != most").select("token", "leader")
+    shared = saved(tokens.join(ends, "token"), "shared-tokens")
+    discard(copies)
+
+    links, labels, blocks, tried = None, None, shared, None
+    for k in range(ROUNDS):
+        pairs = blocks.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = saved(pairs, "star-pairs")
+        found = _verified(_close(pairs, info, share), docs, width, share)
+        tried = pairs if tried is None else tried.union(pairs)
+        if found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
+        labels = components(links)
+        if k == ROUNDS - 1:
+            break
+        # Blocks in which something linked and that still hold several components go on, with another leader.
+        linked = blocks.withColumn("a", F.least("node", "leader")).withColumn("b", F.greatest("node", "leader")).join(_small(found), ["a", "b"], "left_semi").select("token").distinct()
+        flip = F.lit((0x2545F4914F6CDD1D * (k + 1)) % (1 << 62))
+        own = _labelled(blocks.select("token", "node").join(linked, "token"), labels)
+        mixed = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.col("node").bitwiseXOR(flip)).bitwiseXOR(flip).alias("leader")).where("low != high").select("token", "leader")
+        blocks = saved(own.select("token", "node").join(mixed, "token"), "star-blocks")
+        if blocks.isEmpty():
+            break
+
+    own = _labelled(shared.select("token", "node"), labels)
+    mixed = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
+    members = saved(own.join(mixed, "token").join(info.select("node", "n", "vector"), "node"), "mixed-blocks")
+    near = saved(_survivors(members, share, chunk), "near")
+    discard(members, shared)
+    more = _verified(_close(near, info, share), docs, width, share)
+    discard(prefixes, near)
     if not more.isEmpty():
-        labels = components(links.union(more))
+        links = more if links is None else links.union(more)
+        labels = components(links)
+    if labels is None:
+        labels = classes.select("node", F.col("node").alias("label")).limit(0)
     ends = labels.withColumnRenamed("label", "component").withColumnRenamed("node", "own")
     known = classes.join(ends, classes["node"] == ends["own"], "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
     out = rows.join(known, ["s1", "s2"], "left").select("key", "n", F.coalesce("component", "key").alias("c"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 WINDOW, STRIDE, DIM, HIDDEN = 32, 16, 16, 12
 WORD_ROWS, GRAM_ROWS, GRAMS = 1 << 14, 1 << 15, (3, 4, 5)
 #: The bounded sample to learn from: rows of either class at most, and characters of a row at most.
-TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 1000, 3000, 100_000
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 1000, 2000, 100_000
 #: Words whose inputs a worker keeps, words taken up at a time, windows scored at a time.
 KEPT_WORDS, TAKEN_WORDS, BATCH = 150_000, 60_000, 2048
 _SPACES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -229,17 +229,15 @@ class Scorer:
 def _told_by_odds(docs: list[list[bytes]], y: np.ndarray) -> list[int]:
     """For each document its word with the greatest log odds of toxic documents, by words and character n-grams of the sample."""
     counts = np.zeros((2, WORD_ROWS + GRAM_ROWS))
-    features = []
     for d, label in zip(docs, y.tolist()):
-        rows, grams, owners, _ = grams_of(d or [b" "])
-        features.append((rows, grams, owners))
+        rows, grams, _, _ = grams_of(d)
         counts[label, np.unique(np.concatenate([rows, grams + WORD_ROWS]))] += 1
     odds = np.log((counts[1] + 0.5) / (y.sum() + 1)) - np.log((counts[0] + 0.5) / ((1 - y).sum() + 1))
     odds[counts.sum(0) < 3] = 0
     best = []
-    for rows, grams, owners in features:
-        score = odds[rows]
-        score = score + np.bincount(owners, odds[grams + WORD_ROWS], len(rows)) / np.maximum(1, np.bincount(owners, minlength=len(rows)))
+    for d in docs:  # made again, as all n-grams of a sample at once would fill the memory
+        rows, grams, owners, _ = grams_of(d)
+        score = odds[rows] + np.bincount(owners, odds[grams + WORD_ROWS], len(rows)) / np.maximum(1, np.bincount(owners, minlength=len(rows)))
         best.append(int(score.argmax()))
     return best
 
@@ -248,11 +246,11 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 3, epochs: i
     """Parameters learnt from whole labelled texts.
 
     A label holds for the text, not for each window: first the window around each text's most telling word is learnt,
-    then in each round the windows that the network itself scores highest, of toxic texts the one, of clean texts two
-    and a chance one. The same texts in the same order give the same parameters.
+    then in each round the windows that the network itself scores highest, of toxic texts the one, of clean texts two. The same texts in the same order give the same parameters.
     """
     rng, p, y = np.random.default_rng(seed), initial(seed), np.array(labels, np.int64)
-    docs = [words_of(t) or [b" "] for t in texts]
+    same: dict[bytes, bytes] = {}
+    docs = [[same.setdefault(w, w) for w in words_of(t)] or [b" "] for t in texts]
     if not docs or y.min() == y.max():
         return p | {"o": p["o"] * 0, "o0": np.array([-3.0 if not docs or y[0] == 0 else 3.0], np.float32)}
     adam = Adam(p)
@@ -264,7 +262,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 3, epochs: i
             chosen.append((i, int(rng.integers(0, last + 1))))
     for r in range(rounds):
         size = 64
-        for _ in range(epochs + 3 * (r == 0)):
+        for _ in range(epochs + 2 * (r == 0)):
             order = rng.permutation(len(chosen))
             for k in range(0, len(order), size):
                 own = [chosen[j] for j in order[k : k + size]]
@@ -282,7 +280,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 3, epochs: i
                 for i, logits in enumerate(scorer.windows(docs[k : k + 200]), k):
                     starts = starts_of(len(docs[i]))
                     top = np.argsort(-logits)[: 1 if y[i] else 2].tolist()
-                    chosen += [(i, starts[t]) for t in ({*top} if y[i] else {*top, int(rng.integers(len(starts)))})]
+                    chosen += [(i, starts[t]) for t in top]
     return p
 
 

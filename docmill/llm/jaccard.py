@@ -12,7 +12,7 @@ from docmill.llm.common import discard, partitions, saved
 
 WIDTH, SHARE = 5, 75
 #: Bits of the shingle sketch, coordinates of a count vector, points in a leaf, rows on one side of a block's task, ids that may be broadcast.
-SKETCH_BITS, GROUPS, LEAF, CHUNK, BROADCAST_IDS = 24, 64, 16, 2000, 1_000_000
+SKETCH_BITS, GROUPS, LEAF, CHUNK, BROADCAST_IDS = 24, 256, 16, 2000, 1_000_000
 #: Rounds in which the members of a block are compared with one of them, before the trees take over.
 ROUNDS = 5
 #: A bucket of shingles goes on from a task if it holds two or more, and more than chance puts there; it counts as frequent from HOT on.
@@ -94,9 +94,33 @@ def folded(vector: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.minimum(vector.reshape(-1, groups).sum(0, dtype=np.int64), 255).astype(np.uint8)
 
 
-def _wide(vectors: np.ndarray) -> np.ndarray:
+#: Bounds nothing: stands for a count that a half or whole byte could not hold.
+FULL = 16_000
+
+
+def packed(vector: np.ndarray) -> bytes:
+    """GROUPS counts in half bytes, if they are small; 15 stands for that or more."""
+    v = folded(vector)
+    if v.max(initial=0) > 40:
+        return v.tobytes()
+    v = np.minimum(v, 15)
+    return (v[::2] | (v[1::2] << 4)).tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """The counts of packed vectors, one row each."""
+    out = np.empty((len(rows), GROUPS), np.int16)
+    half = np.array([len(r) < GROUPS for r in rows], bool)
+    small = np.frombuffer(b"".join([r for r in rows if len(r) < GROUPS]), np.uint8).reshape(-1, GROUPS // 2)
+    large = np.frombuffer(b"".join([r for r in rows if len(r) == GROUPS]), np.uint8).reshape(-1, GROUPS)
+    both = np.stack([small & 15, small >> 4], 2).reshape(-1, GROUPS)
+    out[half], out[~half] = np.where(both == 15, FULL, both), np.where(large == 255, FULL, large)
+    return out
+
+
+def _wide(vector: np.ndarray) -> np.ndarray:
     """As integers; a full byte bounds nothing."""
-    return np.where(vectors == 255, 1 << 40, vectors.astype(np.int64))
+    return np.where(vector == 255, 1 << 40, vector.astype(np.int64))
 
 
 def may_link_pair(a: bytes, a_size: int, b: bytes, b_size: int, share: int = SHARE) -> bool:
@@ -119,22 +143,21 @@ class RTree:
 
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray, leaf: int = LEAF):
         self.order, self.leaf, self.boxes = np.arange(len(vectors)), leaf, {}
-        wide = np.concatenate([_wide(vectors), sizes[:, None]], 1).astype(np.int64)
         todo = [(0, len(vectors))] if len(vectors) else []
         while todo:
             a, b = todo.pop()
-            own = wide[self.order[a:b]]
-            top, low = own.max(0), own.min(0)
-            self.boxes[a, b] = (top[:-1], low[-1], top[-1])
+            own, n = vectors[self.order[a:b]], sizes[self.order[a:b]]
+            top = own.max(0)
+            self.boxes[a, b] = (top, n.min(), n.max())
             if b - a > leaf:
-                axis, mid = int((top - low).argmax()), (b - a) // 2
-                self.order[a:b] = self.order[a:b][np.argpartition(own[:, axis], mid)]
+                spread, mid = top - own.min(0), (b - a) // 2
+                by = n if n.max() - n.min() > spread.max() else own[:, int(spread.argmax())]
+                self.order[a:b] = self.order[a:b][np.argpartition(by, mid)]
                 todo += [(a, a + mid), (a + mid, b)]
-        self.vectors, self.sizes = wide[self.order, :-1], wide[self.order, -1]
+        self.vectors, self.sizes = vectors[self.order], sizes[self.order]
 
     def near(self, vectors: np.ndarray, sizes: np.ndarray, share: int = SHARE) -> tuple[np.ndarray, np.ndarray]:
         """(query, point) pairs that the bounds and the sizes don't rule out."""
-        vectors, sizes = _wide(vectors), sizes.astype(np.int64)
         todo, out = [(0, len(self.order), np.arange(len(vectors)))] if len(self.order) else [], []
         while todo:
             a, b, q = todo.pop()
@@ -209,7 +232,7 @@ def _prefixes(docs: DataFrame, ranks, width: int, share: int, sketch_bits: int)
                     keys.append(i)
                     sizes.append(len(own))
                     fine.append((v := count_vector(own)).tobytes())
-                    vectors.append(folded(v).tobytes())
+                    vectors.append(packed(v))
                     out.append(_mix(own[order[: len(own) - required(len(own), share) + 1]]).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
@@ -295,12 +318,17 @@ def _survivors(members: DataFrame, share: int, chunk: int) -> DataFrame:
     def few(rows: list[tuple]) -> set[tuple[int, int]]:
         """A block of a leaf's size at most is its own only box."""
         both = rows[0][1] < 0 and rows[0][1] == -1 - rows[0][2]
-        own = [r for r in rows if r[6] in (0, 2)]
-        out = set()
-        for i, (_, _, _, a, x, n, _, v) in enumerate(own):
-            for _, _, _, b, y, m, _, w in own[i + 1 :] if both else [r for r in rows if r[6] in (1, 3)]:
-                if x != y and n * 100 >= share * m and m * 100 >= share * n and may_link_pair(v, n, w, m, share):
-                    out.add((min(a, b), max(a, b)))
+        own = [i for i, r in enumerate(rows) if r[6] in (0, 2)]
+        asked = [i for i, r in enumerate(rows) if r[6] in (1, 3)]
+        out, vectors = set(), None
+        for k, i in enumerate(own):
+            _, _, _, a, x, n, _, _ = rows[i]
+            for j in own[k + 1 :] if both else asked:
+                _, _, _, b, y, m, _, _ = rows[j]
+                if x != y and n * 100 >= share * m and m * 100 >= share * n:
+                    vectors = unpacked([r[7] for r in rows]) if vectors is None else vectors
+                    if may_link(vectors[i], n, vectors[j], m, share):
+                        out.add((min(a, b), max(a, b)))
         return out
 
     def block(rows: list[tuple]) -> set[tuple[int, int]]:
@@ -308,7 +336,7 @@ def _survivors(members: DataFrame, share: int, chunk: int) -> DataFrame:
             return few(rows)
         side = np.array([r[6] for r in rows])
         node, label, size = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
-        vectors = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
+        vectors = unpacked([r[7] for r in rows])
         own = np.flatnonzero((side == 0) | (side == 2))
         asked = own if rows[0][1] < 0 and rows[0][1] == -1 - rows[0][2] else np.flatnonzero((side == 1) | (side == 3))
         q, x = RTree(vectors[own], size[own]).near(vectors[asked], size[asked], share)

@@ -55,7 +55,6 @@ def edited(rng, words, base, share):
 def test_components(spark, chunk, monkeypatch):
     """Groups of near copies, chains, shared passages and thresholds, also with hot shingles put last and blocks in small pieces."""
     monkeypatch.setattr(jaccard, "HOT", 4)
-    monkeypatch.setattr(jaccard, "TASK_HOT", 2)
     rng = random.Random(chunk)
     words = [f"w{k}" for k in range(3000)]
     passage = rng.choices(words, k=30)
@@ -91,15 +90,31 @@ def test_rtree_loses_nothing():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 400, rng.integers(5, 120)).astype(np.uint64)) for _ in range(300)]
     sets += [np.unique(np.concatenate([s[2:], [np.uint64(999)]])) for s in sets[:100]]
-    vectors, sizes = np.array([jaccard.count_vector(s, 32) for s in sets]), np.array([len(s) for s in sets])
-    tree, pruned = jaccard.RTree(vectors, sizes), 0
-    for i, s in enumerate(sets):
-        near = set(tree.near(vectors[i], sizes[i]).tolist())
-        want = {j for j, o in enumerate(sets) if 175 * len(np.intersect1d(s, o)) >= 75 * (len(s) + len(o))}
-        bound = {j for j in range(len(sets)) if 175 * int(np.minimum(vectors[i], vectors[j]).sum()) >= 75 * (len(s) + len(sets[j]))}
-        assert want <= near == bound
-        pruned += len(sets) - len(near)
-    assert pruned > 0.8 * len(sets) ** 2
+    vectors, sizes = jaccard.unpacked([jaccard.packed(jaccard.count_vector(s)) for s in sets]), np.array([len(s) for s in sets])
+    q, x = jaccard.RTree(vectors, sizes).near(vectors, sizes)
+    near = set(zip(q.tolist(), x.tolist()))
+    every = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    want = {(i, j) for i, j in every if 175 * len(np.intersect1d(sets[i], sets[j])) >= 75 * (sizes[i] + sizes[j])}
+    ratio = lambda i, j: 100 * min(sizes[i], sizes[j]) >= 75 * max(sizes[i], sizes[j])
+    bound = {(i, j) for i, j in every if ratio(i, j) and 175 * int(np.minimum(vectors[i], vectors[j]).sum(dtype=int)) >= 75 * (sizes[i] + sizes[j])}
+    assert want <= near == bound and len(near) == len(q) and len(near) < 0.2 * len(every)
+    assert len(jaccard.RTree(vectors[:0], sizes[:0]).near(vectors, sizes)[0]) == 0
+
+
+def test_count_vectors_bound_overlap():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        pool = rng.integers(0, 1 << 62, 3000).astype(np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 2500))) for _ in range(2))
+        if 175 * len(np.intersect1d(a, b)) >= 75 * (len(a) + len(b)):
+            assert jaccard.may_link_pair(jaccard.count_vector(a).tobytes(), len(a), jaccard.count_vector(b).tobytes(), len(b))
+    for n in (10, 3000, 9000, 40_000):  # half bytes, bytes and counts beyond either
+        own = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        v = jaccard.unpacked([jaccard.packed(jaccard.count_vector(own))])
+        assert (v.shape, int(np.minimum(v, np.bincount((own % np.uint64(256)).astype(int), minlength=256)).sum())) == ((1, 256), len(own))
+    same = np.arange(0, 64 * 500, 64).astype(np.uint64)  # all in one coordinate, beyond a byte
+    v = jaccard.count_vector(same).tobytes()
+    assert jaccard.may_link_pair(v, 500, v, 500)
 
 
 def test_components_of_a_path(spark):

@@ -1,4 +1,4 @@
-"""Substring dedup: runs of consecutive sentences that repeat across the corpus go, but for their first place."""
+"""Substring dedup: passages of enough words that repeat across the corpus go, but for their first place."""
 
 from __future__ import annotations
 
@@ -6,129 +6,181 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm.common import saved
+from docmill.llm.common import discard, saved
+from docmill.llm.jaccard import PIECE, _mix, _word_hashes
 
-#: Sentences and words that a run has at least; sentences of more words than LONG are parted further.
-RUN, RUN_WORDS, LONG = 3, 20, 12
+#: Parts and words that a span has at least. A part is a word, so the greater of them counts.
+RUN, RUN_WORDS = 3, 20
+#: Words of an anchor: each span has one, the same wherever it stands.
+ANCHOR = 8
 #: Stands for a null id, above any other.
 NO_ID = (1 << 63) - 1
-_END = re.compile(r"[.!?]\s+|[。！？]\s*|\n\s*")
-_WORD = re.compile(r"\S+")
+#: Scripts without blanks between words: there each character counts as a word.
+_DENSE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1980-\u19df\u1a20-\u1aaf\u3001-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua980-\ua9df\uf900-\ufaff\uff01-\uff9f\U00020000-\U0003ffff"
+_HAS_DENSE, _WORD = re.compile(f"[{_DENSE}]"), re.compile(rf"[{_DENSE}]|[^\s{_DENSE}]+")
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def sentences(text: str, long: int = LONG) -> list[tuple[int, int, list[str]]]:
-    """(start, end, lower-cased words) of the parts that make up the text.
+def words(text: str) -> list[str]:
+    """The lower-cased words: what stands between white space; characters of scripts without blanks are words of their own."""
+    if text.isascii() or not _HAS_DENSE.search(text):
+        return text.lower().split()
+    return [w.lower() for w in _WORD.findall(text)]
 
-    A sentence ends at . ! ? before white space, at 。！？ and at line feeds. One of more than `long` words is also cut
-    after each word whose hash is a multiple of six, so that text within a passage is cut alike whatever stands around
-    it. A part without words belongs to the one before.
+
+def sentences(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, [lower-cased word]) of the parts that make up the text: its words, each with the white space behind it.
+
+    Cuts at every word are the only ones that part any passage alike, whatever stands around it. White space in front belongs to the first word.
     """
-    out: list[tuple[int, int, list[str]]] = []
-    start = 0
-    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        words = text[start:end].lower().split()
-        if len(words) > long:
-            cuts = [m.end() for m in _WORD.finditer(text, start, end) if xxhash.xxh3_64_intdigest(m.group().lower().encode()) % 6 == 0]
-            for cut in [*cuts, end]:
-                own = text[start:cut].lower().split()
-                if own:
-                    out.append((start, cut, own))
-                elif out:
-                    out[-1] = (out[-1][0], cut, out[-1][2])
-                start = cut
-        elif words:
-            out.append((start, end, words))
-        elif out:
-            out[-1] = (out[-1][0], end, out[-1][2])
+    starts = [m.start() for m in _WORD.finditer(text)]
+    return [(a, z, [w]) for a, z, w in zip([0, *starts[1:]], [*starts[1:], len(text)], words(text))]
+
+
+def _joined(h: np.ndarray, n: int) -> np.ndarray:
+    """The hash of every n neighbours in h, from those of 1, 2, 4, ... neighbours."""
+    out, size, done = None, 1, 0
+    while True:
+        if n & size:
+            out = h if out is None else _mix(out[: len(h[done:])] * _LEFT + h[done : done + len(out)] * _RIGHT)
+            done += size
+        if 2 * size > n:
+            return out
+        h, size = _mix(h[:-size] * _LEFT + h[size:] * _RIGHT), 2 * size
+
+
+def _least(h: np.ndarray, n: int) -> np.ndarray:
+    """The least of every n neighbours in h."""
+    size = 1
+    while 2 * size <= n:
+        h, size = np.minimum(h[:-size], h[size:]), 2 * size
+    return np.minimum(h[: len(h) - (n - size)], h[n - size :])
+
+
+def runs(texts: list[str], n: int):
+    """For each text its number of words, the hashes of all its spans of n words and the anchor of each span.
+
+    An anchor is the least hash of a few neighbouring words within the span, so equal spans have equal anchors; neighbours mostly share theirs.
+    """
+    short = min(ANCHOR, n)
+    piece: list[bytes] = []
+    size = 0
+    for k, t in enumerate(texts):
+        piece.append("\n".join(words(t)).encode("utf-8", "surrogatepass"))
+        size += len(piece[-1])
+        if size < PIECE and k < len(texts) - 1:
+            continue
+        h, counts = _word_hashes(piece)
+        if len(h) >= n:
+            spans, anchors = _joined(h, n).view(np.int64), _least(_joined(h, short), n - short + 1).view(np.int64)
         else:
-            continue  # leading white space joins the first sentence
-        start = end
-    if out and out[0][0] > 0:
-        out[0] = (0, out[0][1], out[0][2])
-    return out
-
-
-def runs(parts: list[tuple[int, int, list[str]]], run: int = RUN, run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
-    """(end, hash) of the shortest run from each sentence on that has enough sentences and words, as long as there is one."""
-    hashes = np.array([xxhash.xxh3_64_intdigest(" ".join(w).encode()) for *_, w in parts], np.uint64).tobytes()
-    sizes, out, j, words = [len(w) for *_, w in parts], [], 0, 0
-    for i in range(len(parts)):
-        while j < len(parts) and (j < i + run or words < run_words):
-            words += sizes[j]
-            j += 1
-        if j < i + run or words < run_words:
-            break
-        digest = xxhash.xxh3_64_intdigest(hashes[8 * i : 8 * j])
-        out.append((j, digest - (1 << 64) if digest >> 63 else digest))
-        words -= sizes[i]
-    return out
-
-
-def _later_spans(df: DataFrame, id_col: str, text_col: str, run: int, run_words: int) -> DataFrame:
-    """gone_key, gone: for each document that has any, the hashes of its spans that stand first elsewhere."""
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
-
-    def emit(batches):
+            spans = anchors = np.zeros(0, np.int64)
+        at = 0
+        for c in counts.tolist():
+            m = max(0, c - n + 1)
+            yield c, spans[at : at + m], anchors[at : at + m]
+            at += c
+        piece, size = [], 0
+
+
+def _lists(own: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in own])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*own, np.zeros(0, np.int64)])))
+
+
+def _repeated(lists: DataFrame) -> DataFrame:
+    """key, first, value of lists (key, own) for values that several documents hold; first is the smallest of their keys."""
+    places = lists.select("key", F.explode("own").alias("value"))
+    several = places.groupBy("value").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select(F.col("value").alias("repeated"), "first")
+    return places.join(several, F.col("value") == F.col("repeated")).select("key", "first", "value")
+
+
+def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
+
+
+def _later_spans(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """__gone_key, __gone: for each document that has any, the hashes of its spans that stand first elsewhere."""
+
+    def emit_anchors(batches):
         for b in batches:
-            own = [sorted({h for _, h in runs(sentences(t), run, run_words)}) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["key", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([np.unique(x) for _, _, x in runs(b.column(1).to_pylist(), n)])], ["key", "own"])
 
-    spans = saved(docs.mapInArrow(emit, "key long, spans array<long>"), "spans")
-    places = spans.select("key", F.explode("spans").alias("span"))
-    firsts = places.groupBy("span").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select(F.col("span").alias("repeated"), "first")
-    later = places.join(firsts, (F.col("span") == F.col("repeated")) & (F.col("key") > F.col("first"))).select("key", "span")
-    return saved(later.groupBy(F.col("key").alias("__gone_key")).agg(F.collect_set("span").alias("__gone")), "gone-spans")
+    def emit_spans(batches):
+        for b in batches:
+            shared = b.column(2).to_pylist()
+            own = [np.unique(s[np.isin(x, y)]) for (_, s, x), y in zip(runs(b.column(1).to_pylist(), n), shared)]
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(own)], ["key", "own"])
+
+    anchors = saved(_docs(df, id_col, text_col).mapInArrow(emit_anchors, "key long, own array<long>"), "anchors")
+    shared = saved(_repeated(anchors).groupBy(F.col("key").alias("shared_key")).agg(F.collect_set("value").alias("shared")), "shared-anchors")
+    discard(anchors)
+    some = _docs(df, id_col, text_col).join(shared, F.col("key") == F.col("shared_key")).select("key", "text", "shared")
+    spans = saved(some.mapInArrow(emit_spans, "key long, own array<long>"), "spans")
+    discard(shared)
+    later = _repeated(spans).where("key > first")
+    gone = saved(later.groupBy(F.col("key").alias("__gone_key")).agg(F.collect_set("value").alias("__gone")), "gone-spans")
+    discard(spans)
+    return gone
+
+
+def _without(text: str, n_words: int, spans: np.ndarray, later: list[int] | None, n: int) -> tuple[str, int]:
+    """The text without the words of spans in `later` and of spans that stand earlier in the text, and how many words went."""
+    again = np.ones(len(spans), bool)
+    again[np.unique(spans, return_index=True)[1]] = False
+    if later:
+        again |= np.isin(spans, later)
+    found = np.flatnonzero(again)
+    if not len(found):
+        return text, 0
+    step = np.bincount(found, minlength=n_words + 1) - np.bincount(found + n, minlength=n_words + 1)
+    gone = np.concatenate([[False], np.cumsum(step)[:-1] > 0, [False]])
+    edges = np.flatnonzero(gone[1:] != gone[:-1]).tolist()
+    starts = [0, *[m.start() for m in _WORD.finditer(text)][1:], len(text)]
+    kept = [text[starts[a] : starts[z]] for a, z in zip([0, *edges[1::2]], [*edges[::2], n_words])]
+    return "".join(kept), int(gone.sum())
 
 
 def _cut_spans(df: DataFrame, id_col: str, text_col: str, run: int, run_words: int) -> DataFrame:
     """df with its texts cut, and the columns __n_sentences and __n_removed."""
-    gone = _later_spans(df, id_col, text_col, run, run_words)
+    n = max(run, run_words, 1)
+    gone = _later_spans(df, id_col, text_col, n)
     both = df.join(gone, F.coalesce(df[id_col].cast("long"), F.lit(NO_ID)) == gone["__gone_key"], "left").select(*(df[c] for c in df.columns), "__gone")
     names, at = [*df.columns, "__n_sentences", "__n_removed"], df.columns.index(text_col)
 
     def cut(batches):
         for b in batches:
-            n, removed, texts = [], [], []
-            for text, later in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                text = text or ""
-                parts, seen, end, drop, kept = sentences(text), set(later or ()), 0, 0, []
-                found = runs(parts, run, run_words)
-                for i, (a, z, _) in enumerate(parts):
-                    if i < len(found):
-                        to, h = found[i]
-                        if h in seen:
-                            end = max(end, to)
-                        seen.add(h)
-                    if i < end:
-                        drop += 1
-                    else:
-                        kept.append(text[a:z])
-                n.append(len(parts))
-                removed.append(drop)
-                texts.append("".join(kept) if parts else text)
+            own = [t or "" for t in b.column(at).to_pylist()]
+            counts, texts, removed = [], [], []
+            for text, later, (n_words, spans, _) in zip(own, b.column(b.num_columns - 1).to_pylist(), runs(own, n)):
+                left, k = _without(text, n_words, spans, later, n)
+                counts.append(n_words)
+                texts.append(left)
+                removed.append(k)
             cols = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names)
 
     return both.mapInArrow(cut, T.StructType([*df.schema.fields, T.StructField("__n_sentences", T.LongType()), T.StructField("__n_removed", T.LongType())]))
 
 
 def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, run_words: int = RUN_WORDS) -> DataFrame:
-    """One row per input row: id, n_sentences, n_removed, text (without the repeated sentences).
-
-    A span is a run of at least `run` consecutive sentences and `run_words` words, compared without regard to case and
-    white space. The first place of a span is in the row with the smallest id, there the earliest; sentences that any
-    other place of a repeated span covers are removed. Rows that share an id are one document and don't repeat one
-    another; all rows with a null id count as one document, after all others. Ids are integers. A null text is empty; an
-    empty table gives no rows. Nothing else in a text changes.
-
-    Every run's 64-bit hash is grouped over all documents, with a partial step in each task, for its smallest and largest id. Hashes of
-    more than one document are joined back by equality, which Spark may split where a span is hot, and each document gets
-    the list of its own hashes that stand first elsewhere; it is no longer than the document.
+    """One row per input row: id, n_sentences, n_removed (both count parts, that is words), text (without the repeated words).
+
+    A span is any run of words, at least `run` and `run_words` of them, compared without regard to case and white space. The
+    first place of a span is in the row with the smallest id, there the earliest; words that any other place of a repeated
+    span covers are removed, from its first word to its last. In a text that goes on repeating a few words within a span's length its places overlap, and
+    the words remain once. Rows that share an id are one document and don't repeat one another; all rows with a null id count
+    as one document, after all others. Ids are integers. A null text is empty; an empty table gives no rows. Nothing else in
+    a text changes.
+
+    First the anchors of every document's spans (about one for seven words) are grouped, with a partial step in each task; a
+    span that repeats has an anchor that repeats. Only spans with such anchors are hashed one by one, grouped for their
+    smallest and largest id and joined back by equality, which Spark may split where a span is hot. Each document gets the
+    list of its own hashes that stand first elsewhere; it is no longer than the document.
     """
     return _cut_spans(df.select(id_col, text_col), id_col, text_col, run, run_words).select(id_col, F.col("__n_sentences").alias("n_sentences"), F.col("__n_removed").alias("n_removed"), text_col)
 

@@ -191,3 +191,21 @@ def test_sentences_cover_the_text():
 def test_drop_repeated_spans_keeps_columns(docs):
     out = substring_dedup.drop_repeated_spans(docs)
     assert out.schema == docs.schema and out.count() == len(ROWS)
+
+
+@pytest.mark.parametrize("kind", ["blanks", "points", "one word", "chinese"])
+def test_passages_go_wholly(spark, kind):
+    """Passages of 51 words in running text go from their first word to their last, with and without points or blanks."""
+    rng = random.Random(kind)
+    pool = [chr(0x4E00 + k) for k in range(3000)] if kind == "chinese" else [f"q{k}" for k in range(3000)]
+    glue = "" if kind == "chinese" else " "
+    rows, want = [], []
+    for i in range(40):
+        passage = [pool[i]] * 60 if kind == "one word" else [w + "." * (kind == "points" and rng.random() < 0.2) for w in rng.choices(pool, k=51)]
+        for k in range(2):
+            head, tail = ([chr(c + 2 * i + k) if kind == "chinese" else f"{c}-{2 * i + k}"] for c in (0x6000, 0x7000))
+            rows.append((2 * i + k, glue.join([*head, *passage, *tail])))
+            kept = [] if k else passage[:1] if kind == "one word" else passage
+            want.append((2 * i + k, glue.join([*head, *kept, *tail])))
+    got = {r.doc_id: r.text for r in substring_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(want)

@@ -77,6 +77,6 @@ def okapi(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", c
 
 
 def _best(scores: DataFrame, k: int) -> DataFrame:
-    """The k best of each query; each task keeps k of its own before they meet."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    """The k best of each query by the score to nine digits, ties by id: the last bits of a sum follow the order of its parts. Each task keeps k of its own before they meet."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -24,14 +24,15 @@ def where_equal(df: DataFrame, **conditions) -> DataFrame:
     return df
 
 
-def top_k(df: DataFrame, query: list[float], k: int, vector_col: str = "embedding", id_col: str = "id", **conditions) -> DataFrame:
-    """The k rows of the greatest cosine similarity with `query`: df's columns and score; ties by id.
+def top_k(df: DataFrame, query: list[float], k: int, vector_col: str = "embedding", id_col: str = "id", digits: int | None = None, **conditions) -> DataFrame:
+    """The k rows of the greatest cosine similarity with `query`: df's columns and score, rounded if `digits` are given; ties by id.
 
     Rows without a vector, or with one of zeros, have no score and come last. The query is a literal, so the scan
     scores and keeps k rows in each task before any meet.
     """
     target = F.array(*(F.lit(float(x)) for x in query))
-    scored = where_equal(df, **conditions).withColumn("score", cosine(F.col(vector_col), target))
+    score = cosine(F.col(vector_col), target)
+    scored = where_equal(df, **conditions).withColumn("score", score if digits is None else F.round(score, digits))
     return scored.orderBy(F.desc_nulls_last("score"), id_col).limit(k)
 
 

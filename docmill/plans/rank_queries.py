@@ -48,11 +48,21 @@ def vector_topk_approximate(spark, sf_dir):
     return _top(vector.approximate_top_k(_vectors(spark, sf_dir), _target(spark, sf_dir), 10, id_col="vec_id"))
 
 
-def _bench_queries(spark, sf_dir):
-    words = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+def _bench_queries(spark, sf_dir, whole: bool = False):
+    words = F.col("text") if whole else F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("q"))
 
 
+def _whole(sql: str) -> str:
+    """SQL whose queries are the first six words of a benchmark text, for the whole texts."""
+    return sql.replace("array_to_string(string_split(text, ' ')[1:6], ' ')", "text").replace("string_split(text, ' ')[1:6]", "string_split(text, ' ')")
+
+
+def _hits(search, spark, sf_dir, whole: bool = False):
+    hits = search(table(spark, sf_dir, "documents"), _bench_queries(spark, sf_dir, whole), 10)
+    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
 _TOKENS = "list_filter(regexp_split_to_array(translate(lower({0}), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 BM25_SQL = rf"""
@@ -70,14 +80,20 @@ scores AS (SELECT query_id, doc_id, sum(part) AS score FROM part JOIN terms USIN
 """
 
 
-@query(BM25_SQL + "SELECT query_id, doc_id, round(score, 6) AS score FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 10")
+_BM25_TOP_SQL = BM25_SQL + "SELECT query_id, doc_id, round(score, 6) AS score FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 10"
+
+
+@query(_BM25_TOP_SQL)
 def bm25_topk(spark, sf_dir):
-    hits = keyword.bm25(table(spark, sf_dir, "documents"), _bench_queries(spark, sf_dir), 40)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    return hits.withColumn("place", F.row_number().over(order)).where("place <= 10").select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return _hits(keyword.bm25, spark, sf_dir)
 
 
-@query(r"""
+@query(_whole(_BM25_TOP_SQL))
+def bm25_topk_whole_text(spark, sf_dir):
+    return _hits(keyword.bm25, spark, sf_dir, whole=True)
+
+
+_OKAPI_TOP_SQL = r"""
 WITH q AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(array_to_string(string_split(text, ' ')[1:6], ' ')), '\s+'), lambda w: w <> '')) AS term FROM benchmark),
 toks AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS t FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY ALL),
@@ -86,11 +102,17 @@ df AS (SELECT term, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS id
 av AS (SELECT avg(idf) AS a FROM df),
 scores AS (SELECT query_id, doc_id, sum(CASE WHEN idf < 0 THEN 0.25 * a ELSE idf END * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * len(t) / mean))) AS score
   FROM tf JOIN df USING (term) JOIN toks USING (doc_id) JOIN q USING (term), st, av GROUP BY ALL)
-SELECT query_id, doc_id, round(score, 6) AS score FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 10""")
+SELECT query_id, doc_id, round(score, 6) AS score FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 10"""
+
+
+@query(_OKAPI_TOP_SQL)
 def bm25_okapi_topk(spark, sf_dir):
-    hits = keyword.okapi(table(spark, sf_dir, "documents"), _bench_queries(spark, sf_dir), 40)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    return hits.withColumn("place", F.row_number().over(order)).where("place <= 10").select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return _hits(keyword.okapi, spark, sf_dir)
+
+
+@query(_whole(_OKAPI_TOP_SQL))
+def bm25_okapi_topk_whole_text(spark, sf_dir):
+    return _hits(keyword.okapi, spark, sf_dir, whole=True)
 
 
 def _ranked(df, score: str, id_col: str):
@@ -104,8 +126,8 @@ def _ranked(df, score: str, id_col: str):
 def rrf_fusion(spark, sf_dir):
     lists = []
     for k in (0, 1):
-        found = vector.top_k(_vectors(spark, sf_dir), _target(spark, sf_dir, k), 60, id_col="vec_id").withColumn("s", F.round("score", 9))
-        lists.append(_ranked(found, "s", "vec_id").where("rank <= 50").select(F.col("vec_id").alias("id"), "rank"))
+        found = vector.top_k(_vectors(spark, sf_dir), _target(spark, sf_dir, k), 50, id_col="vec_id", digits=9)
+        lists.append(_ranked(found, "score", "vec_id").select(F.col("vec_id").alias("id"), "rank"))
     return rank.rrf(lists).select("id", F.round("rrf_score", 9).alias("rrf_score"))
 
 
@@ -173,11 +195,9 @@ def hybrid_funnel(spark, sf_dir):
     return rank.funnel(*_lists(spark, sf_dir), score, 12, 2024).select("id", F.col("input_rank").cast("long").alias("place"))
 
 
-def _precisions(spark, sf_dir):
-    queries = _bench_queries(spark, sf_dir).withColumn("kw", F.array_distinct(F.filter(F.split("q", " "), lambda w: F.length(w) > 2)))
-    hits = keyword.bm25(table(spark, sf_dir, "documents"), queries, 40)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    hits = hits.withColumn("place", F.row_number().over(order)).where("place <= 10")
+def _precisions(spark, sf_dir, whole: bool = False):
+    queries = _bench_queries(spark, sf_dir, whole).withColumn("kw", F.array_distinct(F.filter(F.split("q", " "), lambda w: F.length(w) > 2)))
+    hits = keyword.bm25(table(spark, sf_dir, "documents"), queries, 10)
     found = hits.join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("texto")), "doc_id").join(queries, "query_id")
     return evaluate.precision(queries, evaluate.relevant(found))
 
@@ -194,12 +214,33 @@ def precision_at_k(spark, sf_dir):
     return _precisions(spark, sf_dir)
 
 
-@query(_PRECISION_SQL + """SELECT CASE WHEN precision >= 80 THEN 'EXCELENTE' WHEN precision >= 60 THEN 'BUENA' WHEN precision >= 40 THEN 'ACEPTABLE' ELSE 'MALA' END AS rating, count(*) AS n, round(avg(precision), 6) AS mean_precision FROM prec GROUP BY 1""")
+@query(_whole(_PRECISION_SQL) + "SELECT query_id, precision, n FROM prec")
+def precision_at_k_whole_text(spark, sf_dir):
+    return _precisions(spark, sf_dir, whole=True)
+
+
+_RATING_HISTOGRAM_SQL = _PRECISION_SQL + """SELECT CASE WHEN precision >= 80 THEN 'EXCELENTE' WHEN precision >= 60 THEN 'BUENA' WHEN precision >= 40 THEN 'ACEPTABLE' ELSE 'MALA' END AS rating, count(*) AS n, round(avg(precision), 6) AS mean_precision FROM prec GROUP BY 1"""
+
+
+@query(_RATING_HISTOGRAM_SQL)
 def rating_histogram(spark, sf_dir):
     return evaluate.rating_histogram(_precisions(spark, sf_dir))
 
 
-@query(_PRECISION_SQL + """SELECT query_id, precision, n, 'top' AS list FROM prec QUALIFY row_number() OVER (ORDER BY precision DESC, query_id) <= 5
-  UNION ALL SELECT query_id, precision, n, 'bottom' FROM prec QUALIFY row_number() OVER (ORDER BY precision, query_id DESC) <= 5""")
+@query(_whole(_RATING_HISTOGRAM_SQL))
+def rating_histogram_whole_text(spark, sf_dir):
+    return evaluate.rating_histogram(_precisions(spark, sf_dir, whole=True))
+
+
+_TOP_BOTTOM5_SQL = _PRECISION_SQL + """SELECT query_id, precision, n, 'top' AS list FROM prec QUALIFY row_number() OVER (ORDER BY precision DESC, query_id) <= 5
+  UNION ALL SELECT query_id, precision, n, 'bottom' FROM prec QUALIFY row_number() OVER (ORDER BY precision, query_id DESC) <= 5"""
+
+
+@query(_TOP_BOTTOM5_SQL)
 def top_bottom5(spark, sf_dir):
     return evaluate.top_bottom(_precisions(spark, sf_dir))
+
+
+@query(_whole(_TOP_BOTTOM5_SQL))
+def top_bottom5_whole_text(spark, sf_dir):
+    return evaluate.top_bottom(_precisions(spark, sf_dir, whole=True))

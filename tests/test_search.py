@@ -171,3 +171,11 @@ def test_vector_search(spark):
     q = list(near.where("id = 0").first().embedding)
     exact, approx = ({r.id for r in f(near, q, 10).collect()} for f in (vector.top_k, vector.approximate_top_k))
     assert len(exact & approx) >= 8
+
+
+def test_ties_beyond_k_go_to_the_smallest_ids(spark):
+    """Scores that differ in their last bits alone, as sums of the same parts in another order do."""
+    scores = spark.createDataFrame([(1, d, 1.0 + 1e-13 * d) for d in range(100)], "query_id int, doc_id int, score double")
+    assert sorted(r.doc_id for r in keyword._best(scores, 10).collect()) == list(range(10))
+    near = spark.createDataFrame([(i, [1.0, 1e-6 * (100 - i)]) for i in range(100)], "id int, embedding array<double>")
+    assert sorted(r.id for r in vector.top_k(near, [1.0, 0.0], 10, digits=6).collect()) == list(range(10))

@@ -84,11 +84,16 @@ def threshold(df: DataFrame, least: float | None = THRESHOLD, min_results: int =
     return df.where(F.col(score_col) >= least).withColumn("__n", F.count("*").over(Window.partitionBy(F.lit(1)))).where(F.col("__n") >= min_results).drop("__n")
 
 
-def recency(df: DataFrame, as_of_year: int, date_col: str = "fecha", score_col: str = "rerank_score") -> DataFrame:
+def boosted(df: DataFrame, as_of_year: int, date_col: str = "fecha", score_col: str = "rerank_score") -> DataFrame:
     """Adds final_score: up to 0.15 more the nearer the first year in the date is to as_of_year, nothing from 30 years on or for odd years."""
     year = year_of(F.col(date_col))
     boost = F.when((year > 1900) & (year <= as_of_year), F.greatest(F.lit(0.0), 0.15 * (1 - (as_of_year - year) / 30))).otherwise(0.0)
-    return _dense(df.withColumn("final_score", F.col(score_col) + boost).withColumn("__old", F.col("input_rank")), F.desc("final_score"), "__old").drop("__old")
+    return df.withColumn("final_score", F.col(score_col) + boost)
+
+
+def recency(df: DataFrame, as_of_year: int, date_col: str = "fecha", score_col: str = "rerank_score") -> DataFrame:
+    """boosted() in the order of final_score; input_rank is renewed."""
+    return _dense(boosted(df, as_of_year, date_col, score_col).withColumn("__old", F.col("input_rank")), F.desc("final_score"), "__old").drop("__old")
 
 
 def diversity(df: DataFrame, top_k: int, group_col: str = "tribunal") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docmill.engine import overlap_score
 from docmill.operators import evaluate, keyword, rank, vector
 from docmill.plans.registry import query
 from docmill.plans.text_queries import CORPUS_SQL, corpus
@@ -195,6 +196,52 @@ def hybrid_funnel(spark, sf_dir):
     return rank.funnel(*_lists(spark, sf_dir), score, 12, 2024).select("id", F.col("input_rank").cast("long").alias("place"))
 
 
+#: Rows that the searched funnel gives; it fetches three times as many from either search.
+SEARCHED = 100
+
+
+def _asked(spark, sf_dir) -> str:
+    """The text of the first benchmark item."""
+    return table(spark, sf_dir, "benchmark").orderBy("item_id").first().text
+
+
+def _searched(spark, sf_dir):
+    """What vector and keyword search find in all documents, each cut to the fetch size."""
+    docs, n = corpus(spark, sf_dir), rank.fetch_size(SEARCHED)
+    chunks = docs.join(_vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    near = _ranked(vector.top_k(chunks, _target(spark, sf_dir), n, id_col="doc_id", digits=9), "score", "doc_id").withColumnRenamed("rank", "input_rank").drop("embedding")
+    asked = spark.createDataFrame([(0, _asked(spark, sf_dir))], "query_id int, q string")
+    hits = keyword.bm25(docs, asked, n, columns=("texto",)).select("doc_id", F.col("rank").alias("input_rank"))
+    return near, docs.join(F.broadcast(hits), "doc_id").withColumn("score", F.lit(rank.FTS_SCORE))
+
+
+@query()
+def union_dedup_searched(spark, sf_dir):
+    return rank.union_dedup(*_searched(spark, sf_dir)).select("id", "_source", "input_rank")
+
+
+@query()
+def rerank_pool_searched(spark, sf_dir):
+    return rank.rerank_pool(rank.union_dedup(*_searched(spark, sf_dir)), SEARCHED).select("id", "input_rank")
+
+
+@query("""SELECT o_orderkey, round(o_totalprice / 1e6 + CASE WHEN year(o_orderdate) <= 1998 THEN greatest(0.0, 0.15 * (1 - (1998 - year(o_orderdate)) / 30.0)) ELSE 0 END, 6) AS final_score FROM orders""")
+def recency_boost_all(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("fecha"), (F.col("o_totalprice") / 1e6).alias("rerank_score"))
+    return rank.boosted(rows, 1998).select("o_orderkey", F.round("final_score", 6).alias("final_score"))
+
+
+@query()
+def diversity_searched(spark, sf_dir):
+    return rank.diversity(rank.union_dedup(*_searched(spark, sf_dir)), SEARCHED).select("id", "input_rank")
+
+
+@query()
+def hybrid_funnel_searched(spark, sf_dir):
+    score = overlap_score(_asked(spark, sf_dir), "caratula", "sumario", "texto")
+    return rank.funnel(*_searched(spark, sf_dir), score, SEARCHED, 2024).select("id", "input_rank")
+
+
 def _precisions(spark, sf_dir, whole: bool = False):
     queries = _bench_queries(spark, sf_dir, whole).withColumn("kw", F.array_distinct(F.filter(F.split("q", " "), lambda w: F.length(w) > 2)))
     hits = keyword.bm25(table(spark, sf_dir, "documents"), queries, 10)

@@ -94,7 +94,7 @@ def folded(vector: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.minimum(vector.reshape(-1, groups).sum(0, dtype=np.int64), 255).astype(np.uint8)
 
 
-#: Bounds nothing: stands for a count that a half or whole byte could not hold.
+#: Stands for a count that a half or whole byte could not hold; bounds the counts of sets of that size at most.
 FULL = 16_000
 
 
@@ -130,8 +130,14 @@ def may_link_pair(a: bytes, a_size: int, b: bytes, b_size: int, share: int = SHA
 
 
 def may_link(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, share: int = SHARE) -> np.ndarray:
-    """Whether the count vectors allow intersection / union of share / 100: no more is shared than the sum of the smaller counts."""
-    return np.minimum(a, b).sum(-1, dtype=np.int64) * (100 + share) >= share * (a_sizes + b_sizes)
+    """Whether the count vectors allow intersection / union of share / 100: no more is shared than the sum of the smaller counts.
+
+    Counts of sets in `a` of more than FULL may be above it, so where both sides are full nothing is ruled out.
+    """
+    least = np.minimum(a, b)
+    ok = least.sum(-1, dtype=np.int64) * (100 + share) >= share * (a_sizes + b_sizes)
+    large = np.asarray(a_sizes) > FULL
+    return ok | (large & (least == FULL).any(-1)) if large.any() else ok
 
 
 class RTree:

@@ -209,3 +209,12 @@ def test_passages_go_wholly(spark, kind):
             want.append((2 * i + k, glue.join([*head, *kept, *tail])))
     got = {r.doc_id: r.text for r in substring_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(want)
+
+
+def test_counts_above_full_rule_nothing_out():
+    """Equal sets of six million shingles: every count is above what a vector can say."""
+    v, n = np.full((20, 256), jaccard.FULL, np.int16), np.full(20, 6_000_000)
+    assert jaccard.may_link(v[0], 6_000_000, v[1], 6_000_000) and jaccard.may_link(v, n, v[0], n[0]).all()
+    assert len(jaccard.RTree(v, n).near(v, n)[0]) == 400
+    v[10:] = 255  # exact counts of sets that the bound rules out as before
+    assert not jaccard.may_link(v, n, v[10], n[10]).any()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,21 +36,58 @@ def top_k(df: DataFrame, query: list[float], k: int, vector_col: str = "embeddin
     return scored.orderBy(F.desc_nulls_last("score"), id_col).limit(k)
 
 
+def _best_of_each(scored: DataFrame, k: int, id_col: str, query_col: str) -> DataFrame:
+    order = Window.partitionBy(query_col).orderBy(F.desc_nulls_last(F.round("score", 9)), id_col)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _against_all(df: DataFrame, asked: DataFrame, vector_col: str, id_col: str, query_col: str) -> DataFrame:
+    """query_id, id, score of all rows for each query; the queries are broadcast to the scan."""
+    return df.select(id_col, vector_col).crossJoin(F.broadcast(asked)).select(query_col, id_col, cosine(F.col(vector_col), F.col("__asked")).alias("score"))
+
+
+def top_k_each(df: DataFrame, queries: DataFrame, k: int, vector_col: str = "embedding", id_col: str = "id", query_col: str = "query_id") -> DataFrame:
+    """query_id, id, score, rank for every row of queries (query_id and a vector): the k best rows, by nine digits of the score, ties by id."""
+    asked = queries.select(query_col, F.col(vector_col).alias("__asked"))
+    return _best_of_each(_against_all(df, asked, vector_col, id_col, query_col), k, id_col, query_col)
+
+
 def top_k_relaxed(df: DataFrame, query: list[float], k: int, vector_col: str = "embedding", id_col: str = "id", **conditions) -> DataFrame:
     """top_k(), without the conditions if no row meets them."""
     found = top_k(df, query, k, vector_col, id_col, **conditions)
     return top_k(df, query, k, vector_col, id_col) if found.isEmpty() else found
 
 
-def approximate_top_k(df: DataFrame, query: list[float], k: int, vector_col: str = "embedding", id_col: str = "id", bucket: float = 0.5, tables: int = 12, seed: int = 5) -> DataFrame:
-    """As top_k(), over rows that share a random-projection bucket with the query: for unit vectors nearness in space is nearness in angle."""
+def _buckets(df: DataFrame, vector_col: str, bucket: float, tables: int, seed: int):
+    """df with its unit vectors, and the model of their random-projection buckets: for unit vectors nearness in space is nearness in angle."""
     norm = F.sqrt(dot(F.col(vector_col), F.col(vector_col)))
     unit = df.withColumn("__unit", array_to_vector(F.transform(F.col(vector_col), lambda x: x.cast("double") / norm)))
+    return unit, BucketedRandomProjectionLSH(inputCol="__unit", outputCol="__buckets", bucketLength=bucket, numHashTables=tables, seed=seed).fit(unit)
+
+
+def approximate_top_k(df: DataFrame, query: list[float], k: int, vector_col: str = "embedding", id_col: str = "id", bucket: float = 0.5, tables: int = 12, seed: int = 5) -> DataFrame:
+    """As top_k(), over rows that share a bucket with the query; over all rows where fewer than k do."""
+    unit, model = _buckets(df, vector_col, bucket, tables, seed)
     size = sum(x * x for x in query) ** 0.5
     key = df.sparkSession.createDataFrame([([x / size for x in query],)], "q array<double>").select(array_to_vector("q").alias("__unit")).first()[0]
-    model = BucketedRandomProjectionLSH(inputCol="__unit", outputCol="__buckets", bucketLength=bucket, numHashTables=tables, seed=seed).fit(unit)
     near = model.approxNearestNeighbors(unit, key, k * 20).drop("__unit", "__buckets", "distCol")
-    return top_k(near, query, k, vector_col, id_col)
+    return top_k(df if near.limit(k).count() < k else near, query, k, vector_col, id_col)
+
+
+def approximate_top_k_each(df: DataFrame, queries: DataFrame, k: int, vector_col: str = "embedding", id_col: str = "id", query_col: str = "query_id", bucket: float = 0.5, tables: int = 12, seed: int = 5) -> DataFrame:
+    """query_id, id, score, rank for every row of queries (query_id and a vector): the k best of the rows that share a bucket with it, ties by id.
+
+    Queries with fewer than 20 * k such rows are scored against all rows.
+    """
+    asked = queries.select(query_col, F.col(vector_col).alias("__asked"))
+    unit, model = _buckets(df.select(id_col, vector_col), vector_col, bucket, tables, seed)
+    norm = F.sqrt(dot(F.col("__asked"), F.col("__asked")))
+    keys = asked.withColumn("__unit", array_to_vector(F.transform("__asked", lambda x: x.cast("double") / norm)))
+    near = model.approxSimilarityJoin(unit, keys, float("inf")).select(F.col(f"datasetB.{query_col}").alias(query_col), F.col(f"datasetA.{id_col}").alias(id_col), cosine(F.col(f"datasetA.{vector_col}"), F.col("datasetB.__asked")).alias("score"))
+    enough = near.groupBy(query_col).agg(F.count("*").alias("n")).where(F.col("n") >= 20 * k).select(query_col)
+    rest = asked.join(enough, query_col, "left_anti")
+    scored = near.join(enough, query_col, "left_semi").unionByName(_against_all(df, rest, vector_col, id_col, query_col))
+    return _best_of_each(scored, k, id_col, query_col)
 
 
 def latest_by_id(stored: DataFrame, batch: DataFrame, id_col: str = "id") -> DataFrame:

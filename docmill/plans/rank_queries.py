@@ -49,6 +49,25 @@ def vector_topk_approximate(spark, sf_dir):
     return _top(vector.approximate_top_k(_vectors(spark, sf_dir), _target(spark, sf_dir), 10, id_col="vec_id"))
 
 
+def _every_20th(spark, sf_dir):
+    return _vectors(spark, sf_dir).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query()
+def vector_topk_approximate_each(spark, sf_dir):
+    """For every vec_id divisible by 20."""
+    found = vector.approximate_top_k_each(_vectors(spark, sf_dir), _every_20th(spark, sf_dir), 10, id_col="vec_id")
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q
+  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, v.vec_id) <= 10""")
+def vector_topk_each(spark, sf_dir):
+    """For every vec_id divisible by 20."""
+    found = vector.top_k_each(_vectors(spark, sf_dir), _every_20th(spark, sf_dir), 10, id_col="vec_id")
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 def _bench_queries(spark, sf_dir, whole: bool = False):
     words = F.col("text") if whole else F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("q"))

@@ -137,6 +137,18 @@ def quality_filter(spark, sf_dir):
     return docs.select("doc_id", quality.noise_reason(F.col("text")).alias("noise_reason"))
 
 
+_NOISE_SQL = """CASE WHEN length(text) < 500 THEN 'texto muy corto (' || length(text) || ' chars)'
+  WHEN regexp_matches(lower(text), 'art\\. 280|art[ií]culo 280') AND length(text) < 2000 THEN 'art. 280 CPCCN (' || length(text) || ' chars) - certiorari sin fundamentacion'
+  WHEN regexp_matches(lower(text), 'desest[ií]mase') AND length(text) < 1500 THEN 'desestimacion breve (' || length(text) || ' chars)'
+  WHEN regexp_matches(lower(text), 'desistimiento|dase por desistido') AND length(text) < 1500 THEN 'desistimiento (' || length(text) || ' chars)'
+  WHEN contains(lower(text), 'caducidad de instancia') AND length(text) < 1500 THEN 'caducidad de instancia (' || length(text) || ' chars)' END"""
+
+
+@query(f"SELECT doc_id, {_NOISE_SQL} AS noise_reason FROM documents")
+def quality_filter_all(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", quality.noise_reason(F.col("text")).alias("noise_reason"))
+
+
 _RULES = ["art. 280", "desestímase", "dase por desistido", "caducidad de instancia", "x"]
 
 
@@ -156,6 +168,19 @@ def auto_inadmissible(spark, sf_dir):
     return quality.auto_inadmissible(noise).select("source_id", "resultado", "razon_resultado")
 
 
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS source_id, 'inadmisible' AS resultado, 'Pre-filtrado automatico: texto de ' || length(text) || ' caracteres. Sin contenido sustantivo (ruido procesal: art. 280, desestimacion, desistimiento o caducidad). No se envio a agente lector.' AS razon_resultado
+  FROM documents WHERE ({_NOISE_SQL}) IS NOT NULL""")
+def auto_inadmissible_all(spark, sf_dir):
+    _, noise = quality.split_quality(corpus(spark, sf_dir))
+    return quality.auto_inadmissible(noise).select("source_id", "resultado", "razon_resultado")
+
+
+@query(r"""SELECT item_id, CASE WHEN length(t) < 15 THEN 'too_short' WHEN len(regexp_split_to_array(t, '\s+')) < 3 THEN 'few_words' ELSE 'accepted' END AS verdict
+  FROM (SELECT item_id, trim(text) AS t FROM benchmark)""")
+def input_validation_whole_text(spark, sf_dir):
+    return quality.validate_input(table(spark, sf_dir, "benchmark"), "text").select("item_id", "verdict")
+
+
 @query(r"""SELECT item_id, CASE WHEN length(t) < 15 THEN 'too_short' WHEN len(regexp_split_to_array(t, '\s+')) < 3 THEN 'few_words' ELSE 'accepted' END AS verdict
   FROM (SELECT item_id, trim(substr(text, 1, CAST(item_id % 40 AS INTEGER))) AS t FROM benchmark)""")
 def input_validation(spark, sf_dir):
@@ -168,6 +193,12 @@ def fenced_json_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").where("event_id % 2 = 0").select("event_id", F.get_json_object(X.fenced_json(fenced), "$.k").alias("page"))
 
 
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS page FROM events""")
+def fenced_json_parse_all(spark, sf_dir):
+    fenced = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object(X.fenced_json(fenced), "$.k").alias("page"))
+
+
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type || '|x' WHEN 1 THEN event_type ELSE '' END AS items FROM events""")
 def ensure_list(spark, sf_dir):
     kind = F.col("event_id") % 4

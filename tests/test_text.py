@@ -126,3 +126,22 @@ def test_months_and_work_list(spark):
     assert got == [("2013-09-01", "2013-09-30"), ("2013-10-01", "2013-10-31"), ("2013-11-01", "2013-11-30"), ("2013-12-01", "2013-12-15")]
     work = normalize.work_list(["a", "b"], ["x"], "2013-10-10", spark).orderBy("position").collect()
     assert [(r.jurisdiction, str(r.m_start)) for r in work] == [("a", "2013-10-01"), ("a", "2013-09-01"), ("b", "2013-10-01"), ("b", "2013-09-01")]
+
+
+def test_all_noise_rules_over_whole_texts(spark, tmp_path):
+    """Each rule just below and at its length, by the queries over all documents and by their SQL."""
+    import duckdb
+
+    from docmill.plans import catalogue
+
+    marks = [("ART. 280", 2000), ("artículo 280", 2000), ("Desestímase", 1500), ("dase por desistido", 1500), ("caducidad de instancia", 1500), ("nada", 500)]
+    rows = [(i, m + "x" * (n - len(m)), "en", "s") for i, (m, n) in enumerate((m, most - less) for m, most in marks for less in (0, 1))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name, n in (("quality_filter_all", 12), ("auto_inadmissible_all", 6)):
+        got = catalogue.queries()[name](spark, str(tmp_path))
+        want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == n
+    told = {r.doc_id: r.noise_reason for r in catalogue.queries()["quality_filter_all"](spark, str(tmp_path)).collect()}
+    assert sorted(i for i, r in told.items() if r) == [1, 3, 5, 7, 9, 11]

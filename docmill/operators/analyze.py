@@ -55,6 +55,12 @@ def strategies(df: DataFrame, norms: str = "normas_citadas", example: str = "car
     return out.withColumn("puesto", F.row_number().over(Window.partitionBy("exitosa").orderBy(*by)))
 
 
+def strategy_norms(df: DataFrame, norms: str = "normas_citadas") -> DataFrame:
+    """The norms of each procedural route and doctrine, one a row, and how many rulings cite them; no list of a group is gathered."""
+    cited = df.select("via_procesal", "doctrina_aplicada", F.explode(F.array_distinct(norms)).alias("norma"))
+    return cited.groupBy("via_procesal", "doctrina_aplicada", "norma").agg(F.count("*").alias("n"))
+
+
 def norm_frequency(df: DataFrame, norms: str = "normas_citadas", outcome: str = "favorable") -> DataFrame:
     """How often each norm is cited by rulings of the outcome."""
     return df.where(_is(outcome)).select(F.explode(F.array_distinct(norms)).alias("norma")).groupBy("norma").agg(F.count("*").alias("n"))

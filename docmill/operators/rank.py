@@ -81,7 +81,9 @@ def threshold(df: DataFrame, least: float | None = THRESHOLD, min_results: int =
     """Rows that score `least` or more, or none at all if fewer than `min_results` do. None lets every row pass."""
     if least is None:
         return df
-    return df.where(F.col(score_col) >= least).withColumn("__n", F.count("*").over(Window.partitionBy(F.lit(1)))).where(F.col("__n") >= min_results).drop("__n")
+    passing = df.where(F.col(score_col) >= least)
+    enough = passing.agg(F.count("*").alias("__n")).where(F.col("__n") >= min_results)
+    return passing.crossJoin(F.broadcast(enough)).drop("__n")
 
 
 def boosted(df: DataFrame, as_of_year: int, date_col: str = "fecha", score_col: str = "rerank_score") -> DataFrame:

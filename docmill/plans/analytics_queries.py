@@ -63,6 +63,11 @@ def strategy_ranking(spark, sf_dir):
     return out.withColumn("puesto", F.col("puesto").cast("long"))
 
 
+@query(f"WITH {_A} SELECT via_procesal, doctrina_aplicada, norma, count(*) AS n FROM (SELECT via AS via_procesal, tribunal AS doctrina_aplicada, unnest(list_distinct(normas)) AS norma FROM a) GROUP BY ALL")
+def strategy_norms(spark, sf_dir):
+    return analyze.strategy_norms(_analyses(spark, sf_dir))
+
+
 @query(f"WITH {_A} SELECT norma, count(*) AS n FROM (SELECT unnest(list_distinct(normas)) AS norma FROM a WHERE resultado = 'favorable') GROUP BY norma")
 def norm_frequency(spark, sf_dir):
     return analyze.norm_frequency(_analyses(spark, sf_dir))
@@ -114,9 +119,8 @@ def saved_items_list(spark, sf_dir):
 
 @query("SELECT conv_id, string_agg(turn || ':' || role, '|' ORDER BY turn) AS turns FROM conversations GROUP BY conv_id")
 def strip_heavy_fields(spark, sf_dir):
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    convs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns"), F.max("text").alias("synth_thinking"))
-    slim = usage.strip_fields(convs, "turns", ["text"], ["synth_thinking"])
+    """The texts go before the turns are gathered, so a long conversation's row holds turns and roles alone."""
+    slim = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role").alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     return slim.withColumn("turns", F.array_join(F.transform("turns", lambda t: F.concat_ws(":", *(t[c] for c in ("turn", "role")))), "|"))
 
 

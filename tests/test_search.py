@@ -196,3 +196,11 @@ def test_mean_recall_on_the_largest_table(spark):
     exact, approx = ({(r.query_id, r.id) for r in f(df, asked, 10).collect()} for f in (vector.top_k_each, vector.approximate_top_k_each))
     print("recall", len(exact & approx) / len(exact))
     assert len(exact) == 10 * df.where("id % 20 = 0").count() and len(exact & approx) / len(exact) >= 0.9
+
+
+def test_heavy_rows_are_not_gathered(spark, sf):
+    """No single window over a whole table, no text in a conversation's row."""
+    from docmill.plans import catalogue
+
+    plan = lambda n: catalogue.queries()[n](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan("relevance_threshold_min3") and "text" not in plan("strip_heavy_fields").split("Aggregate")[1].split("\n")[0]

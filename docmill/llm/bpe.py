@@ -188,7 +188,9 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As encode(), with n_tokens and SHA-256 digests made in the task in place of the ids (decimal, joined by a space) and the decoded text.
 
-    No shuffle; each row is encoded whole by the task that reads it, in time linear in its length.
+    One row per input row, repeated ones and those with a null id as well. A null text is empty: no tokens, and both digests
+    are those of the empty string. An empty table gives no rows; other columns are ignored. No shuffle; each row is
+    encoded whole, however long, by the task that reads it, in time linear in its length.
     """
 
     def run(batches):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -13,61 +14,72 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _own: dict[str, str] = {}
-_written: list[tuple[str, str, str]] = []
-_owner = ContextVar("owner", default="")
+#: The tables of the innermost scratch() of this thread.
+_open: ContextVar[list[DataFrame] | None] = ContextVar("open", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """The cluster's spark.checkpoint.dir. Where that is unset, a temporary folder in local mode, as in tests; on a cluster an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
-    app = spark.sparkContext.applicationId
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if not re.fullmatch(r"local(\[[^]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir is not set; with master {master} it must name a folder that all machines share")
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-docmill-")
     return _own[app]
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted at the latest when the application ends."""
+    path = f"{shared_dir(spark)}/docmill-{name}-{uuid.uuid4().hex}"
+    where, files = _file_system(spark, path)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[..., None]]:
+    """Tables that saved() writes inside are deleted at its end, but for those given to the function that it yields."""
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    token = _open.set(own)
+    try:
+        yield lambda *tables: kept.extend(tables)
+    finally:
+        _open.reset(token)
+        discard(*(df for df in own if not any(df is k for k in kept)))
+        if (outer := _open.get()) is not None:
+            outer += kept
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read again: cuts lineage and outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docmill-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_path(spark, name)}/rows"
     df.write.parquet(path)
-    _written.append((_owner.get(), spark.sparkContext.applicationId, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    if (own := _open.get()) is not None:
+        own.append(out)
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def delete(spark: SparkSession, path: str) -> None:
+    where, files = _file_system(spark, path)
+    files.delete(where, True)
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete scratch tables that nothing reads any more, and let Spark drop the shuffle files of plans that are gone."""
+    """Delete scratch tables of saved() that nothing reads any more. What a result still reads stays until the application ends."""
     for df in tables:
-        _delete(df.sparkSession, df._scratch)
-        _written[:] = [x for x in _written if x[2] != df._scratch]
-    gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
-
-
-@contextmanager
-def owned(owner: str):
-    """Scratch tables written inside belong to `owner`, which may release() them."""
-    token = _owner.set(owner)
-    try:
-        yield
-    finally:
-        _owner.reset(token)
-
-
-def release(spark: SparkSession, owner: str) -> None:
-    """Delete the scratch tables of `owner`; what was built on them must have been written."""
-    app = spark.sparkContext.applicationId
-    for item in [x for x in _written if x[:2] == (owner, app)]:
-        _delete(spark, item[2])
-        _written.remove(item)
+        delete(df.sparkSession, df._scratch)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -77,3 +89,12 @@ def ascii_lower(c: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a table of ids and hashes, 100 bytes each at most, that may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of ids and hashes, with the hint to broadcast it if it has BROADCAST_ROWS at most; else Spark shuffles it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

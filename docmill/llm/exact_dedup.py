@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import ascii_lower, saved
+from docmill.llm.common import ascii_lower, saved, scratch, small
+
+
+def content_hash(norm: Column) -> Column:
+    return F.unhex(F.md5(norm))
+
+
+def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, k (the 128-bit hash), sha, keep_id and group_size for each row."""
+    texts = df.select(F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("norm"))
+    with scratch() as keep:
+        keep(rows := saved(texts.select("id", content_hash(F.col("norm")).alias("k"), F.unhex(F.sha2("norm", 256)).alias("sha")), "hashes"))
+        several = saved(rows.groupBy("k").count().where("count > 1").select(F.col("k").alias("several")), "repeated")
+        same = texts.join(small(several), content_hash(F.col("norm")) == F.col("several")).groupBy("several", "norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+        keep(groups := saved(same.where("group_size > 1").select(F.col("several").alias("k"), F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"), "exact"))
+    alone = F.col("group_size").isNull()
+    return rows.join(groups, ["k", "sha"], "left").select("id", "k", "sha", F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"))
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -16,26 +32,22 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keep_id is null and its rows stay. Rows that tie on the largest id are the same document and all stay. An empty
     table gives no rows; other columns are ignored.
 
-    Grouping by (hash, text) makes Spark compare the bytes within a hash, with a partial step in every map task, so
-    a text that fills a third of the table reaches the shuffle once a task. What goes back to the rows is joined by
-    the hash alone; only if two different texts ever share a hash is the join keyed by their SHA-256 as well.
+    One scan hashes each text. Only texts whose hash repeats are read again and grouped by (hash, text), so Spark
+    compares their bytes, with a partial step in every map task: a text that fills a third of the table reaches the
+    shuffle once a task. What goes back to the rows is joined by both hashes, not by texts.
     """
-    texts = df.select(F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("norm"))
-    hashed = texts.select("id", "norm", F.unhex(F.md5("norm")).alias("k"))
-    groups = saved(
-        hashed.groupBy("k", "norm")
-        .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("k", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256")),
-        "exact",
-    )
-    collide = not groups.groupBy("k").count().where("count > 1").isEmpty()
-    keys = hashed.select("id", "k", F.sha2("norm", 256).alias("text_sha256")) if collide else hashed.select("id", "k")
-    return keys.join(groups, ["k", "text_sha256"] if collide else ["k"]).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    c = F.col
+    out = _grouped(df, id_col, text_col)
+    return out.select(c("id").alias(id_col), "keep_id", "group_size", c("id").eqNullSafe(c("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows that exact_groups() does not keep; all columns stay. Rows with a null id stay."""
-    gone = exact_groups(df, id_col, text_col).where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+    """df without the rows that exact_groups() does not keep; all columns stay.
+
+    A row goes by its id and its text, so other texts under the same id stay, as do rows with a null id. Rows that tie
+    on a group's largest id all stay. An empty table gives no rows.
+    """
+    with scratch() as keep:
+        gone = _grouped(df, id_col, text_col).where("id IS NOT NULL AND id <> keep_id").select(F.col("id").alias("__gone"), F.col("k").alias("__k")).distinct()
+        keep(gone := saved(gone, "exact-copies"))
+    return df.join(small(gone), (df[id_col] == gone["__gone"]) & (content_hash(ascii_lower(df[text_col])) == gone["__k"]), "left_anti")

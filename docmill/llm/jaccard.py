@@ -8,16 +8,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import discard, partitions, saved
+from docmill.llm.common import discard, partitions, saved, scratch, small
 
 WIDTH, SHARE = 5, 75
-#: Bits of the shingle sketch, coordinates of a count vector, points in a leaf, rows on one side of a block's task, ids that may be broadcast.
-SKETCH_BITS, GROUPS, LEAF, CHUNK, BROADCAST_IDS = 24, 256, 16, 2000, 1_000_000
-#: Rounds in which the members of a block are compared with one of them, before the trees take over.
-ROUNDS = 5
+#: Bits of the shingle sketch, coordinates of a coarse count vector, points in a leaf.
+SKETCH_BITS, GROUPS, LEAF = 24, 256, 16
+#: Rows and bytes of sets in a piece of a group.
+CHUNK, CHUNK_BYTES = 1000, 32 << 20
+#: How often groups of several pieces are dealt anew before their components are set against one another.
+ROUNDS = 2
 #: A bucket of shingles goes on from a task if it holds two or more, and more than chance puts there; it counts as frequent from HOT on.
 HOT = 12
-NO_ID = (1 << 63) - 1
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -83,9 +84,7 @@ def required(n: int, share: int = SHARE) -> int:
 
 def count_vector(own: np.ndarray) -> np.ndarray:
     """Counts of the set's shingles by their last bits, as bytes: a coordinate for two shingles, GROUPS at least. 255 stands for that or more."""
-    groups = GROUPS
-    while groups * 2 < len(own) and groups < 1 << 15:
-        groups *= 2
+    groups = groups_of(len(own))
     return np.minimum(np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
 
 
@@ -94,39 +93,41 @@ def folded(vector: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.minimum(vector.reshape(-1, groups).sum(0, dtype=np.int64), 255).astype(np.uint8)
 
 
-#: Stands for a count that a half or whole byte could not hold; bounds the counts of sets of that size at most.
+#: Stands for a count that a byte could not hold; bounds the counts of sets of that size at most.
 FULL = 16_000
 
 
+def groups_of(n: int) -> int:
+    """Coordinates of the count vector of a set of n: one for two shingles, GROUPS at least, 32,768 at most."""
+    groups = GROUPS
+    while groups * 2 < n and groups < 1 << 15:
+        groups *= 2
+    return groups
+
+
 def packed(vector: np.ndarray) -> bytes:
-    """GROUPS counts in half bytes, if they are small; 15 stands for that or more."""
-    v = folded(vector)
-    if v.max(initial=0) > 40:
-        return v.tobytes()
-    v = np.minimum(v, 15)
-    return (v[::2] | (v[1::2] << 4)).tobytes()
-
-
-def unpacked(rows: list[bytes]) -> np.ndarray:
-    """The counts of packed vectors, one row each."""
-    out = np.empty((len(rows), GROUPS), np.int16)
-    half = np.array([len(r) < GROUPS for r in rows], bool)
-    small = np.frombuffer(b"".join([r for r in rows if len(r) < GROUPS]), np.uint8).reshape(-1, GROUPS // 2)
-    large = np.frombuffer(b"".join([r for r in rows if len(r) == GROUPS]), np.uint8).reshape(-1, GROUPS)
-    both = np.stack([small & 15, small >> 4], 2).reshape(-1, GROUPS)
-    out[half], out[~half] = np.where(both == 15, FULL, both), np.where(large == 255, FULL, large)
-    return out
+    """A count vector in half bytes if all its counts fit them, else as it is."""
+    return (vector[::2] | (vector[1::2] << 4)).tobytes() if vector.max(initial=0) < 16 else vector.tobytes()
+
+
+def unpacked(row: bytes, n: int) -> np.ndarray:
+    """The count vector of a set of n shingles from its packed form."""
+    v = np.frombuffer(row, np.uint8)
+    return v if len(v) == groups_of(n) else np.stack([v & 15, v >> 4], 1).reshape(-1)
 
 
-def _wide(vector: np.ndarray) -> np.ndarray:
-    """As integers; a full byte bounds nothing."""
-    return np.where(vector == 255, 1 << 40, vector.astype(np.int64))
+def coarse(vectors: list[np.ndarray]) -> np.ndarray:
+    """The vectors with GROUPS coordinates each, as one matrix; FULL where a count is not known."""
+    v = np.stack([folded(x) for x in vectors]) if vectors else np.zeros((0, GROUPS), np.uint8)
+    return np.where(v == 255, np.int16(FULL), v.astype(np.int16))
 
 
-def may_link_pair(a: bytes, a_size: int, b: bytes, b_size: int, share: int = SHARE) -> bool:
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    groups = min(len(x), len(y))
-    return bool(np.minimum(_wide(folded(x, groups)), _wide(folded(y, groups))).sum() * (100 + share) >= share * (a_size + b_size))
+def may_link_pair(x: np.ndarray, a_size: int, y: np.ndarray, b_size: int, share: int = SHARE) -> bool:
+    """As may_link() for two count vectors, by as many coordinates as the shorter has; counts beyond a byte rule nothing out."""
+    if len(x) != len(y):
+        x, y = (folded(v, min(len(x), len(y))) for v in (x, y))
+    least = np.minimum(x, y)
+    return bool(int(least.sum()) * (100 + share) >= share * (a_size + b_size) or least.max() == 255)
 
 
 def may_link(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, share: int = SHARE) -> np.ndarray:
@@ -226,150 +227,174 @@ def _ranks(told: DataFrame, sketch_bits: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, ranks, width: int, share: int, sketch_bits: int) -> DataFrame:
-    """node, n, vector (GROUPS coordinates), fine (as many as suit the size) and tokens: the rarest shingles of the set, as many as any partner must share one of."""
+    """node, n, vector (packed) and tokens: the rarest shingles of the set, as many as any partner must share one of."""
 
     def run(batches):
         table = ranks.value
         for b in batches:
-            keys, sizes, vectors, fine, out = [], [], [], [], []
+            keys, sizes, vectors, out = [], [], [], []
             for i, own in enumerate(shingle_sets(b.column(1).to_pylist(), width)):
                 if len(own):
                     order = np.argsort(table[(own >> np.uint64(64 - sketch_bits)).astype(np.int64)], kind="stable")
                     keys.append(i)
                     sizes.append(len(own))
-                    fine.append((v := count_vector(own)).tobytes())
-                    vectors.append(packed(v))
+                    vectors.append(packed(count_vector(own)))
                     out.append(_mix(own[order[: len(own) - required(len(own), share) + 1]]).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(sizes, pa.int64()), pa.array(vectors, pa.binary()), pa.array(fine, pa.binary()), lists], ["node", "n", "vector", "fine", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(sizes, pa.int64()), pa.array(vectors, pa.binary()), lists], ["node", "n", "vector", "tokens"])
 
-    return docs.mapInArrow(run, "node long, n long, vector binary, fine binary, tokens array<long>")
+    return docs.mapInArrow(run, "node long, n long, vector binary, tokens array<long>")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A list of ids with the hint to broadcast it, if it is short enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+#: What tells a task's block, and a row's part in it: 0 is in the tree, 1 asks it, 2 does both.
+TASK = ["leader", "i", "j"]
+_SEAT = "leader long, i int, j int, side int, node long, label long, n long"
 
 
-def _sets(docs: DataFrame, active: DataFrame, width: int) -> DataFrame:
-    """node, n and set of the documents in `active`."""
+def _blocks(batches, solve):
+    """solve(rows) of each block of rows with the same leader, i and j, which stand together in the batches."""
+    at, rows = None, []
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns)):
+            if r[:3] != at:
+                yield solve(rows) if len(rows) > 1 else []
+                at, rows = r[:3], []
+            rows.append(r)
+    yield solve(rows) if len(rows) > 1 else []
 
-    def run(batches):
-        for b in batches:
-            own = shingle_sets(b.column(1).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "n", "own"])
 
-    wanted = docs.join(_small(active), docs["key"] == active["node"], "left_semi")
-    return wanted.select("key", "text").mapInArrow(run, "node long, n long, own binary")
+def _near(rows: list[tuple], vectors: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places (asking, asked) in a block of pairs with different labels whose count vectors may link, each pair once."""
+    side, label, size = (np.array([r[k] for r in rows], np.int64) for k in (3, 5, 6))
+    own, asking = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    q, x = RTree(vectors[own], size[own]).near(vectors[asking], size[asking], share)
+    q, x = asking[q], own[x]
+    ok = (label[q] != label[x]) & ((q < x) | (side[q] != 2))
+    return q[ok], x[ok]
 
 
-def _close(pairs: DataFrame, info: DataFrame, share: int) -> DataFrame:
-    """The pairs a, b that sizes and count vectors don't rule out."""
-    named = _small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    info = info.join(named, "node", "left_semi")
-    side = lambda x: info.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("fine").alias(f"{x}_fine"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.greatest("a_n", "b_n") * share <= F.least("a_n", "b_n") * 100)
+def _seated(seats: DataFrame, rows: DataFrame, value: str, solve, schema: str, names: list[str]) -> DataFrame:
+    """Rows that solve() gives for each block of seats, joined with the value of their node."""
+    both = seats.join(rows, "node").select(*TASK, "side", "node", "label", "n", value)
+    dealt = both.repartition(partitions(seats.sparkSession), *TASK).sortWithinPartitions(*TASK)
 
     def run(batches):
-        for b in batches:
-            keep = [i for i, (an, av, bn, bv) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 6)))) if may_link_pair(av, an, bv, bn, share)]
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
+        types = [f.split()[1] for f in schema.split(", ")]
+        arrow = {"long": pa.int64(), "int": pa.int32()}
+        found: list[tuple] = []
+        for own in _blocks(batches, solve):
+            found += own
+            if len(found) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, arrow[t]) for c, t in zip(zip(*found), types)], names)
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, arrow[t]) for c, t in zip(zip(*found), types)], names)
 
-    return both.select("a", "b", "a_n", "a_fine", "b_n", "b_fine").mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, share: int) -> DataFrame:
-    """The pairs a, b whose sets link."""
-    pairs = saved(pairs, "pairs")
-    sets = saved(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), width), "sets")
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("own").alias(f"{x}_own"))
+def _live(seats: DataFrame, vectors: DataFrame, share: int) -> DataFrame:
+    """The seats that have, in their block, a partner of another label which sizes and count vectors don't rule out."""
 
-    def run(batches):
+    def solve(rows: list[tuple]) -> list[tuple]:
+        fine = [unpacked(r[7], r[6]) for r in rows]
+        live = [False] * len(rows)
+        for a, b in zip(*(x.tolist() for x in _near(rows, coarse(fine), share))):
+            if not (live[a] and live[b]) and may_link_pair(fine[a], rows[a][6], fine[b], rows[b][6], share):
+                live[a] = live[b] = True
+        return [r[:7] for r, x in zip(rows, live) if x]
+
+    return _seated(seats, vectors, "vector", solve, _SEAT, [f.split()[0] for f in _SEAT.split(", ")])
+
+
+def _linked(seats: DataFrame, docs: DataFrame, width: int, share: int) -> DataFrame:
+    """Links a, b between seats of one block, by their exact sets; as many as it takes to join what links, no more than the block has rows."""
+
+    def sets(batches):
         for b in batches:
-            keep = []
-            for i, (an, ao, bn, bo) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 6)))):
-                shared = len(np.intersect1d(np.frombuffer(ao, np.uint64), np.frombuffer(bo, np.uint64), assume_unique=True))
-                if shared * (100 + share) >= share * (an + bn):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
-
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "a_own", "b_n", "b_own")
-    links = saved(both.mapInArrow(run, "a long, b long").distinct(), "links")
-    discard(pairs, sets)
+            own = shingle_sets(b.column(1).to_pylist(), width)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "own"])
+
+    def solve(rows: list[tuple]) -> list[tuple]:
+        own = [np.frombuffer(r[7], np.uint64) for r in rows]
+        fine = [count_vector(x) for x in own]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        q, x = _near(rows, coarse(fine), share)
+        order = np.argsort(q, kind="stable")
+        q, x = q[order], x[order]
+        edges = [0, *(np.flatnonzero(np.diff(q)) + 1).tolist(), len(q)]
+        out = []
+        for start, end in zip(edges, edges[1:]):
+            if start == end:
+                continue
+            a = int(q[start])
+            mine = root(rows[a][5])
+            others = [b for b in x[start:end].tolist() if root(rows[b][5]) != mine and may_link_pair(fine[a], len(own[a]), fine[b], len(own[b]), share)]
+            for k in range(0, len(others), 64):
+                some = [b for b in others[k : k + 64] if root(rows[b][5]) != root(rows[a][5])]
+                if not some:
+                    continue
+                parts = [own[b] for b in some]
+                flat = np.concatenate(parts)
+                at = np.minimum(np.searchsorted(own[a], flat), len(own[a]) - 1)
+                shared = np.add.reduceat((own[a][at] == flat).astype(np.int64), np.cumsum([0, *(len(p) for p in parts[:-1])]))
+                for b, both in zip(some, shared.tolist()):
+                    if both * (100 + share) >= share * (len(own[a]) + len(own[b])) and root(rows[a][5]) != root(rows[b][5]):
+                        parent[root(rows[a][5])] = root(rows[b][5])
+                        out.append((rows[a][4], rows[b][4]))
+        return out
+
+    wanted = saved(seats.select("node").distinct(), "wanted")
+    own = docs.join(small(wanted), docs["key"] == wanted["node"], "left_semi").select("key", "text").mapInArrow(sets, "node long, own binary")
+    links = saved(_seated(seats, own, "own", solve, "a long, b long", ["a", "b"]), "links")
+    discard(wanted)
     return links
 
 
-def _survivors(members: DataFrame, share: int, chunk: int) -> DataFrame:
-    """Pairs of nodes with different labels that meet in a block and whose count vectors may link.
+def _slots(count: str, shingles: str, chunk: int):
+    """Into how many pieces a group's rows go, so that a piece has about `chunk` rows and CHUNK_BYTES of sets."""
+    return F.greatest(F.ceil(F.col(count) / chunk), F.ceil(F.col(shingles) * 8 / CHUNK_BYTES), F.lit(1)).cast("int")
 
-    members: token, node, label, n, vector, of blocks with several labels. In each block the label with the most members is set
-    against the others, and those against one another; either side goes to tasks of at most `chunk` rows, so a block that
-    most documents share costs its size times the number of its other rows' chunks.
-    """
-    sizes = members.groupBy("token", "label").agg(F.count("*").alias("c"))
-    top = sizes.groupBy("token").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).select("token", F.col("top.label").alias("major"), F.ceil(F.col("top.c") / chunk).cast("int").alias("p"), F.ceil((F.col("all") - F.col("top.c")) / chunk).cast("int").alias("q"))
-    rows = members.join(top, "token").withColumn("is_major", F.col("label") == F.col("major"))
-    slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    major = rows.where("is_major").select("token", "node", "label", "n", "vector", F.lit(0).alias("side"), slot("p").alias("i"), F.explode(upto("q")).alias("j"))
-    other = rows.where("NOT is_major").withColumn("own", slot("q"))
-    cross = other.select("token", "node", "label", "n", "vector", F.lit(1).alias("side"), F.explode(upto("p")).alias("i"), F.col("own").alias("j"))
-    inner = other.select("token", "node", "label", "n", "vector", "own", F.explode(upto("q")).alias("o")).select("token", "node", "label", "n", "vector", F.when(F.col("own") <= F.col("o"), 2).otherwise(3).alias("side"), (-1 - F.least("own", "o")).alias("i"), F.greatest("own", "o").alias("j"))
-    groups = major.unionByName(cross).unionByName(inner)
-    dealt = groups.repartition(partitions(members.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
-
-    def few(rows: list[tuple]) -> set[tuple[int, int]]:
-        """A block of a leaf's size at most is its own only box."""
-        both = rows[0][1] < 0 and rows[0][1] == -1 - rows[0][2]
-        own = [i for i, r in enumerate(rows) if r[6] in (0, 2)]
-        asked = [i for i, r in enumerate(rows) if r[6] in (1, 3)]
-        out, vectors = set(), None
-        for k, i in enumerate(own):
-            _, _, _, a, x, n, _, _ = rows[i]
-            for j in own[k + 1 :] if both else asked:
-                _, _, _, b, y, m, _, _ = rows[j]
-                if x != y and n * 100 >= share * m and m * 100 >= share * n:
-                    vectors = unpacked([r[7] for r in rows]) if vectors is None else vectors
-                    if may_link(vectors[i], n, vectors[j], m, share):
-                        out.add((min(a, b), max(a, b)))
-        return out
 
-    def block(rows: list[tuple]) -> set[tuple[int, int]]:
-        if len(rows) <= LEAF:
-            return few(rows)
-        side = np.array([r[6] for r in rows])
-        node, label, size = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
-        vectors = unpacked([r[7] for r in rows])
-        own = np.flatnonzero((side == 0) | (side == 2))
-        asked = own if rows[0][1] < 0 and rows[0][1] == -1 - rows[0][2] else np.flatnonzero((side == 1) | (side == 3))
-        q, x = RTree(vectors[own], size[own]).near(vectors[asked], size[asked], share)
-        q, x = asked[q], own[x]
-        ok = label[q] != label[x]
-        return set(zip(np.minimum(node[q], node[x])[ok].tolist(), np.maximum(node[q], node[x])[ok].tolist()))
+def _within(groups: DataFrame, seed: int) -> DataFrame:
+    """Seats for the members of each group (leader, node, n, label, p) in p pieces, each piece against itself; the leader sits in all."""
+    all_ = F.sequence(F.lit(0), F.col("p") - 1)
+    place = F.explode(F.when(F.col("node") == F.col("leader"), all_).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(seed)), F.col("p")).cast("int")))).alias("i")
+    return groups.select("leader", place, "node", "n", "label").select("leader", "i", F.col("i").alias("j"), F.lit(2).alias("side"), "node", "label", "n")
 
-    def run(batches):
-        at, rows, found = None, [], set()
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if r[:3] != at:
-                    found.update(block(rows) if len(rows) > 1 else ())
-                    at, rows = r[:3], []
-                rows.append(r)
-            if len(found) > 100_000:
-                yield _pairs(found)
-                found = set()
-        found.update(block(rows) if len(rows) > 1 else ())
-        yield _pairs(found)
 
-    return dealt.select("token", "i", "j", "node", "label", "n", "side", "vector").mapInArrow(run, "a long, b long").distinct()
+def _across(groups: DataFrame, chunk: int) -> DataFrame:
+    """Seats for groups with several labels: the label with the most rows against the others, and those against one another, piece by piece."""
+    sizes = groups.groupBy("leader", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    top = sizes.groupBy("leader").agg(F.max(F.struct("c", "label", "s")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    top = top.select("leader", F.col("top.label").alias("major"), F.col("top.c").alias("mc"), F.col("top.s").alias("ms"), (F.col("c") - F.col("top.c")).alias("oc"), (F.col("s") - F.col("top.s")).alias("os"))
+    top = saved(top.select("leader", "major", _slots("mc", "ms", chunk).alias("p"), _slots("oc", "os", chunk).alias("q")), "majors")
+    rows = groups.drop("p").join(top, "leader").withColumn("is_major", F.col("label") == F.col("major"))
+    slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cols = ["leader", "i", "j", "side", "node", "label", "n"]
+    major = rows.where("is_major").select("*", slot("p").alias("i"), F.explode(upto("q")).alias("j"), F.lit(0).alias("side"))
+    other = rows.where("NOT is_major").withColumn("own", slot("q"))
+    asking = other.select("*", F.explode(upto("p")).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
+    o, own = F.col("o"), F.col("own")
+    inner = other.select("*", F.explode(upto("q")).alias("o")).select("*", (-1 - F.least(own, o)).alias("i"), F.greatest(own, o).alias("j"), F.when(own == o, 2).when(own < o, 0).otherwise(1).alias("side"))
+    return major.select(cols).unionByName(asking.select(cols)).unionByName(inner.select(cols))
 
 
-def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    own = np.array(sorted(found), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1])], ["a", "b"])
+def _labelled(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups that still hold several components, with the component of each node as its label."""
+    labels = components(links)
+    own = groups.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = saved(own, "labelled")
+    mixed = saved(own.groupBy("leader").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("leader"), "mixed")
+    return own.join(mixed, "leader")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -392,88 +417,101 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """token, node, label; a node without links is its own component."""
-    if labels is None:
-        return members.select("token", "node", F.col("node").alias("label"))
-    return members.join(_small(labels), "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
+def _numbered(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of key and text with a key of their own, and key and id of each row where the ids are not such keys themselves.
+
+    Ids that are null or stand in several rows are replaced by numbers, in a written copy of the table.
+    """
+    ids = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
+    if ids.groupBy("key").count().where("count > 1 OR key IS NULL").isEmpty():
+        return ids, None
+    rows = saved(ids.select(F.monotonically_increasing_id().alias("row"), F.col("key").alias("id"), "text"), "numbered")
+    return rows.select(F.col("row").alias("key"), "text"), rows.select(F.col("row").alias("key"), "id")
+
+
+def _links(docs: DataFrame, first: DataFrame, ranks, width: int, share: int, chunk: int, sketch_bits: int) -> DataFrame:
+    """Links a, b that join the keys of distinct sets, those of `first`, into their components, and no others."""
+    prefixes = saved(_prefixes(first, ranks, width, share, sketch_bits), "prefixes")
+    tokens = prefixes.select("node", F.explode("tokens").alias("token"))
+    least = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))
+    blocks = saved(tokens.groupBy("token").agg(least["node"].alias("leader"), F.count("*").alias("c")).where("c > 1").select("token", "leader"), "blocks")
+    pairs = saved(tokens.join(blocks, "token").select("leader", "node").distinct(), "pairs")
+    discard(blocks)
+    groups = saved(pairs.join(prefixes.select("node", "n"), "node").select("leader", "node", "n"), "groups")
+    discard(pairs)
+    sizes = saved(groups.groupBy("leader").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("leader", _slots("c", "s", chunk).alias("p")), "sizes")
+    vectors = prefixes.select("node", "vector")
+
+    def solved(seats: DataFrame) -> DataFrame:
+        seats = saved(seats, "seats")
+        live = saved(_live(seats, vectors, share), "live")
+        found = _linked(live, docs, width, share)
+        discard(seats, live)
+        return found
+
+    # Every member has its own label at first, so a group of one piece is done after this.
+    links = solved(_within(groups.join(sizes, "leader").withColumn("label", F.col("node")), 0))
+    large = saved(groups.join(sizes.where("p > 1"), "leader"), "large")
+    discard(groups, sizes)
+    for k in range(ROUNDS + 1):
+        if large.isEmpty():
+            break
+        large = _labelled(large, links)
+        found = solved(_within(large, k + 1) if k < ROUNDS else _across(large, chunk))
+        links = links.union(found)
+    discard(prefixes)
+    return links
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: int = SHARE, chunk: int = CHUNK, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id reachable by links, its own included).
 
     Two rows link when 100 * |A and B| >= share * |A or B| for their sets of distinct `width`-word shingles; words end
-    at ASCII white space and A-Z count as a-z. A text with fewer words is one shingle; one without words has an empty
-    set and no links. Ids are integers; rows that share an id are one node with the links of each; rows with a null id
-    are one node after all others, whose component_id is null if it reaches no other. An empty table gives no rows.
+    at ASCII white space and A-Z count as a-z. A text with fewer words is one shingle; one without words (or null) has an
+    empty set and no links. Ids are integers; rows that share an id are one node with the links of each; a row with a
+    null id is a node of its own after all others, whose component_id is null if it reaches no id. Other columns are
+    ignored. An empty table gives no rows.
 
     No link is lost: linked sets share a shingle among the first n - ceil(share * n / 100) + 1 of each in one global
     order, whatever that order is. It puts frequent shingles last, by a sketch of bounded size, so that common passages
-    don't bring documents together. Equal sets become one node first. In each block of documents with a common prefix
-    shingle, members are first compared with one of them, for a few rounds with another one each while that links some;
-    what links is one component. Blocks that still hold several components go to the count-vector R-tree, in pieces of
-    bounded size, which leaves the pairs of different components that may link; the exact sets decide. Neither a block's pairs nor all links
-    are ever listed: copies cost a few comparisons each.
+    don't bring documents together. Equal sets become one node first. Of the nodes with a common prefix shingle the one
+    with the least hash is the leader; each leader's group, with all shingles that it leads, goes to tasks in pieces of
+    bounded size. There the count-vector R-tree rules out pairs, exact sets decide the others, and a union-find keeps no
+    more links than a piece has rows. Only groups of several pieces go on: dealt anew a few times, so that copies become
+    one component, then the remaining components of each against one another. Pairs are never listed as rows.
     """
     spark = df.sparkSession
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text_col).alias("text"))
-    told = saved(_summaries(docs, width, sketch_bits), "shingle-sums")
-    rows = told.where("key IS NOT NULL").select("key", "n", "s1", "s2")
-    classes = saved(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("key").alias("node")), "shingle-classes")
-    ranks = spark.sparkContext.broadcast(_ranks(told, sketch_bits))
-    copies = saved(rows.where("n > 0").select("key").distinct().join(classes, F.col("key") == F.col("node"), "left_anti"), "copies")
-    first = docs.join(_small(copies), "key", "left_anti")
-    prefixes = saved(_prefixes(first, ranks, width, share, sketch_bits), "prefixes")
-    info = prefixes.select("node", "n", "vector", "fine")
-    tokens = prefixes.select("node", F.explode("tokens").alias("token"))
-    ends = tokens.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("leader != most").select("token", "leader")
-    shared = saved(tokens.join(ends, "token"), "shared-tokens")
-    discard(copies)
-
-    links, labels, blocks, tried = None, None, shared, None
-    for k in range(ROUNDS):
-        pairs = blocks.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "star-pairs")
-        found = _verified(_close(pairs, info, share), docs, width, share)
-        tried = pairs if tried is None else tried.union(pairs)
-        if found.isEmpty():
-            break
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        if k == ROUNDS - 1:
-            break
-        # Blocks in which something linked and that still hold several components go on, with another leader.
-        linked = blocks.withColumn("a", F.least("node", "leader")).withColumn("b", F.greatest("node", "leader")).join(_small(found), ["a", "b"], "left_semi").select("token").distinct()
-        flip = F.lit((0x2545F4914F6CDD1D * (k + 1)) % (1 << 62))
-        own = _labelled(blocks.select("token", "node").join(linked, "token"), labels)
-        mixed = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.col("node").bitwiseXOR(flip)).bitwiseXOR(flip).alias("leader")).where("low != high").select("token", "leader")
-        blocks = saved(own.select("token", "node").join(mixed, "token"), "star-blocks")
-        if blocks.isEmpty():
-            break
-
-    own = _labelled(shared.select("token", "node"), labels)
-    mixed = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
-    members = saved(own.join(mixed, "token").join(info.select("node", "n", "vector"), "node"), "mixed-blocks")
-    near = saved(_survivors(members, share, chunk), "near")
-    discard(members, shared)
-    more = _verified(_close(near, info, share), docs, width, share)
-    discard(prefixes, near)
-    if not more.isEmpty():
-        links = more if links is None else links.union(more)
-        labels = components(links)
-    if labels is None:
-        labels = classes.select("node", F.col("node").alias("label")).limit(0)
-    ends = labels.withColumnRenamed("label", "component").withColumnRenamed("node", "own")
-    known = classes.join(ends, classes["node"] == ends["own"], "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
-    out = rows.join(known, ["s1", "s2"], "left").select("key", "n", F.coalesce("component", "key").alias("c"))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).cast(df.schema[id_col].dataType)
-    return out.select(real("key").alias(id_col), F.col("n").alias("n_shingles"), real("c").alias("component_id"))
+    with scratch() as keep:
+        docs, ids = _numbered(df, id_col, text_col)
+        told = saved(_summaries(docs, width, sketch_bits), "shingle-sums")
+        rows = told.where("key IS NOT NULL").select("key", "n", "s1", "s2")
+        classes = saved(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("key").alias("node")), "shingle-classes")
+        ranks = spark.sparkContext.broadcast(_ranks(told, sketch_bits))
+        copies = saved(rows.where("n > 0").select("key").join(classes, F.col("key") == F.col("node"), "left_anti"), "copies")
+        links = _links(docs, docs.join(small(copies), "key", "left_anti"), ranks, width, share, chunk, sketch_bits)
+        out = rows.withColumn("id", F.col("key")) if ids is None else rows.join(ids, "key")
+        if ids is not None:  # an id's rows are one node: the first of their sets links with the others
+            same = out.where("n > 0 AND id IS NOT NULL").join(classes, ["s1", "s2"])
+            links = links.union(same.join(same.groupBy("id").agg(F.min("node").alias("a")), "id").where("node != a").select("a", F.col("node").alias("b")))
+        ends = components(links).select(F.col("node").alias("own"), F.col("label").alias("component"))
+        known = saved(classes.join(ends, classes["node"] == ends["own"], "left").select("s1", "s2", F.coalesce("component", "node").alias("component")), "known")
+        out = out.join(known, ["s1", "s2"], "left").select("id", "n", "component")
+        if ids is None:
+            keep(told, known)
+        else:  # labels are keys here: a component is named by its least id, and all rows of an id go with it
+            out = saved(out, "named")
+            least = out.where("component IS NOT NULL").groupBy(F.col("component").alias("c")).agg(F.min("id").alias("least"))
+            named = out.join(least, out["component"] == least["c"], "left").select("id", "n", F.coalesce("least", "id").alias("component"))
+            each = saved(named.where("id IS NOT NULL").groupBy(F.col("id").alias("own")).agg(F.min("component").alias("best")), "best")
+            out = saved(named.join(each, named["id"] == each["own"], "left").select("id", "n", F.coalesce("best", "component").alias("component")), "named")
+            keep(out)
+    whole = lambda c: c.cast(df.schema[id_col].dataType)
+    return out.select(whole(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), whole(F.coalesce("component", "id")).alias("component_id"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df with one row of each component, that of the smallest id (all rows that tie on it); rows without words or with a null id stay."""
-    groups = similar_groups(df, id_col, text_col, **options)
-    gone = groups.where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+    with scratch() as keep:
+        groups = similar_groups(df, id_col, text_col, **options)
+        keep(gone := saved(groups.where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct(), "near-copies"))
+    return df.join(small(gone), df[id_col] == gone["__gone"], "left_anti")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import saved
+from docmill.llm.common import discard, saved
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 #: Keys in a shard, and bytes of arrays that may be broadcast; beyond those the probes are routed to the shards.
@@ -110,18 +110,18 @@ def build_shards(keys: DataFrame, bits: int) -> DataFrame:
         mixed = h1 ^ (h2 * np.uint64(0x9E3779B97F4A7C15))
         order, table = np.zeros(len(pdf), np.int64), PerfectHash(mixed)
         order[table.index(mixed)] = np.arange(len(pdf))
-        arrays = (table, h2[order], pdf["n_docs"].to_numpy(np.int64)[order], pdf["keep_id"].to_numpy(np.int64)[order])
+        arrays = (table, h2[order], np.minimum(pdf["n_docs"].to_numpy(np.int64), 0xFFFFFFFF).astype(np.uint32)[order], pdf["keep_id"].to_numpy(np.int64)[order])
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "arrays": [pickle.dumps(arrays)]})
 
     shard = F.shiftrightunsigned("h1", 64 - bits) if bits else F.lit(0).cast("long")
     return keys.withColumn("shard", shard).groupBy("shard").applyInPandas(build, "shard long, arrays binary")
 
 
-def probe(arrays: tuple, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Which lines go: those that are listed and whose document isn't the one that keeps them."""
-    table, prints, _, keepers = arrays
+def probe(arrays: tuple, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, least_docs: int) -> np.ndarray:
+    """Which lines go: those whose fingerprint is listed with a count of enough documents, but for the document that keeps them."""
+    table, prints, counts, keepers = arrays
     at = table.index(h1 ^ (h2 * np.uint64(0x9E3779B97F4A7C15)))
-    return (at >= 0) & (prints[at] == h2) & (keepers[at] != ids)
+    return (at >= 0) & (prints[at] == h2) & (counts[at] >= least_docs) & (keepers[at] != ids)
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40, least_docs: int = 5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -132,15 +132,16 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     hold lose all their lines, except in the row with the largest id that holds them. Ids are integers; a null id is
     smaller than any other, and rows that tie on the largest id all keep their lines. Other columns are ignored.
 
-    Distinct keys are counted by hash with a partial step in each task. The repeated ones are dealt to shards by hash
-    prefix, each with a minimal perfect hash over its keys and arrays of fingerprints, counts and keepers. While all
-    arrays fit `broadcast_bytes`, every task probes them as it reads documents. Beyond that, line hashes are routed to
-    the shards, salted by document so that a hot line's probes are spread, and only hits come back to the documents.
+    Distinct keys are counted by hash with a partial step in each task. Those of two documents or more are dealt to shards
+    by hash prefix, each with a minimal perfect hash over its keys and arrays of fingerprints, counts and keepers; a
+    probe reads the count. While all arrays fit `broadcast_bytes`, every task probes them as it reads documents. Beyond
+    that, line hashes are routed to the shards, salted by document so that no task gets more than its share of a
+    shard's lines, however hot one is, and only hits come back to the documents.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     hashes = _line_hashes(docs, least_chars)
-    keys = saved(hashes.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("keep_id")).where(F.col("n_docs") >= least_docs), "line-keys")
-    n, most = keys.agg(F.count("*"), F.max("n_docs")).first()
+    keys = saved(hashes.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("keep_id")).where(F.col("n_docs") >= min(least_docs, 2)), "line-keys")
+    n = keys.count()
     bits = max(0, math.ceil(math.log2(max(1, n) / SHARD_KEYS)))
     shards = build_shards(keys, bits)
     id_type = docs.schema["id"].dataType.simpleString()
@@ -166,8 +167,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         texts = [b"\n".join([x for x in own if x is not None]).decode() for own in lines]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n_lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.string())], ["id", "n_lines", "n_dropped", "text"])
 
-    if n * 28 <= broadcast_bytes:
+    if n * 24 <= broadcast_bytes:
         tables = df.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["arrays"]) for r in shards.collect()})
+        discard(keys)
         loaded: dict = {}
 
         def whole(batches):
@@ -179,7 +181,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 for s in np.unique(at) if loaded else ():
                     if int(s) in loaded:
                         own = np.flatnonzero(at == s)
-                        out[own] = probe(loaded[int(s)], h1[own], h2[own], ids[own])
+                        out[own] = probe(loaded[int(s)], h1[own], h2[own], ids[own], least_docs)
                 return out
 
             for b in batches:
@@ -187,20 +189,25 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
         out = docs.mapInArrow(whole, schema)
     else:
-        salts = max(1, math.ceil((most or 0) / GROUP_ROWS))
+        # Rows get numbers of their own here, so that neither null nor repeated ids gather the hits of several documents.
+        numbered = saved(docs.withColumn("row", F.monotonically_increasing_id()), "line-rows")
+        hashes = saved(_line_hashes(numbered.select("row", "text"), least_chars).withColumnRenamed("id", "row"), "line-hashes")
+        salts = max(1, math.ceil(hashes.count() / (1 << bits) / GROUP_ROWS))
         shard = F.shiftrightunsigned("h1", 64 - bits) if bits else F.lit(0).cast("long")
-        routed = hashes.select("*", shard.alias("shard"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
+        owners = numbered.select("row", F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"))
+        routed = hashes.join(owners, "row").select("*", shard.alias("shard"), F.pmod(F.xxhash64("row"), F.lit(salts)).alias("salt"))
         spread = shards.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
 
         def hit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
-                return left[["id", "h1", "h2"]].iloc[:0]
+                return left[["row", "h1", "h2"]].iloc[:0]
             h1, h2 = left["h1"].to_numpy().view(np.uint64), left["h2"].to_numpy().view(np.uint64)
-            return left.loc[probe(pickle.loads(right["arrays"].iloc[0]), h1, h2, left["id"].to_numpy()), ["id", "h1", "h2"]]
+            return left.loc[probe(pickle.loads(right["arrays"].iloc[0]), h1, h2, left["id"].to_numpy(), least_docs), ["row", "h1", "h2"]]
 
-        hits = routed.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(hit, "id long, h1 long, h2 long")
-        gone = hits.distinct().groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))  # at most a document's own lines
-        both = docs.join(gone, F.coalesce(docs["id"].cast("long"), F.lit(NO_ID)) == gone["id"], "left").select(docs["id"], "text", "gone")
+        hits = routed.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(hit, "row long, h1 long, h2 long")
+        gone = saved(hits.groupBy("row").agg(F.collect_list(F.struct("h1", "h2")).alias("gone")), "gone-lines")  # a row's own lines at most
+        discard(keys, hashes)
+        both = numbered.join(gone, "row", "left").select("id", "text", "gone")
 
         def listed(batches):
             for b in batches:

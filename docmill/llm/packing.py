@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.llm import bpe
-from docmill.llm.common import saved
+from docmill.llm.common import saved, scratch
 
 WINDOW, QUANTUM, DEPTH, END_ID = 4096, 64, 4, 2
 
@@ -199,7 +199,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     """Pieces of all documents, packed into sequences: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, as bytes).
 
     A document's ids are the library's, then `end_id`; a null or empty text has that one id. Rows that repeat are packed
-    each; an empty table has no pieces. Each id lies in exactly one piece; pieces lie gapless in their sequence. All
+    each, those with a null id as well; an empty table has no pieces; other columns are ignored. Each id lies in exactly one piece; pieces lie gapless in their sequence. All
     sequences have `window` ids, but for a few at the end whose lengths are powers of two, so nothing is padded.
 
     A document gives full windows, a body of whole quanta and a tail of fewer ids than a quantum. The bodies' length
@@ -210,19 +210,21 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     is broadcast while the list of parts is small.
     """
     units = window // quantum
-    tokens = saved(token_table(df, path, id_col, text_col, window, quantum, end_id), "tokens")
-    body = F.expr(f"CAST((n % {window}) DIV {quantum} AS INT)")
-    kinds = tokens.select("part", F.explode(F.array(
-        F.struct(body.alias("kind"), F.lit(1).cast("long").alias("v")),
-        F.struct(F.lit(units).alias("kind"), F.expr(f"n DIV {window}").alias("v")),
-        F.struct(F.lit(-1).alias("kind"), F.expr(f"n % {quantum}").alias("v")),
-    )).alias("x")).groupBy("part", "x.kind").agg(F.sum("x.v").alias("v"))
-    kinds = saved(kinds, "token-kinds")
-    hist = {r["kind"]: r["v"] for r in kinds.groupBy("kind").agg(F.sum("v").alias("v")).collect()}
-    plan = Plan({k: v for k, v in hist.items() if k > 0}, hist.get(-1, 0), window, quantum, depth)
-    ahead = F.sum("v").over(Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = kinds.select("part", "kind", F.coalesce(ahead, F.lit(0)).alias("ahead"))
-    starts = saved(starts.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("kind", "ahead"))).alias("ahead")).withColumnRenamed("part", "own_part"), "token-parts")
+    with scratch() as keep:
+        tokens = saved(token_table(df, path, id_col, text_col, window, quantum, end_id), "tokens")
+        body = F.expr(f"CAST((n % {window}) DIV {quantum} AS INT)")
+        kinds = tokens.select("part", F.explode(F.array(
+            F.struct(body.alias("kind"), F.lit(1).cast("long").alias("v")),
+            F.struct(F.lit(units).alias("kind"), F.expr(f"n DIV {window}").alias("v")),
+            F.struct(F.lit(-1).alias("kind"), F.expr(f"n % {quantum}").alias("v")),
+        )).alias("x")).groupBy("part", "x.kind").agg(F.sum("x.v").alias("v"))
+        kinds = saved(kinds, "token-kinds")
+        hist = {r["kind"]: r["v"] for r in kinds.groupBy("kind").agg(F.sum("v").alias("v")).collect()}
+        plan = Plan({k: v for k, v in hist.items() if k > 0}, hist.get(-1, 0), window, quantum, depth)
+        ahead = F.sum("v").over(Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+        starts = kinds.select("part", "kind", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+        starts = saved(starts.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("kind", "ahead"))).alias("ahead")).withColumnRenamed("part", "own_part"), "token-parts")
+        keep(tokens, starts)
     rows = tokens.join(starts, tokens["part"] == starts["own_part"]).select(
         "id", "n", "ids", (F.col("full") + F.col("ahead")[units]).alias("full"), (F.col("rank") + F.col("ahead")[body]).alias("rank"), (F.col("tails") + F.col("ahead")[-1]).alias("tails")
     )

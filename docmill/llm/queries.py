@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import bpe, exact_dedup, jaccard, line_dedup, packing, sharding, simhash, substring_dedup, toxicity, url_filter
+from docmill.llm import bpe, common, exact_dedup, jaccard, line_dedup, packing, pipeline, sharding, simhash, substring_dedup, toxicity, url_filter
 
 #: The vocabulary of op2 and op7.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -19,7 +18,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
-
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents that at least five documents hold, kept in the largest doc_id alone."""
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -42,8 +40,8 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), VOCABULARY, with_ids=False)
 
 
-#: Bytes of text in a shard of op3.
-SHARD_BYTES = 16 << 20
+#: Bytes of text in a shard of op3, small enough that small tables split as well.
+SHARD_BYTES = 64 << 10
 
 #: (host, path, verdict) of op9.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -88,8 +86,10 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of documents and of their edited texts."""
-    return simhash.fingerprints(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    """Fingerprints of documents and of their edited texts; every twentieth doc_id is searched among all fingerprints."""
+    with common.scratch() as keep:
+        keep(prints := common.saved(simhash.fingerprints(_table(spark, sf_dir, "documents", "doc_id", "text")), "prints"))
+    return simhash.near_counts(prints)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard": op8_jaccard,
         "op9_url_filter": op9_url_filter,
         "op10_toxicity": op10_toxicity,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import saved
+from docmill.llm.common import saved, scratch
 
 #: Bits of the hash that can be used; sizes are gathered for STEP bits at a time.
 HASH_BITS, STEP = 60, 12
@@ -54,31 +54,42 @@ def directory(hashed: DataFrame, limit: int) -> DataFrame:
             return leaves
 
 
+def directory_bits(leaves: int, deepest: int) -> int:
+    """Bits of a directory that has a few slots for each leaf: a row meets the leaf of its slot alone, but in the rare slots of deeper leaves."""
+    return min(deepest, max(1, 8 * leaves).bit_length() - 1)
+
+
 def shard(df: DataFrame, limit: int, key_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The key columns with n_bytes, shard (the prefix as bits), depth, shard_bytes, shard_rows; one row per input row.
 
     Only built-in functions run. n_bytes is the text's UTF-8 length, 0 for null. No shard is over `limit` bytes, but for
     one whose rows share one key hash: a single larger row, or repeated rows, which are never parted. An empty table
-    gives no rows; a table that fits gives one shard with the empty prefix. Rows find their leaf by an equality join on
-    the directory's entries, which list each leaf once at its own depth.
+    gives no rows; a table that fits gives one shard with the empty prefix. Null and repeated keys are hashed like any
+    other; extra columns are ignored. Rows find their leaf by an equality join on the slots of the directory.
     """
     hashed = df.select(*key_cols, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), _hash([F.col(c) for c in key_cols]).alias("h"))
-    leaves = saved(directory(hashed.select("h", "n_bytes"), limit), "leaves")
-    depths = [r[0] for r in leaves.select("depth").distinct().collect()]  # at most HASH_BITS + 1 numbers
-    if not depths:
+    with scratch() as keep:
+        keep(leaves := saved(directory(hashed.select("h", "n_bytes"), limit), "leaves"))
+    n, deepest = leaves.agg(F.count("*"), F.max("depth")).first()
+    if not n:
         return hashed.select(*key_cols, "n_bytes", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_rows")).limit(0)
-    top = max(depths)
-    entries = leaves.select("*", F.explode(F.expr(f"sequence(shiftleft(prefix, greatest({min(top, STEP)} - depth, 0)), shiftleft(prefix + 1, greatest({min(top, STEP)} - depth, 0)) - 1)")).alias("slot"))
-    # A first directory of at most 2^STEP slots; leaves that lie deeper share a slot and are told apart by their own bits.
-    deep = entries.withColumn("slot", F.when(F.col("depth") > min(top, STEP), F.expr(f"shiftright(prefix, depth - {min(top, STEP)})")).otherwise(F.col("slot")))
-    rows = hashed.withColumn("slot", _prefix(F.col("h"), min(top, STEP)))
-    found = rows.join(deep, (rows["slot"] == deep["slot"]) & (_prefix(F.col("h"), F.col("depth")) == F.col("prefix")))
+    top = directory_bits(n, deepest)
+    first, past = F.expr(f"shiftleft(prefix, greatest({top} - depth, 0))"), F.expr(f"shiftleft(prefix + 1, greatest({top} - depth, 0)) - 1")
+    slots = F.when(F.col("depth") > top, F.array(F.expr(f"shiftright(prefix, greatest(depth - {top}, 0))"))).otherwise(F.sequence(first, past))
+    entries = leaves.withColumn("slot", F.explode(slots))
+    rows = hashed.withColumn("slot", _prefix(F.col("h"), top))
+    found = rows.join(entries, (rows["slot"] == entries["slot"]) & (_prefix(F.col("h"), F.col("depth")) == F.col("prefix")))
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(conv(prefix, 10, 2), depth, '0')"))
     return found.select(*key_cols, "n_bytes", bits.alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_rows")
 
 
 def write_shards(df: DataFrame, path: str, limit: int, key_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> None:
-    """df as one Parquet folder per shard; rows are dealt by shard, so a shard is written by one task and stays within its limit."""
-    ids = shard(df, limit, key_cols, text_col).select(*(F.col(c).alias(f"__{c}") for c in key_cols), "shard").distinct()
-    on = [df[c].eqNullSafe(ids[f"__{c}"]) for c in key_cols]
-    df.join(ids, on).drop(*(f"__{c}" for c in key_cols)).repartition("shard").write.partitionBy("shard").parquet(path)
+    """df, all rows and columns, as one Parquet folder per shard; rows are dealt by shard, so a shard is written by one task and stays within its limit.
+
+    Null keys and texts and repeated rows are written as they are; an empty table writes no shard. A column called shard is replaced.
+    """
+    with scratch():
+        ids = saved(shard(df, limit, key_cols, text_col).select(*(F.col(c).alias(f"__{c}") for c in key_cols), F.col("shard").alias("__shard")).distinct(), "shard-ids")
+        on = [df[c].eqNullSafe(ids[f"__{c}"]) for c in key_cols]
+        own = [df[c] for c in df.columns if c.lower() != "shard"]
+        df.join(ids, on).select(*own, F.col("__shard").alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)

@@ -10,19 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm.common import discard, saved
+from docmill.llm.common import discard, saved, scratch
 from docmill.llm.jaccard import PIECE, _mix, _word_hashes
 
 #: Parts and words that a span has at least. A part is a word, so the greater of them counts.
 RUN, RUN_WORDS = 3, 20
 #: Words of an anchor: each span has one, the same wherever it stands.
 ANCHOR = 8
-#: Stands for a null id, above any other.
-NO_ID = (1 << 63) - 1
+#: Rows with a null id get keys from here on, above any id.
+NO_ID = 1 << 62
 #: Scripts without blanks between words: there each character counts as a word.
 _DENSE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1980-\u19df\u1a20-\u1aaf\u3001-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua980-\ua9df\uf900-\ufaff\uff01-\uff9f\U00020000-\U0003ffff"
 _HAS_DENSE, _WORD = re.compile(f"[{_DENSE}]"), re.compile(rf"[{_DENSE}]|[^\s{_DENSE}]+")
-_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_FACTORS = [(np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)), (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))]
 
 
 def words(text: str) -> list[str]:
@@ -41,16 +41,17 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return [(a, z, [w]) for a, z, w in zip([0, *starts[1:]], [*starts[1:], len(text)], words(text))]
 
 
-def _joined(h: np.ndarray, n: int) -> np.ndarray:
-    """The hash of every n neighbours in h, from those of 1, 2, 4, ... neighbours."""
+def _joined(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
+    """The hash of every n neighbours in h, from those of 1, 2, 4, ... neighbours; one of two."""
     out, size, done = None, 1, 0
+    left, right = _FACTORS[which]
     while True:
         if n & size:
-            out = h if out is None else _mix(out[: len(h[done:])] * _LEFT + h[done : done + len(out)] * _RIGHT)
+            out = h if out is None else _mix(out[: len(h[done:])] * left + h[done : done + len(out)] * right)
             done += size
         if 2 * size > n:
             return out
-        h, size = _mix(h[:-size] * _LEFT + h[size:] * _RIGHT), 2 * size
+        h, size = _mix(h[:-size] * left + h[size:] * right), 2 * size
 
 
 def _least(h: np.ndarray, n: int) -> np.ndarray:
@@ -62,7 +63,7 @@ def _least(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def runs(texts: list[str], n: int):
-    """For each text its number of words, the hashes of all its spans of n words and the anchor of each span.
+    """For each text its number of words, both 64-bit hashes of all its spans of n words and the anchor of each span.
 
     An anchor is the least hash of a few neighbouring words within the span, so equal spans have equal anchors; neighbours mostly share theirs.
     """
@@ -76,13 +77,13 @@ def runs(texts: list[str], n: int):
             continue
         h, counts = _word_hashes(piece)
         if len(h) >= n:
-            spans, anchors = _joined(h, n).view(np.int64), _least(_joined(h, short), n - short + 1).view(np.int64)
+            spans, twins, anchors = _joined(h, n).view(np.int64), _joined(h, n, 1).view(np.int64), _least(_joined(h, short), n - short + 1).view(np.int64)
         else:
-            spans = anchors = np.zeros(0, np.int64)
+            spans = twins = anchors = np.zeros(0, np.int64)
         at = 0
         for c in counts.tolist():
             m = max(0, c - n + 1)
-            yield c, spans[at : at + m], anchors[at : at + m]
+            yield c, spans[at : at + m], twins[at : at + m], anchors[at : at + m]
             at += c
         piece, size = [], 0
 
@@ -92,39 +93,39 @@ def _lists(own: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*own, np.zeros(0, np.int64)])))
 
 
-def _repeated(lists: DataFrame) -> DataFrame:
-    """key, first, value of lists (key, own) for values that several documents hold; first is the smallest of their keys."""
-    places = lists.select("key", F.explode("own").alias("value"))
-    several = places.groupBy("value").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select(F.col("value").alias("repeated"), "first")
-    return places.join(several, F.col("value") == F.col("repeated")).select("key", "first", "value")
+def _repeated(lists: DataFrame, cols: list[str]) -> DataFrame:
+    """key, first and the values of rows that several documents hold; first is the smallest of their keys."""
+    several = lists.groupBy(*cols).agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select(*cols, "first")
+    return lists.join(saved(several, "several"), cols)
 
 
-def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
-
-
-def _later_spans(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """__gone_key, __gone: for each document that has any, the hashes of its spans that stand first elsewhere."""
+def _later_spans(docs: DataFrame, n: int) -> DataFrame:
+    """__gone_key, __gone: for each document of docs (key, text) that has any, the hashes of its spans that stand first elsewhere."""
 
     def emit_anchors(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists([np.unique(x) for _, _, x in runs(b.column(1).to_pylist(), n)])], ["key", "own"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([np.unique(x) for *_, x in runs(b.column(1).to_pylist(), n)])], ["key", "own"])
 
     def emit_spans(batches):
         for b in batches:
-            shared = b.column(2).to_pylist()
-            own = [np.unique(s[np.isin(x, y)]) for (_, s, x), y in zip(runs(b.column(1).to_pylist(), n), shared)]
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(own)], ["key", "own"])
-
-    anchors = saved(_docs(df, id_col, text_col).mapInArrow(emit_anchors, "key long, own array<long>"), "anchors")
-    shared = saved(_repeated(anchors).groupBy(F.col("key").alias("shared_key")).agg(F.collect_set("value").alias("shared")), "shared-anchors")
-    discard(anchors)
-    some = _docs(df, id_col, text_col).join(shared, F.col("key") == F.col("shared_key")).select("key", "text", "shared")
-    spans = saved(some.mapInArrow(emit_spans, "key long, own array<long>"), "spans")
-    discard(shared)
-    later = _repeated(spans).where("key > first")
-    gone = saved(later.groupBy(F.col("key").alias("__gone_key")).agg(F.collect_set("value").alias("__gone")), "gone-spans")
-    discard(spans)
+            one, two = [], []
+            for (_, s, t, x), shared in zip(runs(b.column(1).to_pylist(), n), b.column(2).to_pylist()):
+                own = np.isin(x, shared)
+                at = np.unique(s[own], return_index=True)[1]
+                one.append(s[own][at])
+                two.append(t[own][at])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(one), _lists(two)], ["key", "own", "twin"])
+
+    with scratch() as keep:
+        anchors = saved(docs.mapInArrow(emit_anchors, "key long, own array<long>"), "anchors")
+        again = _repeated(anchors.select("key", F.explode("own").alias("value")), ["value"])
+        shared = saved(again.groupBy(F.col("key").alias("shared_key")).agg(F.collect_set("value").alias("shared")), "shared-anchors")
+        discard(anchors)
+        some = docs.join(shared, F.col("key") == F.col("shared_key")).select("key", "text", "shared")
+        spans = saved(some.mapInArrow(emit_spans, "key long, own array<long>, twin array<long>"), "spans")
+        places = spans.select("key", F.explode(F.arrays_zip("own", "twin")).alias("x")).select("key", F.col("x.own").alias("value"), F.col("x.twin").alias("twin"))
+        later = _repeated(places, ["value", "twin"]).where("key > first")
+        keep(gone := saved(later.groupBy(F.col("key").alias("__gone_key")).agg(F.collect_set("value").alias("__gone")), "gone-spans"))
     return gone
 
 
@@ -148,15 +149,18 @@ def _without(text: str, n_words: int, spans: np.ndarray, later: list[int] | None
 def _cut_spans(df: DataFrame, id_col: str, text_col: str, run: int, run_words: int) -> DataFrame:
     """df with its texts cut, and the columns __n_sentences and __n_removed."""
     n = max(run, run_words, 1)
-    gone = _later_spans(df, id_col, text_col, n)
-    both = df.join(gone, F.coalesce(df[id_col].cast("long"), F.lit(NO_ID)) == gone["__gone_key"], "left").select(*(df[c] for c in df.columns), "__gone")
+    keyed = df.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.monotonically_increasing_id()))
+    if not df.where(F.col(id_col).isNull()).isEmpty():  # keys that were given out hold only where they are written
+        keyed = saved(keyed, "keyed")
+    gone = _later_spans(keyed.select(F.col("__key").alias("key"), F.coalesce(text_col, F.lit("")).alias("text")), n)
+    both = keyed.join(gone, keyed["__key"] == gone["__gone_key"], "left").select(*(keyed[c] for c in df.columns), "__gone")
     names, at = [*df.columns, "__n_sentences", "__n_removed"], df.columns.index(text_col)
 
     def cut(batches):
         for b in batches:
             own = [t or "" for t in b.column(at).to_pylist()]
             counts, texts, removed = [], [], []
-            for text, later, (n_words, spans, _) in zip(own, b.column(b.num_columns - 1).to_pylist(), runs(own, n)):
+            for text, later, (n_words, spans, *_) in zip(own, b.column(b.num_columns - 1).to_pylist(), runs(own, n)):
                 left, k = _without(text, n_words, spans, later, n)
                 counts.append(n_words)
                 texts.append(left)
@@ -173,12 +177,12 @@ def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     A span is any run of words, at least `run` and `run_words` of them, compared without regard to case and white space. The
     first place of a span is in the row with the smallest id, there the earliest; words that any other place of a repeated
     span covers are removed, from its first word to its last. In a text that goes on repeating a few words within a span's length its places overlap, and
-    the words remain once. Rows that share an id are one document and don't repeat one another; all rows with a null id count
-    as one document, after all others. Ids are integers. A null text is empty; an empty table gives no rows. Nothing else in
+    the words remain once. Rows that share an id are one document and don't repeat one another; each row with a null id is
+    a document of its own, after all others. Ids are integers below 2**62. A null text is empty; an empty table gives no rows. Nothing else in
     a text changes.
 
     First the anchors of every document's spans (about one for seven words) are grouped, with a partial step in each task; a
-    span that repeats has an anchor that repeats. Only spans with such anchors are hashed one by one, grouped for their
+    span that repeats has an anchor that repeats. Only spans with such anchors are hashed one by one (to 128 bits), grouped for their
     smallest and largest id and joined back by equality, which Spark may split where a span is hot. Each document gets the
     list of its own hashes that stand first elsewhere; it is no longer than the document.
     """

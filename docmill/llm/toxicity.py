@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -16,11 +18,30 @@ TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 1000, 2000, 100_000
 #: Words whose inputs a worker keeps, words taken up at a time, windows scored at a time.
 KEPT_WORDS, TAKEN_WORDS, BATCH = 150_000, 60_000, 2048
 _SPACES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
+#: Longer words are cut into pieces of so many characters, a new one after every half.
+LONG = 24
+#: Scripts without blanks between words, and what besides them shows that bytes alone don't tell a text's words.
+_DENSE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1980-\u19df\u1a20-\u1aaf\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua980-\ua9df\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_ODD, _WORD = re.compile(f"[\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\u1680\u2000-\u2bff\u2e00-\u2e7f\u3000-\u3040\ufe10-\ufe6f\uff00-\uff0f\uff1a-\uff20{_DENSE}]"), re.compile(rf"[{_DENSE}]+|[^\W_{_DENSE}]+")
+
+
+_HAS_DENSE = re.compile(f"[{_DENSE}]")
+
+
+def _pieces(word: str, size: int) -> list[bytes]:
+    """A word of more than `size` characters as overlapping pieces that take its place."""
+    return [word[k : k + size].encode("utf-8", "surrogatepass") for k in range(0, max(1, len(word) - size // 2), max(1, size // 2))]
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words; ASCII punctuation parts them."""
-    return (text or "").lower().encode().translate(_SPACES).split()
+    """Lower-cased words. White space and punctuation part them; in scripts without blanks each two characters are a word, and longer words than LONG are cut."""
+    text = (text or "").lower()
+    if text.isascii() or not _ODD.search(text):
+        out = text.encode("utf-8", "surrogatepass").translate(_SPACES).split()
+        if max(map(len, out), default=0) <= LONG:
+            return out
+        return [p for w in out for p in ([w] if len(w) <= LONG else _pieces(w.decode("utf-8", "surrogatepass"), LONG))]
+    return [p for w in _WORD.findall(text) for p in (_pieces(w, 2) if _HAS_DENSE.match(w) else [w.encode()] if len(w) <= LONG else _pieces(w, LONG))]
 
 
 def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,11 +85,9 @@ def initial(seed: int = 7) -> dict[str, np.ndarray]:
 
 def embed(p: dict, words: list[bytes]) -> tuple[np.ndarray, tuple]:
     rows, grams, owners, scale = inputs = grams_of(words)
-    sums = np.zeros((len(grams) + 1, DIM))
-    np.cumsum(p["gram"][grams], axis=0, dtype=np.float64, out=sums[1:])
-    ends = np.cumsum(np.bincount(owners, minlength=len(words)))
-    own = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
-    return p["word"][rows] + own.astype(np.float32) * scale[:, None], inputs
+    counts = np.bincount(owners, minlength=len(words))  # each word has a gram, and its sum is made of its own grams alone
+    own = np.add.reduceat(p["gram"][grams], np.cumsum(counts) - counts, axis=0)
+    return p["word"][rows] + own * scale[:, None], inputs
 
 
 def _gru(x: np.ndarray, u: np.ndarray, mask: np.ndarray, back: bool, keep: list | None = None) -> np.ndarray:
@@ -214,14 +233,14 @@ class Scorer:
         return np.split(out, np.cumsum(counts)[:-1])
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        """The greatest probability of a window of each text; a text without words has one window of nothing."""
+        """The greatest probability of a window of each text, to six places, so that neighbours in a batch don't show in it; a text without words has one window of nothing."""
         out: list[float] = []
         taken, size = [], 0
         for k, t in enumerate(texts):
             taken.append(words_of(t))
             size += len(taken[-1])
             if size >= TAKEN_WORDS or k == len(texts) - 1:
-                out += [float(_sigmoid(np.float64(x.max()))) for x in self.windows(taken)]
+                out += [round(float(_sigmoid(np.float64(x.max()))), 6) for x in self.windows(taken)]
                 taken, size = [], 0
         return out
 
@@ -291,7 +310,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     cut = lambda y, n: told.where(F.col("y") == y).orderBy(F.xxhash64("own"), "own").limit(n)
     some = cut(1, toxic_rows).unionByName(cut(0, clean_rows))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), F.col("id") == F.col("own")).where(F.length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS)
-    found = sorted((r["id"], r["y"], r["text"] or "") for r in rows.select("id", "y", "text").limit(toxic_rows + clean_rows).collect())
+    least = rows.select("id", "y", "text").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(toxic_rows + clean_rows)
+    found = sorted((r["id"], r["y"], r["text"] or "") for r in least.collect())
     return [t for *_, t in found], [y for _, y, _ in found]
 
 
@@ -303,7 +323,7 @@ def score(df: DataFrame, params: dict[str, np.ndarray], id_col: str = "doc_id",
     """One row per input row: id, held_out, score, predicted (1 if score >= 0.5).
 
     The score is the greatest over all overlapping windows of the whole text; a null, empty or wordless text is one
-    empty window. Equal texts get equal scores, to the last bits of a sum. held_out: crc32(id as text) mod 5 is 0; a null id counts as "". No
+    empty window. Equal texts get equal scores. held_out: crc32(id as text) mod 5 is 0; a null id counts as "". No
     shuffle: each task scores the rows it reads, so an empty table gives no rows and other columns are ignored.
     """
     shared = df.sparkSession.sparkContext.broadcast(params)

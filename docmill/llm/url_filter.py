@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BITS, PROBES = 512, 6
+#: Stands between the host and the path of a rule, as no host has it.
+BETWEEN = "/"
 #: The filter never takes more bytes than this, however long the list; beyond it more false hits reach the exact join.
 MAX_FILTER_BYTES = 64 << 20
 
@@ -60,29 +62,31 @@ def filter_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", default:
     rules has host, path and verdict (allow or block). A rule fits its host and all subdomains if the url's path starts
     with the rule's path; the longest rule (host and path together) wins, then block over allow. A url that no rule
     fits gets a null rule and `default`. Null urls and urls without :// have an empty host and path, which no rule with
-    a host fits. Rules with a null or empty host or a null path are ignored; repeated rules count once; an empty rule
+    a host fits. Rules with a null or empty host, one with a slash, or a null path are ignored; repeated rules count once; an empty rule
     table leaves every url to `default`.
 
-    Each distinct url offers its possible prefixes (host suffixes times the path lengths that rules have) to the
-    filter; only those that pass are joined, by equality, with the rules. The filter's size is bounded; rules and urls
+    A rule's host and path are compared apart. Each distinct url offers its possible prefixes to the filter: host suffixes
+    of as many labels as any rule's host has at most, times the path lengths that rules have, so that very long urls cost
+    no more than that; only those that pass are joined, by equality, with the rules. The filter's size is bounded; rules and urls
     meet in a plain join, which Spark broadcasts or shuffles by their sizes and may split where a url is hot.
     """
-    rules = rules.where("host != '' AND path IS NOT NULL").groupBy(F.concat("host", "path").alias("rule")).agg(F.max("verdict").alias("ruled"))
-    n, lengths = rules.agg(F.count("*"), F.collect_set(F.length("rule") - F.instr(F.concat("rule", F.lit("/")), "/") + 1)).first()
+    own = [F.col("host"), F.col("path")]
+    rules = rules.where("host != '' AND path IS NOT NULL AND NOT contains(host, '/')").groupBy(F.concat_ws(BETWEEN, *own).alias("rule")).agg(F.max("verdict").alias("ruled"), F.max(F.concat(*own)).alias("shown"), F.max(F.size(F.split("host", r"\."))).alias("labels"), F.max(F.length("path")).alias("length"))
+    n, lengths, most = rules.agg(F.count("*"), F.collect_set("length"), F.max("labels")).first()
     blocks = max(1, min(math.ceil(n * 12 / BLOCK_BITS), max_filter_bytes * 8 // BLOCK_BITS))
     bits = df.sparkSession.sparkContext.broadcast(bloom_of(rules, blocks))
-    lengths = sorted(lengths)
+    lengths, most = sorted(lengths), most or 1
 
     @F.pandas_udf("array<string>")
     def possible(host: pd.Series, path: pd.Series) -> pd.Series:
         table, keys, owner = bits.value, [], []
         for i, (h, p) in enumerate(zip(host, path)):
-            labels = h.split(".")
+            labels = h.rsplit(".", most)[-most:] if h.count(".") >= most else h.split(".")
             tails = [".".join(labels[j:]) for j in range(len(labels))] if h else []
             heads = [p[:k] for k in lengths if k <= len(p)]
             for tail in tails:
                 for head in heads:
-                    keys.append(tail + head)
+                    keys.append(tail + BETWEEN + head)
                     owner.append(i)
         at, own = _places(keys, blocks)
         hit = ((table[at[:, None], own >> 3] >> (own & 7).astype(np.uint8)) & 1).all(1)
@@ -94,8 +98,8 @@ def filter_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", default:
     urls = df.select(F.col(url_col).alias("__url")).where(F.col("__url").isNotNull()).distinct()
     split = urls.select("__url", host_of(F.col("__url")).alias("h"), path_of(F.col("__url")).alias("p")).where("h != ''")
     hits = split.select("__url", F.explode(possible("h", "p")).alias("rule")).join(rules, "rule")
-    best = hits.groupBy("__url").agg(F.max(F.struct(F.length("rule").alias("n"), "ruled", "rule")).alias("best"))
-    best = best.select("__url", F.col("best.rule").alias("__rule"), F.col("best.ruled").alias("__ruled"))
+    best = hits.groupBy("__url").agg(F.max(F.struct(F.length("shown").alias("n"), "ruled", "shown")).alias("best"))
+    best = best.select("__url", F.col("best.shown").alias("__rule"), F.col("best.ruled").alias("__ruled"))
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
     return df.join(best, df[url_col] == best["__url"], "left").select(
         *(df[c] for c in kept),

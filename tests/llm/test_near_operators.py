@@ -47,6 +47,14 @@ def test_edge_cases(spark, docs, empty):
     assert left.columns == docs.columns and 2 not in {r.doc_id for r in left.collect()}
 
 
+def test_null_and_repeated_ids(spark):
+    """Each row with a null id is a document of its own; rows that share an id go together, those without words as well."""
+    a, b, c, d = ("one two three four five six seven", "other words that stand for themselves here", "third text with its own seven words", "")
+    rows = [(None, a), (None, b), (None, a), (7, a), (7, c), (3, c), (7, d), (None, d), (8, c.upper()), (9, d)]
+    want = Counter([(None, 3, 3), (None, 2 + 1, None), (None, 3, 3), (7, 3, 3), (7, 3, 3), (3, 3, 3), (7, 0, 3), (None, 0, None), (8, 3, 3), (9, 0, 9)])
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
 def edited(rng, words, base, share):
     return [rng.choice(words) if rng.random() < share else w for w in base]
 
@@ -90,7 +98,7 @@ def test_rtree_loses_nothing():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 400, rng.integers(5, 120)).astype(np.uint64)) for _ in range(300)]
     sets += [np.unique(np.concatenate([s[2:], [np.uint64(999)]])) for s in sets[:100]]
-    vectors, sizes = jaccard.unpacked([jaccard.packed(jaccard.count_vector(s)) for s in sets]), np.array([len(s) for s in sets])
+    vectors, sizes = jaccard.coarse([jaccard.count_vector(s) for s in sets]), np.array([len(s) for s in sets])
     q, x = jaccard.RTree(vectors, sizes).near(vectors, sizes)
     near = set(zip(q.tolist(), x.tolist()))
     every = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
@@ -107,14 +115,17 @@ def test_count_vectors_bound_overlap():
         pool = rng.integers(0, 1 << 62, 3000).astype(np.uint64)
         a, b = (np.unique(rng.choice(pool, rng.integers(1, 2500))) for _ in range(2))
         if 175 * len(np.intersect1d(a, b)) >= 75 * (len(a) + len(b)):
-            assert jaccard.may_link_pair(jaccard.count_vector(a).tobytes(), len(a), jaccard.count_vector(b).tobytes(), len(b))
-    for n in (10, 3000, 9000, 40_000):  # half bytes, bytes and counts beyond either
+            assert jaccard.may_link_pair(jaccard.count_vector(a), len(a), jaccard.count_vector(b), len(b))
+    for n in (10, 3000, 9000, 40_000):
         own = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
-        v = jaccard.unpacked([jaccard.packed(jaccard.count_vector(own))])
+        v = jaccard.coarse([jaccard.unpacked(jaccard.packed(jaccard.count_vector(own)), len(own))])
         assert (v.shape, int(np.minimum(v, np.bincount((own % np.uint64(256)).astype(int), minlength=256)).sum())) == ((1, 256), len(own))
     same = np.arange(0, 64 * 500, 64).astype(np.uint64)  # all in one coordinate, beyond a byte
-    v = jaccard.count_vector(same).tobytes()
+    v = jaccard.count_vector(same)
     assert jaccard.may_link_pair(v, 500, v, 500)
+    for own in (same, np.arange(3000).astype(np.uint64), np.arange(0, 30 * 256, 256).astype(np.uint64)):  # bytes and half bytes hold all counts
+        v = jaccard.count_vector(own)
+        assert (jaccard.unpacked(jaccard.packed(v), len(own)) == v).all() and (len(jaccard.packed(v)) < len(v)) == (v.max() < 16)
 
 
 def test_components_of_a_path(spark):
@@ -168,6 +179,13 @@ def test_spans(spark):
     assert Counter(tuple(r) for r in out) == brute_spans(rows)
 
 
+def test_spans_of_null_ids(spark):
+    """Rows with a null id come after all others and don't count as one document."""
+    text = " ".join(f"n{k}" for k in range(30))
+    out = substring_dedup.dedup_spans(spark.createDataFrame([(None, text), (None, text), (4, text), (4, text), (None, None)], "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_removed) for r in out) == Counter([(None, 30), (None, 30), (4, 0), (4, 0), (None, 0)])
+
+
 def test_planted_passage_goes_and_the_rest_stays(spark):
     rng = random.Random(8)
     words = [f"p{k}" for k in range(2000)]

@@ -1,13 +1,17 @@
 """The pipeline's stages, each against brute force over what the stage before kept."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from docmill.llm import toxicity
+from corpus_pipeline import STAGES
+from docmill.llm import common, toxicity
+from tests.llm.conftest import ROWS
 from tests.llm.test_near_operators import brute_components, brute_spans
 from tests.llm.test_text_operators import lower
 
@@ -41,6 +45,48 @@ def test_stages(spark, sf, tmp_path):
     assert {i: [x for _, own in sorted(v) for x in own] for i, v in ids.items()} == {i: [*library.encode(r.text, add_special_tokens=False).ids, 2] for i, r in cut.items()}
 
 
+def test_stages_on_edge_cases(spark, docs, empty, sf):
+    """Nulls, ties, repeated rows, clashing columns and empty tables through every stage."""
+    named = docs.withColumn("n_chars", F.length("text").cast("long"))
+    for name, stage in STAGES[:-1]:
+        out = stage(spark, named, sf)
+        assert out.columns == named.columns and 0 < out.count() <= len(ROWS)
+        assert stage(spark, named.where("false"), sf).count() == 0
+        ids = Counter(r.doc_id for r in out.collect())
+        gone = {"exact_dedup": {1, 3}, "near_dedup": {2}}.get(name, set())
+        assert not gone & set(ids) and (None in ids or name == "toxicity")
+    packed = STAGES[-1][1](spark, named, sf)
+    assert sum(r.length for r in packed.collect()) > 30_000 and STAGES[-1][1](spark, named.where("false"), sf).count() == 0
+
+
+def test_two_runs_do_not_delete_each_others_tables(spark, sf):
+    one = corpus_pipeline.run(spark, sf)
+    two = corpus_pipeline.run(spark, sf)
+    assert one.count() == two.count() > 0 and one.exceptAll(two).isEmpty()
+
+
+def test_scratch(spark):
+    with common.scratch() as keep:
+        a, b = (common.saved(spark.range(3), n) for n in "ab")
+        keep(b)
+    files = lambda df: common._file_system(spark, df._scratch)
+    assert [f.exists(w) for w, f in map(files, (a, b))] == [False, True] and b.count() == 3
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Context:
+        applicationId = "x"
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    Context.master = "yarn"
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
+    Context.master = "local[4]"
+    assert common.shared_dir(Session()).startswith("file:")
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0

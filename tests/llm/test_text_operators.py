@@ -2,12 +2,15 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docmill.llm import bpe, exact_dedup, line_dedup, packing, sharding, simhash, url_filter
@@ -45,6 +48,11 @@ def test_exact_groups(docs, empty):
     assert {r.doc_id for r in left.collect()} == {2, 5, 4, *range(6, 14), None}
 
 
+def test_exact_copies_go_by_id_and_text(spark):
+    df = spark.createDataFrame([(5, "x"), (5, "y"), (9, "X"), (9, "x"), (None, "x"), (None, "y")], "doc_id long, text string")
+    assert rows_of(exact_dedup.drop_exact_copies(df)) == Counter([(5, "y"), (9, "X"), (9, "x"), (None, "x"), (None, "y")])
+
+
 def brute_lines(rows, least=40, docs=5):
     held = defaultdict(list)
     for i, t in rows:
@@ -76,6 +84,23 @@ def test_line_dedup_many(spark, room, monkeypatch):
     assert rows_of(out) == brute_lines(rows)
 
 
+@pytest.mark.parametrize("room", [line_dedup.BROADCAST_BYTES, 0])
+def test_line_dedup_null_and_repeated_ids(spark, room):
+    lines = [c * 45 for c in "abcdef"]
+    rng = random.Random(1)
+    rows = [(rng.choice([None, None, 1, 2]), "\n".join(rng.choices(lines, k=4))) for _ in range(40)]
+    assert rows_of(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_bytes=room)) == brute_lines(rows)
+
+
+def test_counts_decide_in_the_probe():
+    keys, prints = np.arange(5, dtype=np.uint64), np.arange(10, 15, dtype=np.uint64)
+    mixed = keys ^ (prints * np.uint64(0x9E3779B97F4A7C15))
+    table, order = line_dedup.PerfectHash(mixed), np.zeros(5, int)
+    order[table.index(mixed)] = np.arange(5)
+    arrays = (table, prints[order], np.array([2, 3, 4, 5, 6], np.uint32)[order], np.full(5, 99))
+    assert line_dedup.probe(arrays, keys, prints, np.arange(5), 5).tolist() == [False, False, False, True, True]
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 50_000).astype(np.uint64))
     table = line_dedup.PerfectHash(keys)
@@ -170,6 +195,50 @@ def test_fingerprints(spark, docs, empty):
     assert simhash.fingerprints(empty).count() == 0
 
 
+def brute_print(text):
+    """128 votes one by one: Spark's xxhash64 has seed 42, and a second argument is hashed with the first one's hash as its seed."""
+    votes, total, second = [0] * 128, 0, xxhash.xxh64_intdigest(b"second", 42)
+    for w in re.split(r"[^a-z0-9\x80-\U0010ffff]+", lower(text)):
+        weight = min(len(w), 16) ** 2
+        total += weight
+        for half, h in enumerate((xxhash.xxh64_intdigest(w.encode(), 42), xxhash.xxh64_intdigest(w.encode(), second))):
+            for j in range(64):
+                votes[64 * half + j] += weight * (h >> j & 1)
+    bits = [2 * v > total for v in votes]
+    return f"{sum(b << j for j, b in enumerate(bits[:64])):016x}{sum(b << j for j, b in enumerate(bits[64:])):016x}"
+
+
+def test_all_bits_of_a_fingerprint(spark, docs):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcXYZ09é日") for _ in range(rng.randrange(1, 22))) for _ in range(200)]
+    rows = [(i, rng.choice([" ", ", ", "\n", "--"]).join(rng.choices(words, k=rng.randrange(0, 60)))) for i in range(60)]
+    for df, own in ((docs, ROWS), (spark.createDataFrame(rows, "doc_id long, text string"), rows)):
+        assert Counter((r.doc_id, r.fingerprint) for r in simhash.fingerprints(df).collect()) == Counter((i, brute_print(t)) for i, t in own)
+
+
+def test_null_ids_in_cells(spark, monkeypatch):
+    """Null ids come first, by a hash of the text, each followed by the next; equal rows stand together."""
+    monkeypatch.setattr(simhash, "CELL_ROWS", 5)
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices("abcdefghij", k=30)) for _ in range(60)]
+    rows = [(None if k % 3 else k, t) for k, t in enumerate(texts)] + [(None, texts[1])] * 20
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64 if h >> 63 else 0)
+    line = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
+    want = Counter((i, sha(t[: len(t) - len(t) // 2] + line[(k + 1) % len(line)][1][: len(t) // 2])) for k, (i, t) in enumerate(line))
+    assert Counter((r.doc_id, r.edited_sha256) for r in simhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
+def test_near_counts(spark):
+    rng = random.Random(14)
+    base = [rng.getrandbits(128) for _ in range(20)]
+    all_ = [b ^ sum(1 << x for x in rng.sample(range(128), rng.randrange(0, 7))) for b in base for _ in range(10)] + base * 3
+    prints = [(i, f"{x:032x}") for i, x in enumerate(all_)] + [(None, f"{base[0]:032x}"), (1000, None)]
+    got = Counter((r.doc_id, r.n_within) for r in simhash.near_counts(spark.createDataFrame(prints, "doc_id long, fingerprint string")).collect())
+    every = [x for _, x in prints if x is not None]
+    near = lambda x: sum((int(x, 16) ^ int(y, 16)).bit_count() <= 3 for y in every)
+    assert got == Counter((i, near(x) if x is not None and i is not None and i % 20 == 0 else None) for i, x in prints)
+
+
 def test_fingerprints_across_cells(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL_ROWS", 1)
     rng = random.Random(2)
@@ -213,10 +282,26 @@ def test_shard(docs, empty, limit):
     assert sharding.shard(empty, limit).count() == 0
 
 
-def test_write_shards(spark, docs, tmp_path):
+def test_directory_has_one_slot_for_most_rows(spark):
+    """Of 3000 rows over some 200 shards each meets one leaf, and shards of one long chain meet no more than the chain."""
+    df = spark.range(3000).selectExpr("id AS doc_id", "repeat('x', 100) AS text")
+    leaves = {(r.shard, r.depth) for r in sharding.shard(df, 2000).collect()}
+    deepest = max(d for _, d in leaves)
+    assert len(leaves) > 150 and sharding.directory_bits(len(leaves), deepest) == deepest
+    assert sharding.directory_bits(40, 60) == 8 and sharding.directory_bits(1, 0) == 0
+
+
+def test_write_shards(spark, docs, empty, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), 400)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == len(ROWS) and set(docs.columns) < set(back.columns)
+    back = spark.read.parquet(str(tmp_path / "out")).withColumn("shard", F.input_file_name())
+    own = [c for c in docs.columns]
+    assert rows_of(back.select(own)) == rows_of(docs.select(own))
+    sizes = Counter()
+    for r in back.collect():
+        sizes[r.shard.rsplit("/", 2)[1]] += len((r.text or "").encode())
+    want = {f"shard={r.shard}": r.shard_bytes for r in sharding.shard(docs, 400).collect()}
+    assert dict(sizes) == want
+    sharding.write_shards(empty, str(tmp_path / "none"), 400)
 
 
 def test_filter_urls(spark):
@@ -241,6 +326,13 @@ def test_filter_urls(spark):
     assert url_filter.filter_urls(df.where("false"), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
 
 
+def test_rules_have_two_parts(spark):
+    rules = spark.createDataFrame([("com", "abc", "block"), ("co", "m/x", "block"), ("b.org", "", "block"), ("a/b", "/", "block")], "host string, path string, verdict string")
+    urls = ["http://comabc", "http://com/x", "http://com.co/m/x", "http://b.org", "http://a.b.org/y", "http://a/b/", "http://" + "a." * 20_000 + "b.org/" + "p" * 50_000]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert got == {i: (("b.org", "block") if i in (3, 4, 6) else (None, "allow")) for i in range(len(urls))}
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = [(f"k{i}",) for i in range(3000)]
     bits = url_filter.bloom_of(spark.createDataFrame(keys, "rule string"), 40)

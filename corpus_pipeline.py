@@ -1,80 +1,5 @@
-"""A corpus pipeline: documents to packed training sequences, in five stages that each call one operator."""
+"""The corpus pipeline: STAGES, run() and ORACLE_SQL."""
 
-from __future__ import annotations
+from docmill.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from collections.abc import Callable
-from functools import wraps
-from uuid import uuid4
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from docmill.llm import common, exact_dedup, jaccard, packing, substring_dedup, toxicity
-
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
-def _stage(f: Stage) -> Stage:
-    """Scratch tables of a stage are deleted when the next one begins, as its result has been written by then."""
-
-    @wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release(spark, "pipeline")
-        with common.owned("pipeline"):
-            return f(spark, docs, sf_dir)
-
-    return run_stage
-
-
-@_stage
-def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that score as toxic."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
-
-
-@_stage
-def exact_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keep the largest doc_id."""
-    return exact_dedup.drop_exact_copies(docs)
-
-
-@_stage
-def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies keep the smallest doc_id."""
-    return jaccard.drop_near_copies(docs)
-
-
-@_stage
-def substring_dedup_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut spans that stand earlier in the corpus; n_chars follows the text."""
-    return substring_dedup.drop_repeated_spans(docs).withColumn("n_chars", F.length("text").cast("long"))
-
-
-@_stage
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens, with their ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
-
-
-STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", toxicity_filter),
-    ("exact_dedup", exact_dedup_filter),
-    ("near_dedup", near_dedup_filter),
-    ("substring_dedup", substring_dedup_cut),
-    ("packing", pack_sequences),
-]
-
-#: A trained score, components and tokenization have no SQL; tests hold run() against brute force.
-ORACLE_SQL: str | None = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each result but the last is written as Parquet into the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        path = f"{common.shared_dir(spark)}/pipeline-{name}-{uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

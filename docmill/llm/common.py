@@ -82,6 +82,13 @@ def discard(*tables: DataFrame) -> None:
         delete(df.sparkSession, df._scratch)
 
 
+def sliced(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches in slices of a few rows, so that a worker doesn't hold what it makes of a whole batch."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else; null counts as empty."""
     return F.translate(F.coalesce(c, F.lit("")), UPPER, UPPER.lower())

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import discard, partitions, saved, scratch, small
+from docmill.llm.common import discard, partitions, saved, scratch, sliced, small
 
 WIDTH, SHARE = 5, 75
 #: Bits of the shingle sketch, coordinates of a coarse count vector, points in a leaf.
@@ -190,7 +190,7 @@ def _summaries(docs: DataFrame, width: int, sketch_bits: int) -> DataFrame:
     def run(batches):
         counts = np.zeros(1 << sketch_bits, np.uint32)
         names = ["key", "n", "s1", "s2", "buckets", "counts"]
-        for b in batches:
+        for b in sliced(batches):
             n, s1, s2 = [], [], []
             sets = shingle_sets(b.column(1).to_pylist(), width)
             for own in sets:
@@ -231,7 +231,7 @@ def _prefixes(docs: DataFrame, ranks, width: int, share: int, sketch_bits: int)
 
     def run(batches):
         table = ranks.value
-        for b in batches:
+        for b in sliced(batches):
             keys, sizes, vectors, out = [], [], [], []
             for i, own in enumerate(shingle_sets(b.column(1).to_pylist(), width)):
                 if len(own):
@@ -252,17 +252,10 @@ TASK = ["leader", "i", "j"]
 _SEAT = "leader long, i int, j int, side int, node long, label long, n long"
 
 
-def _sliced(batches, size: int = 256):
-    """The batches in slices of a few rows, so that sets aren't held in several forms at once."""
-    for b in batches:
-        for k in range(0, b.num_rows, size):
-            yield b.slice(k, size)
-
-
 def _blocks(batches, solve):
     """solve(rows) of each block of rows with the same leader, i and j, which stand together in the batches."""
     at, rows = None, []
-    for b in _sliced(batches):
+    for b in sliced(batches):
         for r in zip(*(c.to_pylist() for c in b.columns)):
             if r[:3] != at:
                 yield solve(rows) if len(rows) > 1 else []
@@ -319,7 +312,7 @@ def _linked(seats: DataFrame, docs: DataFrame, width: int, share: int) -> DataFr
     """Links a, b between seats of one block, by their exact sets; as many as it takes to join what links, no more than the block has rows."""
 
     def sets(batches):
-        for b in _sliced(batches):
+        for b in sliced(batches):
             own = shingle_sets(b.column(1).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "own"])
 

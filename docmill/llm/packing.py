@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.llm import bpe
-from docmill.llm.common import saved, scratch
+from docmill.llm.common import saved, scratch, sliced
 
 WINDOW, QUANTUM, DEPTH, END_ID = 4096, 64, 4, 2
 
@@ -178,7 +178,7 @@ def token_table(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         part, full, tails, bodies = TaskContext.get().partitionId(), 0, 0, Counter()
-        for b in batches:
+        for b in sliced(batches):
             cols: tuple[list, ...] = ([], [], [], [], [])
             for text in b.column(1).to_pylist():
                 ids = _ids_of(path, text) + struct.pack("<I", end_id)

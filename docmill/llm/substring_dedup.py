@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm.common import discard, saved, scratch
+from docmill.llm.common import discard, saved, scratch, sliced
 from docmill.llm.jaccard import PIECE, _mix, _word_hashes
 
 #: Parts and words that a span has at least. A part is a word, so the greater of them counts.
@@ -103,11 +103,11 @@ def _later_spans(docs: DataFrame, n: int) -> DataFrame:
     """__gone_key, __gone: for each document of docs (key, text) that has any, the hashes of its spans that stand first elsewhere."""
 
     def emit_anchors(batches):
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), _lists([np.unique(x) for *_, x in runs(b.column(1).to_pylist(), n)])], ["key", "own"])
 
     def emit_spans(batches):
-        for b in batches:
+        for b in sliced(batches):
             one, two = [], []
             for (_, s, t, x), shared in zip(runs(b.column(1).to_pylist(), n), b.column(2).to_pylist()):
                 own = np.isin(x, shared)
@@ -157,7 +157,7 @@ def _cut_spans(df: DataFrame, id_col: str, text_col: str, run: int, run_words: i
     names, at = [*df.columns, "__n_sentences", "__n_removed"], df.columns.index(text_col)
 
     def cut(batches):
-        for b in batches:
+        for b in sliced(batches):
             own = [t or "" for t in b.column(at).to_pylist()]
             counts, texts, removed = [], [], []
             for text, later, (n_words, spans, *_) in zip(own, b.column(b.num_columns - 1).to_pylist(), runs(own, n)):

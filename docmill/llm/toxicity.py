@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmill.llm.common import sliced
+
 #: Words in a window and between the starts of two windows; sizes of embeddings and of the recurrent state.
 WINDOW, STRIDE, DIM, HIDDEN = 32, 16, 16, 12
 WORD_ROWS, GRAM_ROWS, GRAMS = 1 << 14, 1 << 15, (3, 4, 5)
@@ -330,7 +332,7 @@ def score(df: DataFrame, params: dict[str, np.ndarray], id_col: str = "doc_id",
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer.scores(b.column(1).to_pylist()), pa.float64())], ["id", "score"])
 
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -349,7 +351,7 @@ def drop_toxic(df: DataFrame, params: dict[str, np.ndarray], text_col: str = "te
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array([s < threshold for s in scorer.scores(b.column(at).to_pylist())], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

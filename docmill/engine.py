@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -36,10 +37,10 @@ def read_rulings(df: DataFrame, reader: Callable[[pd.DataFrame], pd.DataFrame],
     return df.mapInPandas(run, schema)
 
 
-def overlap_score(query: str, *columns: str) -> Column:
+def overlap_score(query: str, *columns: str | Column) -> Column:
     """The default reranker: the share of the query's distinct tokens that a passage holds."""
     wanted = F.array_distinct(search_tokens(F.lit(query)))
-    own = search_tokens(F.concat_ws(" ", *map(F.col, columns)))
+    own = search_tokens(F.concat_ws(" ", *columns))
     return F.coalesce(F.try_divide(F.size(F.array_intersect(wanted, own)), F.size(wanted)), F.lit(0.0))
 
 
@@ -56,23 +57,33 @@ class Engine:
     documents: DataFrame
     fulltext: DataFrame
     embedder: Embedder
-    score: Callable[[str], Column] = field(default=lambda q: overlap_score(q, "caratula", "sumario", "texto"))
+    score: Callable[[str], Column] = field(default=lambda q: overlap_score(q, rank.rerank_passage()))
     least: float | None = rank.THRESHOLD
 
     def search(self, case: str, top_k: int = 10, as_of_year: int = 2024, fix_chunk_ids: bool = True, **conditions) -> DataFrame:
         """The best rulings for a case: vectors and keywords, dedup, rerank, threshold, recency, diversity, full texts."""
-        text, n = query_text(case, conditions.pop("fuero", None), conditions.get("materia")), rank.fetch_size(top_k)
-        near = vector.top_k_relaxed(self.chunks, self.embedder([text])[0], n, **conditions)
+        fuero, materia, n = conditions.pop("fuero", None), conditions.pop("materia", None), rank.fetch_size(top_k)
+        text = query_text(case, fuero, materia)
+        near = vector.top_k_relaxed(self.chunks, self.embedder([text])[0], n, materia=materia or fuero, **conditions)
         near = near.withColumn("input_rank", F.row_number().over(_by(F.desc("score"), "id")))
-        hits = keyword.bm25(self.documents, self.spark.createDataFrame([(0, text)], "query_id int, q string"), n, "id", ("caratula", "texto", "tribunal", "materia"))
+        hits = keyword.bm25(self.documents, self.spark.createDataFrame([(0, case)], "query_id int, q string"), n, "id", ("caratula", "texto", "tribunal", "materia"))
         found = rank.lookup_hits(hits.select(F.col("doc_id").alias("id"), "rank"), self.chunks, fix_chunk_ids=fix_chunk_ids)
         return store.enrich(rank.funnel(near, found, self.score(text), top_k, as_of_year, self.least), self.fulltext)
 
+    def _once(self, df: DataFrame) -> DataFrame:
+        """df, worked out once: what follows neither searches nor reads again, also when executors are lost."""
+        folder = self.spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            return df.persist()
+        path = f"{folder}/docmill-analysis-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def analyze(self, case: str, reader: Callable[[DataFrame], DataFrame], top_k: int = 30, **options) -> dict[str, DataFrame]:
-        """Analyses of the best rulings and what follows from them; noise is classified without the reader."""
-        hits = self.search(case, rank.clamp_top_k(top_k), **options)
+        """Analyses of the best rulings and what follows from them; noise is classified without the reader, which sees each ruling once."""
+        hits = self._once(self.search(case, rank.clamp_top_k(top_k), **options))
         good, noise = quality.split_quality(hits)
-        read = reader(good)
+        read = self._once(reader(good))
         everything = read.unionByName(quality.auto_inadmissible(noise), allowMissingColumns=True)
         return {"analyses": everything, "counts": analyze.outcome_counts(everything), "favourable": analyze.favourable_all(everything), "norms": analyze.norm_frequency(read), "contradictions": analyze.contradictions(read), "saving": quality.saving(noise)}
 

@@ -57,7 +57,7 @@ def synthesis_report(columns: list[str]) -> Column:
 
 def narrative(schema: dict[str, str]) -> Column:
     """An analysis told in sentences. schema: the types of the row's columns by name."""
-    label = F.lit("INADMISIBLE")
+    label = F.lit("INADMISIBLE (no entró al fondo)")
     for k, v in OUTCOME_WORDS.items():
         label = F.when(F.col("resultado") == k, v).otherwise(label)
     show = lambda c: F.array_join(c, ", ") if schema[c].startswith("array") else or_empty(F.col(c))

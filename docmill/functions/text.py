@@ -193,3 +193,13 @@ def agent_summary(row: dict[str, Column]) -> Column:
         F.when(norms != "", F.concat(F.lit("\nNormas: "), norms)),
         shown("Quantum/Costas: ", row["quantum"]),
     )
+
+
+def short_day(c: Column) -> Column:
+    """A date as yy-MM-dd."""
+    return F.date_format(c, "yy-MM-dd")
+
+
+def json_text(c: Column, key: str) -> Column:
+    """A member of a JSON object as text; null where it is absent or the text isn't JSON."""
+    return F.try_variant_get(F.try_parse_json(c), f"$.{key}", "string")

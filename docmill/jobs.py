@@ -30,8 +30,9 @@ def run_chunk(spark: SparkSession, source: str, out: str) -> None:
 
 
 def run_store(spark: SparkSession, source: str, out: str) -> None:
-    """The full-text store of clean documents; of one id the file that sorts first wins."""
-    store.fulltext_store(jsonl.documents(spark, source, "*.json*"), order=("file", "texto")).write.mode("overwrite").parquet(out)
+    """The full-text store of clean documents; of one id the first line of the file that sorts first wins."""
+    docs = jsonl.documents(spark, source, "*.json*", places=True)
+    store.fulltext_store(docs, order=("file", "block", "line")).drop("block", "line").write.mode("overwrite").parquet(out)
 
 
 def run_ingest(spark: SparkSession, source: str, out: str, checkpoint: str) -> None:

@@ -33,9 +33,17 @@ def _values(v: Column) -> Column:
     return F.filter(own, lambda x: x.isNotNull() & (x != ""))
 
 
+def _true(x: Column) -> Column:
+    """Whether a list's element counts: not null, false, zero or empty."""
+    kind, text = _kind(x), _get(x, "$")
+    nothing = kind.isin("VOID") | ((kind == "BOOLEAN") & (text == "false")) | (kind.rlike("INT|DECIMAL|DOUBLE|FLOAT") & (text.try_cast("double") == 0))
+    return ~nothing & (X.or_empty(X.strip(text)) != "")
+
+
 def _strings(v: Column, path: str = "$") -> Column:
     """A list's truthy elements as stripped texts."""
-    return F.filter(F.transform(F.coalesce(_get(v, path, NONE), _empty()), X.strip), lambda x: x.isNotNull() & ~x.isin("", "false"))
+    own = F.filter(F.coalesce(_get(v, path, "array<variant>"), F.array().cast("array<variant>")), _true)
+    return F.transform(own, lambda x: X.strip(_get(x, "$")))
 
 
 def safe_str(v: Column) -> Column:
@@ -137,6 +145,51 @@ def normalize_records(raw: DataFrame) -> DataFrame:
     })
 
 
+# The names of jurisdictions by their codes.
+JURISDICTIONS = {
+    "5-5": "Ciudad de Buenos Aires",
+    "1-1": "Buenos Aires",
+    "6-6": "Cordoba",
+    "13-13": "Mendoza",
+    "17-17": "Salta",
+    "17-10": "Jujuy",
+    "7-7": "Corrientes",
+    "3-3": "Chaco",
+    "4-4": "Chubut",
+    "8-8": "Entre Rios",
+    "3-9": "Formosa",
+    "1-11": "La Pampa",
+    "6-12": "La Rioja",
+    "14-14": "Misiones",
+    "16-15": "Neuquen",
+    "16-16": "Rio Negro",
+    "13-18": "San Juan",
+    "24-2": "Catamarca",
+}
+
+
+def normalize_chamber(entries: DataFrame) -> DataFrame:
+    """Documents from chamber entries with their text (uuid, expediente, texto, caratula, tribunal, fecha, jurisdiccion as a code).
+
+    The key is the uuid, else the expediente; entries without one and texts under 300 characters are dropped. An unknown code stays as it is.
+    """
+    c = lambda *names: F.coalesce(*(X.present(F.col(n)) for n in names), F.lit(""))
+    key, code = c("uuid", "expediente"), X.or_empty(F.col("jurisdiccion"))
+    named = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in JURISDICTIONS.items() for x in pair)), code), code)
+    rows = entries.where((key != "") & (F.length(X.or_empty(F.col("texto"))) >= 300))
+    return to_documents(rows, {
+        "id": X.sha_id("pjn", key), "source": F.lit("pjn_tribunales"), "source_id": key, "texto": F.col("texto"), "caratula": c("caratula", "expediente"), "tipo_documento": F.lit("fallo"),
+        "tipo_fallo": F.lit("sentencia"), "tribunal": c("tribunal"), "tipo_tribunal": F.lit("camara"), "fecha": c("fecha"), "jurisdiccion": named,
+    })
+
+
+def newest_days(df: DataFrame, day_col: str, year: int | None = None) -> DataFrame:
+    """Rows by their dd/mm/yyyy day, newest first, of one year if asked; days are compared as the texts of year, month and day."""
+    own = df if year is None else df.where(F.endswith(F.col(day_col), F.lit(str(year))))
+    return own.orderBy(F.desc(F.reverse(F.split(day_col, "/"))))
+
+
+# The patterns below are those of the source's result pages.
 def parse_result_blocks(pages: DataFrame, html_col: str = "html", base: str = "https://example.org") -> DataFrame:
     """One row for each linked ruling in pages of search results: pdf_url, uuid, expediente, tribunal, caratula, fecha."""
     blocks = pages.select(F.explode(F.split(X.or_empty(F.col(html_col)), r'(?=href="[^"]*sentencia-)')).alias("block"))

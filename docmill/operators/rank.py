@@ -54,20 +54,21 @@ def union_dedup(first: DataFrame, second: DataFrame, id_col: str = "id", names:
 
 def title_dedup(df: DataFrame, title_col: str = "caratula") -> DataFrame:
     """Of rows whose titles begin alike (60 characters, without case and outer white space) the first stays; rows without a title all stay."""
-    key = F.lower(strip(F.substring(or_empty(F.col(title_col)), 1, 60)))
+    named = df.withColumn("__key", F.lower(strip(F.substring(or_empty(F.col(title_col)), 1, 60))))
     order = Window.partitionBy("__key").orderBy("input_rank")
-    return df.withColumn("__key", key).withColumn("__n", F.row_number().over(order)).where("__key = '' OR __n = 1").drop("__key", "__n")
+    first = named.where("__key <> ''").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return first.unionByName(named.where("__key = ''")).drop("__key")
 
 
 def rerank_pool(df: DataFrame, top_k: int) -> DataFrame:
-    """The first rows, as many as are reranked."""
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("input_rank"))
-    return df.withColumn("__n", n).withColumn("__at", place).where(F.col("__at") <= F.least("__n", F.lit(min(max(2 * top_k, 100), 200)))).drop("__n", "__at")
+    """The first rows, as many as are reranked: rerank_pool_size(), whatever their number."""
+    return df.orderBy("input_rank").limit(min(max(2 * top_k, 100), 200))
 
 
 def rerank_passage() -> Column:
-    parts = F.concat_ws(" ", *(F.nullif(F.substring(or_empty(F.col(c)), 1, n), F.lit("")) for c, n in (("caratula", 10_000), ("sumario", 300), ("texto", 500))))
+    """What a reranker reads of a ruling: its title, 300 characters of its summary and 500 of its text; N/D if there is nothing."""
+    own = [or_empty(F.col("caratula")), F.substring(or_empty(F.col("sumario")), 1, 300), F.substring(or_empty(F.col("texto")), 1, 500)]
+    parts = F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in own))
     return F.coalesce(F.nullif(strip(parts), F.lit("")), F.lit("N/D"))
 
 

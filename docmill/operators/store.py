@@ -53,3 +53,8 @@ def merge_pages(pages: DataFrame) -> DataFrame:
     """Rows of several result pages (page, position), one for each uuid, or expediente where that is empty; rows without either all stay."""
     key = F.coalesce(F.nullif(F.col("uuid"), F.lit("")), F.nullif(F.col("expediente"), F.lit("")), F.concat_ws("/", F.lit("\0"), "page", "position"))
     return first_wins(pages.withColumn("__key", key), "__key", "page", "position").drop("__key")
+
+
+def tail(df: DataFrame, n: int, order: str) -> DataFrame:
+    """The last n rows in the given order."""
+    return df.orderBy(F.desc(order)).limit(n).orderBy(order)

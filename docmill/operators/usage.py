@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from docmill.schema import ITEM_TYPES, TIERS
 
 # Tiers with their reader and synthesiser, prices in USD per million tokens, estimates in USD.
-MODELS = [("premium", "mid", "large"), ("standard", "small", "large"), ("economy", "small", "mid")]
-PRICES = [("large", 15.0, 75.0), ("mid", 3.0, 15.0), ("small", 1.0, 5.0)]
+LARGE, MID, SMALL = "claude-opus-4-20250514", "claude-sonnet-4-20250514", "claude-haiku-4-5-20251001"
+MODELS = [("premium", MID, LARGE), ("standard", SMALL, LARGE), ("economy", SMALL, MID)]
+PRICES = [(LARGE, 15.0, 75.0), (MID, 3.0, 15.0), (SMALL, 1.0, 5.0)]
 ESTIMATES = {"premium": (0.027, 0.52), "standard": (0.005, 0.52), "economy": (0.005, 0.05)}
 
 
@@ -95,3 +96,14 @@ def status_line(c: Column) -> Column:
     part = lambda i: F.trim(F.coalesce(F.get(parts, F.lit(i)), F.lit("")))
     number = lambda i: F.coalesce(F.when(part(i).rlike(r"^\d+$"), part(i)).try_cast("long"), F.lit(0).cast("long"))
     return F.struct(number(0).alias("running"), number(1).alias("count"), number(2).alias("errors"), part(3).alias("cost"), F.substring(part(4), 1, 150).alias("log"))
+
+
+def of_known_users(rows: DataFrame, users: DataFrame, user_col: str = "user_id", id_col: str = "id") -> DataFrame:
+    """Rows of users that exist, as is left when a user's deletion takes all that is theirs; rows without a user go too."""
+    return rows.join(users.select(F.col(id_col).alias("__user")).distinct(), rows[user_col] == F.col("__user"), "left_semi")
+
+
+def usage_list(logs: DataFrame, user_id: str | None = None, most: int = 100, newest: tuple = ("created_at", "id")) -> DataFrame:
+    """The newest logs, of one user if asked."""
+    own = logs if user_id is None else logs.where(F.col("user_id") == user_id)
+    return own.orderBy(*(F.desc(c) for c in newest)).limit(most)

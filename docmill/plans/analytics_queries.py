@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docmill.functions import text as X
-from docmill.operators import analyze, store, usage
+from docmill.operators import analyze, normalize, store, usage
 from docmill.plans.registry import query
 from docmill.plans.text_queries import corpus
 from docmill.session import table
@@ -87,12 +87,12 @@ def precedent_ranking(spark, sf_dir):
 
 
 def _calls(spark, sf_dir):
-    model = F.when(F.col("event_type") == "click", "small").when(F.col("event_type") == "view", "mid").when(F.col("event_type") == "purchase", "large").otherwise("other")
+    model = F.when(F.col("event_type") == "click", usage.SMALL).when(F.col("event_type") == "view", usage.MID).when(F.col("event_type") == "purchase", usage.LARGE).otherwise("other")
     return table(spark, sf_dir, "events").select(model.alias("model"), (F.col("event_id") % 1000).alias("input_tokens"), (F.col("event_id") % 77).alias("output_tokens"), F.col("event_type").alias("tool"))
 
 
-@query("""WITH p(model, i, o) AS (VALUES ('large', 15.0::DOUBLE, 75.0::DOUBLE), ('mid', 3.0, 15.0), ('small', 1.0, 5.0)),
-  c AS (SELECT CASE event_type WHEN 'click' THEN 'small' WHEN 'view' THEN 'mid' WHEN 'purchase' THEN 'large' ELSE 'other' END AS model, event_id % 1000 AS it, event_id % 77 AS ot, event_type AS tool FROM events)
+@query(f"""WITH p(model, i, o) AS (VALUES ('{usage.LARGE}', 15.0::DOUBLE, 75.0::DOUBLE), ('{usage.MID}', 3.0, 15.0), ('{usage.SMALL}', 1.0, 5.0)),
+  c AS (SELECT CASE event_type WHEN 'click' THEN '{usage.SMALL}' WHEN 'view' THEN '{usage.MID}' WHEN 'purchase' THEN '{usage.LARGE}' ELSE 'other' END AS model, event_id % 1000 AS it, event_id % 77 AS ot, event_type AS tool FROM events)
   SELECT tool, count(*) AS calls, CAST(sum(it) AS BIGINT) AS input_tokens, CAST(sum(ot) AS BIGINT) AS output_tokens, round(sum(coalesce(it / 1e6 * i, 0) + coalesce(ot / 1e6 * o, 0)), 6) AS total_cost_usd FROM c LEFT JOIN p USING (model) GROUP BY tool""")
 def cost_by_tool(spark, sf_dir):
     return usage.cost_of_calls(_calls(spark, sf_dir), usage.prices(spark), ["tool"])
@@ -171,3 +171,38 @@ def ingest_status(spark, sf_dir):
     docs = corpus(spark, sf_dir)
     count = lambda df, name: df.groupBy("source").agg(F.count("*").alias(name))
     return count(docs, "documents").join(count(docs.where("doc_id % 2 = 0"), "chunks"), "source", "left").select("source", "documents", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"))
+
+
+@query("""SELECT event_id, ts, value FROM events ORDER BY event_id DESC LIMIT 10""")
+def log_tail(spark, sf_dir):
+    """The last ten entries of a log, in its order."""
+    return store.tail(table(spark, sf_dir, "events").select("event_id", "ts", "value"), 10, "event_id")
+
+
+@query("""SELECT CAST(strftime(o_orderdate, '%d/%m/%Y') AS VARCHAR) AS day, count(*) AS n FROM orders WHERE strftime(o_orderdate, '%d/%m/%Y') LIKE '%1995' GROUP BY day""")
+def session_days_of_year(spark, sf_dir):
+    """Sessions by their day as text, of one year, newest first."""
+    days = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "dd/MM/yyyy").alias("day")).agg(F.count("*").alias("n"))
+    return normalize.newest_days(days, "day", 1995)
+
+
+@query("""SELECT event_id, strftime(ts, '%y-%m-%d') AS day, props ->> '$.k' AS k FROM events""")
+def short_days_and_properties(spark, sf_dir):
+    """Days as yy-MM-dd, and a value of a JSON column as text."""
+    return table(spark, sf_dir, "events").select("event_id", X.short_day(F.col("ts")).alias("day"), X.json_text(F.col("props"), "k").alias("k"))
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
+def items_of_known_users(spark, sf_dir):
+    """What is left of items once the users with nothing on their account are deleted."""
+    users = table(spark, sf_dir, "customer").where("c_acctbal > 0")
+    return usage.of_known_users(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), users, "o_custkey", "c_custkey")
+
+
+@query("""SELECT doc_id, 'pjn_tribunales' AS source, substr(sha256('pjn:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS id, CASE source WHEN 'src1' THEN 'Buenos Aires' WHEN 'src2' THEN 'Cordoba' ELSE source END AS jurisdiccion
+  FROM documents WHERE length(text) >= 300""")
+def chamber_entries(spark, sf_dir):
+    """Chamber entries as documents: ids, jurisdictions by their codes, texts of 300 characters at least."""
+    code = F.when(F.col("source") == "src1", "1-1").when(F.col("source") == "src2", "6-6").otherwise(F.col("source"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("uuid"), F.lit("").alias("expediente"), F.col("text").alias("texto"), F.lit("").alias("caratula"), F.lit("").alias("tribunal"), F.lit("").alias("fecha"), code.alias("jurisdiccion"))
+    return normalize.normalize_chamber(rows).select(F.col("source_id").cast("long").alias("doc_id"), "source", "id", "jurisdiccion")

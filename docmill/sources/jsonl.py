@@ -10,18 +10,19 @@ from docmill.schema import DOCUMENT
 
 
 def raw_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """value, file: lines that may hold an object; blank lines, other lines and byte-order marks fall out."""
+    """value, file, block, line (a number that grows within a block): lines that may hold an object; blank lines, other lines and byte-order marks fall out."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
     value = strip(F.ltrim("value", F.lit("﻿")))
-    return lines.select(value.alias("value"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block")).where(F.col("value").startswith("{"))
+    return lines.select(value.alias("value"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).where(F.col("value").startswith("{"))
 
 
-def documents(spark: SparkSession, path: str, glob: str = "*.jsonl", source: str | None = None) -> DataFrame:
-    """Documents of clean files; bad JSON falls out, unknown keys are dropped, absent ones are empty. `source` picks the file of that stem."""
+def documents(spark: SparkSession, path: str, glob: str = "*.jsonl", source: str | None = None, places: bool = False) -> DataFrame:
+    """Documents of clean files; bad JSON falls out, unknown keys are dropped, absent ones are empty. `source` picks the file of that stem; `places` adds where each stood (block, line)."""
+    where = ["file", "block", "line"] if places else ["file"]
     rows = raw_lines(spark, path, f"{source}.jsonl" if source else glob).where(F.try_parse_json("value").isNotNull())
-    doc = rows.select(F.from_json("value", DOCUMENT).alias("d"), "file").select("d.*", "file")
+    doc = rows.select(F.from_json("value", DOCUMENT).alias("d"), *where).select("d.*", *where)
     blank = {"string": lambda c: or_empty(c), "array<string>": lambda c: F.coalesce(c, F.array().cast("array<string>")), "int": lambda c: F.coalesce(c, F.lit(0))}
-    return doc.select(*(blank[f.dataType.simpleString()](F.col(f.name)).alias(f.name) for f in DOCUMENT.fields), "file")
+    return doc.select(*(blank[f.dataType.simpleString()](F.col(f.name)).alias(f.name) for f in DOCUMENT.fields), *where)
 
 
 def bad_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:

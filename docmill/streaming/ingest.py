@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from docmill.operators.store import first_wins
+
 
 def new_files(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
     """A stream of the rows of JSON files as they arrive; the query's checkpoint knows which files are done."""
@@ -23,7 +25,7 @@ def ingest(stream: DataFrame, store: str, checkpoint: str, id_col: str = "id", p
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
-        fresh = prepare(batch).dropDuplicates([id_col])
+        fresh = first_wins(prepare(batch).withColumn("__at", F.monotonically_increasing_id()), id_col, "__at").drop("__at")
         known = read_store(batch.sparkSession, store, before=number)
         fresh = fresh if known is None else fresh.join(known.select(id_col), id_col, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{store}/batch={number}")
@@ -32,11 +34,11 @@ def ingest(stream: DataFrame, store: str, checkpoint: str, id_col: str = "id", p
 
 
 def read_store(spark: SparkSession, store: str, before: int | None = None) -> DataFrame | None:
-    """The stored rows, of the batches under `before` if given; None while there are none."""
+    """The stored rows, of the finished batches under `before` if given; None while there are none."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
-    kept = [n for n in names if n.startswith("batch=") and (before is None or int(n[6:]) < before)]
+    kept = [n for n in names if n.startswith("batch=") and (before is None or int(n[6:]) < before) and fs.exists(path.suffix(f"/{n}/_SUCCESS"))]
     return spark.read.option("basePath", store).option("mergeSchema", "true").parquet(*(f"{store}/{n}" for n in kept)).drop("batch") if kept else None
 
 

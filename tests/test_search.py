@@ -82,7 +82,7 @@ def test_usage_and_outcomes(spark):
     logs = spark.createDataFrame([(i, None if i % 3 == 0 else "" if i % 3 == 1 else "economy", 0.5, i) for i in range(101)], "id int, tier string, cost_usd double, created_at int")
     assert {r.tier: r.n for r in usage.usage_summary(logs).collect()} == {"premium": 67, "economy": 33}
     assert sum(r.n for r in usage.usage_summary(logs, None).collect()) == 101
-    calls = spark.createDataFrame([("small", 1_000_000, 200_000), ("none", 5, 5)], "model string, input_tokens long, output_tokens long")
+    calls = spark.createDataFrame([(usage.SMALL, 1_000_000, 200_000), ("none", 5, 5)], "model string, input_tokens long, output_tokens long")
     assert usage.cost_of_calls(calls, usage.prices(spark)).first().total_cost_usd == 2.0
     none = spark.createDataFrame([], "resultado string")
     assert analyze.favourable_all(none).first()[0] == 0 and analyze.favourable_on_merits(none).first()[0] is None

@@ -1,6 +1,7 @@
 """Text functions, chunks and normalisers on hand-made edge cases."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,37 +42,46 @@ def test_lists_ids_and_headers(spark):
     assert values(spark, ["Despido y DAÑO, ley 20", "nada"], X.legal_hits) == [3, 0]
 
 
-def brute_chunks(text, most):
-    if len(text) <= most:
-        return [text]
-    out, cur = [], ""
-    for para in text.split("\n\n"):
-        if len(cur) + len(para) + 2 <= most:
-            cur = cur + "\n\n" + para if cur else para
-            continue
-        if cur:
-            out.append(cur.strip())
-        cur = para
-        if len(para) > most:
-            cur = ""
-            for piece in para.replace(". ", ".\n").split("\n"):
-                if len(cur) + len(piece) + 1 <= most:
-                    cur = cur + " " + piece if cur else piece
-                else:
-                    if cur:
-                        out.append(cur.strip())
-                    cur = piece
-    if cur.strip():
-        out.append(cur.strip())
-    return out or [text[:most]]
-
-
-def test_chunks(spark):
-    texts = ["short", "x" * 40, "x" * 41, "a b\n\nc d\n\n" * 9, "One two. Three four. " * 12, "line one\nline two\n" * 9, "y" * 100 + ". z", " \n" * 60, "p " * 15 + "\n\n" + "q. " * 30 + "\n\nend"]
-    assert values(spark, texts, lambda c: chunk.chunks(c, 40)) == [brute_chunks(t, 40) for t in texts]
-    rows = chunk.chunk_documents(spark.createDataFrame([("d", texts[4], "s"), ("e", "x", "s")], "id string, texto string, source string"), most=40).collect()
-    assert [r.id for r in rows if r.id.startswith("d")] == [f"d_c{i}" for i in range(len(brute_chunks(texts[4], 40)))]
-    assert [(r.id, r.total_chunks) for r in rows if r.id.startswith("e")] == [("e", 1)]
+#: Texts and their chunks of 40 characters at most, worked out by hand from the rules.
+CHUNKS = [
+    ("short", ["short"]),
+    ("x" * 40, ["x" * 40]),
+    ("x" * 41, ["x" * 41]),  # one sentence is never cut
+    ("aaaa bbbb cccc dddd\n\neeee ffff gggg\n\nhhhh iiii jjjj", ["aaaa bbbb cccc dddd\n\neeee ffff gggg", "hhhh iiii jjjj"]),
+    ("one two three four. five six seven eight. nine ten eleven", ["one two three four.", "five six seven eight. nine ten eleven"]),
+    ("line number one here\nline number two here\nline three", ["line number one here", "line number two here line three"]),
+    ("y" * 50 + ". z", ["y" * 50 + ".", "z"]),
+    (" " * 41, [" " * 40]),  # nothing is left, so the start is the chunk
+    (None, [""]),
+]
+
+
+def test_chunks_by_hand(spark):
+    assert values(spark, [t for t, _ in CHUNKS], lambda c: chunk.chunks(c, 40)) == [own for _, own in CHUNKS]
+
+
+def test_chunks_keep_the_text(spark):
+    """All that isn't white space stays in its order; a chunk is over the limit only if it is one sentence; ids name the chunks."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["ab ", "cde. ", "f\n", "gh\n\n", "ijklmnop", " "]) for _ in range(rng.randrange(1, 60))) for _ in range(80)]
+    for text, own in zip(texts, values(spark, texts, lambda c: chunk.chunks(c, 40))):
+        assert "".join("".join(own).split()) == "".join(text.split())
+        assert own == [text] if len(text) <= 40 else all(c == c.strip() for c in own)
+        assert all(len(c) <= 40 or not {". ", "\n"} & {c[k : k + n] for k in range(len(c)) for n in (1, 2)} for c in own)
+    df = spark.createDataFrame([("d", CHUNKS[3][0], "s"), ("e", "x", "s")], "id string, texto string, source string")
+    assert [(r.id, r.texto, r.chunk_index, r.total_chunks) for r in chunk.chunk_documents(df, most=40).orderBy("id").collect()] == [("d_c0", CHUNKS[3][1][0], 0, 2), ("d_c1", CHUNKS[3][1][1], 1, 2), ("e", "x", 0, 1)]
+
+
+def test_lists_drop_what_is_nothing(spark):
+    df = spark.createDataFrame([(json.dumps({"texto": "T" * 120, "magistrados": ["A", None, False, 0, 7, "", " ", "false", "0"]}),)], "value string")
+    assert normalize.normalize_variant(df).first().magistrados == ["A", "7", "false", "0"]
+
+
+def test_chamber_entries(spark):
+    long = "z" * 300
+    rows = [("u1", "e1", long, "", "SALA I", "2020-01-02", "6-6"), ("", "e2", long, "A c/ B", None, "", "9-9"), (None, "", long, "c", "t", "f", "1-1"), ("u3", "e", "short", "c", "t", "f", "1-1")]
+    got = {r.source_id: r for r in normalize.normalize_chamber(spark.createDataFrame(rows, "uuid string, expediente string, texto string, caratula string, tribunal string, fecha string, jurisdiccion string")).collect()}
+    assert {k: (r.caratula, r.tribunal, r.jurisdiccion, r.tipo_tribunal) for k, r in got.items()} == {"u1": ("e1", "SALA I", "Cordoba", "camara"), "e2": ("A c/ B", "", "9-9", "camara")}
 
 
 @pytest.mark.parametrize(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +26,14 @@ def _prefix(h: Column, depth: Column | int) -> Column:
 def directory(hashed: DataFrame, limit: int) -> DataFrame:
     """The leaves: depth, prefix (the first depth bits), shard_bytes, shard_rows, from rows of h and n_bytes.
 
-    A bucket is a leaf once it fits `limit`; any other splits on the next bit. Each round sums bytes for the next STEP
-    bits of the buckets that are still too large, at every depth in between, by a partial and a final aggregate, so no
-    bucket's rows meet in one task. Rounds end when all leaves fit or the bits are used up: rows whose 60 bits agree
+    A bucket is a leaf once it fits `limit`; any other splits on the next bit. Each round sums bytes for the next bits of
+    the buckets that are still too large (STEP at first, then as many as their mean size asks for, STEP at most), at
+    every depth in between, by a partial and a final aggregate, so no bucket's rows meet in one task. Rounds end when all leaves fit or the bits are used up: rows whose 60 bits agree
     (repeated keys, or one row over the limit) cannot be parted and form a leaf of their own.
     """
-    leaves, open_, depth = None, None, 0
+    leaves, open_, depth, step = None, None, 0, STEP
     while True:
-        top = min(depth + STEP, HASH_BITS)
+        top = min(depth + step, HASH_BITS)
         part = hashed if open_ is None else hashed.join(open_, _prefix(hashed["h"], depth) == open_["prefix"], "left_semi")
         fine = part.groupBy(_prefix(F.col("h"), top).alias("p")).agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_rows"))
         levels = F.sequence(F.lit(depth + (depth > 0)), F.lit(top))
@@ -49,9 +51,11 @@ def directory(hashed: DataFrame, limit: int) -> DataFrame:
         fits = reached.where((F.col("shard_bytes") <= limit) | (F.col("depth") == HASH_BITS))
         leaves = fits if leaves is None else leaves.unionByName(fits)
         open_ = over.where(F.col("depth") == top).select("prefix")
+        mean = over.where(F.col("depth") == top).agg(F.avg("shard_bytes")).first()[0]
         depth = top
-        if depth == HASH_BITS or open_.isEmpty():
+        if depth == HASH_BITS or mean is None:
             return leaves
+        step = min(STEP, math.ceil(math.log2(mean / limit)) + 2)
 
 
 def directory_bits(leaves: int, deepest: int) -> int:
@@ -69,14 +73,15 @@ def shard(df: DataFrame, limit: int, key_cols: tuple[str, ...] = ("doc_id",), te
     """
     hashed = df.select(*key_cols, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), _hash([F.col(c) for c in key_cols]).alias("h"))
     with scratch() as keep:
-        keep(leaves := saved(directory(hashed.select("h", "n_bytes"), limit), "leaves"))
-    n, deepest = leaves.agg(F.count("*"), F.max("depth")).first()
+        keep(hashed := saved(hashed, "hashed"))  # so that texts are read once
+        leaves = saved(directory(hashed.select("h", "n_bytes"), limit), "leaves")
+        n, deepest = leaves.agg(F.count("*"), F.max("depth")).first()
+        top = directory_bits(n, deepest or 0)
+        first, past = F.expr(f"shiftleft(prefix, greatest({top} - depth, 0))"), F.expr(f"shiftleft(prefix + 1, greatest({top} - depth, 0)) - 1")
+        slots = F.when(F.col("depth") > top, F.array(F.expr(f"shiftright(prefix, greatest(depth - {top}, 0))"))).otherwise(F.sequence(first, past))
+        keep(entries := saved(leaves.withColumn("slot", F.explode(slots)), "slots"))  # so that Spark knows its size
     if not n:
         return hashed.select(*key_cols, "n_bytes", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_rows")).limit(0)
-    top = directory_bits(n, deepest)
-    first, past = F.expr(f"shiftleft(prefix, greatest({top} - depth, 0))"), F.expr(f"shiftleft(prefix + 1, greatest({top} - depth, 0)) - 1")
-    slots = F.when(F.col("depth") > top, F.array(F.expr(f"shiftright(prefix, greatest(depth - {top}, 0))"))).otherwise(F.sequence(first, past))
-    entries = leaves.withColumn("slot", F.explode(slots))
     rows = hashed.withColumn("slot", _prefix(F.col("h"), top))
     found = rows.join(entries, (rows["slot"] == entries["slot"]) & (_prefix(F.col("h"), F.col("depth")) == F.col("prefix")))
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(conv(prefix, 10, 2), depth, '0')"))

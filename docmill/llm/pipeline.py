@@ -20,7 +20,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that score as toxic.
 
-    Null and empty texts have the score of an empty window. Equal texts, and so repeated rows and ties, share one fate.
+    Null and empty texts have the score of an empty window. Equal texts, and so repeated rows and ties, share one fate unless they score at the threshold to six places.
     Each row is judged by its text alone, so a null or repeated doc_id changes nothing. Very long texts are scored whole.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")

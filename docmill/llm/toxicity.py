@@ -235,7 +235,7 @@ class Scorer:
         return np.split(out, np.cumsum(counts)[:-1])
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        """The greatest probability of a window of each text, to six places, so that neighbours in a batch don't show in it; a text without words has one window of nothing."""
+        """The greatest probability of a window of each text, to six places (matrix products of a batch may round the last one apart); a text without words has one window of nothing."""
         out: list[float] = []
         taken, size = [], 0
         for k, t in enumerate(texts):
@@ -325,7 +325,7 @@ def score(df: DataFrame, params: dict[str, np.ndarray], id_col: str = "doc_id",
     """One row per input row: id, held_out, score, predicted (1 if score >= 0.5).
 
     The score is the greatest over all overlapping windows of the whole text; a null, empty or wordless text is one
-    empty window. Equal texts get equal scores. held_out: crc32(id as text) mod 5 is 0; a null id counts as "". No
+    empty window. Equal texts get equal scores, but for a unit in the sixth place. held_out: crc32(id as text) mod 5 is 0; a null id counts as "". No
     shuffle: each task scores the rows it reads, so an empty table gives no rows and other columns are ignored.
     """
     shared = df.sparkSession.sparkContext.broadcast(params)

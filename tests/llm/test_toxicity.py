@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docmill.llm import toxicity
 from tests.llm.conftest import ROWS
@@ -95,3 +96,19 @@ def test_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     scores = {r.score for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()}
     assert len(scores) == 1 and scores.pop() < 0.5
+
+
+def test_held_out_fold_of_the_labels(spark):
+    """No label of the held-out fold is read, its rows are told apart, and what stands beside a text moves its score by a rounding at most."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    fold = toxicity.held_out(F.col("doc_id"))
+    learnt = toxicity.labelled_sample(docs, labels)
+    assert learnt == toxicity.labelled_sample(docs, labels.where(~fold)) and len(set(learnt[1])) == 2
+    params = toxicity.train(*learnt)
+    scored = {r.doc_id: r.score for r in toxicity.score(docs, params).collect()}
+    told = {r.doc_id: r.toxic for r in labels.where(fold).collect() if r.toxic is not None}
+    bad, good = ([scored[i] for i, y in told.items() if y == k] for k in (1, 0))
+    auc = np.mean([(a > b) + (a == b) / 2 for a in bad for b in good])
+    assert len(bad) >= 3 and auc >= 0.9, auc
+    again = {r.doc_id: r.score for r in toxicity.score(docs.repartition(7, F.xxhash64("text")), params).collect()}
+    assert again.keys() == scored.keys() and max(abs(again[i] - scored[i]) for i in scored) < 1.5e-6

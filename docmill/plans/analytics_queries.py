@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docmill.engine import Engine
 from docmill.functions import text as X
 from docmill.operators import analyze, normalize, store, usage
 from docmill.plans.registry import query
@@ -17,7 +18,7 @@ def _analyses(spark, sf_dir):
     outcome = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "favorable").when(F.col("quality") == 1, "desfavorable").when(F.col("toxic") == 0, "parcial").otherwise("inadmisible")
     labels = table(spark, sf_dir, "labels").select("doc_id", outcome.alias("resultado"))
     docs = table(spark, sf_dir, "documents")
-    words = F.slice(F.split(F.substring("text", 1, 60), " "), 1, 3)
+    words = F.split("text", " ")
     return labels.join(docs, "doc_id").select(
         "doc_id", "resultado", (F.col("n_chars") % 100).cast("double").alias("score"), F.col("doc_id").alias("input_rank"), F.substring("text", 1, 30).alias("caratula"), F.col("source").alias("tribunal"),
         F.col("lang").alias("via_procesal"), F.col("source").alias("doctrina_aplicada"), words.alias("normas_citadas"), words.alias("precedentes_citados"), F.col("text").alias("texto"),
@@ -26,7 +27,7 @@ def _analyses(spark, sf_dir):
 
 
 _A = """a AS (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'favorable' WHEN quality = 1 THEN 'desfavorable' WHEN toxic = 0 THEN 'parcial' ELSE 'inadmisible' END AS resultado, (n_chars % 100)::DOUBLE AS score,
-  substr(text, 1, 30) AS caratula, source AS tribunal, lang AS via, string_split(substr(text, 1, 60), ' ')[1:3] AS normas, text AS texto, '19' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') AS fecha FROM labels JOIN documents USING (doc_id))"""
+  substr(text, 1, 30) AS caratula, source AS tribunal, lang AS via, string_split(text, ' ') AS normas, text AS texto, '19' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') AS fecha FROM labels JOIN documents USING (doc_id))"""
 
 
 @query(f"WITH {_A} SELECT count(*) AS n, count(*) FILTER (resultado = 'favorable') AS favorable, count(*) FILTER (resultado = 'desfavorable') AS desfavorable, count(*) FILTER (resultado = 'parcial') AS parcial, count(*) FILTER (resultado = 'inadmisible') AS inadmisible FROM a")
@@ -56,10 +57,11 @@ def best_case_per_outcome(spark, sf_dir):
 
 
 @query(f"""WITH {_A}, g AS (SELECT via AS via_procesal, tribunal AS doctrina_aplicada, count(*) AS frecuencia, round(avg((resultado = 'favorable')::INT) * 100, 1) AS tasa_exito, arg_max(caratula, (score, -doc_id)) AS caso_ejemplo FROM a GROUP BY ALL)
-  SELECT via_procesal, doctrina_aplicada, frecuencia, tasa_exito, caso_ejemplo, tasa_exito >= 50 AS exitosa,
-    row_number() OVER (PARTITION BY tasa_exito >= 50 ORDER BY CASE WHEN tasa_exito >= 50 THEN -tasa_exito ELSE tasa_exito END, frecuencia DESC, via_procesal, doctrina_aplicada) AS puesto FROM g""")
+  , l AS (SELECT via AS via_procesal, tribunal AS doctrina_aplicada, count(DISTINCT norma) AS n_leyes FROM (SELECT via, tribunal, unnest(normas) AS norma FROM a) GROUP BY ALL)
+  SELECT via_procesal, doctrina_aplicada, frecuencia, tasa_exito, caso_ejemplo, n_leyes, tasa_exito >= 50 AS exitosa,
+    row_number() OVER (PARTITION BY tasa_exito >= 50 ORDER BY CASE WHEN tasa_exito >= 50 THEN -tasa_exito ELSE tasa_exito END, frecuencia DESC, via_procesal, doctrina_aplicada) AS puesto FROM g JOIN l USING (via_procesal, doctrina_aplicada)""")
 def strategy_ranking(spark, sf_dir):
-    out = analyze.strategies(_analyses(spark, sf_dir)).drop("leyes_asociadas")
+    out = analyze.strategies(_analyses(spark, sf_dir)).withColumn("n_leyes", F.size("leyes_asociadas").cast("long")).drop("leyes_asociadas")
     return out.withColumn("puesto", F.col("puesto").cast("long"))
 
 
@@ -148,11 +150,13 @@ def offset_resume(spark, sf_dir):
     return ingest.after_offset(table(spark, sf_dir, "documents"), 100, "doc_id").select("doc_id")
 
 
-@query("""SELECT CAST(source AS VARCHAR) AS source_id, doc_id AS line FROM documents WHERE doc_id < 5 UNION ALL
-  SELECT source, doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id < 5) QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1""")
+@query("""WITH d AS (SELECT source || '/' || lang AS source_id, lang, doc_id AS line FROM documents)
+  SELECT source_id, line FROM d WHERE lang = 'fr' UNION ALL
+  SELECT source_id, line FROM (SELECT * FROM d WHERE lang <> 'fr' QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY line) = 1)""")
 def collect_merge(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("line"))
-    return store.collect_merge(docs.where("line < 5"), docs, order=("line",))
+    """The French documents are stored; all documents arrive."""
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("source_id"), "lang", F.col("doc_id").alias("line"))
+    return store.collect_merge(docs.where("lang = 'fr'").drop("lang"), docs.drop("lang"), order=("line",))
 
 
 @query("SELECT user_id AS agent_id, arg_max(event_type, event_id) AS status, count(*) AS n_events FROM events GROUP BY user_id")
@@ -160,17 +164,18 @@ def agent_state_fold(spark, sf_dir):
     return ingest.agent_states(table(spark, sf_dir, "events").select(F.col("user_id").alias("agent_id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq")))
 
 
-@query(f"""WITH {_A} SELECT doc_id, concat_ws(chr(10), 'Resultado: ' || upper(resultado), 'Carátula: ' || nullif(caratula, ''), 'Vía procesal: ' || via, 'Doctrina: ' || tribunal, chr(10) || 'Normas: ' || nullif(array_to_string(normas, ', '), '')) AS summary FROM a""")
+@query(f"""WITH {_A} SELECT doc_id, concat_ws(chr(10), 'Resultado: ' || upper(resultado), 'Carátula: ' || nullif(caratula, ''), 'Vía procesal: ' || via, 'Doctrina: ' || tribunal, chr(10) || 'Normas: ' || nullif(array_to_string(normas[1:8], ', '), '')) AS summary FROM a""")
 def agent_summary_text(spark, sf_dir):
     row = {c: F.col(c) for c in ("resultado", "caratula", "via_procesal", "doctrina_aplicada", "normas_citadas")} | {c: F.lit("N/D") for c in ("hechos_determinantes", "argumento_clave", "relevancia_cliente", "quantum")}
     return _analyses(spark, sf_dir).select("doc_id", X.agent_summary(row).alias("summary"))
 
 
-@query("SELECT source, count(*) AS documents, count(*) FILTER (doc_id % 2 = 0) AS chunks FROM documents GROUP BY source")
+@query("""SELECT source, documents, chunks FROM (SELECT source, count(*) AS documents FROM documents GROUP BY source)
+  FULL JOIN (SELECT source, count(*) AS chunks FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY source) USING (source)""")
 def ingest_status(spark, sf_dir):
     docs = corpus(spark, sf_dir)
-    count = lambda df, name: df.groupBy("source").agg(F.count("*").alias(name))
-    return count(docs, "documents").join(count(docs.where("doc_id % 2 = 0"), "chunks"), "source", "left").select("source", "documents", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"))
+    chunks = docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    return Engine(spark, chunks, docs, docs, embedder=lambda texts: []).ingest_status()
 
 
 @query("""SELECT event_id, ts, value FROM events ORDER BY event_id DESC LIMIT 10""")

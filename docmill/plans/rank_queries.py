@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docmill.engine import overlap_score
 from docmill.operators import evaluate, keyword, rank, vector
-from docmill.plans.registry import query
+from docmill.plans.registry import also, query
 from docmill.plans.text_queries import CORPUS_SQL, corpus
 from docmill.session import table
 
@@ -68,25 +68,19 @@ def vector_topk_each(spark, sf_dir):
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
-def _bench_queries(spark, sf_dir, whole: bool = False):
-    words = F.col("text") if whole else F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("q"))
+def _bench_queries(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
 
 
-def _whole(sql: str) -> str:
-    """SQL whose queries are the first six words of a benchmark text, for the whole texts."""
-    return sql.replace("array_to_string(string_split(text, ' ')[1:6], ' ')", "text").replace("string_split(text, ' ')[1:6]", "string_split(text, ' ')")
-
-
-def _hits(search, spark, sf_dir, whole: bool = False):
-    hits = search(table(spark, sf_dir, "documents"), _bench_queries(spark, sf_dir, whole), 10)
+def _hits(search, spark, sf_dir):
+    hits = search(table(spark, sf_dir, "documents"), _bench_queries(spark, sf_dir), 10)
     return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 _TOKENS = "list_filter(regexp_split_to_array(translate(lower({0}), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 BM25_SQL = rf"""
-WITH q AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(array_to_string(string_split(text, ' ')[1:6], ' '), '\s+'), lambda w: length(w) > 2)) AS w FROM benchmark),
+WITH q AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda w: length(w) > 2)) AS w FROM benchmark),
 terms AS (SELECT DISTINCT query_id, array_to_string(t, ' ') AS term, len(t) AS n FROM (SELECT query_id, {_TOKENS.format("w")} AS t FROM q) WHERE len(t) > 0),
 toks AS (SELECT doc_id, {_TOKENS.format("text")} AS t FROM documents),
 ns AS (SELECT DISTINCT n FROM terms),
@@ -108,13 +102,11 @@ def bm25_topk(spark, sf_dir):
     return _hits(keyword.bm25, spark, sf_dir)
 
 
-@query(_whole(_BM25_TOP_SQL))
-def bm25_topk_whole_text(spark, sf_dir):
-    return _hits(keyword.bm25, spark, sf_dir, whole=True)
+also("bm25_topk_whole_text", bm25_topk)
 
 
 _OKAPI_TOP_SQL = r"""
-WITH q AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(array_to_string(string_split(text, ' ')[1:6], ' ')), '\s+'), lambda w: w <> '')) AS term FROM benchmark),
+WITH q AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS term FROM benchmark),
 toks AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS t FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY ALL),
 st AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS mean FROM toks),
@@ -130,9 +122,7 @@ def bm25_okapi_topk(spark, sf_dir):
     return _hits(keyword.okapi, spark, sf_dir)
 
 
-@query(_whole(_OKAPI_TOP_SQL))
-def bm25_okapi_topk_whole_text(spark, sf_dir):
-    return _hits(keyword.okapi, spark, sf_dir, whole=True)
+also("bm25_okapi_topk_whole_text", bm25_okapi_topk)
 
 
 def _ranked(df, score: str, id_col: str):
@@ -151,23 +141,6 @@ def rrf_fusion(spark, sf_dir):
     return rank.rrf(lists).select("id", F.round("rrf_score", 9).alias("rrf_score"))
 
 
-#: Candidates: two lists over the corpus, cut to the fetch size.
-_LISTS_SQL = f"""{CORPUS_SQL},
-  v AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS input_rank FROM (SELECT * FROM corpus WHERE doc_id % 3 = 0 ORDER BY doc_id LIMIT 60)),
-  f AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS input_rank FROM (SELECT * FROM corpus WHERE doc_id % 2 = 0 ORDER BY doc_id LIMIT 60)),
-  u AS (SELECT *, row_number() OVER (ORDER BY l, r0) AS rk FROM (SELECT *, 0 AS l, input_rank AS r0, 'vector' AS src FROM v UNION ALL SELECT *, 1, input_rank, 'fts' FROM f WHERE id NOT IN (SELECT id FROM v)))"""
-
-
-def _lists(spark, sf_dir):
-    cut = lambda k: corpus(spark, sf_dir).where(F.col("doc_id") % k == 0).orderBy("doc_id").limit(60).withColumn("input_rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("doc_id")))
-    return cut(3), cut(2)
-
-
-@query(f"WITH {_LISTS_SQL} SELECT id, src AS _source, rk AS input_rank FROM u")
-def union_dedup(spark, sf_dir):
-    return rank.union_dedup(*_lists(spark, sf_dir)).select("id", "_source", F.col("input_rank").cast("long").alias("input_rank"))
-
-
 _TITLE = "lower(trim(substr(caratula, 1, 60)))"
 
 
@@ -176,11 +149,6 @@ def title_dedup(spark, sf_dir):
     return rank.title_dedup(corpus(spark, sf_dir).withColumn("input_rank", F.col("doc_id"))).select("id")
 
 
-@query(f"WITH {_LISTS_SQL} SELECT id FROM u WHERE rk <= least((SELECT count(*) FROM u), 100)")
-def rerank_pool(spark, sf_dir):
-    return rank.rerank_pool(rank.union_dedup(*_lists(spark, sf_dir)), 10).select("id")
-
-
 @query("WITH s AS (SELECT vec_id, " + _SCORE.format(0) + " AS s FROM embeddings) SELECT vec_id, s AS rerank_score FROM s WHERE s >= 0.1 AND (SELECT count(*) FROM s WHERE s >= 0.1) >= 3")
 def relevance_threshold_min3(spark, sf_dir):
     target = F.array(*(F.lit(float(x)) for x in _target(spark, sf_dir)))
@@ -188,33 +156,6 @@ def relevance_threshold_min3(spark, sf_dir):
     return rank.threshold(scored)
 
 
-@query("""SELECT o_orderkey, round(o_totalprice / 1e6 + CASE WHEN year(o_orderdate) <= 1998 THEN greatest(0.0, 0.15 * (1 - (1998 - year(o_orderdate)) / 30.0)) ELSE 0 END, 6) AS final_score
-  FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 300)""")
-def recency_boost(spark, sf_dir):
-    top = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(300)
-    rows = top.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("fecha"), (F.col("o_totalprice") / 1e6).alias("rerank_score"), F.col("o_orderkey").alias("input_rank"))
-    return rank.recency(rows, 1998).select("o_orderkey", F.round("final_score", 6).alias("final_score"))
-
-
-@query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN doc_id % 7 = 0 THEN '' ELSE source END ORDER BY doc_id) AS rn, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 's' || doc_id % 3 END AS g FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 120)),
-  d AS (SELECT *, CASE WHEN g <> '' AND row_number() OVER (PARTITION BY g ORDER BY doc_id) > 10 THEN 1 ELSE 0 END AS over FROM c)
-  SELECT doc_id, row_number() OVER (ORDER BY over, doc_id) AS place FROM d QUALIFY place <= 30""")
-def diversity_cap_backfill(spark, sf_dir):
-    group = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit("s"), F.col("doc_id") % 3))
-    rows = table(spark, sf_dir, "documents").orderBy("doc_id").limit(120).select("doc_id", group.alias("tribunal"), F.col("doc_id").alias("input_rank"))
-    return rank.diversity(rows, 30).select("doc_id", F.col("input_rank").cast("long").alias("place"))
-
-
-@query(f"""WITH {_LISTS_SQL}, t AS (SELECT * FROM u QUALIFY {_TITLE} = '' OR row_number() OVER (PARTITION BY {_TITLE} ORDER BY rk) = 1),
-  p AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY rk) AS spot FROM t) WHERE spot <= 100),
-  s AS (SELECT *, round((doc_id * 37 % 101) / 100.0, 6) AS rs FROM p), o AS (SELECT *, row_number() OVER (ORDER BY rs DESC, rk) AS k1 FROM s), th AS (SELECT * FROM o WHERE rs >= 0.1),
-  d AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY tribunal ORDER BY k1) > 5 THEN 1 ELSE 0 END AS over FROM th)
-  SELECT id, row_number() OVER (ORDER BY over, k1) AS place FROM d WHERE (SELECT count(*) FROM th) >= 3 QUALIFY place <= 12""")
-def hybrid_funnel(spark, sf_dir):
-    score = F.round((F.col("doc_id") * 37 % 101) / 100.0, 6)
-    return rank.funnel(*_lists(spark, sf_dir), score, 12, 2024).select("id", F.col("input_rank").cast("long").alias("place"))
-
-
 #: Rows that the searched funnel gives; it fetches three times as many from either search.
 SEARCHED = 100
 
@@ -234,42 +175,67 @@ def _searched(spark, sf_dir):
     return near, docs.join(F.broadcast(hits), "doc_id").withColumn("score", F.lit(rank.FTS_SCORE))
 
 
-@query()
-def union_dedup_searched(spark, sf_dir):
-    return rank.union_dedup(*_searched(spark, sf_dir)).select("id", "_source", "input_rank")
+#: The same lists: v by vectors, f by keywords, and both in one.
+_LISTS_SQL = (
+    BM25_SQL.replace("FROM benchmark)", "FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 1))").strip()
+    + f""", {CORPUS_SQL},
+  v AS (SELECT c.*, row_number() OVER (ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 9) DESC, doc_id) AS input_rank FROM corpus c JOIN embeddings ON vec_id = doc_id QUALIFY input_rank <= {rank.fetch_size(SEARCHED)}),
+  f AS (SELECT c.*, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS input_rank FROM corpus c JOIN scores USING (doc_id) QUALIFY input_rank <= {rank.fetch_size(SEARCHED)}),
+  u AS (SELECT *, row_number() OVER (ORDER BY l, r0) AS rk FROM (SELECT *, 0 AS l, input_rank AS r0, 'vector' AS src FROM v UNION ALL SELECT *, 1, input_rank, 'fts' FROM f WHERE id NOT IN (SELECT id FROM v)))"""
+)
+_RANK = "CAST(input_rank AS BIGINT) AS input_rank"
 
 
-@query()
-def rerank_pool_searched(spark, sf_dir):
-    return rank.rerank_pool(rank.union_dedup(*_searched(spark, sf_dir)), SEARCHED).select("id", "input_rank")
+@query(f"{_LISTS_SQL} SELECT id, src AS _source, rk AS input_rank FROM u")
+def union_dedup(spark, sf_dir):
+    return rank.union_dedup(*_searched(spark, sf_dir)).selectExpr("id", "_source", _RANK)
+
+
+@query(f"{_LISTS_SQL} SELECT id, rk AS input_rank FROM u WHERE rk <= {rank.rerank_pool_size(200, SEARCHED)}")
+def rerank_pool(spark, sf_dir):
+    return rank.rerank_pool(rank.union_dedup(*_searched(spark, sf_dir)), SEARCHED).selectExpr("id", _RANK)
 
 
 @query("""SELECT o_orderkey, round(o_totalprice / 1e6 + CASE WHEN year(o_orderdate) <= 1998 THEN greatest(0.0, 0.15 * (1 - (1998 - year(o_orderdate)) / 30.0)) ELSE 0 END, 6) AS final_score FROM orders""")
-def recency_boost_all(spark, sf_dir):
+def recency_boost(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("fecha"), (F.col("o_totalprice") / 1e6).alias("rerank_score"))
     return rank.boosted(rows, 1998).select("o_orderkey", F.round("final_score", 6).alias("final_score"))
 
 
-@query()
-def diversity_searched(spark, sf_dir):
-    return rank.diversity(rank.union_dedup(*_searched(spark, sf_dir)), SEARCHED).select("id", "input_rank")
+@query(f"""{_LISTS_SQL}, d AS (SELECT *, CASE WHEN tribunal <> '' AND row_number() OVER (PARTITION BY tribunal ORDER BY rk) > {rank.cap_of(SEARCHED)} THEN 1 ELSE 0 END AS over FROM u)
+  SELECT id, row_number() OVER (ORDER BY over, rk) AS input_rank FROM d QUALIFY row_number() OVER (ORDER BY over, rk) <= {SEARCHED}""")
+def diversity_cap_backfill(spark, sf_dir):
+    return rank.diversity(rank.union_dedup(*_searched(spark, sf_dir)), SEARCHED).selectExpr("id", _RANK)
 
 
-@query()
-def hybrid_funnel_searched(spark, sf_dir):
+@query(f"""{_LISTS_SQL}, t AS (SELECT * FROM u QUALIFY {_TITLE} = '' OR row_number() OVER (PARTITION BY {_TITLE} ORDER BY rk) = 1),
+  p AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY rk) AS spot FROM t) WHERE spot <= {rank.rerank_pool_size(200, SEARCHED)}),
+  asked AS (SELECT list_distinct({_TOKENS.format("text")}) AS k FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 1)),
+  s AS (SELECT p.*, len(list_intersect(k, {_TOKENS.format("concat_ws(' ', caratula, sumario, texto)")})) * 1.0 / len(k) AS rs FROM p, asked),
+  th AS (SELECT *, row_number() OVER (ORDER BY rs DESC, rk) AS k1 FROM s WHERE rs >= {rank.THRESHOLD}),
+  d AS (SELECT *, CASE WHEN tribunal <> '' AND row_number() OVER (PARTITION BY tribunal ORDER BY k1) > {rank.cap_of(SEARCHED)} THEN 1 ELSE 0 END AS over FROM th)
+  SELECT id, row_number() OVER (ORDER BY over, k1) AS input_rank FROM d WHERE (SELECT count(*) FROM th) >= {rank.MIN_RESULTS} QUALIFY row_number() OVER (ORDER BY over, k1) <= {SEARCHED}""")
+def hybrid_funnel(spark, sf_dir):
     score = overlap_score(_asked(spark, sf_dir), "caratula", "sumario", "texto")
-    return rank.funnel(*_searched(spark, sf_dir), score, SEARCHED, 2024).select("id", "input_rank")
+    return rank.funnel(*_searched(spark, sf_dir), score, SEARCHED, 2024).selectExpr("id", _RANK)
+
+
+also("union_dedup_searched", union_dedup)
+also("rerank_pool_searched", rerank_pool)
+also("recency_boost_all", recency_boost)
+also("diversity_searched", diversity_cap_backfill)
+also("hybrid_funnel_searched", hybrid_funnel)
 
 
-def _precisions(spark, sf_dir, whole: bool = False):
-    queries = _bench_queries(spark, sf_dir, whole).withColumn("kw", F.array_distinct(F.filter(F.split("q", " "), lambda w: F.length(w) > 2)))
+def _precisions(spark, sf_dir):
+    queries = _bench_queries(spark, sf_dir).withColumn("kw", F.array_distinct(F.filter(F.split("q", " "), lambda w: F.length(w) > 2)))
     hits = keyword.bm25(table(spark, sf_dir, "documents"), queries, 10)
     found = hits.join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("texto")), "doc_id").join(queries, "query_id")
     return evaluate.precision(queries, evaluate.relevant(found))
 
 
 _PRECISION_SQL = BM25_SQL.strip() + """, hits AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 10),
-kw AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split(text, ' ')[1:6], lambda w: length(w) > 2)) AS k FROM benchmark),
+kw AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split(text, ' '), lambda w: length(w) > 2)) AS k FROM benchmark),
 rel AS (SELECT h.query_id, coalesce(len(list_filter(k, lambda w: contains(lower(d.text), lower(w)))) * 1.0 / nullif(len(k), 0) >= 0.3, false) AS r FROM hits h JOIN documents d USING (doc_id) JOIN kw USING (query_id)),
 prec AS (SELECT kw.query_id, coalesce(round(100.0 * count(*) FILTER (r) / nullif(count(r), 0), 6), 0) AS precision, count(r) AS n FROM kw LEFT JOIN rel USING (query_id) GROUP BY kw.query_id)
 """
@@ -280,9 +246,7 @@ def precision_at_k(spark, sf_dir):
     return _precisions(spark, sf_dir)
 
 
-@query(_whole(_PRECISION_SQL) + "SELECT query_id, precision, n FROM prec")
-def precision_at_k_whole_text(spark, sf_dir):
-    return _precisions(spark, sf_dir, whole=True)
+also("precision_at_k_whole_text", precision_at_k)
 
 
 _RATING_HISTOGRAM_SQL = _PRECISION_SQL + """SELECT CASE WHEN precision >= 80 THEN 'EXCELENTE' WHEN precision >= 60 THEN 'BUENA' WHEN precision >= 40 THEN 'ACEPTABLE' ELSE 'MALA' END AS rating, count(*) AS n, round(avg(precision), 6) AS mean_precision FROM prec GROUP BY 1"""
@@ -293,9 +257,7 @@ def rating_histogram(spark, sf_dir):
     return evaluate.rating_histogram(_precisions(spark, sf_dir))
 
 
-@query(_whole(_RATING_HISTOGRAM_SQL))
-def rating_histogram_whole_text(spark, sf_dir):
-    return evaluate.rating_histogram(_precisions(spark, sf_dir, whole=True))
+also("rating_histogram_whole_text", rating_histogram)
 
 
 _TOP_BOTTOM5_SQL = _PRECISION_SQL + """SELECT query_id, precision, n, 'top' AS list FROM prec QUALIFY row_number() OVER (ORDER BY precision DESC, query_id) <= 5
@@ -307,6 +269,4 @@ def top_bottom5(spark, sf_dir):
     return evaluate.top_bottom(_precisions(spark, sf_dir))
 
 
-@query(_whole(_TOP_BOTTOM5_SQL))
-def top_bottom5_whole_text(spark, sf_dir):
-    return evaluate.top_bottom(_precisions(spark, sf_dir, whole=True))
+also("top_bottom5_whole_text", top_bottom5)

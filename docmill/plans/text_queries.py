@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import text as X
 from docmill.operators import chunk, normalize, quality, store
-from docmill.plans.registry import query
+from docmill.plans.registry import also, query
 from docmill.session import table
 
 
@@ -92,11 +92,12 @@ def link_counts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit('href="[^"]*"')).alias("n_links"))
 
 
-@query()
+@query("""SELECT 'https://example.org/d/sentencia-SGU-' || h || '.pdf' AS pdf_url, h AS uuid, 'CIV 12345/2020' AS expediente, 'Sala ' || page_id AS tribunal, 'A c/ B' AS caratula, '2021-04-03' AS fecha
+  FROM (SELECT page_id, lpad(lower(to_hex(page_id)), 8, 'a') AS h FROM pages)""")
 def result_block_parse(spark, sf_dir):
-    """Blocks made of page urls, as result pages list them."""
-    block = F.concat(F.lit('<a href="/d/sentencia-SGU-'), F.lpad(F.hex("page_id"), 8, "a"), F.lit('.pdf">x</a> Tribunal: Sala '), F.col("page_id"), F.lit("<br>CIV 12345/2020 Carátula: A c/ B<br>Fecha sentencia: 03/04/2021"))
-    return normalize.parse_result_blocks(table(spark, sf_dir, "pages").select(F.lower(block).alias("html")))
+    """Blocks made of page ids, as result pages list them."""
+    block = F.concat(F.lit('<a href="/d/sentencia-SGU-'), F.lpad(F.lower(F.hex("page_id")), 8, "a"), F.lit('.pdf">x</a> Tribunal: Sala '), F.col("page_id"), F.lit("<br>CIV 12345/2020 Carátula: A c/ B<br>Fecha sentencia: 03/04/2021"))
+    return normalize.parse_result_blocks(table(spark, sf_dir, "pages").select(block.alias("html")))
 
 
 @query("""WITH ends(e) AS (VALUES (DATE '2014-02-10'), (DATE '2013-12-31'), (DATE '2013-08-30'))
@@ -117,11 +118,11 @@ def fulltext_store_first_wins(spark, sf_dir):
     return store.fulltext_store(docs, order=("line",))
 
 
-@query("""SELECT CAST(doc_id AS VARCHAR) || '_c' || CAST(doc_id % 3 AS VARCHAR) AS id, CASE WHEN doc_id % 5 = 0 OR length(text) <= least(length(text), 300) THEN substr(text, 1, 300) ELSE text END AS texto FROM documents""")
+@query("""SELECT CAST(doc_id AS VARCHAR) || '_c' || CAST(doc_id % 3 AS VARCHAR) AS id, CASE WHEN lang = 'fr' OR length(text) <= least(length(text), 300) THEN substr(text, 1, 300) ELSE text END AS texto FROM documents""")
 def fulltext_enrich(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     hits = docs.select(F.concat_ws("_c", "doc_id", F.col("doc_id") % 3).alias("id"), F.substring("text", 1, 300).alias("texto"))
-    full = docs.where("doc_id % 5 != 0").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("texto"))
+    full = docs.where("lang <> 'fr'").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("texto"))
     return store.enrich(hits, full)
 
 
@@ -130,13 +131,6 @@ def fts_index_rows(spark, sf_dir):
     return store.index_rows(corpus(spark, sf_dir))
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) < 500 THEN 'texto muy corto (' || length(text) || ' chars)' END AS noise_reason FROM documents
-  WHERE NOT regexp_matches(lower(text), 'art. 280|art[ií]culo 280|desest[ií]mase|desistimiento|dase por desistido|caducidad de instancia')""")
-def quality_filter(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.lower("text").rlike("art. 280|art[ií]culo 280|desest[ií]mase|desistimiento|dase por desistido|caducidad de instancia"))
-    return docs.select("doc_id", quality.noise_reason(F.col("text")).alias("noise_reason"))
-
-
 _NOISE_SQL = """CASE WHEN length(text) < 500 THEN 'texto muy corto (' || length(text) || ' chars)'
   WHEN regexp_matches(lower(text), 'art\\. 280|art[ií]culo 280') AND length(text) < 2000 THEN 'art. 280 CPCCN (' || length(text) || ' chars) - certiorari sin fundamentacion'
   WHEN regexp_matches(lower(text), 'desest[ií]mase') AND length(text) < 1500 THEN 'desestimacion breve (' || length(text) || ' chars)'
@@ -145,10 +139,13 @@ _NOISE_SQL = """CASE WHEN length(text) < 500 THEN 'texto muy corto (' || length(
 
 
 @query(f"SELECT doc_id, {_NOISE_SQL} AS noise_reason FROM documents")
-def quality_filter_all(spark, sf_dir):
+def quality_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", quality.noise_reason(F.col("text")).alias("noise_reason"))
 
 
+also("quality_filter_all", quality_filter)
+
+
 _RULES = ["art. 280", "desestímase", "dase por desistido", "caducidad de instancia", "x"]
 
 
@@ -161,44 +158,34 @@ def quality_split_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.coalesce(F.regexp_extract(reason, r"^([^(]+) \(", 1), F.lit("substantive")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT CAST(doc_id AS VARCHAR) AS source_id, 'inadmisible' AS resultado, 'Pre-filtrado automatico: texto de ' || length(text) || ' caracteres. Sin contenido sustantivo (ruido procesal: art. 280, desestimacion, desistimiento o caducidad). No se envio a agente lector.' AS razon_resultado
-  FROM documents WHERE length(text) < 500""")
-def auto_inadmissible(spark, sf_dir):
-    _, noise = quality.split_quality(corpus(spark, sf_dir).where(F.length("texto") < 500))
-    return quality.auto_inadmissible(noise).select("source_id", "resultado", "razon_resultado")
-
-
 @query(f"""SELECT CAST(doc_id AS VARCHAR) AS source_id, 'inadmisible' AS resultado, 'Pre-filtrado automatico: texto de ' || length(text) || ' caracteres. Sin contenido sustantivo (ruido procesal: art. 280, desestimacion, desistimiento o caducidad). No se envio a agente lector.' AS razon_resultado
   FROM documents WHERE ({_NOISE_SQL}) IS NOT NULL""")
-def auto_inadmissible_all(spark, sf_dir):
+def auto_inadmissible(spark, sf_dir):
     _, noise = quality.split_quality(corpus(spark, sf_dir))
     return quality.auto_inadmissible(noise).select("source_id", "resultado", "razon_resultado")
 
 
-@query(r"""SELECT item_id, CASE WHEN length(t) < 15 THEN 'too_short' WHEN len(regexp_split_to_array(t, '\s+')) < 3 THEN 'few_words' ELSE 'accepted' END AS verdict
-  FROM (SELECT item_id, trim(text) AS t FROM benchmark)""")
-def input_validation_whole_text(spark, sf_dir):
-    return quality.validate_input(table(spark, sf_dir, "benchmark"), "text").select("item_id", "verdict")
+also("auto_inadmissible_all", auto_inadmissible)
 
 
 @query(r"""SELECT item_id, CASE WHEN length(t) < 15 THEN 'too_short' WHEN len(regexp_split_to_array(t, '\s+')) < 3 THEN 'few_words' ELSE 'accepted' END AS verdict
-  FROM (SELECT item_id, trim(substr(text, 1, CAST(item_id % 40 AS INTEGER))) AS t FROM benchmark)""")
+  FROM (SELECT item_id, trim(text) AS t FROM benchmark)""")
 def input_validation(spark, sf_dir):
-    return quality.validate_input(table(spark, sf_dir, "benchmark").select("item_id", F.expr("substring(text, 1, CAST(item_id % 40 AS INT))").alias("t")), "t").select("item_id", "verdict")
+    return quality.validate_input(table(spark, sf_dir, "benchmark"), "text").select("item_id", "verdict")
 
 
-@query("""SELECT event_id, json_extract_string(props, '$.k') AS page FROM events WHERE event_id % 2 = 0""")
-def fenced_json_parse(spark, sf_dir):
-    fenced = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).otherwise(F.col("props"))
-    return table(spark, sf_dir, "events").where("event_id % 2 = 0").select("event_id", F.get_json_object(X.fenced_json(fenced), "$.k").alias("page"))
+also("input_validation_whole_text", input_validation)
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.k') AS page FROM events""")
-def fenced_json_parse_all(spark, sf_dir):
+def fenced_json_parse(spark, sf_dir):
     fenced = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).otherwise(F.col("props"))
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object(X.fenced_json(fenced), "$.k").alias("page"))
 
 
+also("fenced_json_parse_all", fenced_json_parse)
+
+
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type || '|x' WHEN 1 THEN event_type ELSE '' END AS items FROM events""")
 def ensure_list(spark, sf_dir):
     kind = F.col("event_id") % 4

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -12,9 +11,13 @@ from pyspark.sql import functions as F
 
 from docmill.functions.text import search_tokens
 from docmill.operators import analyze, keyword, quality, rank, store, usage, vector
+from docmill.session import once
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
+#: Columns that the keyword search reads.
+KEYWORD_COLUMNS = ("caratula", "texto", "tribunal", "materia")
+
 
 def embed(df: DataFrame, text_col: str, embedder: Embedder, out_col: str = "embedding") -> DataFrame:
     """df with vectors of its texts; the embedder gets whole Arrow batches and is set up once in each worker."""
@@ -50,7 +53,10 @@ def query_text(case: str, fuero: str | None = None, materia: str | None = None)
 
 @dataclass
 class Engine:
-    """chunks: id, embedding and document columns; documents: id, texto, caratula, ...; fulltext: id, texto."""
+    """chunks: id, embedding and document columns; documents: id, texto, caratula, ...; fulltext: id, texto.
+
+    keywords: the folder of a keyword index of the documents (keyword.build_index over KEYWORD_COLUMNS); without one each search reads the documents.
+    """
 
     spark: SparkSession
     chunks: DataFrame
@@ -59,6 +65,7 @@ class Engine:
     embedder: Embedder
     score: Callable[[str], Column] = field(default=lambda q: overlap_score(q, rank.rerank_passage()))
     least: float | None = rank.THRESHOLD
+    keywords: str | None = None
 
     def search(self, case: str, top_k: int = 10, as_of_year: int = 2024, fix_chunk_ids: bool = True, **conditions) -> DataFrame:
         """The best rulings for a case: vectors and keywords, dedup, rerank, threshold, recency, diversity, full texts."""
@@ -66,24 +73,16 @@ class Engine:
         text = query_text(case, fuero, materia)
         near = vector.top_k_relaxed(self.chunks, self.embedder([text])[0], n, materia=materia or fuero, **conditions)
         near = near.withColumn("input_rank", F.row_number().over(_by(F.desc("score"), "id")))
-        hits = keyword.bm25(self.documents, self.spark.createDataFrame([(0, case)], "query_id int, q string"), n, "id", ("caratula", "texto", "tribunal", "materia"))
+        asked = self.spark.createDataFrame([(0, case)], "query_id int, q string")
+        hits = keyword.search_index(self.spark, self.keywords, asked, n) if self.keywords else keyword.bm25(self.documents, asked, n, "id", KEYWORD_COLUMNS)
         found = rank.lookup_hits(hits.select(F.col("doc_id").alias("id"), "rank"), self.chunks, fix_chunk_ids=fix_chunk_ids)
         return store.enrich(rank.funnel(near, found, self.score(text), top_k, as_of_year, self.least), self.fulltext)
 
-    def _once(self, df: DataFrame) -> DataFrame:
-        """df, worked out once: what follows neither searches nor reads again, also when executors are lost."""
-        folder = self.spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            return df.persist()
-        path = f"{folder}/docmill-analysis-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
     def analyze(self, case: str, reader: Callable[[DataFrame], DataFrame], top_k: int = 30, **options) -> dict[str, DataFrame]:
         """Analyses of the best rulings and what follows from them; noise is classified without the reader, which sees each ruling once."""
-        hits = self._once(self.search(case, rank.clamp_top_k(top_k), **options))
+        hits = once(self.search(case, rank.clamp_top_k(top_k), **options), "hits")
         good, noise = quality.split_quality(hits)
-        read = self._once(reader(good))
+        read = once(reader(good), "readings")
         everything = read.unionByName(quality.auto_inadmissible(noise), allowMissingColumns=True)
         return {"analyses": everything, "counts": analyze.outcome_counts(everything), "favourable": analyze.favourable_all(everything), "norms": analyze.norm_frequency(read), "contradictions": analyze.contradictions(read), "saving": quality.saving(noise)}
 

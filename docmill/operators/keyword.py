@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import zlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import or_empty, search_tokens
+from docmill.session import once
 
-#: Query terms that may be broadcast to the scan of the documents.
-BROADCAST_TERMS = 100_000
+#: Query terms that are looked for inside the arrays of tokens; more of them are joined.
+LISTED_TERMS = 5000
 
 
 def query_terms(queries: DataFrame, query_col: str = "q", id_col: str = "query_id") -> DataFrame:
@@ -25,54 +28,103 @@ def _grams(tokens: Column, n: int) -> Column:
     return F.transform(spots, lambda i: F.array_join(F.slice(tokens, i, n), " "))
 
 
-def postings(docs: DataFrame, terms: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """doc_id, term, tf for the phrases in `terms`; a phrase lies within one column."""
-    lengths = [r[0] for r in terms.select("n").distinct().collect()]  # a few small numbers
-    tokens = docs.select(F.col(id_col).alias("doc_id"), *(search_tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)))
-    if not lengths:
-        return tokens.select("doc_id", F.lit("").alias("term"), F.lit(0).cast("long").alias("tf")).limit(0)
-    grams = F.flatten(F.array(*(_grams(F.col(f"t{i}"), n) for i in range(len(columns)) for n in lengths)))
-    own = terms.select("term").distinct()
-    own = F.broadcast(own) if own.count() <= BROADCAST_TERMS else own
-    return tokens.select("doc_id", F.explode(grams).alias("term")).join(own, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+def _asked(terms: DataFrame, column: str = "term") -> list[str] | None:
+    """The different terms, or None if there are more than LISTED_TERMS."""
+    found = [r[0] for r in terms.select(column).distinct().limit(LISTED_TERMS + 1).collect()]
+    return found if len(found) <= LISTED_TERMS else None
 
 
-def doc_lengths(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), sum((F.size(search_tokens(F.col(c))) for c in columns), F.lit(0)).cast("long").alias("dl"))
+def _only(words: Column, asked: list[str] | None) -> Column:
+    return words if asked is None else F.filter(words, lambda w: w.isin(asked))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", columns: tuple[str, ...] = ("text",), k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score, rank: the k best documents of each query, ties by id.
+def _counted(df: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, dl, term, tf of rows (doc_id, dl, hits), for the terms alone. Rows are dealt by document once; counts and scores need no further shuffle."""
+    return df.repartition("doc_id").select("doc_id", "dl", F.explode("hits").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).join(terms.select("term").distinct(), "term", "left_semi")
 
-    A query is its words of more than two characters, or-ed. Term counts and lengths run over all columns; an inverse
-    document frequency that isn't positive counts as 1e-6. Queries without such words and documents without any of them
-    give no rows.
-    """
-    columns = list(columns)
-    terms = query_terms(queries)
-    tf = postings(docs, terms, id_col, columns)
-    lengths = doc_lengths(docs, id_col, columns)
-    n, mean = lengths.agg(F.count("*"), F.avg("dl")).first()
+
+def _bm25(tf: DataFrame, terms: DataFrame, n: int, mean: float | None, k: int, k1: float, b: float) -> DataFrame:
+    """The k best documents of each query by tf (doc_id, dl, term, tf) and the number and mean length of all documents."""
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.when(idf > 0, idf).otherwise(1e-6) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / float(mean or 1)))
-    hits = tf.join(df, "term").join(lengths, "doc_id").select("doc_id", "term", part.alias("part")).join(terms, "term")
+    hits = tf.join(df, "term").select("doc_id", "term", part.alias("part")).join(terms, "term")
     return _best(hits.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")), k)
 
 
+def _tokens(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """doc_id, the tokens t of each column, and their number dl."""
+    out = docs.select(F.col(id_col).alias("doc_id"), F.array(*(search_tokens(F.col(c)) for c in columns)).alias("t"))
+    return out.withColumn("dl", F.size(F.flatten("t")).cast("long"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", columns: tuple[str, ...] = ("text",), k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, doc_id, score, rank: the k best documents of each query, ties by id.
+
+    A query is its words of more than two characters, or-ed; a phrase lies within one column. Term counts and lengths run
+    over all columns; an inverse document frequency that isn't positive counts as 1e-6. Queries without such words and
+    documents without any of them give no rows. Texts are split into tokens once; what stays of a document are its
+    length and the terms that are asked for. To search the same documents often, use build_index().
+    """
+    terms = query_terms(queries)
+    asked, lengths = _asked(terms), [r[0] for r in terms.select("n").distinct().collect()]  # a few small numbers
+    grams = F.flatten(F.transform("t", lambda t: F.flatten(F.array(*(_only(_grams(t, n), asked) for n in lengths or [1])))))
+    seen = once(_tokens(docs, id_col, list(columns)).select("doc_id", "dl", grams.alias("hits")), "keyword-hits")
+    n, mean = seen.agg(F.count("*"), F.avg("dl")).first()
+    return _bm25(_counted(seen, terms), terms, n, mean, k, k1, b)
+
+
+def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", columns: tuple[str, ...] = ("text",), buckets: int = 64) -> None:
+    """Write a keyword index of the documents: one row for each token of a text with its place, sorted by token in buckets, and the number and mean length of the documents.
+
+    Ranges of (bucket, token, document) go to the tasks, so the places of a frequent token are spread over many of them.
+    """
+    tokens = _tokens(docs, id_col, list(columns))
+    places = F.flatten(F.transform("t", lambda t, c: F.transform(t, lambda w, p: F.struct(w.alias("token"), c.alias("column"), p.alias("place")))))
+    rows = tokens.select("doc_id", "dl", F.explode(places).alias("x")).select(_bucket(F.col("x.token"), buckets).alias("bucket"), "x.token", "doc_id", "dl", "x.column", "x.place")
+    order = ["bucket", "token", "doc_id"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order, "column", "place").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), F.lit(buckets).alias("buckets"), F.max("doc_id").alias("last")).write.mode("overwrite").parquet(f"{path}/documents")
+
+
+def _bucket(token: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(token.cast("binary")), F.lit(buckets)).cast("int")
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """bm25() from an index: only the buckets and row groups of the tokens that are asked for are read."""
+    about = spark.read.parquet(f"{path}/documents")
+    n, mean, buckets, _ = about.first()
+    schema = f"token string, doc_id {about.schema['last'].dataType.simpleString()}, dl long, column int, place int, bucket int"
+    terms, postings = query_terms(queries), spark.read.schema(schema).parquet(f"{path}/postings")
+    parts = terms.select("term", "n").distinct().select("term", "n", F.posexplode(F.split("term", " ")).alias("i", "token"))
+    asked = _asked(parts, "token")
+    if asked is not None:
+        own = sorted({zlib.crc32(w.encode()) % buckets for w in asked})
+        postings = postings.where(F.col("bucket").isin(own) & F.col("token").isin(asked))
+    starts = postings.repartition("doc_id").join(parts, "token").groupBy("term", "n", "doc_id", "dl", "column", (F.col("place") - F.col("i")).alias("start")).agg(F.count("*").alias("m")).where("m = n")
+    tf = starts.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    return _bm25(tf, terms, n, mean, k, k1, b)
+
+
 def okapi(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", columns: tuple[str, ...] = ("text",), k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """As bm25(), by the Okapi formula over lower-case words between white space: a negative inverse document frequency counts as a quarter of the mean one."""
+    """As bm25(), by the Okapi formula over lower-case words between white space: a negative inverse document frequency counts as a quarter of the mean one.
+
+    Two passes over the texts: one for the vocabulary, whose row without a term counts the documents and their words, and one for the terms that are asked for.
+    """
     split = lambda *c: F.filter(F.split(F.lower(F.concat_ws(" ", *map(F.col, c))), r"(?U)\s+"), lambda w: w != "")
-    words = docs.select(F.col(id_col).alias("doc_id"), split(*columns).alias("t"))
-    lengths = words.select("doc_id", F.size("t").cast("long").alias("dl"))
-    n, mean = lengths.agg(F.count("*"), F.avg("dl")).first()
-    tf = words.select("doc_id", F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    words = docs.select(F.col(id_col).alias("doc_id"), split(*columns).alias("t")).withColumn("dl", F.size("t").cast("long"))
+    each = words.select("dl", F.explode(F.array_append(F.array_distinct("t"), F.lit(None))).alias("term"))
+    known = once(each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("words")), "vocabulary")
+    n, total = known.where("term IS NULL").select(F.max("df"), F.max("words")).first()
+    n, mean = n or 0, (total or 0) / (n or 1) or 1.0
+    df = known.where("term IS NOT NULL").select("term", "df", F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     floor = df.agg(F.avg("idf")).first()[0] or 0.0
     terms = queries.select("query_id", F.explode(split("q")).alias("term"))
-    part = F.when(F.col("idf") < 0, 0.25 * floor).otherwise(F.col("idf")) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / float(mean or 1)))
-    own = terms.select("term").distinct()
-    scored = tf.join(own, "term", "left_semi").join(df, "term").join(lengths, "doc_id").select("doc_id", "term", part.alias("part"))
+    asked = _asked(terms)
+    tf = _counted(words.select("doc_id", "dl", _only(F.col("t"), asked).alias("hits")), terms)
+    part = F.when(F.col("idf") < 0, 0.25 * floor).otherwise(F.col("idf")) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / float(mean)))
+    scored = tf.join(df if asked is None else df.where(F.col("term").isin(asked)), "term").select("doc_id", "term", part.alias("part"))
     return _best(scored.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")), k)
 
 

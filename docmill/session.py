@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,13 @@ def session(cpus: int | None = None, **conf: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read by Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def once(df: DataFrame, name: str) -> DataFrame:
+    """df, worked out once: written to the folder in spark.checkpoint.dir and read back, so that lost executors cost nothing; kept in the session where that is unset."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        return df.persist()
+    path = f"{folder}/docmill-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

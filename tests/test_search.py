@@ -204,3 +204,31 @@ def test_heavy_rows_are_not_gathered(spark, sf):
 
     plan = lambda n: catalogue.queries()[n](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan("relevance_threshold_min3") and "text" not in plan("strip_heavy_fields").split("Aggregate")[1].split("\n")[0]
+
+
+def test_index_gives_what_bm25_gives(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("title", F.substring("text", 1, 30))
+    first = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    words = docs.where("doc_id < 20").select((F.col("doc_id") + 10_000).alias("query_id"), F.regexp_replace(F.substring("text", 1, 60), r"(\\w+) (\\w+)", "$1.$2").alias("q"))
+    none = spark.createDataFrame([(-1, "a b"), (-2, "zzzqqq"), (-3, None)], "query_id long, q string")
+    queries = first.unionByName(words).unionByName(none)
+    keyword.build_index(docs, str(tmp_path / "index"), columns=("title", "text"), buckets=7)
+    show = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in df.collect())
+    got = show(keyword.search_index(spark, str(tmp_path / "index"), queries, 5))
+    assert got == show(keyword.bm25(docs, queries, 5, columns=("title", "text"))) and len(got) > 100
+    assert min(q for q, *_ in got) >= 0
+
+
+def test_index_of_nothing(spark, sf, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    keyword.build_index(none, str(tmp_path / "index"))
+    assert keyword.search_index(spark, str(tmp_path / "index"), spark.createDataFrame([(0, "alpha")], "query_id int, q string"), 5).count() == 0
+
+
+def test_more_terms_than_are_listed(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    queries = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    show = lambda f: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in f(docs, queries, 5).collect())
+    want = [show(keyword.bm25), show(keyword.okapi)]
+    monkeypatch.setattr(keyword, "LISTED_TERMS", 3)
+    assert [show(keyword.bm25), show(keyword.okapi)] == want

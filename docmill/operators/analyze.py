@@ -45,12 +45,20 @@ def best_per_outcome(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def strategies(df: DataFrame, norms: str = "normas_citadas", example: str = "caratula") -> DataFrame:
-    """By procedural route and doctrine: frequency, success rate, norms, an example, and the rank among winners (from 50 % on, best first) or losers (worst first)."""
-    grouped = df.groupBy("via_procesal", "doctrina_aplicada").agg(
+    """By procedural route and doctrine: frequency, success rate, norms, an example, and the rank among winners (from 50 % on, best first) or losers (worst first).
+
+    Norms are made distinct, with a partial step, before a group's list is gathered, so it grows with the different norms alone; strategy_norms() gives them as rows.
+    """
+    keys = ["via_procesal", "doctrina_aplicada"]
+    cited = df.select(*(F.col(c).alias(f"__{c}") for c in keys), F.explode(norms).alias("__norm")).where("__norm IS NOT NULL").distinct()
+    cited = cited.groupBy(*(f"__{c}" for c in keys)).agg(F.array_sort(F.collect_list("__norm")).alias("leyes_asociadas"))
+    grouped = df.groupBy(*keys).agg(
         F.count("*").alias("frecuencia"), F.round(F.avg(_is("favorable").cast("double")) * 100, 1).alias("tasa_exito"),
-        F.array_sort(F.flatten(F.collect_set(norms))).alias("all_norms"), F.max_by(example, F.struct("score", -F.col("input_rank"))).alias("caso_ejemplo"),
+        F.max_by(example, F.struct("score", -F.col("input_rank"))).alias("caso_ejemplo"),
     )
-    out = grouped.withColumn("leyes_asociadas", F.array_sort(F.array_distinct("all_norms"))).drop("all_norms").withColumn("exitosa", F.col("tasa_exito") >= 50)
+    same = F.expr(" AND ".join(f"{c} <=> __{c}" for c in keys))
+    found = grouped.join(cited, same, "left").select(*grouped.columns, F.coalesce("leyes_asociadas", F.array().cast("array<string>")).alias("leyes_asociadas"))
+    out = found.withColumn("exitosa", F.col("tasa_exito") >= 50)
     by = [F.when(F.col("exitosa"), -F.col("tasa_exito")).otherwise(F.col("tasa_exito")), F.desc("frecuencia"), "via_procesal", "doctrina_aplicada"]
     return out.withColumn("puesto", F.row_number().over(Window.partitionBy("exitosa").orderBy(*by)))
 

@@ -192,6 +192,7 @@ def newest_days(df: DataFrame, day_col: str, year: int | None = None) -> DataFra
 # The patterns below are those of the source's result pages.
 def parse_result_blocks(pages: DataFrame, html_col: str = "html", base: str = "https://example.org") -> DataFrame:
     """One row for each linked ruling in pages of search results: pdf_url, uuid, expediente, tribunal, caratula, fecha."""
+    # The patterns of the source's result pages.
     blocks = pages.select(F.explode(F.split(X.or_empty(F.col(html_col)), r'(?=href="[^"]*sentencia-)')).alias("block"))
     get = lambda p: F.regexp_extract("block", p, 1)
     rows = blocks.withColumn("link", get(r'href="([^"]*sentencia-[^"]+\.pdf[^"]*)"')).where("link != ''")

@@ -27,7 +27,9 @@ def ingest(stream: DataFrame, store: str, checkpoint: str, id_col: str = "id", p
     def upsert(batch: DataFrame, number: int) -> None:
         fresh = first_wins(prepare(batch).withColumn("__at", F.monotonically_increasing_id()), id_col, "__at").drop("__at")
         known = read_store(batch.sparkSession, store, before=number)
-        fresh = fresh if known is None else fresh.join(known.select(id_col), id_col, "left_anti")
+        if known is not None:  # only the ids of the batch leave the scan of the store
+            met = known.select(id_col).join(fresh.select(id_col), id_col, "left_semi")
+            fresh = fresh.join(met, id_col, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -78,13 +78,24 @@ class Engine:
         found = rank.lookup_hits(hits.select(F.col("doc_id").alias("id"), "rank"), self.chunks, fix_chunk_ids=fix_chunk_ids)
         return store.enrich(rank.funnel(near, found, self.score(text), top_k, as_of_year, self.least), self.fulltext)
 
-    def analyze(self, case: str, reader: Callable[[DataFrame], DataFrame], top_k: int = 30, **options) -> dict[str, DataFrame]:
-        """Analyses of the best rulings and what follows from them; noise is classified without the reader, which sees each ruling once."""
+    def analyze_stream(self, case: str, reader: Callable[[DataFrame], DataFrame], top_k: int = 30, **options) -> Iterator[tuple[str, DataFrame]]:
+        """The steps of analyze() by name as each is done: hits, saving, readings, then what follows from them. A caller that stops early runs no later step."""
         hits = once(self.search(case, rank.clamp_top_k(top_k), **options), "hits")
+        yield "hits", hits
         good, noise = quality.split_quality(hits)
+        yield "saving", quality.saving(noise)
         read = once(reader(good), "readings")
+        yield "readings", read
         everything = read.unionByName(quality.auto_inadmissible(noise), allowMissingColumns=True)
-        return {"analyses": everything, "counts": analyze.outcome_counts(everything), "favourable": analyze.favourable_all(everything), "norms": analyze.norm_frequency(read), "contradictions": analyze.contradictions(read), "saving": quality.saving(noise)}
+        yield "analyses", everything
+        for name, f in (("counts", analyze.outcome_counts), ("favourable", analyze.favourable_all)):
+            yield name, f(everything)
+        for name, f in (("norms", analyze.norm_frequency), ("contradictions", analyze.contradictions)):
+            yield name, f(read)
+
+    def analyze(self, case: str, reader: Callable[[DataFrame], DataFrame], top_k: int = 30, **options) -> dict[str, DataFrame]:
+        """Analyses of the best rulings and what follows from them; noise is classified without the reader, which sees each ruling once."""
+        return dict(self.analyze_stream(case, reader, top_k, **options))
 
     def tiers(self) -> DataFrame:
         return usage.tiers(self.spark)

@@ -122,3 +122,17 @@ def fallback_summary(hits: DataFrame) -> DataFrame:
     """Adds resumen (the summary's or the text's first 200 characters) and argumento (the title)."""
     start = lambda c: F.nullif(F.substring(or_empty(F.col(c)), 1, 200), F.lit(""))
     return hits.withColumn("resumen", F.coalesce(start("sumario"), start("texto"), F.lit(""))).withColumn("argumento", or_empty(F.col("caratula")))
+
+
+#: The fields of a ruling's summary.
+SUMMARY = "hechos string, cuestion_juridica string, argumentos_actor string, argumentos_demandado string, resolucion string, doctrina_aplicada string, articulos_citados array<string>"
+
+
+def ruling_summary(df: DataFrame, answer: Column) -> DataFrame:
+    """Adds summary, the fields of SUMMARY read from a summariser's answer in JSON; an answer that is null or no JSON object gives a summary that says so, fields that are missing are empty."""
+    read = F.from_json(answer, SUMMARY)
+    good = F.coalesce(F.schema_of_variant(F.try_parse_json(answer)).startswith("OBJECT"), F.lit(False))
+    texts = [c.split()[0] for c in SUMMARY.split(", ")[:-1]]
+    fields = [F.when(good, F.coalesce(read[c], F.lit(""))).otherwise("Error al procesar el fallo" if c == "hechos" else "").alias(c) for c in texts]
+    cited = F.when(good, read["articulos_citados"])
+    return df.withColumn("summary", F.struct(*fields, F.coalesce(cited, F.array().cast("array<string>")).alias("articulos_citados")))

@@ -75,11 +75,16 @@ def item_title(prefix: str, text: Column, chars: int) -> Column:
     return F.concat(F.lit(prefix), F.substring(text, 1, chars))
 
 
-def ingest_stats(df: DataFrame, status_col: str = "status", total: int | None = None) -> DataFrame:
-    """processed, written, skipped, errors, and the share of `total` in percent (0 without one)."""
+def ingest_stats(df: DataFrame, status_col: str = "status", total: int | None = None, elapsed: float | None = None) -> DataFrame:
+    """processed, written, skipped, errors, and the share of `total` in percent (0 without one); with the seconds elapsed also per_second and eta_minutes (null without a total)."""
     n = lambda s: F.count_if(F.col(status_col) == s).alias(s)
     share = F.round(100.0 * F.count("*") / total, 1) if total else F.lit(0.0)
-    return df.agg(F.count("*").alias("processed"), n("written"), n("skipped"), n("errors"), share.alias("percent"))
+    out = df.agg(F.count("*").alias("processed"), n("written"), n("skipped"), n("errors"), share.alias("percent"))
+    if elapsed is None:
+        return out
+    rate = F.col("processed") / max(elapsed, 1.0)
+    left = (F.lit(total) - F.col("processed")) / F.greatest(rate, F.lit(0.1)) / 60
+    return out.withColumn("per_second", F.round(rate, 1)).withColumn("eta_minutes", F.round(left, 1).cast("double"))
 
 
 def fleet_rollup(servers: DataFrame, goal: int = 1_000_000, per_day: int = 57_000) -> DataFrame:

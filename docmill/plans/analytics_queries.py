@@ -164,6 +164,19 @@ def agent_state_fold(spark, sf_dir):
     return ingest.agent_states(table(spark, sf_dir, "events").select(F.col("user_id").alias("agent_id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq")))
 
 
+@query("SELECT status, count(*) AS n FROM (SELECT arg_max(event_type, event_id) AS status FROM events GROUP BY user_id) GROUP BY status")
+def agent_status_counts(spark, sf_dir):
+    return ingest.agent_counts(table(spark, sf_dir, "events").select(F.col("user_id").alias("agent_id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq")))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'Error al procesar el fallo' ELSE event_type END AS hechos, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS n_articulos FROM events""")
+def ruling_summaries(spark, sf_dir):
+    """Answers of a summariser, those of one type cut short."""
+    answer = F.when(F.col("event_type") == "error", '{"hechos": "x').otherwise(F.to_json(F.struct(F.col("event_type").alias("hechos"), F.array(F.lit("art. 1")).alias("articulos_citados"))))
+    found = analyze.ruling_summary(table(spark, sf_dir, "events"), answer)
+    return found.select("event_id", "summary.hechos", F.size("summary.articulos_citados").alias("n_articulos"))
+
+
 @query(f"""WITH {_A} SELECT doc_id, concat_ws(chr(10), 'Resultado: ' || upper(resultado), 'Carátula: ' || nullif(caratula, ''), 'Vía procesal: ' || via, 'Doctrina: ' || tribunal, chr(10) || 'Normas: ' || nullif(array_to_string(normas[1:8], ', '), '')) AS summary FROM a""")
 def agent_summary_text(spark, sf_dir):
     row = {c: F.col(c) for c in ("resultado", "caratula", "via_procesal", "doctrina_aplicada", "normas_citadas")} | {c: F.lit("N/D") for c in ("hechos_determinantes", "argumento_clave", "relevancia_cliente", "quantum")}

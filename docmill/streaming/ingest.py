@@ -64,6 +64,11 @@ def agent_states(events: DataFrame, order: str = "seq") -> DataFrame:
     return events.where("agent_id IS NOT NULL").groupBy("agent_id").agg(F.max_by("status", order).alias("status"), F.count("*").alias("n_events"))
 
 
+def agent_counts(events: DataFrame, order: str = "seq") -> DataFrame:
+    """The number of agents in each status."""
+    return agent_states(events, order).groupBy("status").agg(F.count("*").alias("n"))
+
+
 def hourly(events: DataFrame, ts: str = "ts", late: str = "2 hours") -> DataFrame:
     """Events and value by hour and type, with a watermark for late rows."""
     timed = events.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late)

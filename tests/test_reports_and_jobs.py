@@ -5,7 +5,9 @@ import json
 from pyspark.sql import functions as F
 
 from docmill import jobs
+from docmill.engine import Engine
 from docmill.functions import report
+from docmill.operators import analyze, usage
 
 
 def test_synthesis_report(spark):
@@ -42,3 +44,37 @@ def test_jobs(spark, tmp_path):
         jobs.main(["ingest", "--source", clean, "--out", stored, "--checkpoint", mark])
     assert jobs.status(spark, stored).first().n == 3
     jobs.main(["status", "--out", stored])
+    synced, history = str(tmp_path / "synced"), str(tmp_path / "history")
+    for _ in range(2):
+        jobs.main(["sync", "--source", clean, "--out", synced, "--checkpoint", str(tmp_path / "mark2"), "--history", history])
+    assert [(r.previous_total, r.new_total, r.new_written) for r in spark.read.parquet(history).orderBy("at").collect()] == [(0, 3, 3), (3, 3, 0)]
+    index, queries, marks = (str(tmp_path / x) for x in ("index", "queries.jsonl", "marks"))
+    (tmp_path / "queries.jsonl").write_text("\n".join(map(json.dumps, [{"query_id": 1, "q": "laboral", "kw": ["t1", "nope"]}, {"query_id": 2, "q": "absent", "kw": ["t1"]}])))
+    jobs.main(["index", "--source", clean, "--out", index])
+    jobs.main(["benchmark", "--source", clean, "--index", index, "--queries", queries, "--out", marks])
+    assert [(r.query_id, round(r.precision), r.n) for r in spark.read.parquet(marks).orderBy("query_id").collect()] == [(1, 33, 3), (2, 0, 0)]
+
+
+def test_ruling_summary(spark):
+    rows = spark.createDataFrame([(1, '{"hechos": "h", "articulos_citados": ["a"]}'), (2, '{"hechos": "h'), (3, None), (4, "[1]")], "id int, answer string")
+    got = {r.id: r.summary for r in analyze.ruling_summary(rows, F.col("answer")).collect()}
+    assert got[1].hechos == "h" and got[1].articulos_citados == ["a"] and got[1].resolucion == ""
+    assert all(got[i].hechos == "Error al procesar el fallo" and got[i].articulos_citados == [] for i in (2, 3, 4))
+
+
+def test_ingest_stats_with_time(spark):
+    rows = spark.createDataFrame([("written",)] * 30 + [("skipped",)] * 30, "status string")
+    got = usage.ingest_stats(rows, total=240, elapsed=30.0).first()
+    assert (got.processed, got.percent, got.per_second, got.eta_minutes) == (60, 25.0, 2.0, 1.5)
+    assert usage.ingest_stats(rows, elapsed=30.0).first().eta_minutes is None
+
+
+def test_analysis_in_steps(spark):
+    docs = spark.createDataFrame([(str(i), f"despido {i}", "despido sin causa " * 60, "T", "laboral", "2020", [1.0, float(i)]) for i in range(5)], "id string, caratula string, texto string, tribunal string, materia string, fecha string, embedding array<double>").withColumn("sumario", F.lit("")).withColumn("source", F.lit("s"))
+    read = []
+    reader = lambda df: read.append(1) or df.select(F.col("id").alias("source_id"), F.lit("favorable").alias("resultado"), F.array(F.lit("l")).alias("normas_citadas"))
+    steps = Engine(spark, docs, docs, docs, lambda texts: [[1.0, 0.0]] * len(texts)).analyze_stream("despido sin causa", reader)
+    assert next(steps)[0] == "hits" and next(steps)[0] == "saving" and not read
+    rest = dict(steps)
+    assert list(rest) == ["readings", "analyses", "counts", "favourable", "norms", "contradictions"] and len(read) == 1
+    assert rest["counts"].first().favorable == 5

@@ -196,10 +196,10 @@ def rerank_pool(spark, sf_dir):
     return rank.rerank_pool(rank.union_dedup(*_searched(spark, sf_dir)), SEARCHED).selectExpr("id", _RANK)
 
 
-@query("""SELECT o_orderkey, round(o_totalprice / 1e6 + CASE WHEN year(o_orderdate) <= 1998 THEN greatest(0.0, 0.15 * (1 - (1998 - year(o_orderdate)) / 30.0)) ELSE 0 END, 6) AS final_score FROM orders""")
+@query("""SELECT o_orderkey, round(o_totalprice / 1e6 + CASE WHEN year(o_orderdate) <= 1998 THEN greatest(0.0, 0.15 * (1 - (1998 - year(o_orderdate)) / 30.0)) ELSE 0 END, 9) AS final_score FROM orders""")
 def recency_boost(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("fecha"), (F.col("o_totalprice") / 1e6).alias("rerank_score"))
-    return rank.boosted(rows, 1998).select("o_orderkey", F.round("final_score", 6).alias("final_score"))
+    return rank.boosted(rows, 1998).select("o_orderkey", F.round("final_score", 9).alias("final_score"))
 
 
 @query(f"""{_LISTS_SQL}, d AS (SELECT *, CASE WHEN tribunal <> '' AND row_number() OVER (PARTITION BY tribunal ORDER BY rk) > {rank.cap_of(SEARCHED)} THEN 1 ELSE 0 END AS over FROM u)

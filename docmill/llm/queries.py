@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import bpe, common, exact_dedup, jaccard, line_dedup, packing, pipeline, sharding, simhash, substring_dedup, toxicity, url_filter
+from docmill.llm import bpe, centroids, codes, common, embedding_dedup, exact_dedup, jaccard, line_dedup, packing, pipeline, sharding, simhash, substring_dedup, toxicity, url_filter
 
 #: The vocabulary of op2 and op7.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -141,6 +141,77 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of embeddings by exact integer k-means."""
+    return centroids.cluster_report(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def _op11_round(n: int) -> str:
+    """The assignment to the centroids c{n}, and the centroids after it."""
+    return f"""
+a{n} AS (
+  SELECT vec_id, v, unnest(best, recursive := true) FROM (
+    SELECT vec_id, v, min({{'distance': list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'cluster': cluster}}) AS best
+    FROM kept, c{n} GROUP BY vec_id, v)
+), m{n} AS (
+  SELECT cluster, list(s ORDER BY i) AS c FROM (
+    SELECT cluster, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS s FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS i FROM a{n}) GROUP BY cluster, i)
+  GROUP BY cluster
+), c{n + 1} AS (SELECT c{n}.cluster, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (cluster))"""
+
+
+OP11_SQL = f"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS (
+  SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1)::INTEGER AS cluster, v AS c FROM kept ORDER BY sha256('1:' || vec_id) LIMIT 16
+), {", ".join(_op11_round(n) for n in range(4))}
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (cluster)
+"""
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of embeddings, and their errors."""
+    return codes.code_report(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def _op12_round(n: int) -> str:
+    """The assignment of all parts to the entries e{n}, and the entries after it."""
+    return f"""
+a{n} AS (
+  SELECT vec_id, label, p, x0, x1, x2, x3, unnest(best, recursive := true) FROM (
+    SELECT q.vec_id, q.label, q.p, x0, x1, x2, x3,
+      min({{'d': (x0 - y0) * (x0 - y0) + (x1 - y1) * (x1 - y1) + (x2 - y2) * (x2 - y2) + (x3 - y3) * (x3 - y3), 'entry': entry}}) AS best
+    FROM parts q JOIN e{n} ON q.p = e{n}.p GROUP BY ALL)
+), m{n} AS (
+  SELECT p, entry, {", ".join(f"floor(sum(x{j})::DOUBLE / count(*))::BIGINT AS z{j}" for j in range(4))} FROM a{n} GROUP BY p, entry
+), e{n + 1} AS (SELECT e.p, e.entry, {", ".join(f"coalesce(z{j}, y{j}) AS y{j}" for j in range(4))} FROM e{n} e LEFT JOIN m{n} m ON e.p = m.p AND e.entry = m.entry)"""
+
+
+OP12_SQL = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), parts AS (
+  SELECT vec_id, label, p, {", ".join(f"v[4 * p + {j + 1}] AS x{j}" for j in range(4))} FROM kept, (SELECT unnest(range(16)) AS p)
+), e0 AS (
+  SELECT p, entry, x0 AS y0, x1 AS y1, x2 AS y2, x3 AS y3
+  FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)
+), {", ".join(_op12_round(n) for n in range(3))},
+books AS (SELECT sha256(string_agg(concat_ws(',', y0, y1, y2, y3), ',' ORDER BY p, entry)) AS h FROM e2),
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM coded, books
+"""
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings whose cosine is 0.95 or more."""
+    return embedding_dedup.near_groups(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -153,9 +224,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard": op8_jaccard,
         "op9_url_filter": op9_url_filter,
         "op10_toxicity": op10_toxicity,
+        "op11_centroids": op11_centroids,
+        "op12_codes": op12_codes,
+        "op13_embedding_dedup": op13_embedding_dedup,
         "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_shard": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_jaccard": OP8_SQL, "op9_url_filter": OP9_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_shard": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_jaccard": OP8_SQL, "op9_url_filter": OP9_SQL, "op11_centroids": OP11_SQL, "op12_codes": OP12_SQL}

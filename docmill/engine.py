@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions.text import search_tokens
 from docmill.operators import analyze, keyword, quality, rank, store, usage, vector
-from docmill.session import once
+from docmill.session import saved, scratch
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
@@ -80,11 +80,11 @@ class Engine:
 
     def analyze_stream(self, case: str, reader: Callable[[DataFrame], DataFrame], top_k: int = 30, **options) -> Iterator[tuple[str, DataFrame]]:
         """The steps of analyze() by name as each is done: hits, saving, readings, then what follows from them. A caller that stops early runs no later step."""
-        hits = once(self.search(case, rank.clamp_top_k(top_k), **options), "hits")
+        hits = saved(self.search(case, rank.clamp_top_k(top_k), **options), "hits")
         yield "hits", hits
         good, noise = quality.split_quality(hits)
         yield "saving", quality.saving(noise)
-        read = once(reader(good), "readings")
+        read = saved(reader(good), "readings")
         yield "readings", read
         everything = read.unionByName(quality.auto_inadmissible(noise), allowMissingColumns=True)
         yield "analyses", everything

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import or_empty, search_tokens
-from docmill.session import once
+from docmill.session import saved
 
 #: Query terms that are looked for inside the arrays of tokens; more of them are joined.
 LISTED_TERMS = 5000
@@ -69,7 +69,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", co
     terms = query_terms(queries)
     asked, lengths = _asked(terms), [r[0] for r in terms.select("n").distinct().collect()]  # a few small numbers
     grams = F.flatten(F.transform("t", lambda t: F.flatten(F.array(*(_only(_grams(t, n), asked) for n in lengths or [1])))))
-    seen = once(_tokens(docs, id_col, list(columns)).select("doc_id", "dl", grams.alias("hits")), "keyword-hits")
+    seen = saved(_tokens(docs, id_col, list(columns)).select("doc_id", "dl", grams.alias("hits")), "keyword-hits")
     n, mean = seen.agg(F.count("*"), F.avg("dl")).first()
     return _bm25(_counted(seen, terms), terms, n, mean, k, k1, b)
 
@@ -115,7 +115,7 @@ def okapi(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", c
     split = lambda *c: F.filter(F.split(F.lower(F.concat_ws(" ", *map(F.col, c))), r"(?U)\s+"), lambda w: w != "")
     words = docs.select(F.col(id_col).alias("doc_id"), split(*columns).alias("t")).withColumn("dl", F.size("t").cast("long"))
     each = words.select("dl", F.explode(F.array_append(F.array_distinct("t"), F.lit(None))).alias("term"))
-    known = once(each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("words")), "vocabulary")
+    known = saved(each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("words")), "vocabulary")
     n, total = known.where("term IS NULL").select(F.max("df"), F.max("words")).first()
     n, mean = n or 0, (total or 0) / (n or 1) or 1.0
     df = known.where("term IS NOT NULL").select("term", "df", F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,58 +40,91 @@ def top_k(df: DataFrame, query: list[float], k: int, vector_col: str = "embeddin
     return scored.orderBy(F.desc_nulls_last("score"), id_col).limit(k)
 
 
-def _best_of_each(scored: DataFrame, k: int, id_col: str, query_col: str) -> DataFrame:
-    order = Window.partitionBy(query_col).orderBy(F.desc_nulls_last(F.round("score", 9)), id_col)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+#: Queries that go to the tasks at a time.
+QUERY_BLOCK = 1024
 
 
-def _against_all(df: DataFrame, asked: DataFrame, vector_col: str, id_col: str, query_col: str) -> DataFrame:
-    """query_id, id, score of all rows for each query; the queries are broadcast to the scan."""
-    return df.select(id_col, vector_col).crossJoin(F.broadcast(asked)).select(query_col, id_col, cosine(F.col(vector_col), F.col("__asked")).alias("score"))
+def usable(vector: Column) -> Column:
+    """Whether a vector has a direction: not null, all components finite, not all zero."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vector.isNotNull() & F.coalesce(finite & F.exists(vector, lambda x: x.cast("double") != 0), F.lit(False))
 
 
-def top_k_each(df: DataFrame, queries: DataFrame, k: int, vector_col: str = "embedding", id_col: str = "id", query_col: str = "query_id") -> DataFrame:
-    """query_id, id, score, rank for every row of queries (query_id and a vector): the k best rows, by nine digits of the score, ties by id."""
-    asked = queries.select(query_col, F.col(vector_col).alias("__asked"))
-    return _best_of_each(_against_all(df, asked, vector_col, id_col, query_col), k, id_col, query_col)
+def units(vectors: list, dims: int) -> np.ndarray:
+    """Vectors of `dims` components as rows of length one."""
+    x = np.array(vectors, np.float64).reshape(-1, dims)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def top_k_relaxed(df: DataFrame, query: list[float], k: int, vector_col: str = "embedding", id_col: str = "id", **conditions) -> DataFrame:
-    """top_k(), without the conditions if no row meets them."""
-    found = top_k(df, query, k, vector_col, id_col, **conditions)
-    return top_k(df, query, k, vector_col, id_col) if found.isEmpty() else found
+def blocks_of_queries(queries: DataFrame, query_col: str, vector_col: str, dims: int) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and unit vectors of the queries, QUERY_BLOCK at a time; the driver holds one block."""
+    names, vectors = [], []
+    for name, v in queries.select(query_col, vector_col).toLocalIterator():
+        names.append(name)
+        vectors.append(v)
+        if len(names) == QUERY_BLOCK:
+            yield names, units(vectors, dims)
+            names, vectors = [], []
+    if names:
+        yield names, units(vectors, dims)
 
 
-def _buckets(df: DataFrame, vector_col: str, bucket: float, tables: int, seed: int):
-    """df with its unit vectors, and the model of their random-projection buckets: for unit vectors nearness in space is nearness in angle."""
-    norm = F.sqrt(dot(F.col(vector_col), F.col(vector_col)))
-    unit = df.withColumn("__unit", array_to_vector(F.transform(F.col(vector_col), lambda x: x.cast("double") / norm)))
-    return unit, BucketedRandomProjectionLSH(inputCol="__unit", outputCol="__buckets", bucketLength=bucket, numHashTables=tables, seed=seed).fit(unit)
+def _block_best(df: DataFrame, names: list, asked: np.ndarray, k: int, kind: str, id_kind: str) -> DataFrame:
+    """query_id, id, score: for each query of a block the k best rows of every batch of df (id, vector), by nine digits, ties by id."""
+    shared = df.sparkSession.sparkContext.broadcast((names, asked))
+    dims = asked.shape[1]
 
+    def run(batches):
+        own, x = shared.value
+        ids = pa.array(own)
+        for b in batches:
+            order = pc.sort_indices(b.column(0), null_placement="at_start").to_numpy()
+            rows = [v for v in b.column(1).take(pa.array(order)).to_pylist()]
+            good = np.array([v is not None and len(v) == dims and None not in v and bool(np.isfinite(v).all()) and any(v) for v in rows], bool)
+            s = np.full((len(x), len(rows)), np.nan)
+            if good.any():
+                s[:, good] = x @ units([v for v, g in zip(rows, good) if g], dims).T
+            # one number orders a row: nine digits of its score, then its place among the ids; none comes after all scores
+            key = np.where(np.isnan(s), -(1 << 31), np.rint(np.nan_to_num(s) * 1e9)).astype(np.int64) * (1 << 31) - np.arange(len(rows))
+            best = np.argpartition(-key, k - 1, axis=1)[:, :k] if k < len(rows) else np.broadcast_to(np.arange(len(rows)), key.shape)
+            score = np.take_along_axis(s, best, 1).reshape(-1)
+            at = pa.array(order[best.reshape(-1)])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(x)), best.shape[1]))), b.column(0).take(at), pa.array(score, mask=np.isnan(score))], ["query_id", "id", "score"])
 
-def approximate_top_k(df: DataFrame, query: list[float], k: int, vector_col: str = "embedding", id_col: str = "id", bucket: float = 0.5, tables: int = 12, seed: int = 5) -> DataFrame:
-    """As top_k(), over rows that share a bucket with the query; over all rows where fewer than k do."""
-    unit, model = _buckets(df, vector_col, bucket, tables, seed)
-    size = sum(x * x for x in query) ** 0.5
-    key = df.sparkSession.createDataFrame([([x / size for x in query],)], "q array<double>").select(array_to_vector("q").alias("__unit")).first()[0]
-    near = model.approxNearestNeighbors(unit, key, k * 20).drop("__unit", "__buckets", "distCol")
-    return top_k(df if near.limit(k).count() < k else near, query, k, vector_col, id_col)
+    return df.mapInArrow(run, f"query_id {kind}, id {id_kind}, score double")
 
 
-def approximate_top_k_each(df: DataFrame, queries: DataFrame, k: int, vector_col: str = "embedding", id_col: str = "id", query_col: str = "query_id", bucket: float = 0.5, tables: int = 12, seed: int = 5) -> DataFrame:
-    """query_id, id, score, rank for every row of queries (query_id and a vector): the k best of the rows that share a bucket with it, ties by id.
+def top_k_each(df: DataFrame, queries: DataFrame, k: int, vector_col: str = "embedding", id_col: str = "id", query_col: str = "query_id") -> DataFrame:
+    """query_id, id, score, rank for every row of queries (query_id and a vector): the k best rows, by nine digits of the score, ties by id.
 
-    Queries with fewer than 20 * k such rows are scored against all rows.
+    Rows without a direction (null, zeros, not finite) or of another length than the query have no score and come last, as all
+    rows do for such a query. Queries go to the tasks in blocks of bounded size, one pass over df each; a batch of rows is scored by one
+    matrix product and gives k rows a query, so no pair leaves a task that can't be among the best.
     """
-    asked = queries.select(query_col, F.col(vector_col).alias("__asked"))
-    unit, model = _buckets(df.select(id_col, vector_col), vector_col, bucket, tables, seed)
-    norm = F.sqrt(dot(F.col("__asked"), F.col("__asked")))
-    keys = asked.withColumn("__unit", array_to_vector(F.transform("__asked", lambda x: x.cast("double") / norm)))
-    near = model.approxSimilarityJoin(unit, keys, float("inf")).select(F.col(f"datasetB.{query_col}").alias(query_col), F.col(f"datasetA.{id_col}").alias(id_col), cosine(F.col(f"datasetA.{vector_col}"), F.col("datasetB.__asked")).alias("score"))
-    enough = near.groupBy(query_col).agg(F.count("*").alias("n")).where(F.col("n") >= 20 * k).select(query_col)
-    rest = asked.join(enough, query_col, "left_anti")
-    scored = near.join(enough, query_col, "left_semi").unionByName(_against_all(df, rest, vector_col, id_col, query_col))
-    return _best_of_each(scored, k, id_col, query_col)
+    c = F.col
+    rows = df.select(c(id_col).alias("id"), c(vector_col).alias("vector"))
+    asked = queries.select(c(query_col).alias("query_id"), c(vector_col).alias("asked"))
+    kind, id_kind = asked.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+    good = asked.where(usable(c("asked")))
+    parts = [
+        _block_best(rows, names, x, k, kind, id_kind)
+        for (dims,) in good.select(F.size("asked")).distinct().collect()  # as many as there are lengths of queries
+        for names, x in blocks_of_queries(good.where(F.size("asked") == dims), "query_id", "asked", dims)
+    ]
+    lost = asked.where(~usable(c("asked"))).select("query_id")
+    if not lost.isEmpty():  # the first rows by id, without a score
+        parts.append(lost.join(rows.select("id").orderBy("id").limit(k), F.lit(True)).select("query_id", "id", F.lit(None).cast("double").alias("score")))
+    found = functools.reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], f"query_id {kind}, id {id_kind}, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last(F.round("score", 9)), "id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select(c("query_id").alias(query_col), c("id").alias(id_col), "score", "rank")
+
+
+def top_k_relaxed(df: DataFrame, query: list[float], k: int, vector_col: str = "embedding", id_col: str = "id", **conditions) -> DataFrame:
+    """top_k(), without the conditions if no row meets them."""
+    found = top_k(df, query, k, vector_col, id_col, **conditions)
+    return top_k(df, query, k, vector_col, id_col) if found.isEmpty() else found
 
 
 def latest_by_id(stored: DataFrame, batch: DataFrame, id_col: str = "id") -> DataFrame:

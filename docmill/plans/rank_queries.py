@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docmill.engine import overlap_score
-from docmill.operators import evaluate, keyword, rank, vector
-from docmill.plans.registry import also, query
+from docmill.operators import evaluate, keyword, rank, vector, vector_index
+from docmill.plans.registry import query
 from docmill.plans.text_queries import CORPUS_SQL, corpus
-from docmill.session import table
+from docmill.session import scratch_path, table
 
 
 def _vectors(spark, sf_dir):
@@ -44,20 +44,33 @@ def vector_filter_fallback(spark, sf_dir):
     return _top(vector.top_k_relaxed(_vectors(spark, sf_dir), _target(spark, sf_dir), 10, id_col="vec_id", label=-1))
 
 
-@query()
-def vector_topk_approximate(spark, sf_dir):
-    return _top(vector.approximate_top_k(_vectors(spark, sf_dir), _target(spark, sf_dir), 10, id_col="vec_id"))
-
-
 def _every_20th(spark, sf_dir):
     return _vectors(spark, sf_dir).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def _indexed(spark, sf_dir) -> str:
+    """The folder of a vector index of all embeddings."""
+    path = scratch_path(spark, "vector-index")
+    vector_index.build_index(_vectors(spark, sf_dir), path, "vec_id", columns=("label",))
+    return path
+
+
+@query()
+def vector_topk_approximate(spark, sf_dir):
+    """For vec_id 0, from the index; with the shares of all rows whose codes were read and that were scored."""
+    asked = _vectors(spark, sf_dir).where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found, n = vector_index.search(spark, _indexed(spark, sf_dir), asked, 10), _vectors(spark, sf_dir).count()
+    return found.select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), (F.col("coded") / n).alias("coded_share"), (F.col("scored") / n).alias("scored_share"))
+
+
 @query()
 def vector_topk_approximate_each(spark, sf_dir):
-    """For every vec_id divisible by 20."""
-    found = vector.approximate_top_k_each(_vectors(spark, sf_dir), _every_20th(spark, sf_dir), 10, id_col="vec_id")
-    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    """For every vec_id divisible by 20, with the shares of all rows whose codes were read and that were scored, and the share of the exact ten that was found."""
+    found, n = vector_index.search(spark, _indexed(spark, sf_dir), _every_20th(spark, sf_dir), 10), _vectors(spark, sf_dir).count()
+    exact = vector.top_k_each(_vectors(spark, sf_dir), _every_20th(spark, sf_dir), 10, id_col="vec_id").select("query_id", F.col("vec_id").alias("id"), F.lit(1).alias("hit"))
+    recall = F.sum("hit").over(Window.partitionBy("query_id")) / F.count("*").over(Window.partitionBy("query_id"))
+    rows = found.join(exact, ["query_id", "id"], "left").withColumn("recall", F.coalesce(recall, F.lit(0.0)))
+    return rows.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank", (F.col("coded") / n).alias("coded_share"), (F.col("scored") / n).alias("scored_share"), "recall")
 
 
 @query("""SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q
@@ -102,9 +115,6 @@ def bm25_topk(spark, sf_dir):
     return _hits(keyword.bm25, spark, sf_dir)
 
 
-also("bm25_topk_whole_text", bm25_topk)
-
-
 _OKAPI_TOP_SQL = r"""
 WITH q AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS term FROM benchmark),
 toks AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS t FROM documents),
@@ -122,9 +132,6 @@ def bm25_okapi_topk(spark, sf_dir):
     return _hits(keyword.okapi, spark, sf_dir)
 
 
-also("bm25_okapi_topk_whole_text", bm25_okapi_topk)
-
-
 def _ranked(df, score: str, id_col: str):
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc(score), id_col)
     return df.withColumn("rank", F.row_number().over(order))
@@ -220,13 +227,6 @@ def hybrid_funnel(spark, sf_dir):
     return rank.funnel(*_searched(spark, sf_dir), score, SEARCHED, 2024).selectExpr("id", _RANK)
 
 
-also("union_dedup_searched", union_dedup)
-also("rerank_pool_searched", rerank_pool)
-also("recency_boost_all", recency_boost)
-also("diversity_searched", diversity_cap_backfill)
-also("hybrid_funnel_searched", hybrid_funnel)
-
-
 def _precisions(spark, sf_dir):
     queries = _bench_queries(spark, sf_dir).withColumn("kw", F.array_distinct(F.filter(F.split("q", " "), lambda w: F.length(w) > 2)))
     hits = keyword.bm25(table(spark, sf_dir, "documents"), queries, 10)
@@ -246,9 +246,6 @@ def precision_at_k(spark, sf_dir):
     return _precisions(spark, sf_dir)
 
 
-also("precision_at_k_whole_text", precision_at_k)
-
-
 _RATING_HISTOGRAM_SQL = _PRECISION_SQL + """SELECT CASE WHEN precision >= 80 THEN 'EXCELENTE' WHEN precision >= 60 THEN 'BUENA' WHEN precision >= 40 THEN 'ACEPTABLE' ELSE 'MALA' END AS rating, count(*) AS n, round(avg(precision), 6) AS mean_precision FROM prec GROUP BY 1"""
 
 
@@ -257,9 +254,6 @@ def rating_histogram(spark, sf_dir):
     return evaluate.rating_histogram(_precisions(spark, sf_dir))
 
 
-also("rating_histogram_whole_text", rating_histogram)
-
-
 _TOP_BOTTOM5_SQL = _PRECISION_SQL + """SELECT query_id, precision, n, 'top' AS list FROM prec QUALIFY row_number() OVER (ORDER BY precision DESC, query_id) <= 5
   UNION ALL SELECT query_id, precision, n, 'bottom' FROM prec QUALIFY row_number() OVER (ORDER BY precision, query_id DESC) <= 5"""
 
@@ -268,5 +262,3 @@ _TOP_BOTTOM5_SQL = _PRECISION_SQL + """SELECT query_id, precision, n, 'top' AS l
 def top_bottom5(spark, sf_dir):
     return evaluate.top_bottom(_precisions(spark, sf_dir))
 
-
-also("top_bottom5_whole_text", top_bottom5)

@@ -22,10 +22,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
-
-
-def also(name: str, f: Query) -> None:
-    """Register a registered query under a second name."""
-    QUERIES[name] = f
-    if f.__name__ in SQL:
-        SQL[name] = SQL[f.__name__]

@@ -167,10 +167,6 @@ def test_vector_search(spark):
     assert [r.id for r in vector.top_k(df, [1.0, 0.1], 3).collect()] == [1, 2, 3]
     assert [r.id for r in vector.top_k(df, [1.0, 0.1], 9, label="a").collect()][:2] == [1, 3]
     assert vector.top_k_relaxed(df, [1.0, 0.1], 2, label="zzz").count() == 2
-    near = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").withColumnRenamed("vec_id", "id")
-    q = list(near.where("id = 0").first().embedding)
-    exact, approx = ({r.id for r in f(near, q, 10).collect()} for f in (vector.top_k, vector.approximate_top_k))
-    assert len(exact & approx) >= 8
 
 
 def test_ties_beyond_k_go_to_the_smallest_ids(spark):
@@ -181,23 +177,6 @@ def test_ties_beyond_k_go_to_the_smallest_ids(spark):
     assert sorted(r.id for r in vector.top_k(near, [1.0, 0.0], 10, digits=6).collect()) == list(range(10))
 
 
-def test_few_in_a_bucket_fall_back(spark):
-    rows = [(i, [1.0 if j == i else 0.0 for j in range(20)]) for i in range(20)]
-    df = spark.createDataFrame(rows, "id int, embedding array<double>")
-    assert vector.approximate_top_k(df, rows[0][1], 10, bucket=1e-6).count() == 10
-    each = vector.approximate_top_k_each(df, df.withColumnRenamed("id", "query_id"), 10, bucket=1e-6)
-    assert {(r.query_id, r.n) for r in each.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {(i, 10) for i in range(20)}
-
-
-def test_mean_recall_on_the_largest_table(spark):
-    """Every vec_id divisible by 20, each against all rows."""
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").withColumnRenamed("vec_id", "id")
-    asked = df.where("id % 20 = 0").withColumnRenamed("id", "query_id")
-    exact, approx = ({(r.query_id, r.id) for r in f(df, asked, 10).collect()} for f in (vector.top_k_each, vector.approximate_top_k_each))
-    print("recall", len(exact & approx) / len(exact))
-    assert len(exact) == 10 * df.where("id % 20 = 0").count() and len(exact & approx) / len(exact) >= 0.9
-
-
 def test_heavy_rows_are_not_gathered(spark, sf):
     """No single window over a whole table, no text in a conversation's row."""
     from docmill.plans import catalogue

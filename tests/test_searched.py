@@ -46,14 +46,14 @@ def want(spark, sf):
     asked_tokens = set(tokens(asked))
     share = {i: len(asked_tokens & set(tokens(" ".join([docs[i].text[:40], docs[i].text[: 80 * (i % 2 == 0)], docs[i].text])))) / len(asked_tokens) for i in pool[:200]}
     best = [i for i in sorted(pool[:200], key=lambda i: -share[i]) if share[i] >= 0.1]
-    return {"union_dedup": union, "rerank_pool": union[:200], "diversity": diverse(union, docs, 100), "hybrid_funnel": diverse(best, docs, 100) if len(best) >= 3 else []}
+    return {"union_dedup": union, "rerank_pool": union[:200], "diversity_cap_backfill": diverse(union, docs, 100), "hybrid_funnel": diverse(best, docs, 100) if len(best) >= 3 else []}
 
 
-@pytest.mark.parametrize("name", ["union_dedup", "rerank_pool", "diversity", "hybrid_funnel"])
+@pytest.mark.parametrize("name", ["union_dedup", "rerank_pool", "diversity_cap_backfill", "hybrid_funnel"])
 def test_searched(spark, sf, want, name):
-    rows = catalogue.queries()[f"{name}_searched"](spark, sf).orderBy("input_rank").collect()
+    rows = catalogue.queries()[name](spark, sf).orderBy("input_rank").collect()
     assert [int(r.id) for r in rows] == want[name] and len(rows) > 60
 
 
 def test_all_orders_count(spark, sf):
-    assert catalogue.queries()["recency_boost_all"](spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count() > 300
+    assert catalogue.queries()["recency_boost"](spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count() > 300

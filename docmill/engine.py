@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions.text import search_tokens
-from docmill.operators import analyze, keyword, quality, rank, store, usage, vector
+from docmill.operators import analyze, keyword, keyword_index, quality, rank, store, usage, vector
 from docmill.session import saved, scratch
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -55,7 +55,7 @@ def query_text(case: str, fuero: str | None = None, materia: str | None = None)
 class Engine:
     """chunks: id, embedding and document columns; documents: id, texto, caratula, ...; fulltext: id, texto.
 
-    keywords: the folder of a keyword index of the documents (keyword.build_index over KEYWORD_COLUMNS); without one each search reads the documents.
+    keywords: the folder of a keyword index of the documents (keyword_index.build_index over KEYWORD_COLUMNS); without one each search reads the documents.
     """
 
     spark: SparkSession
@@ -74,7 +74,7 @@ class Engine:
         near = vector.top_k_relaxed(self.chunks, self.embedder([text])[0], n, materia=materia or fuero, **conditions)
         near = near.withColumn("input_rank", F.row_number().over(_by(F.desc("score"), "id")))
         asked = self.spark.createDataFrame([(0, case)], "query_id int, q string")
-        hits = keyword.search_index(self.spark, self.keywords, asked, n) if self.keywords else keyword.bm25(self.documents, asked, n, "id", KEYWORD_COLUMNS)
+        hits = keyword_index.search_index(self.spark, self.keywords, asked, n) if self.keywords else keyword.bm25(self.documents, asked, n, "id", KEYWORD_COLUMNS)
         found = rank.lookup_hits(hits.select(F.col("doc_id").alias("id"), "rank"), self.chunks, fix_chunk_ids=fix_chunk_ids)
         return store.enrich(rank.funnel(near, found, self.score(text), top_k, as_of_year, self.least), self.fulltext)
 

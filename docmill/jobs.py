@@ -44,7 +44,7 @@ def run_ingest(spark: SparkSession, source: str, out: str, checkpoint: str) -> N
 
 def run_index(spark: SparkSession, source: str, out: str) -> None:
     """The keyword index of clean documents."""
-    keyword.build_index(store.index_rows(jsonl.documents(spark, source, "*.json*")), out, "doc_id", KEYWORD_COLUMNS)
+    keyword_index.build_index(store.index_rows(jsonl.documents(spark, source, "*.json*")), out, "doc_id", KEYWORD_COLUMNS)
 
 
 def run_sync(spark: SparkSession, source: str, out: str, checkpoint: str, history: str) -> None:
@@ -61,7 +61,7 @@ def run_benchmark(spark: SparkSession, source: str, index: str, queries: str, ou
     """Precision of keyword searches, at ten hits each: JSON lines (query_id, q, kw) against the index of the documents in `source`."""
     asked = spark.read.schema("query_id long, q string, kw array<string>").json(queries)
     texts = store.fulltext_store(jsonl.documents(spark, source, "*.json*", places=True), order=("file", "block", "line")).select(F.col("id").alias("doc_id"), "texto")
-    hits = keyword.search_index(spark, index, asked, 10).join(texts, "doc_id").join(asked, "query_id")
+    hits = keyword_index.search_index(spark, index, asked, 10).join(texts, "doc_id").join(asked, "query_id")
     evaluate.precision(asked, evaluate.relevant(hits)).write.mode("overwrite").parquet(out)
 
 

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-import zlib
+import functools
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import or_empty, search_tokens
 from docmill.session import saved
 
-#: Query terms that are looked for inside the arrays of tokens; more of them are joined.
+#: Query terms that are looked for inside the arrays of tokens, or named in a scan's filter; of more of them all tokens stay.
 LISTED_TERMS = 5000
+#: Queries that go to the tasks at a time, numbers in their matrix of weights, and in a matrix of scores.
+QUERY_BLOCK, CELLS, MATRIX = 1024, 1 << 23, 1 << 22
 
 
 def query_terms(queries: DataFrame, query_col: str = "q", id_col: str = "query_id") -> DataFrame:
@@ -34,22 +40,14 @@ def _asked(terms: DataFrame, column: str = "term") -> list[str] | None:
     return found if len(found) <= LISTED_TERMS else None
 
 
-def _only(words: Column, asked: list[str] | None) -> Column:
-    return words if asked is None else F.filter(words, lambda w: w.isin(asked))
+def quoted(words: list[str]) -> str:
+    """The words as a list in SQL: one expression, where literals one by one would each be a call to the JVM."""
+    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
 
 
-def _counted(df: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, dl, term, tf of rows (doc_id, dl, hits), for the terms alone. Rows are dealt by document once; counts and scores need no further shuffle."""
-    return df.repartition("doc_id").select("doc_id", "dl", F.explode("hits").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).join(terms.select("term").distinct(), "term", "left_semi")
-
-
-def _bm25(tf: DataFrame, terms: DataFrame, n: int, mean: float | None, k: int, k1: float, b: float) -> DataFrame:
-    """The k best documents of each query by tf (doc_id, dl, term, tf) and the number and mean length of all documents."""
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.when(idf > 0, idf).otherwise(1e-6) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / float(mean or 1)))
-    hits = tf.join(df, "term").select("doc_id", "term", part.alias("part")).join(terms, "term")
-    return _best(hits.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")), k)
+def _only(df: DataFrame, column: str, asked: list[str] | None) -> DataFrame:
+    """df with only the asked terms in a column of terms; all of them if there are too many to list."""
+    return df if asked is None else df.withColumn(column, F.expr(f"filter({column}, w -> w IN ({quoted(asked)}))") if asked else F.expr(f"filter({column}, w -> false)"))
 
 
 def _tokens(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
@@ -58,53 +56,88 @@ def _tokens(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     return out.withColumn("dl", F.size(F.flatten("t")).cast("long"))
 
 
+def blocks_of_terms(terms: DataFrame) -> Iterator[dict]:
+    """The terms of each query by its id, with a number for a term that it holds several times. A block has QUERY_BLOCK queries at most, and no more than CELLS pairs of its queries and its terms unless it is a single query."""
+    block: dict = {}
+    known: set[str] = set()
+    for name, own in terms.groupBy("query_id", "term").agg(F.count("*").alias("c")).groupBy("query_id").agg(F.collect_list(F.struct("term", "c")).alias("own")).toLocalIterator():
+        more = {r.term: r.c for r in own}
+        if block and (len(block) == QUERY_BLOCK or (len(block) + 1) * len(known | more.keys()) > CELLS):
+            yield block
+            block, known = {}, set()
+        block[name] = more
+        known |= more.keys()
+    if block:
+        yield block
+
+
+def _scored(seen: DataFrame, weights: DataFrame, terms: DataFrame, k: int, mean: float, k1: float, b: float) -> DataFrame:
+    """query_id, doc_id, score, rank: the k best rows of seen (doc_id, dl, hits: its asked terms, as often as it has them) for each query.
+
+    weights: term, weight. A batch of rows is a matrix of term parts, the queries of a block another one of weights; of their product each
+    batch gives the k best rows a query. Rows without any term of a query are none of its hits.
+    """
+    spark, kind = seen.sparkSession, seen.schema["doc_id"].dataType.simpleString()
+    query_kind = terms.schema["query_id"].dataType.simpleString()
+    parts = []
+    for block in blocks_of_terms(terms):
+        place = {t: i for i, t in enumerate(dict.fromkeys(t for own in block.values() for t in own))}
+        known = weights.where(F.expr(f"term IN ({quoted(list(place))})")) if len(place) <= LISTED_TERMS else weights.join(F.broadcast(spark.createDataFrame([(t,) for t in place], "term string")), "term")
+        weight = dict(known.select("term", "weight").collect())
+        if not weight:
+            continue
+        table = np.zeros((len(place), len(block)))
+        for q, own in enumerate(block.values()):
+            for t, c in own.items():
+                table[place[t], q] = c * weight.get(t, 0.0)
+        shared = spark.sparkContext.broadcast((list(block), place, table))
+
+        def run(batches, shared=shared):
+            names, place, table = shared.value
+            own, vocabulary = pa.array(names), pa.array(list(place), pa.string())
+            ask = (table != 0).astype(np.float32)
+            for whole in batches:
+                step = max(1, MATRIX // max(table.shape))
+                for start in range(0, whole.num_rows, step):
+                    batch = whole.slice(start, step)
+                    at = pc.index_in(batch.column(2).flatten(), vocabulary)
+                    known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+                    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))[known]
+                    tf = np.zeros((batch.num_rows, len(place)))
+                    np.add.at(tf, (row, at.to_numpy(zero_copy_only=False)[known].astype(np.int64)), 1)
+                    length = batch.column(1).to_numpy(zero_copy_only=False).astype(float)[:, None]
+                    score = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))) @ table
+                    hit = ((tf > 0).astype(np.float32) @ ask) > 0
+                    order = pc.sort_indices(batch.column(0)).to_numpy()
+                    key = np.where(hit, np.rint(score * 1e9), -np.inf)[order]
+                    best = np.argsort(-key, axis=0, kind="stable")[:k]
+                    i, q = order[best].T.reshape(-1), np.repeat(np.arange(len(names)), len(best))
+                    there = hit[i, q]
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(q[there])), batch.column(0).take(pa.array(i[there])), pa.array(score[i, q][there])], ["query_id", "doc_id", "score"])
+
+        parts.append(seen.select("doc_id", "dl", "hits").mapInArrow(run, f"query_id {query_kind}, doc_id {kind}, score double"))
+    if not parts:
+        return spark.createDataFrame([], f"query_id {query_kind}, doc_id {kind}, score double, rank int")
+    return _best(functools.reduce(DataFrame.unionByName, parts), k)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", columns: tuple[str, ...] = ("text",), k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, doc_id, score, rank: the k best documents of each query, ties by id.
 
     A query is its words of more than two characters, or-ed; a phrase lies within one column. Term counts and lengths run
     over all columns; an inverse document frequency that isn't positive counts as 1e-6. Queries without such words and
     documents without any of them give no rows. Texts are split into tokens once; what stays of a document are its
-    length and the terms that are asked for. To search the same documents often, use build_index().
+    length and the terms that are asked for. To search the same documents often, use keyword_index.
     """
     terms = query_terms(queries)
     asked, lengths = _asked(terms), [r[0] for r in terms.select("n").distinct().collect()]  # a few small numbers
-    grams = F.flatten(F.transform("t", lambda t: F.flatten(F.array(*(_only(_grams(t, n), asked) for n in lengths or [1])))))
-    seen = saved(_tokens(docs, id_col, list(columns)).select("doc_id", "dl", grams.alias("hits")), "keyword-hits")
+    grams = F.flatten("t") if lengths == [1] else F.flatten(F.transform("t", lambda t: F.flatten(F.array(*(_grams(t, n) for n in lengths or [1])))))
+    seen = saved(_only(_tokens(docs, id_col, list(columns)).select("doc_id", "dl", grams.alias("hits")), "hits", asked), "keyword-hits")
     n, mean = seen.agg(F.count("*"), F.avg("dl")).first()
-    return _bm25(_counted(seen, terms), terms, n, mean, k, k1, b)
-
-
-def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", columns: tuple[str, ...] = ("text",), buckets: int = 64) -> None:
-    """Write a keyword index of the documents: one row for each token of a text with its place, sorted by token in buckets, and the number and mean length of the documents.
-
-    Ranges of (bucket, token, document) go to the tasks, so the places of a frequent token are spread over many of them.
-    """
-    tokens = _tokens(docs, id_col, list(columns))
-    places = F.flatten(F.transform("t", lambda t, c: F.transform(t, lambda w, p: F.struct(w.alias("token"), c.alias("column"), p.alias("place")))))
-    rows = tokens.select("doc_id", "dl", F.explode(places).alias("x")).select(_bucket(F.col("x.token"), buckets).alias("bucket"), "x.token", "doc_id", "dl", "x.column", "x.place")
-    order = ["bucket", "token", "doc_id"]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order, "column", "place").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), F.lit(buckets).alias("buckets"), F.max("doc_id").alias("last")).write.mode("overwrite").parquet(f"{path}/documents")
-
-
-def _bucket(token: Column, buckets: int) -> Column:
-    return F.pmod(F.crc32(token.cast("binary")), F.lit(buckets)).cast("int")
-
-
-def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """bm25() from an index: only the buckets and row groups of the tokens that are asked for are read."""
-    about = spark.read.parquet(f"{path}/documents")
-    n, mean, buckets, _ = about.first()
-    schema = f"token string, doc_id {about.schema['last'].dataType.simpleString()}, dl long, column int, place int, bucket int"
-    terms, postings = query_terms(queries), spark.read.schema(schema).parquet(f"{path}/postings")
-    parts = terms.select("term", "n").distinct().select("term", "n", F.posexplode(F.split("term", " ")).alias("i", "token"))
-    asked = _asked(parts, "token")
-    if asked is not None:
-        own = sorted({zlib.crc32(w.encode()) % buckets for w in asked})
-        postings = postings.where(F.col("bucket").isin(own) & F.col("token").isin(asked))
-    starts = postings.repartition("doc_id").join(parts, "token").groupBy("term", "n", "doc_id", "dl", "column", (F.col("place") - F.col("i")).alias("start")).agg(F.count("*").alias("m")).where("m = n")
-    tf = starts.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    return _bm25(tf, terms, n, mean, k, k1, b)
+    df = seen.select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = df.select("term", F.when(idf > 0, idf).otherwise(1e-6).alias("weight"))
+    return _scored(seen, weights, terms.select("query_id", "term"), k, float(mean or 1), k1, b)
 
 
 def okapi(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", columns: tuple[str, ...] = ("text",), k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -121,11 +154,9 @@ def okapi(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", c
     df = known.where("term IS NOT NULL").select("term", "df", F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     floor = df.agg(F.avg("idf")).first()[0] or 0.0
     terms = queries.select("query_id", F.explode(split("q")).alias("term"))
-    asked = _asked(terms)
-    tf = _counted(words.select("doc_id", "dl", _only(F.col("t"), asked).alias("hits")), terms)
-    part = F.when(F.col("idf") < 0, 0.25 * floor).otherwise(F.col("idf")) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / float(mean)))
-    scored = tf.join(df if asked is None else df.where(F.col("term").isin(asked)), "term").select("doc_id", "term", part.alias("part"))
-    return _best(scored.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")), k)
+    seen = _only(words.select("doc_id", "dl", F.col("t").alias("hits")), "hits", _asked(terms))
+    weights = df.select("term", F.when(F.col("idf") < 0, 0.25 * floor).otherwise(F.col("idf")).alias("weight"))
+    return _scored(seen, weights, terms, k, float(mean), k1, b)
 
 
 def _best(scores: DataFrame, k: int) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docmill.engine import overlap_score
-from docmill.operators import evaluate, keyword, rank, vector, vector_index
+from docmill.operators import evaluate, keyword, keyword_index, rank, vector, vector_index
 from docmill.plans.registry import query
 from docmill.plans.text_queries import CORPUS_SQL, corpus
-from docmill.session import scratch_path, table
+from docmill.session import scratch_path, spread, table
 
 
 def _vectors(spark, sf_dir):
@@ -86,7 +86,7 @@ def _bench_queries(spark, sf_dir):
 
 
 def _hits(search, spark, sf_dir):
-    hits = search(table(spark, sf_dir, "documents"), _bench_queries(spark, sf_dir), 10)
+    hits = search(spread(table(spark, sf_dir, "documents")), _bench_queries(spark, sf_dir), 10)
     return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -115,6 +115,23 @@ def bm25_topk(spark, sf_dir):
     return _hits(keyword.bm25, spark, sf_dir)
 
 
+def _index_hits(spark, sf_dir, report: bool):
+    path = scratch_path(spark, "keyword-index")
+    keyword_index.build_index(spread(table(spark, sf_dir, "documents")), path)
+    return keyword_index.search_index(spark, path, _bench_queries(spark, sf_dir), 10, report)
+
+
+@query(_BM25_TOP_SQL)
+def keyword_index_topk(spark, sf_dir):
+    return _index_hits(spark, sf_dir, False).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def keyword_index_opened(spark, sf_dir):
+    """How many of the blocks of its terms each benchmark text opens."""
+    return _index_hits(spark, sf_dir, True).groupBy("query_id", "opened", "blocks").agg(F.count("*").alias("hits"))
+
+
 _OKAPI_TOP_SQL = r"""
 WITH q AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS term FROM benchmark),
 toks AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS t FROM documents),
@@ -229,7 +246,7 @@ def hybrid_funnel(spark, sf_dir):
 
 def _precisions(spark, sf_dir):
     queries = _bench_queries(spark, sf_dir).withColumn("kw", F.array_distinct(F.filter(F.split("q", " "), lambda w: F.length(w) > 2)))
-    hits = keyword.bm25(table(spark, sf_dir, "documents"), queries, 10)
+    hits = keyword.bm25(spread(table(spark, sf_dir, "documents")), queries, 10)
     found = hits.join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("texto")), "doc_id").join(queries, "query_id")
     return evaluate.precision(queries, evaluate.relevant(found))
 

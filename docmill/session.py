@@ -36,6 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew where it is read by fewer tasks than there are cores, as a small file of one row group is; for work that takes far longer than a shuffle of the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < 4 * cores and len(df.inputFiles()) < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir. Where that is unset, a temporary folder in local mode, as in tests; on a cluster an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill.engine import Engine, embed, overlap_score, read_rulings
-from docmill.operators import analyze, evaluate, keyword, quality, rank, store, usage, vector
+from docmill.operators import analyze, evaluate, keyword, keyword_index, quality, rank, store, usage, vector
 from docmill.sources import jsonl
 from docmill.streaming import ingest
 
@@ -191,17 +191,17 @@ def test_index_gives_what_bm25_gives(spark, sf, tmp_path):
     words = docs.where("doc_id < 20").select((F.col("doc_id") + 10_000).alias("query_id"), F.regexp_replace(F.substring("text", 1, 60), r"(\\w+) (\\w+)", "$1.$2").alias("q"))
     none = spark.createDataFrame([(-1, "a b"), (-2, "zzzqqq"), (-3, None)], "query_id long, q string")
     queries = first.unionByName(words).unionByName(none)
-    keyword.build_index(docs, str(tmp_path / "index"), columns=("title", "text"), buckets=7)
+    keyword_index.build_index(docs, str(tmp_path / "index"), columns=("title", "text"), buckets=7)
     show = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in df.collect())
-    got = show(keyword.search_index(spark, str(tmp_path / "index"), queries, 5))
+    got = show(keyword_index.search_index(spark, str(tmp_path / "index"), queries, 5))
     assert got == show(keyword.bm25(docs, queries, 5, columns=("title", "text"))) and len(got) > 100
     assert min(q for q, *_ in got) >= 0
 
 
 def test_index_of_nothing(spark, sf, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string")
-    keyword.build_index(none, str(tmp_path / "index"))
-    assert keyword.search_index(spark, str(tmp_path / "index"), spark.createDataFrame([(0, "alpha")], "query_id int, q string"), 5).count() == 0
+    keyword_index.build_index(none, str(tmp_path / "index"))
+    assert keyword_index.search_index(spark, str(tmp_path / "index"), spark.createDataFrame([(0, "alpha")], "query_id int, q string"), 5).count() == 0
 
 
 def test_more_terms_than_are_listed(spark, sf, monkeypatch):

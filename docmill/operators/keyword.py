@@ -90,11 +90,11 @@ def _scored(seen: DataFrame, weights: DataFrame, terms: DataFrame, k: int, mean:
         for q, own in enumerate(block.values()):
             for t, c in own.items():
                 table[place[t], q] = c * weight.get(t, 0.0)
-        shared = spark.sparkContext.broadcast((list(block), place, table))
+        shared = spark.sparkContext.broadcast((place, table))
 
         def run(batches, shared=shared):
-            names, place, table = shared.value
-            own, vocabulary = pa.array(names), pa.array(list(place), pa.string())
+            place, table = shared.value
+            vocabulary = pa.array(list(place), pa.string())
             ask = (table != 0).astype(np.float32)
             for whole in batches:
                 step = max(1, MATRIX // max(table.shape))
@@ -111,11 +111,13 @@ def _scored(seen: DataFrame, weights: DataFrame, terms: DataFrame, k: int, mean:
                     order = pc.sort_indices(batch.column(0)).to_numpy()
                     key = np.where(hit, np.rint(score * 1e9), -np.inf)[order]
                     best = np.argsort(-key, axis=0, kind="stable")[:k]
-                    i, q = order[best].T.reshape(-1), np.repeat(np.arange(len(names)), len(best))
+                    i, q = order[best].T.reshape(-1), np.repeat(np.arange(table.shape[1]), len(best))
                     there = hit[i, q]
-                    yield pa.RecordBatch.from_arrays([own.take(pa.array(q[there])), batch.column(0).take(pa.array(i[there])), pa.array(score[i, q][there])], ["query_id", "doc_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(q[there], pa.int32()), batch.column(0).take(pa.array(i[there])), pa.array(score[i, q][there])], ["q", "doc_id", "score"])
 
-        parts.append(seen.select("doc_id", "dl", "hits").mapInArrow(run, f"query_id {query_kind}, doc_id {kind}, score double"))
+        names = spark.createDataFrame(list(enumerate(block)), f"q int, query_id {query_kind}")
+        found = seen.select("doc_id", "dl", "hits").mapInArrow(run, f"q int, doc_id {kind}, score double")
+        parts.append(found.join(F.broadcast(names), "q").select("query_id", "doc_id", "score"))
     if not parts:
         return spark.createDataFrame([], f"query_id {query_kind}, doc_id {kind}, score double, rank int")
     return _best(functools.reduce(DataFrame.unionByName, parts), k)

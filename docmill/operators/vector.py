@@ -72,12 +72,11 @@ def blocks_of_queries(queries: DataFrame, query_col: str, vector_col: str, dims:
 
 def _block_best(df: DataFrame, names: list, asked: np.ndarray, k: int, kind: str, id_kind: str) -> DataFrame:
     """query_id, id, score: for each query of a block the k best rows of every batch of df (id, vector), by nine digits, ties by id."""
-    shared = df.sparkSession.sparkContext.broadcast((names, asked))
+    shared = df.sparkSession.sparkContext.broadcast(asked)
     dims = asked.shape[1]
 
     def run(batches):
-        own, x = shared.value
-        ids = pa.array(own)
+        x = shared.value
         for b in batches:
             order = pc.sort_indices(b.column(0), null_placement="at_start").to_numpy()
             rows = [v for v in b.column(1).take(pa.array(order)).to_pylist()]
@@ -90,9 +89,10 @@ def _block_best(df: DataFrame, names: list, asked: np.ndarray, k: int, kind: str
             best = np.argpartition(-key, k - 1, axis=1)[:, :k] if k < len(rows) else np.broadcast_to(np.arange(len(rows)), key.shape)
             score = np.take_along_axis(s, best, 1).reshape(-1)
             at = pa.array(order[best.reshape(-1)])
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(x)), best.shape[1]))), b.column(0).take(at), pa.array(score, mask=np.isnan(score))], ["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(x)), best.shape[1]), pa.int32()), b.column(0).take(at), pa.array(score, mask=np.isnan(score))], ["q", "id", "score"])
 
-    return df.mapInArrow(run, f"query_id {kind}, id {id_kind}, score double")
+    told = df.sparkSession.createDataFrame(list(enumerate(names)), f"q int, query_id {kind}")
+    return df.mapInArrow(run, f"q int, id {id_kind}, score double").join(F.broadcast(told), "q").select("query_id", "id", "score")
 
 
 def top_k_each(df: DataFrame, queries: DataFrame, k: int, vector_col: str = "embedding", id_col: str = "id", query_col: str = "query_id") -> DataFrame:

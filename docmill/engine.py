@@ -15,6 +15,8 @@ from docmill.session import saved, scratch
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
+#: Rulings that a reader gets at a time.
+READ_TOGETHER = 50
 #: Columns that the keyword search reads.
 KEYWORD_COLUMNS = ("caratula", "texto", "tribunal", "materia")
 
@@ -30,14 +32,59 @@ def embed(df: DataFrame, text_col: str, embedder: Embedder, out_col: str = "embe
     return df.withColumn(out_col, run(F.col(text_col)))
 
 
-def read_rulings(df: DataFrame, reader: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A reader's analyses, a batch at a time; rows it returns nothing for fall out."""
+def read_each(df: DataFrame, reader: Callable[[pd.DataFrame], pd.DataFrame], schema: str, id_col: str = "id", retries: int = 2) -> DataFrame:
+    """A reader's analyses (`schema`) of each ruling, with its id as source_key, an error and the number of attempts.
+
+    The reader gets a batch at a time. Where it fails, each ruling of the batch is read by itself, up to `retries` times more; one that
+    fails each time gives a row with the error alone. Attempts count every call a ruling was part of, so that calls which gave nothing are
+    paid for as well. Rulings that the reader returns nothing for fall out.
+    """
+    names = [c.strip().split()[0] for c in _top_level(schema)]
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def told(out: pd.DataFrame, key, attempts: int, error: str | None = None) -> pd.DataFrame:
+        return out.reindex(columns=names).assign(source_key=key, error=error, attempts=attempts)
+
+    def one(row: pd.DataFrame) -> pd.DataFrame:
+        key = row[id_col].iloc[0]
+        for attempt in range(2, retries + 3):
+            try:
+                return told(reader(row), key, attempt)
+            except Exception as e:  # noqa: BLE001  whatever a model's client raises is this ruling's error
+                error = f"{type(e).__name__}: {e}"[:200]
+        return told(pd.DataFrame([{n: None for n in names}]), key, retries + 2, error)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield reader(b)
+            for start in range(0, len(b), READ_TOGETHER):
+                part = b.iloc[start : start + READ_TOGETHER].reset_index(drop=True)
+                try:
+                    out = reader(part)
+                    if len(out) != len(part):
+                        raise ValueError("the reader returned other rows than it was given")
+                    yield told(out.reset_index(drop=True), part[id_col], 1)
+                except Exception:  # noqa: BLE001  each ruling by itself
+                    for k in range(len(part)):
+                        yield one(part.iloc[[k]])
+
+    return df.mapInPandas(run, f"{schema}, source_key {kind}, error string, attempts int")
+
+
+def _top_level(schema: str) -> list[str]:
+    """The fields of a schema in words, commas within types apart."""
+    out, depth = [""], 0
+    for c in schema:
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
 
-    return df.mapInPandas(run, schema)
+def read_rulings(df: DataFrame, reader: Callable[[pd.DataFrame], pd.DataFrame], schema: str, id_col: str = "id", retries: int = 2) -> DataFrame:
+    """The analyses of read_each() that were got; a ruling whose reader fails is lost alone."""
+    return read_each(df, reader, schema, id_col, retries).where("error IS NULL").drop("source_key", "error", "attempts")
 
 
 def overlap_score(query: str, *columns: str | Column) -> Column:
@@ -71,16 +118,24 @@ class Engine:
         """The best rulings for a case: vectors and keywords, dedup, rerank, threshold, recency, diversity, full texts."""
         fuero, materia, n = conditions.pop("fuero", None), conditions.pop("materia", None), rank.fetch_size(top_k)
         text = query_text(case, fuero, materia)
-        near = vector.top_k_relaxed(self.chunks, self.embedder([text])[0], n, materia=materia or fuero, **conditions)
-        near = near.withColumn("input_rank", F.row_number().over(_by(F.desc("score"), "id")))
-        asked = self.spark.createDataFrame([(0, case)], "query_id int, q string")
-        hits = keyword_index.search_index(self.spark, self.keywords, asked, n) if self.keywords else keyword.bm25(self.documents, asked, n, "id", KEYWORD_COLUMNS)
-        found = rank.lookup_hits(hits.select(F.col("doc_id").alias("id"), "rank"), self.chunks, fix_chunk_ids=fix_chunk_ids)
-        return store.enrich(rank.funnel(near, found, self.score(text), top_k, as_of_year, self.least), self.fulltext)
-
-    def analyze_stream(self, case: str, reader: Callable[[DataFrame], DataFrame], top_k: int = 30, **options) -> Iterator[tuple[str, DataFrame]]:
+        with scratch() as keep:
+            near = saved(vector.top_k(self.chunks, self.embedder([text])[0], n, digits=9, materia=materia or fuero, **conditions), "near")
+            if near.isEmpty() and (materia or fuero or conditions):
+                near = saved(vector.top_k(self.chunks, self.embedder([text])[0], n, digits=9), "near")
+            near = near.withColumn("input_rank", F.row_number().over(_by(F.desc_nulls_last("score"), "id")))
+            asked = self.spark.createDataFrame([(0, case)], "query_id int, q string")
+            if self.keywords:
+                hits = keyword_index.search_index(self.spark, self.keywords, asked, n)
+            else:  # the same columns and cuts as an index has
+                hits = keyword.bm25(store.index_rows(self.documents), asked, n, "doc_id", KEYWORD_COLUMNS)
+            found = rank.lookup_hits(hits.select(F.col("doc_id").alias("id"), "rank"), self.chunks, fix_chunk_ids=fix_chunk_ids)
+            best = rank.funnel(near, found, self.score(text), top_k, as_of_year, self.least)
+            keep(out := saved(store.enrich(best, self.fulltext), "search"))
+        return out
+
+    def analyze_stream(self, case: str, reader: Callable[[DataFrame], DataFrame], top_k: int = 30, as_of_year: int = 2024, **options) -> Iterator[tuple[str, DataFrame]]:
         """The steps of analyze() by name as each is done: hits, saving, readings, then what follows from them. A caller that stops early runs no later step."""
-        hits = saved(self.search(case, rank.clamp_top_k(top_k), **options), "hits")
+        hits = saved(self.search(case, rank.clamp_top_k(top_k), as_of_year, **options), "hits")
         yield "hits", hits
         good, noise = quality.split_quality(hits)
         yield "saving", quality.saving(noise)
@@ -92,6 +147,11 @@ class Engine:
             yield name, f(everything)
         for name, f in (("norms", analyze.norm_frequency), ("contradictions", analyze.contradictions)):
             yield name, f(read)
+        if {"via_procesal", "doctrina_aplicada", "caratula", "score", "input_rank"} <= set(read.columns):
+            yield "strategies", analyze.strategies(read)
+        if {"precedentes_citados", "fecha"} <= set(read.columns):
+            yield "precedents", analyze.precedents(read, 10, as_of_year)
+        yield "synthesis", analyze.fallback_synthesis(everything)
 
     def analyze(self, case: str, reader: Callable[[DataFrame], DataFrame], top_k: int = 30, **options) -> dict[str, DataFrame]:
         """Analyses of the best rulings and what follows from them; noise is classified without the reader, which sees each ruling once."""

@@ -140,14 +140,18 @@ def ensure_list(kind: Column, as_list: Column, as_text: Column) -> Column:
     return F.when(kind.startswith("ARRAY"), F.coalesce(as_list, none)).when((kind == "STRING") & ~as_text.isin("", "N/D"), F.array(as_text)).otherwise(none)
 
 
-def reasoning_of(c: Column, tag: str = "thinking") -> Column:
-    """What stands between <tag> and </tag>."""
-    return strip(F.regexp_extract(or_empty(c), f"(?s)<{tag}>(.*?)</{tag}>", 1))
-
-
-def after_reasoning(c: Column, tag: str = "thinking") -> Column:
-    """The rest after </tag>, or everything."""
-    return strip(F.regexp_replace(or_empty(c), f"(?s)^.*?</{tag}>", ""))
+def reasoning_of(c: Column, tag: str = "razonamiento") -> Column:
+    """What stands before the first </tag> (or the end), behind the last <tag> there; empty without any <tag>."""
+    text = or_empty(c)
+    before = F.substring_index(text, f"</{tag}>", 1)
+    return F.when(text.contains(f"<{tag}>"), strip(F.substring_index(before, f"<{tag}>", -1))).otherwise("")
+
+
+def after_reasoning(c: Column, tag: str = "razonamiento") -> Column:
+    """The rest behind the last </tag>, or everything where a tag is missing."""
+    text = or_empty(c)
+    both = text.contains(f"<{tag}>") & text.contains(f"</{tag}>")
+    return F.when(both, strip(F.substring_index(text, f"</{tag}>", -1))).otherwise(text)
 
 
 def words(c: Column) -> Column:

@@ -97,13 +97,55 @@ def first_of(*names: str) -> Column:
 
 def reader_context(df: DataFrame) -> DataFrame:
     """position, block: a numbered block for each analysis, as a synthesiser reads them. Rows stay apart; join their blocks only for a small selection."""
-    show = lambda n, other="N/D": F.coalesce(F.col(n), F.lit(other))
-    many = lambda n: F.coalesce(F.nullif(F.array_join(n, ", "), F.lit("")), F.lit("N/D"))
-    fields = [("Resultado", show("resultado")), ("Vía procesal", show("via_procesal")), ("Normas", many("normas_citadas")), ("Precedentes", many("precedentes_citados")), ("Doctrina", show("doctrina_aplicada")), ("Estrategia", show("estrategia", "")), ("Argumento clave", show("argumento_clave", ""))]
+    known = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def show(name: str, other: str = "N/D") -> Column:
+        return F.coalesce(F.col(name), F.lit(other)) if name in known else F.lit(other)
+
+    def many(*names: str) -> Column:
+        own = [n for n in names if n in known]
+        return F.coalesce(F.nullif(F.array_join(first_of(*own), ", "), F.lit("")), F.lit("N/D")) if own else F.lit("N/D")
+
+    # The labels of a block, in their order.
+    fields = [
+        ("Resultado", show("resultado")),
+        ("Vía procesal", show("via_procesal")),
+        ("Normas", many("normas_citadas", "leyes_citadas")),
+        ("Precedentes", many("precedentes_citados")),
+        ("Doctrina", show("doctrina_aplicada")),
+        ("Hechos determinantes", show("hechos_determinantes")),
+        ("Prueba decisiva", show("prueba_decisiva")),
+        ("Quantum/costas", show("quantum")),
+        ("Votos", show("votos")),
+        ("Estrategia", show("estrategia", "")),
+        ("Argumento clave", show("argumento_clave", "")),
+        ("Razón resultado", show("razon_resultado", "")),
+        ("Relevancia cliente", show("relevancia_cliente", "")),
+    ]
     head = F.concat(F.lit("["), F.col("input_rank").cast("string"), F.lit("] "), F.concat_ws(" — ", show("caratula"), show("tribunal", ""), show("fecha", "")))
     return df.select(F.col("input_rank").alias("position"), F.concat_ws("\n  ", head, *(F.concat(F.lit(f"{n}: "), c) for n, c in fields)).alias("block"))
 
 
+def key_texts(df: DataFrame, favourable: int = 3, unfavourable: int = 2, chars: int = 3000) -> DataFrame:
+    """resultado, place, section: the texts of the best-scored rulings of both outcomes, each under its heading; rulings without a text have none."""
+    top = top_per_outcome(df, favourable, unfavourable, chars).where("texto <> ''")
+    head = F.concat(F.lit("\n\n--- FALLO COMPLETO ("), F.upper("resultado"), F.lit("): "), F.coalesce("caratula", F.lit("N/D")), F.lit(" ---\n"))
+    return top.select("resultado", "place", F.concat(head, "texto", F.lit("\n")).alias("section"))
+
+
+def fallback_synthesis(df: DataFrame) -> DataFrame:
+    """One row: what a synthesis says where no synthesiser answered, from the counts alone."""
+    share = F.round(100.0 * F.count_if(_is("favorable")) / F.greatest(F.count("*"), F.lit(1)), 1)
+    none = F.array().cast("array<string>")
+    told = F.concat(F.lit("De "), F.greatest(F.count("*"), F.lit(1)).cast("string"), F.lit(" fallos analizados, "), F.count_if(_is("favorable")).cast("string"), F.lit(" fueron favorables ("), share.cast("string"), F.lit("%)."))
+    return df.agg(
+        share.alias("porcentaje_favorable"),
+        *(none.alias(n) for n in ("estrategias_exitosas", "estrategias_fracasadas", "leyes_clave")),
+        F.array(F.lit("Error en síntesis — se muestran estadísticas básicas")).alias("riesgos"),
+        told.alias("recomendacion_estrategica"),
+    )
+
+
 def drafting_context(hits: DataFrame, k: int = 5) -> DataFrame:
     """One row: the first k hits (input_rank, caratula, tribunal, fecha, resumen, cita_textual) as a numbered list, or a sentence that there are none."""
     line = F.concat(F.lit("\n"), F.col("input_rank").cast("string"), F.lit(". "), "caratula", F.lit(" ("), "tribunal", F.lit(", "), "fecha", F.lit(")\n   Resumen: "), "resumen", F.lit('\n   Cita: "'), "cita_textual", F.lit('"\n'))

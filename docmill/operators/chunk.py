@@ -2,47 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from docmill.functions.text import or_empty, strip
+from pyspark.sql import types as T
 
 MAX_CHARS = 4000
 
 
-def _state(done: Column, current: Column) -> Column:
-    return F.struct(done.alias("done"), current.alias("current"))
-
-
-def _flushed(s: Column) -> Column:
-    """The finished chunks, with the open one if there is any."""
-    return F.when(s["current"] != "", F.array_append(s["done"], strip(s["current"]))).otherwise(s["done"])
+def _pieces(text: str, most: int) -> Iterator[tuple[str, str, bool]]:
+    """Paragraphs, or the sentences and lines of one that is too long: the piece, what joins it to the chunk before, and whether it starts a chunk of its own."""
+    size = 0
+    for para in text.split("\n\n"):
+        if len(para) > most and size + len(para) + 2 > most:
+            for k, piece in enumerate(para.replace(". ", ".\n").split("\n")):
+                size = yield piece, " ", k == 0
+        else:
+            size = yield para, "\n\n", False
 
 
-def _add(s: Column, part: Column, most: int, joiner: str) -> Column:
-    """part goes on the open chunk while it fits, else it opens another."""
-    over = F.length(s["current"]) + F.length(part) + len(joiner) > most
-    joined = F.when(s["current"] != "", F.concat(s["current"], F.lit(joiner), part)).otherwise(part)
-    return F.when(over, _state(_flushed(s), part)).otherwise(_state(s["done"], joined))
-
-
-def chunks(text: Column, most: int = MAX_CHARS) -> Column:
-    """The chunks of a text, in order.
+def cut(text: str | None, most: int = MAX_CHARS) -> list[str]:
+    """The chunks of a text, in order: its pieces are gone through once, and a chunk is joined when it is full.
 
     A text of at most `most` characters is one chunk. A longer one is packed by paragraphs (blank lines between them);
     a paragraph that is too long is packed by sentences and lines, and its last part stays open for what follows. A
     sentence longer than `most` isn't cut. Chunks are stripped; if nothing is left, the text's start is the one chunk.
     """
-    text = or_empty(text)
-    start = _state(F.array().cast("array<string>"), F.lit(""))
+    text = text or ""
+    if len(text) <= most:
+        return [text]
+    done: list[str] = []
+    held: list[str] = []  # the open chunk in parts, with what joins them
+    size = 0
+
+    def close() -> None:
+        nonlocal held, size
+        if size:
+            done.append("".join(held).strip())
+        held, size = [], 0
+
+    pieces = _pieces(text, most)
+    step = next(pieces, None)
+    while step is not None:
+        piece, joiner, alone = step
+        if alone or size + len(piece) + len(joiner) > most:
+            close()
+        if size:
+            held += [joiner, piece]
+            size += len(joiner) + len(piece)
+        else:
+            held, size = [piece], len(piece)
+        try:
+            step = pieces.send(size)
+        except StopIteration:
+            step = None
+    if "".join(held).strip():
+        close()
+    return done or [text[:most]]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _cut_all(texts: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([cut(t, int(m)) for t, m in zip(texts, most)])
 
-    def paragraph(s: Column, para: Column) -> Column:
-        pieces = F.split(F.replace(para, F.lit(". "), F.lit(".\n")), "\n")
-        inner = F.aggregate(pieces, _state(_flushed(s), F.lit("")), lambda t, piece: _add(t, piece, most, " "))
-        return F.when((F.length(para) > most) & (F.length(s["current"]) + F.length(para) + 2 > most), inner).otherwise(_add(s, para, most, "\n\n"))
 
-    packed = F.aggregate(F.split(text, "\n\n"), start, paragraph, lambda s: F.when(strip(s["current"]) != "", _flushed(s)).otherwise(s["done"]))
-    return F.when(F.length(text) <= most, F.array(text)).otherwise(F.when(F.size(packed) > 0, packed).otherwise(F.array(F.substring(text, 1, most))))
+def chunks(text: Column, most: int = MAX_CHARS) -> Column:
+    """The chunks of a text, by cut(): an Arrow batch of texts at a time, in one pass over each text."""
+    return _cut_all(text, F.lit(most))
 
 
 def chunk_documents(df: DataFrame, id_col: str = "id", text_col: str = "texto", most: int = MAX_CHARS) -> DataFrame:

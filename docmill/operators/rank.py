@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.functions.text import or_empty, strip, year_of
+from docmill.functions.text import clean_markup, or_empty, strip, year_of
 
 FTS_SCORE, THRESHOLD, MIN_RESULTS = 0.85, 0.1, 3
 
@@ -116,7 +116,12 @@ def rrf(lists: list[DataFrame], id_col: str = "id", c: int = 60) -> DataFrame:
     return both.groupBy(id_col).agg(F.sum("part").alias("rrf_score"))
 
 
+def without_markup(df: DataFrame, columns: tuple[str, ...] = ("texto", "sumario", "caratula")) -> DataFrame:
+    """df with clean texts in those of the columns that it has."""
+    return df.withColumns({c: clean_markup(F.col(c)) for c in columns if c in df.columns})
+
+
 def funnel(vector: DataFrame, keyword: DataFrame, score: Column, top_k: int, as_of_year: int, least: float | None = THRESHOLD) -> DataFrame:
-    """The whole funnel over two lists of candidates."""
-    pool = union_dedup(vector, keyword).transform(title_dedup).transform(rerank_pool, top_k)
+    """The whole funnel over two lists of candidates; markup goes before titles are compared."""
+    pool = union_dedup(vector, keyword).transform(without_markup).transform(title_dedup).transform(rerank_pool, top_k)
     return pool.transform(rerank, score).transform(threshold, least).transform(recency, as_of_year).transform(diversity, top_k)

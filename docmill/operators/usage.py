@@ -28,10 +28,11 @@ def tier_of(c: Column) -> Column:
 
 
 def cost_of_calls(calls: DataFrame, price_list: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Calls, tokens and cost (six decimals) by the keys; models without a price cost nothing."""
+    """Calls, tokens and cost (six decimals) by the keys; models without a price cost nothing. Sums are exact decimals; total_cost_usd is their double."""
     rows = calls.join(price_list, "model", "left")
-    cost = F.coalesce(F.col("input_tokens") / 1e6 * F.col("input_price"), F.lit(0.0)) + F.coalesce(F.col("output_tokens") / 1e6 * F.col("output_price"), F.lit(0.0))
-    return rows.groupBy(*(keys or [])).agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum(cost), 6).alias("total_cost_usd"))
+    of = lambda n, p: F.coalesce(F.col(n).cast("decimal(18,0)") * F.col(p).cast("decimal(10,4)"), F.lit(0).cast("decimal(29,4)"))
+    cost = of("input_tokens", "input_price") + of("output_tokens", "output_price")
+    return rows.groupBy(*(keys or [])).agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum(cost) / F.lit(1_000_000), 6).cast("double").alias("total_cost_usd"))
 
 
 def cost_estimate(tier: Column, rulings: Column, transparency: Column) -> Column:

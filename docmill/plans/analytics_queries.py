@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docmill.engine import Engine
 from docmill.functions import text as X
-from docmill.operators import analyze, normalize, store, usage
+from docmill.operators import analyze, normalize, store, upsert_log, usage
 from docmill.plans.registry import query
 from docmill.plans.text_queries import corpus
-from docmill.session import table
-from docmill.streaming import ingest
+from docmill.session import scratch_path, table
+from docmill.streaming import ingest, runs
 
 
 def _analyses(spark, sf_dir):
@@ -224,3 +225,48 @@ def chamber_entries(spark, sf_dir):
     code = F.when(F.col("source") == "src1", "1-1").when(F.col("source") == "src2", "6-6").otherwise(F.col("source"))
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("uuid"), F.lit("").alias("expediente"), F.col("text").alias("texto"), F.lit("").alias("caratula"), F.lit("").alias("tribunal"), F.lit("").alias("fecha"), code.alias("jurisdiccion"))
     return normalize.normalize_chamber(rows).select(F.col("source_id").cast("long").alias("doc_id"), "source", "id", "jurisdiccion")
+
+
+@query("SELECT d.doc_id AS id, CASE WHEN l.doc_id IS NULL THEN length(text) ELSE -length(text) END AS n FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def upsert_log_read(spark, sf_dir):
+    """The store after two batches: all documents, then those with a label once more."""
+    log = upsert_log.UpsertLog(spark, scratch_path(spark, "upsert-log"), buckets=16)
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n"))
+    log.upsert(rows, 0)
+    log.upsert(rows.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct(), "id").withColumn("n", -F.col("n")), 1)
+    return log.read().select("id", "n")
+
+
+@query(r"""SELECT doc_id, count(*) AS lines, sha256(coalesce(string_agg(line, chr(10) ORDER BY i), '')) AS lines_sha256 FROM (
+    SELECT doc_id, unnest(ls[:len(ls) - 1]) AS line, unnest(range(len(ls) - 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) WHERE len(ls) > 1) GROUP BY doc_id""")
+def cut_stream_lines(spark, sf_dir):
+    """The finished lines of every document, whose bytes were cut up into pieces of 97."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("run_id"), F.encode("text", "UTF-8").alias("bytes"))
+    pieces = docs.select("run_id", "bytes", F.explode(F.sequence(F.lit(0), F.floor(F.length("bytes") / 97))).alias("seq"))
+    lines = runs.lines_of(pieces.select("run_id", "seq", F.substring(F.col("bytes"), F.col("seq") * 97 + 1, F.lit(97)).alias("value")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda s: s["line"]), "\n")
+    return lines.groupBy(F.col("run_id").alias("doc_id")).agg(F.count("*").alias("lines"), F.sha2(whole, 256).alias("lines_sha256"))
+
+
+#: events as those of analyses, one for each user: purchases end them, errors fail them, signups start their agents.
+_RUN_STEPS = {"purchase": "done", "error": "error", "signup": "analyze", "click": "agent_event", "view": "search"}
+
+
+@query("""WITH e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events),
+  stop AS (SELECT user_id, min(seq) AS fin FROM e WHERE event_type IN ('purchase', 'error') GROUP BY user_id),
+  u AS (SELECT e.*, fin FROM e LEFT JOIN stop USING (user_id) WHERE fin IS NULL OR seq <= fin),
+  latest AS (SELECT user_id, max_by(event_type, seq) FILTER (event_type IN ('purchase', 'error', 'signup', 'view')) AS step,
+    max(seq) FILTER (event_type = 'signup') AS born, count(*) FILTER (event_type = 'signup') AS n FROM u GROUP BY user_id),
+  total AS (SELECT user_id, count(*) AS applied FROM e GROUP BY user_id)
+  SELECT user_id::VARCHAR AS run_id, CASE step WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'analyze' WHEN 'view' THEN 'search' ELSE 'idle' END AS step,
+    (CASE WHEN born IS NULL THEN 0 WHEN EXISTS (SELECT 1 FROM u WHERE u.user_id = l.user_id AND event_type = 'click' AND seq > born) THEN 1 ELSE 0 END)::INTEGER AS agents_active,
+    applied FROM latest l JOIN total USING (user_id)""")
+def run_states(spark, sf_dir):
+    """The state of an analysis for each user, folded from all events."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    step = F.create_map(*(F.lit(x) for kv in _RUN_STEPS.items() for x in kv))[F.col("event_type")]
+    rows = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select(
+        F.col("user_id").cast("string").alias("run_id"), place.cast("long").alias("seq"), step.alias("step"), F.lit(0).alias("agent_id"), F.lit("active").alias("status"),
+        F.lit(None).cast("int").alias("progress"), F.when(F.col("event_type") == "signup", 2).alias("total_agents"), F.lit("").alias("detail"), F.lit(0.0).alias("cost_usd"),
+    )
+    return runs.run_states(rows).select("run_id", "step", "agents_active", "applied")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docmill.engine import overlap_score
+from docmill.engine import Engine, overlap_score
 from docmill.operators import evaluate, keyword, keyword_index, rank, vector, vector_index
 from docmill.plans.registry import query
 from docmill.plans.text_queries import CORPUS_SQL, corpus
@@ -244,6 +244,31 @@ def hybrid_funnel(spark, sf_dir):
     return rank.funnel(*_searched(spark, sf_dir), score, SEARCHED, 2024).selectExpr("id", _RANK)
 
 
+_CLEAN = r"trim(regexp_replace(regexp_replace({0}, '\[\[/?[a-z]+(\s[^\]]*?)?\]\]', '', 'g'), '\s+', ' ', 'g'))"
+_PASSAGE = "concat_ws(' ', nullif(caratula, ''), nullif(substr(sumario, 1, 300), ''), nullif(substr(texto, 1, 500), ''))"
+_INDEX_TEXT = "concat_ws(' ', substr(text, 1, 40), substr(concat(text, ' ', CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 80) ELSE '' END), 1, 2000), source, lang)"
+
+
+@query(f"""{BM25_SQL.replace("FROM benchmark)", "FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 1))").replace(_TOKENS.format("text") + " AS t FROM documents", _TOKENS.format(_INDEX_TEXT) + " AS t FROM documents").strip()}, {CORPUS_SQL},
+  v AS (SELECT c.*, row_number() OVER (ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 9) DESC, id) AS r0 FROM corpus c JOIN embeddings ON vec_id = doc_id QUALIFY r0 <= {rank.fetch_size(SEARCHED)}),
+  f AS (SELECT c.*, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS r0 FROM corpus c JOIN scores USING (doc_id) QUALIFY r0 <= 100),
+  u AS (SELECT * REPLACE ({_CLEAN.format("texto")} AS texto, {_CLEAN.format("sumario")} AS sumario, {_CLEAN.format("caratula")} AS caratula), row_number() OVER (ORDER BY l, r0) AS rk
+    FROM (SELECT *, 0 AS l FROM v UNION ALL SELECT f.*, 1 FROM f JOIN embeddings ON vec_id = doc_id WHERE id NOT IN (SELECT id FROM v))),
+  t AS (SELECT * FROM u QUALIFY {_TITLE} = '' OR row_number() OVER (PARTITION BY {_TITLE} ORDER BY rk) = 1),
+  p AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY rk) AS spot FROM t) WHERE spot <= {rank.rerank_pool_size(200, SEARCHED)}),
+  asked AS (SELECT list_distinct({_TOKENS.format("text")}) AS k FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 1)),
+  s AS (SELECT p.*, len(list_intersect(k, {_TOKENS.format(_PASSAGE)})) * 1.0 / len(k) AS rs FROM p, asked),
+  th AS (SELECT *, row_number() OVER (ORDER BY rs DESC, rk) AS k1 FROM s WHERE rs >= {rank.THRESHOLD}),
+  d AS (SELECT *, CASE WHEN tribunal <> '' AND row_number() OVER (PARTITION BY tribunal ORDER BY k1) > {rank.cap_of(SEARCHED)} THEN 1 ELSE 0 END AS over FROM th)
+  SELECT id, row_number() OVER (ORDER BY over, k1) AS input_rank, round(rs, 6) AS rerank_score FROM d WHERE (SELECT count(*) FROM th) >= {rank.MIN_RESULTS} QUALIFY row_number() OVER (ORDER BY over, k1) <= {SEARCHED}""")
+def search_end_to_end(spark, sf_dir):
+    """A search of the engine over all documents: the first benchmark text is the case, and the vector of vec_id 0 is what the embedder says of it."""
+    docs, target = corpus(spark, sf_dir), _target(spark, sf_dir)
+    chunks = docs.join(_vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    engine = Engine(spark, chunks, docs, docs.select("id", "texto"), lambda texts: [target] * len(texts))
+    return engine.search(_asked(spark, sf_dir), SEARCHED).selectExpr("id", _RANK, "round(rerank_score, 6) AS rerank_score")
+
+
 def _precisions(spark, sf_dir):
     queries = _bench_queries(spark, sf_dir).withColumn("kw", F.array_distinct(F.filter(F.split("q", " "), lambda w: F.length(w) > 2)))
     hits = keyword.bm25(spread(table(spark, sf_dir, "documents")), queries, 10)

@@ -38,7 +38,7 @@ def test_lists_ids_and_headers(spark):
     assert values(spark, ["I. Uno", "VISTOS", "IX. no", "12", "Texto", None], X.is_header) == [True, True, False, False, False, False]
     assert values(spark, ["```json\n{\"a\":1}\n```", "```\n[1]```", "{}"], X.fenced_json) == ['{"a":1}', "[1]", "{}"]
     assert values(spark, ["  a b c ", "", None], X.words) == [3, 0, 0]
-    assert values(spark, ["<thinking>why</thinking>{}", "{}"], X.after_reasoning) == ["{}", "{}"]
+    assert values(spark, ["<razonamiento>why</razonamiento>{}", "{}"], X.after_reasoning) == ["{}", "{}"]
     assert values(spark, ["Despido y DAÑO, ley 20", "nada"], X.legal_hits) == [3, 0]
 
 

@@ -2,84 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_own: dict[str, str] = {}
-#: The tables of the innermost scratch() of this thread.
-_open: ContextVar[list[DataFrame] | None] = ContextVar("open", default=None)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir. Where that is unset, a temporary folder in local mode, as in tests; on a cluster an error."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
-    if not re.fullmatch(r"local(\[[^]]*\])?", master):
-        raise ValueError(f"spark.checkpoint.dir is not set; with master {master} it must name a folder that all machines share")
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-docmill-")
-    return _own[app]
-
-
-def _file_system(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, deleted at the latest when the application ends."""
-    path = f"{shared_dir(spark)}/docmill-{name}-{uuid.uuid4().hex}"
-    where, files = _file_system(spark, path)
-    files.mkdirs(where)
-    files.deleteOnExit(where)
-    return path
-
+from docmill.session import delete, discard, saved, scratch, scratch_path, shared_dir  # noqa: F401  the operators take them from here
+from docmill.session import file_system as _file_system  # noqa: F401
 
-@contextmanager
-def scratch() -> Iterator[Callable[..., None]]:
-    """Tables that saved() writes inside are deleted at its end, but for those given to the function that it yields."""
-    own: list[DataFrame] = []
-    kept: list[DataFrame] = []
-    token = _open.set(own)
-    try:
-        yield lambda *tables: kept.extend(tables)
-    finally:
-        _open.reset(token)
-        discard(*(df for df in own if not any(df is k for k in kept)))
-        if (outer := _open.get()) is not None:
-            outer += kept
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{scratch_path(spark, name)}/rows"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    if (own := _open.get()) is not None:
-        own.append(out)
-    return out
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    where, files = _file_system(spark, path)
-    files.delete(where, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete scratch tables of saved() that nothing reads any more. What a result still reads stays until the application ends."""
-    for df in tables:
-        delete(df.sparkSession, df._scratch)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def sliced(batches: Iterator, rows: int = 256) -> Iterator:

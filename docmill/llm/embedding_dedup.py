@@ -17,8 +17,10 @@ from docmill.llm.vectors import whole
 COSINE = 0.95
 #: Neighbours in a list at first; sorted tables and rows of a block for the first graph; updates that a row may get from a list besides those that may link.
 LIST, TABLES, BLOCK, NEAREST = 16, 4, 256, 3
-#: Rounds of a descent at most; it ends before when fewer than this share of the edges are new.
+#: Rounds of a descent at most; from the second on it ends when no more than this share of the edges that may link are new.
 ROUNDS, SETTLED = 6, 0.02
+#: Before a descent dense places become balls while these take at least this share of the nodes.
+WORTH = 0.01
 #: What the cosine of two codes may be off by. Guard of exact angles in radians.
 MARGIN, GUARD = 0.03, 1e-7
 #: Vectors whose links are counted against all others, the share of them that must be found, and how often lists and tables are doubled for it.
@@ -179,8 +181,9 @@ def _descended(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
         seats = around.join(told, "u").select("v", "u", "fresh", "k", "worst", "code").repartition("v").sortWithinPartitions("v")
         found = seats.mapInArrow(_local_join, _UPDATE).withColumn("fresh", F.lit(True))
         edges = saved(_best(edges.withColumn("fresh", F.lit(False)).select("a", "b", "s", "k", "fresh").unionByName(found), most), "edges")
-        new, all_ = edges.agg(F.count_if("fresh"), F.count("*")).first()
-        if new <= SETTLED * all_:
+        near = F.col("s") >= COSINE - MARGIN
+        new, all_ = edges.agg(F.count_if(near & F.col("fresh")), F.count_if(near)).first()
+        if n and new <= SETTLED * all_:
             break
     return edges
 
@@ -270,19 +273,24 @@ def _explored(classes: DataFrame, k: int, tables: int, theta: float) -> tuple[Da
     while True:
         nodes, most = saved(_as_nodes(pivots, k), "nodes"), k
         edges = saved(_best(_first_graph(nodes, tables).withColumn("fresh", F.lit(True)), most), "edges")
+        descended = False
         while True:
-            edges = _descended(nodes, edges, most)
             full = saved(_saturated(edges, nodes, theta), "saturated")
-            if full.isEmpty():
+            if not full.isEmpty():  # dense places fill the lists of the first graph already
+                single = full.join(nodes.where("angle = 0").select("node"), "node", "left_semi")
+                balls = _balls(edges, single, classes, theta)
+                if not balls.isEmpty() if descended else balls.count() > WORTH * nodes.count():
+                    break
+            elif descended:
                 return pivots, members, edges.join(nodes.select(F.col("node").alias("a"), F.col("angle").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("angle").alias("y")), "b").where(F.col("s") >= _reach("x", "y", theta)).select("a", "b")
-            single = full.join(nodes.where("angle = 0").select("node"), "node", "left_semi")
-            balls = _balls(edges, single, classes, theta)
-            if not balls.isEmpty():
-                break
+            if not descended:
+                edges, descended = _descended(nodes, edges, most), True
+                continue
             most *= 2
             nodes = saved(nodes.join(full.withColumn("again", F.lit(True)), "node", "left").select("node", "code", "angle", F.when(F.col("again"), F.col("k") * 2).otherwise(F.col("k")).alias("k")), "nodes")
             own = nodes.select(F.col("node").alias("a"), F.col("k").alias("own"))
             edges = saved(edges.join(own, "a").select("a", "b", "s", (F.col("own") > F.col("k")).alias("fresh"), F.col("own").alias("k")), "edges")
+            edges = _descended(nodes, edges, most)
         rest = pivots.join(balls.select("node"), "node", "left_anti")
         made = balls.groupBy("ball").agg(F.first("mean").alias("p"), F.first("angle").alias("angle"), F.first("w").alias("w")).select(F.col("ball").alias("node"), "p", "angle", "w")
         pivots = saved(rest.unionByName(made), "pivots")

@@ -25,6 +25,13 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(F.coalesce(c, F.lit("")), UPPER, UPPER.lower())
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column of df has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -48,6 +48,7 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     on a group's largest id all stay. An empty table gives no rows.
     """
     with scratch() as keep:
-        gone = _grouped(df, id_col, text_col).where("id IS NOT NULL AND id <> keep_id").select(F.col("id").alias("__gone"), F.col("k").alias("__k")).distinct()
+        gone = _grouped(df, id_col, text_col).where("id IS NOT NULL AND id <> keep_id").select(F.col("id").alias("__gone"), F.col("k").alias("__k"), F.col("sha").alias("__sha")).distinct()
         keep(gone := saved(gone, "exact-copies"))
-    return df.join(small(gone), (df[id_col] == gone["__gone"]) & (content_hash(ascii_lower(df[text_col])) == gone["__k"]), "left_anti")
+    norm = ascii_lower(df[text_col])
+    return df.join(small(gone), (df[id_col] == gone["__gone"]) & (content_hash(norm) == gone["__k"]) & (F.unhex(F.sha2(norm, 256)) == gone["__sha"]), "left_anti")

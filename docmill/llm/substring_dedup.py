@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm.common import discard, saved, scratch, sliced
+from docmill.llm.common import discard, saved, scratch, sliced, unused
 from docmill.llm.jaccard import PIECE, _mix, _word_hashes
 
 #: Parts and words that a span has at least. A part is a word, so the greater of them counts.
@@ -149,12 +149,14 @@ def _without(text: str, n_words: int, spans: np.ndarray, later: list[int] | None
 def _cut_spans(df: DataFrame, id_col: str, text_col: str, run: int, run_words: int) -> DataFrame:
     """df with its texts cut, and the columns __n_sentences and __n_removed."""
     n = max(run, run_words, 1)
-    keyed = df.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.monotonically_increasing_id()))
+    key = unused(df, "__key")
+    keyed = df.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.monotonically_increasing_id()))
     if not df.where(F.col(id_col).isNull()).isEmpty():  # keys that were given out hold only where they are written
         keyed = saved(keyed, "keyed")
-    gone = _later_spans(keyed.select(F.col("__key").alias("key"), F.coalesce(text_col, F.lit("")).alias("text")), n)
-    both = keyed.join(gone, keyed["__key"] == gone["__gone_key"], "left").select(*(keyed[c] for c in df.columns), "__gone")
-    names, at = [*df.columns, "__n_sentences", "__n_removed"], df.columns.index(text_col)
+    gone = _later_spans(keyed.select(F.col(key).alias("key"), F.coalesce(text_col, F.lit("")).alias("text")), n)
+    both = keyed.join(gone, keyed[key] == gone["__gone_key"], "left").select(*(keyed[c] for c in df.columns), gone["__gone"].alias(unused(df, "__gone")))
+    added = [unused(df, "__n_sentences"), unused(df, "__n_removed")]
+    names, at = [*df.columns, *added], df.columns.index(text_col)
 
     def cut(batches):
         for b in sliced(batches):
@@ -168,7 +170,7 @@ def _cut_spans(df: DataFrame, id_col: str, text_col: str, run: int, run_words: i
             cols = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names)
 
-    return both.mapInArrow(cut, T.StructType([*df.schema.fields, T.StructField("__n_sentences", T.LongType()), T.StructField("__n_removed", T.LongType())]))
+    return both.mapInArrow(cut, T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType()) for c in added)]))
 
 
 def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, run_words: int = RUN_WORDS) -> DataFrame:

@@ -105,6 +105,6 @@ def filter_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", default:
         *(df[c] for c in kept),
         host_of(df[url_col]).alias("host"),
         path_of(df[url_col]).alias("path"),
-        F.col("__rule").alias("rule"),
-        F.coalesce("__ruled", F.lit(default)).alias("verdict"),
+        best["__rule"].alias("rule"),
+        F.coalesce(best["__ruled"], F.lit(default)).alias("verdict"),
     )

@@ -91,3 +91,21 @@ def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "substring_dedup", "packing"]
+
+
+def test_columns_named_like_those_inside(spark):
+    """Operators that keep all columns keep those whose names they use themselves."""
+    from pyspark.sql import functions as F
+
+    from docmill.llm import exact_dedup, jaccard, substring_dedup, url_filter
+
+    passage = " ".join(f"word{i}" for i in range(60))
+    names = ["__gone", "__gone_key", "__key", "__k", "__sha", "__n_sentences", "__n_removed", "key", "text_", "node"]
+    docs = spark.createDataFrame([(i, f"start{i} {passage} end{i}") for i in range(4)] + [(9, "alone")] * 2, "doc_id long, text string").withColumns({n: F.lit(5) for n in names})
+    for f in (substring_dedup.drop_repeated_spans, exact_dedup.drop_exact_copies, jaccard.drop_near_copies):
+        out = f(docs)
+        assert out.columns == docs.columns and all(r[n] == 5 for r in out.collect() for n in names)
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (2, None)], "page_id long, url string").withColumns({n: F.lit(5) for n in ("__rule", "__ruled", "__url", "h", "p", "hits")})
+    rules = spark.createDataFrame([("org", "/", "block")], "host string, path string, verdict string")
+    rows = {r.page_id: r for r in url_filter.filter_urls(pages, rules).collect()}
+    assert rows[1].verdict == "block" and rows[2].verdict == "allow" and rows[1]["__rule"] == 5 and rows[2]["__url"] == 5

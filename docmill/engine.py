@@ -33,20 +33,21 @@ def embed(df: DataFrame, text_col: str, embedder: Embedder, out_col: str = "embe
 
 
 def read_each(df: DataFrame, reader: Callable[[pd.DataFrame], pd.DataFrame], schema: str, id_col: str = "id", retries: int = 2) -> DataFrame:
-    """A reader's analyses (`schema`) of each ruling, with its id as source_key, an error and the number of attempts.
+    """A reader's analyses (`schema`) of each ruling, with its id (if it has one) as source_key, an error and the number of attempts.
 
     The reader gets a batch at a time. Where it fails, each ruling of the batch is read by itself, up to `retries` times more; one that
     fails each time gives a row with the error alone. Attempts count every call a ruling was part of, so that calls which gave nothing are
     paid for as well. Rulings that the reader returns nothing for fall out.
     """
     names = [c.strip().split()[0] for c in _top_level(schema)]
-    kind = df.schema[id_col].dataType.simpleString()
+    named = id_col in df.columns
+    kind = df.schema[id_col].dataType.simpleString() if named else "string"
 
     def told(out: pd.DataFrame, key, attempts: int, error: str | None = None) -> pd.DataFrame:
         return out.reindex(columns=names).assign(source_key=key, error=error, attempts=attempts)
 
     def one(row: pd.DataFrame) -> pd.DataFrame:
-        key = row[id_col].iloc[0]
+        key = row[id_col].iloc[0] if named else None
         for attempt in range(2, retries + 3):
             try:
                 return told(reader(row), key, attempt)
@@ -62,7 +63,7 @@ def read_each(df: DataFrame, reader: Callable[[pd.DataFrame], pd.DataFrame], sch
                     out = reader(part)
                     if len(out) != len(part):
                         raise ValueError("the reader returned other rows than it was given")
-                    yield told(out.reset_index(drop=True), part[id_col], 1)
+                    yield told(out.reset_index(drop=True), part[id_col] if named else None, 1)
                 except Exception:  # noqa: BLE001  each ruling by itself
                     for k in range(len(part)):
                         yield one(part.iloc[[k]])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.engine import KEYWORD_COLUMNS
-from docmill.operators import chunk, evaluate, keyword, normalize, quality, store
+from docmill.operators import chunk, evaluate, keyword_index, normalize, quality, store
 from docmill.schema import DOCUMENT
 from docmill.sources import jsonl
 from docmill.streaming import ingest

@@ -76,5 +76,5 @@ def test_analysis_in_steps(spark):
     steps = Engine(spark, docs, docs, docs, lambda texts: [[1.0, 0.0]] * len(texts)).analyze_stream("despido sin causa", reader)
     assert next(steps)[0] == "hits" and next(steps)[0] == "saving" and not read
     rest = dict(steps)
-    assert list(rest) == ["readings", "analyses", "counts", "favourable", "norms", "contradictions"] and len(read) == 1
+    assert list(rest) == ["readings", "analyses", "counts", "favourable", "norms", "contradictions", "synthesis"] and len(read) == 1
     assert rest["counts"].first().favorable == 5

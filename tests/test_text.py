@@ -149,9 +149,9 @@ def test_all_noise_rules_over_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    for name, n in (("quality_filter_all", 12), ("auto_inadmissible_all", 6)):
+    for name, n in (("quality_filter", 12), ("auto_inadmissible", 6)):
         got = catalogue.queries()[name](spark, str(tmp_path))
         want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
         assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == n
-    told = {r.doc_id: r.noise_reason for r in catalogue.queries()["quality_filter_all"](spark, str(tmp_path)).collect()}
+    told = {r.doc_id: r.noise_reason for r in catalogue.queries()["quality_filter"](spark, str(tmp_path)).collect()}
     assert sorted(i for i, r in told.items() if r) == [1, 3, 5, 7, 9, 11]

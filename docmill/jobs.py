@@ -21,7 +21,7 @@ def run_normalize(spark: SparkSession, source: str, out: str, kind: str) -> None
         docs = normalize.normalize_variant(jsonl.raw_lines(spark, source))
     else:
         raw = spark.read.option("recursiveFileLookup", "true").json(source)
-        docs = normalize.normalize_rulings(raw) if kind == "rulings" else normalize.normalize_records(raw)
+        docs = {"rulings": normalize.normalize_rulings, "records": normalize.normalize_records, "chamber": normalize.normalize_chamber}[kind](raw)
     jsonl.write_documents(docs, out)
 
 
@@ -75,7 +75,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("job", choices=["normalize", "chunk", "store", "index", "ingest", "sync", "benchmark", "status"])
     parser.add_argument("--source")
     parser.add_argument("--out", required=True)
-    parser.add_argument("--kind", choices=["variant", "rulings", "records"], default="variant")
+    parser.add_argument("--kind", choices=["variant", "rulings", "records", "chamber"], default="variant")
     for name in ("--checkpoint", "--history", "--index", "--queries"):
         parser.add_argument(name)
     a = parser.parse_args(argv)

@@ -63,7 +63,7 @@ class UpsertLog:
         """The stored rows, of some buckets if asked; None before the first batch."""
         own = self.manifest(version)
         files = [r.file for r in (own if buckets is None else own.where(F.col("bucket").isin(buckets))).select("file").distinct().collect()]
-        return self._rows(files) if files else None
+        return self._rows(files).drop("__b") if files else None
 
     def _rows(self, files: list[str]) -> DataFrame:
         return self.spark.read.option("mergeSchema", "true").parquet(*(f"{self.path}/data/{f}" for f in files))
@@ -124,6 +124,20 @@ class UpsertLog:
             self._commit(kept, number)
         return True
 
+    def insert(self, batch: DataFrame, number: int, order: tuple[str, ...] = ()) -> bool:
+        """As upsert(), but a row whose id is stored already falls out; no stored file is written anew."""
+        known = self.versions()
+        if known and number <= known[-1]:
+            return False
+        with scratch():
+            rows = batch.where(F.col(self.id_col).isNotNull()).withColumn("__at", F.monotonically_increasing_id())
+            fresh, before = saved(first_wins(rows, self.id_col, *order, "__at").drop("__at"), "batch"), self.manifest()
+            if opened := [r.file for r in self._opened(fresh, before).distinct().collect()]:
+                fresh = saved(fresh.join(self._rows(opened).select(self.id_col), self.id_col, "left_anti"), "fresh")
+            parts = before if fresh.isEmpty() else before.unionByName(self._write(fresh, f"{number}-{uuid.uuid4().hex}"))
+            self._commit(parts, number)
+        return True
+
     def _commit(self, manifest: DataFrame, number: int) -> None:
         manifest.repartitionByRange("bucket").sortWithinPartitions("bucket").write.mode("overwrite").parquet(f"{self.path}/manifest/v={number}")
 
@@ -132,7 +146,7 @@ class UpsertLog:
         before = self.manifest()
         many = [r.bucket for r in before.groupBy("bucket").count().where(F.col("count") > files).collect()]
         if many:
-            rows = self.read(buckets=many).drop("__b")
+            rows = self.read(buckets=many)
             self._commit(before.where(~F.col("bucket").isin(many)).unionByName(self._write(rows, f"{number}-{uuid.uuid4().hex}-compact")), number)
         return len(many)
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
-from docmill.operators.store import first_wins
+from docmill.operators.upsert_log import UpsertLog
 
 
 def new_files(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
@@ -17,31 +18,50 @@ def new_files(spark: SparkSession, path: str, schema: StructType, files_per_batc
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def ingest(stream: DataFrame, store: str, checkpoint: str, id_col: str = "id", prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
-    """Append what arrived since the last run, one row for each id not stored yet, then stop.
+def ingest(stream: DataFrame, store: str, checkpoint: str, id_col: str = "id", prepare: Callable[[DataFrame], DataFrame] = lambda df: df, buckets: int = 16) -> StreamingQuery:
+    """Store what arrived since the last run, one row for each id not stored yet, then stop.
 
-    Each batch goes to a folder of its own number, overwritten if the batch runs again after a failure, so nothing is
-    lost or stored twice. Read the store with read_store().
+    Each batch is a version of an upsert log by its number, so one that runs again after a failure stores nothing twice, and it opens only the
+    stored files that may hold its ids. What is read is counted as the observed metric "ingest". Read the store with read_store().
     """
+    log = UpsertLog(stream.sparkSession, store, id_col, buckets)
+    counted = stream.observe("ingest", F.count(F.lit(1)).alias("read"), F.count_if(F.col(id_col).isNull()).alias("without_id"))
+    return counted.writeStream.foreachBatch(lambda batch, number: log.insert(prepare(batch), number) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        fresh = first_wins(prepare(batch).withColumn("__at", F.monotonically_increasing_id()), id_col, "__at").drop("__at")
-        known = read_store(batch.sparkSession, store, before=number)
-        if known is not None:  # only the ids of the batch leave the scan of the store
-            met = known.select(id_col).join(fresh.select(id_col), id_col, "left_semi")
-            fresh = fresh.join(met, id_col, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{store}/batch={number}")
 
-    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def read_store(spark: SparkSession, store: str) -> DataFrame | None:
+    """The stored rows; None while there are none."""
+    return UpsertLog(spark, store).read()
 
 
-def read_store(spark: SparkSession, store: str, before: int | None = None) -> DataFrame | None:
-    """The stored rows, of the finished batches under `before` if given; None while there are none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
-    kept = [n for n in names if n.startswith("batch=") and (before is None or int(n[6:]) < before) and fs.exists(path.suffix(f"/{n}/_SUCCESS"))]
-    return spark.read.option("basePath", store).option("mergeSchema", "true").parquet(*(f"{store}/{n}" for n in kept)).drop("batch") if kept else None
+class ProgressLog(StreamingQueryListener):
+    """The progress of a session's streams as rows: query, batch, input_rows, rows_per_second, and the observed metrics by name as JSON. Add it with spark.streams.addListener()."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.ended: dict[str, str | None] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802  Spark's names
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        told = {name: row.asDict() for name, row in p.observedMetrics.items()}
+        self.rows.append((str(p.id), p.batchId, p.numInputRows, p.processedRowsPerSecond, json.dumps(told)))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended[str(event.id)] = event.exception
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, "query string, batch long, input_rows long, rows_per_second double, observed string")
+
+    def write(self, spark: SparkSession, path: str) -> None:
+        """Append what was seen so far to a table, and forget it."""
+        self.table(spark).write.mode("append").parquet(path)
+        self.rows.clear()
 
 
 def has_new(df: DataFrame, done: int, position: str = "position", least: int = 10) -> bool:

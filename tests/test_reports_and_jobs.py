@@ -55,6 +55,14 @@ def test_jobs(spark, tmp_path):
     assert [(r.query_id, round(r.precision), r.n) for r in spark.read.parquet(marks).orderBy("query_id").collect()] == [(1, 33, 3), (2, 0, 0)]
 
 
+def test_chamber_entries_by_the_job(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = [{"uuid": "u1", "expediente": "e", "texto": "x" * 300, "caratula": "A", "tribunal": "T", "fecha": "01/02/2020", "jurisdiccion": "13-18"}, {"uuid": "", "expediente": "", "texto": "x" * 300, "jurisdiccion": "q"}, {"uuid": "u2", "expediente": "", "texto": "short", "jurisdiccion": ""}]
+    (tmp_path / "in" / "c.json").write_text("\n".join(map(json.dumps, rows)))
+    jobs.main(["normalize", "--source", str(tmp_path / "in"), "--out", str(tmp_path / "out"), "--kind", "chamber"])
+    assert [(r.source_id, r.jurisdiccion, r.caratula) for r in spark.read.json(str(tmp_path / "out")).collect()] == [("u1", "San Juan", "A")]
+
+
 def test_ruling_summary(spark):
     rows = spark.createDataFrame([(1, '{"hechos": "h", "articulos_citados": ["a"]}'), (2, '{"hechos": "h'), (3, None), (4, "[1]")], "id int, answer string")
     got = {r.id: r.summary for r in analyze.ruling_summary(rows, F.col("answer")).collect()}

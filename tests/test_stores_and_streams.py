@@ -70,6 +70,40 @@ def test_compaction_and_vacuum(spark, tmp_path):
     assert log.vacuum(keep=1) > 0 and stored(log) == want and log.versions() == [9]
 
 
+def test_inserts_keep_what_is_stored(spark, tmp_path):
+    log = upsert_log.UpsertLog(spark, str(tmp_path), buckets=2)
+    frame = lambda rows: spark.createDataFrame(rows, "id string, v int")
+    log.insert(frame([("a", 1), ("b", 1)]), 0)
+    files = {r.file for r in log.manifest().collect()}
+    assert log.insert(frame([("b", 2), ("c", 2), ("c", 3)]), 1) and not log.insert(frame([("d", 9)]), 1)
+    assert stored(log) == {"a": 1, "b": 1, "c": 2} and files <= {r.file for r in log.manifest().collect()}
+
+
+def test_progress_is_what_a_recount_gives(spark, tmp_path):
+    import time
+
+    from docmill.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps({"id": None if i == 0 else f"{k}-{i}", "v": i}) for i in range(5 + k)))
+    log = ingest.ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        ingest.ingest(ingest.new_files(spark, str(tmp_path / "in"), spark.createDataFrame([], "id string, v int").schema, 1), str(tmp_path / "store"), str(tmp_path / "mark"), buckets=2).awaitTermination()
+        for _ in range(100):
+            if log.ended:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    told = [json.loads(r.observed)["ingest"] for r in log.table(spark).collect()]
+    assert sum(t["read"] for t in told) == 18 and sum(t["without_id"] for t in told) == 3
+    log.write(spark, str(tmp_path / "progress"))
+    assert spark.read.parquet(str(tmp_path / "progress")).agg(F.sum("input_rows")).first()[0] == 18 and not log.rows
+    assert ingest.read_store(spark, str(tmp_path / "store")).count() == 15
+
+
 # ---- offsets
 
 

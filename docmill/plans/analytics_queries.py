@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docmill.engine import Engine
 from docmill.functions import text as X
-from docmill.operators import analyze, normalize, store, upsert_log, usage
+from docmill.operators import analyze, normalize, rank, store, upsert_log, usage
 from docmill.plans.registry import query
 from docmill.plans.text_queries import corpus
 from docmill.session import scratch_path, table
@@ -120,11 +120,12 @@ def saved_items_list(spark, sf_dir):
     return usage.saved_items(items, "8", "view").select("id", "type", "data")
 
 
-@query("SELECT conv_id, string_agg(turn || ':' || role, '|' ORDER BY turn) AS turns FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, turn // 100 AS part, string_agg(turn || ':' || role, '|' ORDER BY turn) AS turns FROM conversations GROUP BY conv_id, part")
 def strip_heavy_fields(spark, sf_dir):
-    """The texts go before the turns are gathered, so a long conversation's row holds turns and roles alone."""
-    slim = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role").alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    return slim.withColumn("turns", F.array_join(F.transform("turns", lambda t: F.concat_ws(":", *(t[c] for c in ("turn", "role")))), "|"))
+    """Conversations in parts of a hundred turns, without the columns and the fields of turns that a list doesn't show; texts are never gathered."""
+    parts = table(spark, sf_dir, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 100).alias("part")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "conv_id"))).alias("turns"), F.count("*").alias("n"))
+    slim = usage.strip_fields(parts, "turns", ["conv_id"], ["n"])
+    return slim.withColumn("turns", F.array_join(F.transform("turns", lambda t: F.concat_ws(":", t["turn"], t["role"])), "|"))
 
 
 @query("""SELECT count(*) AS processed, count(*) FILTER (length(text) >= 500) AS written, count(*) FILTER (length(text) BETWEEN 100 AND 499) AS skipped, count(*) FILTER (length(text) < 100) AS errors, round(100.0::DOUBLE * count(*) / 2000, 1) AS percent FROM documents""")
@@ -270,3 +271,56 @@ def run_states(spark, sf_dir):
         F.lit(None).cast("int").alias("progress"), F.when(F.col("event_type") == "signup", 2).alias("total_agents"), F.lit("").alias("detail"), F.lit(0.0).alias("cost_usd"),
     )
     return runs.run_states(rows).select("run_id", "step", "agents_active", "applied")
+
+
+_SHOWN = "CASE WHEN len(normas) = 0 THEN 'N/D' ELSE coalesce(nullif(array_to_string(normas, ', '), ''), 'N/D') END"
+
+
+@query(f"""WITH {_A} SELECT doc_id AS position, sha256(concat_ws(chr(10) || '  ', '[' || doc_id || '] ' || caratula || ' — ' || tribunal || ' — ' || fecha, 'Resultado: ' || resultado, 'Vía procesal: ' || via,
+  'Normas: ' || {_SHOWN}, 'Precedentes: ' || {_SHOWN}, 'Doctrina: ' || tribunal, 'Hechos determinantes: N/D', 'Prueba decisiva: N/D', 'Quantum/costas: N/D', 'Votos: N/D', 'Estrategia: ', 'Argumento clave: ', 'Razón resultado: ', 'Relevancia cliente: ')) AS block FROM a""")
+def reader_blocks(spark, sf_dir):
+    """The block of each analysis, as a synthesiser reads it."""
+    return analyze.reader_context(_analyses(spark, sf_dir)).select("position", F.sha2("block", 256).alias("block"))
+
+
+@query(f"""WITH {_A}, t AS (SELECT *, row_number() OVER (PARTITION BY resultado ORDER BY score DESC, doc_id) AS place FROM a)
+  SELECT resultado, place, sha256(chr(10) || chr(10) || '--- FALLO COMPLETO (' || upper(resultado) || '): ' || caratula || ' ---' || chr(10) || substr(texto, 1, 3000) || chr(10)) AS section
+  FROM t WHERE texto <> '' AND (resultado = 'favorable' AND place <= 3 OR resultado = 'desfavorable' AND place <= 2)""")
+def key_texts(spark, sf_dir):
+    """The texts that follow the blocks."""
+    return analyze.key_texts(_analyses(spark, sf_dir)).select("resultado", F.col("place").cast("long").alias("place"), F.sha2("section", 256).alias("section"))
+
+
+@query(f"""WITH {_A}, c AS (SELECT count(*) AS n, count(*) FILTER (resultado = 'favorable') AS f FROM a)
+  SELECT round(100.0::DOUBLE * f / greatest(n, 1), 1) AS porcentaje_favorable, 'De ' || greatest(n, 1) || ' fallos analizados, ' || f || ' fueron favorables (' || CAST(round(100.0::DOUBLE * f / greatest(n, 1), 1) AS VARCHAR) || '%).' AS recomendacion_estrategica FROM c""")
+def synthesis_fallback(spark, sf_dir):
+    """What is said where no synthesiser answered."""
+    return analyze.fallback_synthesis(_analyses(spark, sf_dir)).select("porcentaje_favorable", "recomendacion_estrategica")
+
+
+def _logs(spark, sf_dir):
+    """orders as usage logs of customers; every fourth tier isn't known."""
+    tier = F.element_at(F.array(F.lit("premium"), F.lit("gold"), F.lit(""), F.lit(None)), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), tier.alias("tier"), F.col("o_orderdate").alias("created_at"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 4 <> 1")
+def valid_usage_rows(spark, sf_dir):
+    return usage.valid_usage(_logs(spark, sf_dir)).select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
+def usage_newest(spark, sf_dir):
+    """The newest logs of one user."""
+    logs = _logs(spark, sf_dir)
+    return usage.usage_list(logs, logs.agg(F.min("user_id")).first()[0]).select("id")
+
+
+@query("""WITH c AS (SELECT o_orderkey, year(o_orderdate) AS y, o_totalprice / 1e6 AS s, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders QUALIFY r <= 500)
+  SELECT o_orderkey, row_number() OVER (ORDER BY round(s + CASE WHEN y <= 1998 THEN greatest(0.0, 0.15 * (1 - (1998 - y) / 30.0)) ELSE 0 END, 9) DESC, r) AS input_rank FROM c""")
+def recency_order(spark, sf_dir):
+    """The order of the 500 dearest orders (a search's greatest fetch) after the boost for their dates."""
+    top = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(500)
+    place = F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    rows = top.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("fecha"), (F.col("o_totalprice").cast("double") / 1e6).alias("rerank_score"), place.alias("input_rank"))
+    return rank.recency(rows, 1998).selectExpr("o_orderkey", "CAST(input_rank AS BIGINT) AS input_rank")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions import text as X
-from docmill.operators import chunk, normalize, quality, store
+from docmill.operators import analyze, chunk, normalize, quality, store, usage
 from docmill.plans.registry import query
 from docmill.session import table
 
@@ -100,11 +100,12 @@ def result_block_parse(spark, sf_dir):
     return normalize.parse_result_blocks(table(spark, sf_dir, "pages").select(block.alias("html")))
 
 
-@query("""WITH ends(e) AS (VALUES (DATE '2014-02-10'), (DATE '2013-12-31'), (DATE '2013-08-30'))
+@query("""WITH ends AS (SELECT user_id, CAST(max(ts) AS DATE) AS e FROM events WHERE user_id IS NOT NULL GROUP BY user_id)
   SELECT strftime(CAST(m AS DATE), '%Y-%m-%d') AS m_start, strftime(least(last_day(CAST(m AS DATE)), e), '%Y-%m-%d') AS m_end FROM ends, LATERAL (SELECT unnest(generate_series(TIMESTAMP '2013-09-01', date_trunc('month', e)::TIMESTAMP, INTERVAL 1 MONTH)) AS m)""")
 def month_ranges(spark, sf_dir):
-    ends = spark.createDataFrame([("2014-02-10",), ("2013-12-31",), ("2013-08-30",)], "end string")
-    return normalize.month_ranges(ends).select(F.col("m_start").cast("string").alias("m_start"), F.col("m_end").cast("string").alias("m_end"))
+    """The months to ask for, up to the day of each user's last event."""
+    ends = table(spark, sf_dir, "events").where("user_id IS NOT NULL").groupBy("user_id").agg(F.date_format(F.max("ts"), "yyyy-MM-dd").alias("end"))
+    return normalize.month_ranges(ends.select("end")).select(F.col("m_start").cast("string").alias("m_start"), F.col("m_end").cast("string").alias("m_end"))
 
 
 @query()
@@ -182,3 +183,31 @@ def ensure_list(spark, sf_dir):
     value = F.try_variant_get(v, "$.v", "variant")
     shape = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(X.ensure_list(shape, F.try_variant_get(v, "$.v", "array<string>"), F.try_variant_get(v, "$.v", "string")), "|").alias("items"))
+
+
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256({_STRIP.format("text")}) ELSE sha256('') END AS why, CASE doc_id % 3 WHEN 0 THEN lang WHEN 1 THEN '</razonamiento>' || source ELSE source END AS rest FROM documents""")
+def reasoning_split(spark, sf_dir):
+    """Texts as the reasoning before an answer; of every third an opening tag is missing, and of the next one both are."""
+    tagged = F.concat(F.lit("x<razonamiento>"), "text", F.lit("</razonamiento>"), "lang")
+    c = F.when(F.col("doc_id") % 3 == 0, tagged).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("</razonamiento>"), "source")).otherwise(F.col("source"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", c.alias("answer"))
+    return rows.select("doc_id", F.sha2(X.reasoning_of(F.col("answer")), 256).alias("why"), X.after_reasoning(F.col("answer")).alias("rest"))
+
+
+@query("SELECT o_orderkey, CAST(CAST(round(o_totalprice / 1e4) AS INTEGER) AS VARCHAR) || '%' AS label FROM orders")
+def percent_labels(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.percent_label(F.col("o_totalprice").cast("double") / 1e6).alias("label"))
+
+
+@query(f"WITH {CORPUS_SQL} SELECT id, coalesce(nullif(substr(sumario, 1, 200), ''), substr(texto, 1, 200)) AS resumen, caratula AS argumento FROM corpus")
+def raw_summaries(spark, sf_dir):
+    """What stands for summaries where no summariser answered."""
+    return analyze.fallback_summary(corpus(spark, sf_dir)).select("id", "resumen", "argumento")
+
+
+@query("SELECT doc_id, 'Caso: ' || substr(text, 1, 60) AS title FROM documents")
+def item_titles(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", usage.item_title("Caso: ", F.col("text"), 60).alias("title"))

@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.session import saved
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -123,7 +125,7 @@ def top_k_each(df: DataFrame, queries: DataFrame, k: int, vector_col: str = "emb
 
 def top_k_relaxed(df: DataFrame, query: list[float], k: int, vector_col: str = "embedding", id_col: str = "id", **conditions) -> DataFrame:
     """top_k(), without the conditions if no row meets them."""
-    found = top_k(df, query, k, vector_col, id_col, **conditions)
+    found = saved(top_k(df, query, k, vector_col, id_col, **conditions), "relaxed")  # k rows, so that the scan is made once
     return top_k(df, query, k, vector_col, id_col) if found.isEmpty() else found
 
 

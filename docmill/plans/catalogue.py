@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.plans import analytics_queries, rank_queries, text_queries  # noqa: F401  they register their queries
+from docmill.plans import analytics_queries, rank_queries, record_queries, text_queries  # noqa: F401  they register their queries
 from docmill.plans.registry import QUERIES, SQL, Query
 
 

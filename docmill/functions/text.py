@@ -45,6 +45,11 @@ def present(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def once(c: Column) -> Column:
+    """c as the one row of a generator: filters and columns that use it don't make the optimizer work it out again."""
+    return F.explode(F.array(c))
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

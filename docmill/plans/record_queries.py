@@ -127,16 +127,16 @@ _CHUNKS_SQL = """WITH RECURSIVE docs AS (SELECT doc_id, {0} AS t FROM documents)
   made AS (SELECT doc_id, c, max(size) AS size, regexp_replace(string_agg(CASE WHEN first THEN piece ELSE joiner || piece END, '' ORDER BY i), '^\\s+|\\s+$', '', 'g') AS chunk, c = max(c) OVER (PARTITION BY doc_id) AS final FROM walk JOIN seq USING (doc_id, i) GROUP BY doc_id, c),
   kept AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY c) - 1 AS chunk_index FROM made WHERE size > 0 AND (chunk <> '' OR NOT final)
     UNION ALL SELECT doc_id, coalesce(t, ''), 0 FROM docs WHERE coalesce(length(t), 0) <= 4000)
-  SELECT CAST(doc_id AS VARCHAR) || CASE WHEN count(*) OVER d > 1 THEN '_c' || chunk_index ELSE '' END AS id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(count(*) OVER d AS INTEGER) AS total_chunks, sha256(chunk) AS chunk_sha256 FROM kept WINDOW d AS (PARTITION BY doc_id)"""
+  SELECT CAST(doc_id AS VARCHAR) || CASE WHEN count(*) OVER d > 1 THEN '_c' || chunk_index ELSE '' END AS id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(count(*) OVER d AS INTEGER) AS total_chunks, CAST(length(chunk) AS INTEGER) AS n, sha256(chunk) AS chunk_sha256 FROM kept WINDOW d AS (PARTITION BY doc_id)"""
 
 
 def _chunks(docs):
     found = chunk.chunk_documents(docs)
-    return found.select("id", "chunk_index", "total_chunks", F.sha2("texto", 256).alias("chunk_sha256"))
+    return found.select("id", "chunk_index", "total_chunks", F.length("texto").alias("n"), F.sha2("texto", 256).alias("chunk_sha256"))
 
 
 @query(_CHUNKS_SQL.format("text"))
-def chunk_texts(spark, sf_dir):
+def chunk_documents(spark, sf_dir):
     """The chunks of all documents by sentences and lines, as their texts have no blank lines."""
     return _chunks(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("texto")))
 

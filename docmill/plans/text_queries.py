@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions import text as X
-from docmill.operators import analyze, chunk, normalize, quality, store, usage
+from docmill.operators import analyze, normalize, quality, store, usage
 from docmill.plans.registry import query
 from docmill.session import table
 
@@ -108,11 +108,6 @@ def month_ranges(spark, sf_dir):
     return normalize.month_ranges(ends.select("end")).select(F.col("m_start").cast("string").alias("m_start"), F.col("m_end").cast("string").alias("m_end"))
 
 
-@query()
-def chunk_documents(spark, sf_dir):
-    return chunk.chunk_documents(corpus(spark, sf_dir).select("id", "texto", "source")).select("id", "chunk_index", "total_chunks", F.length("texto").alias("n"))
-
-
 @query("SELECT source AS id, text AS texto, doc_id AS line FROM documents WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1")
 def fulltext_store_first_wins(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("id"), F.col("text").alias("texto"), F.col("doc_id").alias("line"))

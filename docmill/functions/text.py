@@ -50,6 +50,11 @@ def once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
+def json_value(c: Column) -> Column:
+    """The JSON value of a text as a variant; null for bad JSON, also where other text follows the value."""
+    return F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$[0]", "variant")
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

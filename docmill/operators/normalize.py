@@ -106,7 +106,7 @@ def to_documents(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def normalize_variant(raw: DataFrame, json_col: str = "value", prefix: str = "saij") -> DataFrame:
     """Documents from JSON texts whose fields may have any shape. Bad JSON and texts under 100 characters are dropped."""
-    v = raw.select(X.once(F.try_parse_json(json_col)).alias("v")).where("v IS NOT NULL")
+    v = raw.select(X.once(X.json_value(F.col(json_col))).alias("v")).where("v IS NOT NULL")
     names = ["texto-completo", "texto", "id-infojus", "guid", "sumario", "caratula", "tipo-fallo", "tribunal", "tipo-tribunal", "sala", "magistrados", "materia", "descriptores", "fecha", "jurisdiccion", "provincia", "localidad", "actor", "demandado", "sobre", "referencias-normativas"]
     fields = v.select(*(F.try_variant_get("v", f"$['{n}']", "variant").alias(n.replace("-", "_")) for n in names))
     s = lambda n: safe_str(F.col(n))

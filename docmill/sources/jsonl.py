@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.functions.text import once, or_empty, strip
+from docmill.functions.text import json_value, once, or_empty, strip
 from docmill.schema import DOCUMENT
 
 
@@ -19,7 +19,7 @@ def raw_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFram
 def documents(spark: SparkSession, path: str, glob: str = "*.jsonl", source: str | None = None, places: bool = False) -> DataFrame:
     """Documents of clean files; bad JSON falls out, unknown keys are dropped, absent ones are empty. `source` picks the file of that stem; `places` adds where each stood (block, line)."""
     where = ["file", "block", "line"] if places else ["file"]
-    rows = raw_lines(spark, path, f"{source}.jsonl" if source else glob).select(once(F.try_parse_json("value")).alias("v"), *where).where("v IS NOT NULL")
+    rows = raw_lines(spark, path, f"{source}.jsonl" if source else glob).select(once(json_value(F.col("value"))).alias("v"), *where).where("v IS NOT NULL")
     blank = {"string": or_empty, "array<string>": lambda c: F.coalesce(c, F.array().cast("array<string>")), "int": lambda c: F.coalesce(c, F.lit(0))}
     field = lambda f: blank[f.dataType.simpleString()](F.try_variant_get("v", f"$.{f.name}", f.dataType.simpleString())).alias(f.name)
     return rows.select(*map(field, DOCUMENT.fields), *where)
@@ -27,7 +27,7 @@ def documents(spark: SparkSession, path: str, glob: str = "*.jsonl", source: str
 
 def bad_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """file, n: how many lines of each file look like an object and aren't JSON."""
-    return raw_lines(spark, path, glob).where(F.try_parse_json("value").isNull()).groupBy("file").agg(F.count("*").alias("n"))
+    return raw_lines(spark, path, glob).where(json_value(F.col("value")).isNull()).groupBy("file").agg(F.count("*").alias("n"))
 
 
 def write_documents(df: DataFrame, path: str, append: bool = False) -> None:

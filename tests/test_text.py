@@ -155,3 +155,22 @@ def test_all_noise_rules_over_whole_texts(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == n
     told = {r.doc_id: r.noise_reason for r in catalogue.queries()["quality_filter"](spark, str(tmp_path)).collect()}
     assert sorted(i for i, r in told.items() if r) == [1, 3, 5, 7, 9, 11]
+
+
+def test_records_are_parsed_once(spark):
+    """Filters and columns on what is read from a record don't make the plan parse it again."""
+    from docmill.operators import normalize
+
+    rows = spark.createDataFrame([('{"texto": "' + "x" * 120 + '", "guid": "a"}',), ('{"texto": "short"}',), ("{bad",), (None,)], "value string")
+    docs = normalize.normalize_variant(rows)
+    assert docs._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+    assert [r.source_id for r in docs.collect()] == ["a"]
+
+
+def test_json_lines_of_wrong_types(spark, tmp_path):
+    """A field of a wrong type is empty and the others stay; lines that are no JSON fall out."""
+    from docmill.sources import jsonl
+
+    (tmp_path / "a.jsonl").write_text('{"id": "1", "voces": "x", "chunk_index": "y", "texto": 5}\n{"id": "2", "voces": ["a", null]}\n{"id": "3"} rest\n\n{"id": null}\n', encoding="utf-8")
+    found = {r.id: (r.voces, r.chunk_index, r.texto) for r in jsonl.documents(spark, str(tmp_path)).collect()}
+    assert found == {"1": ([], 0, "5"), "2": (["a", None], 0, ""), "": ([], 0, "")}

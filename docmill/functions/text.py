@@ -180,8 +180,10 @@ def is_header(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^(?:I|II|III|IV|V|VI|VII|VIII)\.") | ((F.upper(c) == c) & (F.lower(c) != c)), F.lit(False))
 
 
-def percent_label(c: Column) -> Column:
-    return F.concat(F.round(c * 100).cast("int").cast("string"), F.lit("%"))
+def percent_label(c: Column, whole: float = 1) -> Column:
+    """c in whole percent of `whole`, halves up. Of another whole than 1 the percentage is one division: the share times 100 would miss halves (285000 of a million is 28.499999999999996)."""
+    percent = c * 100 if whole == 1 else c / (whole / 100)
+    return F.concat(F.round(percent).cast("int").cast("string"), F.lit("%"))
 
 
 def search_tokens(c: Column) -> Column:

@@ -194,7 +194,7 @@ def reasoning_split(spark, sf_dir):
 
 @query("SELECT o_orderkey, CAST(CAST(round(o_totalprice / 1e4) AS INTEGER) AS VARCHAR) || '%' AS label FROM orders")
 def percent_labels(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", X.percent_label(F.col("o_totalprice").cast("double") / 1e6).alias("label"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.percent_label(F.col("o_totalprice").cast("double"), 1e6).alias("label"))
 
 
 @query(f"WITH {CORPUS_SQL} SELECT id, coalesce(nullif(substr(sumario, 1, 200), ''), substr(texto, 1, 200)) AS resumen, caratula AS argumento FROM corpus")

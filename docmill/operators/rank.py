@@ -52,12 +52,16 @@ def union_dedup(first: DataFrame, second: DataFrame, id_col: str = "id", names:
     return _dense(kept, "__list", "input_rank").drop("__n", "__list")
 
 
-def title_dedup(df: DataFrame, title_col: str = "caratula") -> DataFrame:
-    """Of rows whose titles begin alike (60 characters, without case and outer white space) the first stays; rows without a title all stay."""
-    named = df.withColumn("__key", F.lower(strip(F.substring(or_empty(F.col(title_col)), 1, 60))))
+def title_dedup(df: DataFrame, title_col: str = "caratula", key: Column | None = None) -> DataFrame:
+    """Of rows whose titles begin alike (60 characters, without case and outer white space) the first stays; rows without a title all stay.
+
+    Another `key` may say what is compared: rows whose key is empty all stay, and of those without one (null) the first.
+    """
+    named = df.withColumn("__key", F.lower(strip(F.substring(or_empty(F.col(title_col)), 1, 60))) if key is None else key)
     order = Window.partitionBy("__key").orderBy("input_rank")
-    first = named.where("__key <> ''").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return first.unionByName(named.where("__key = ''")).drop("__key")
+    empty = F.col("__key").eqNullSafe("")
+    first = named.where(~empty).withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return first.unionByName(named.where(empty)).drop("__key")
 
 
 def rerank_pool(df: DataFrame, top_k: int) -> DataFrame:

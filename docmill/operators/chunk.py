@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_CHARS = 4000
+#: Bytes of text that a worker holds as Python strings at a time; a longer text is gone through by itself.
+SLICE = 2 << 20
 
 
 def _pieces(text: str, most: int) -> Iterator[tuple[str, str, bool]]:
@@ -73,10 +78,35 @@ def chunks(text: Column, most: int = MAX_CHARS) -> Column:
     return _cut_all(text, F.lit(most))
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in order, in runs of rows that start within the same `most` bytes of a text column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    run = np.concatenate([[0], ends[:-1]]) // most
+    edges = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), batch.num_rows]
+    for start, end in zip(edges, edges[1:]):
+        yield batch.slice(start, end - start)
+
+
+def cut_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of the texts in the last column: the other columns, total_chunks, chunk_index, the chunk."""
+    for b in batches:
+        for part in slices(b, b.num_columns - 1, SLICE) if b.num_rows else ():
+            own = [cut(t.as_py(), most) for t in part.column(part.num_columns - 1)]
+            n = np.array([len(c) for c in own])
+            rows = pa.array(np.repeat(np.arange(len(own)), n))
+            index = np.concatenate([np.arange(k) for k in n])
+            made = [pa.array(np.repeat(n, n), pa.int32()), pa.array(index, pa.int32()), pa.array([c for cs in own for c in cs], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in part.columns[:-1]), *made], [*part.schema.names[:-1], "total_chunks", "chunk_index", part.schema.names[-1]])
+
+
 def chunk_documents(df: DataFrame, id_col: str = "id", text_col: str = "texto", most: int = MAX_CHARS) -> DataFrame:
-    """One row a chunk: id (with _c<index> where there are several), the chunk as text, chunk_index, total_chunks, other columns."""
+    """One row a chunk: id (with _c<index> where there are several), the chunk as text, chunk_index, total_chunks, other columns.
+
+    A worker holds one Arrow batch, which Spark bounds in bytes, and beside it the texts and chunks of SLICE bytes.
+    """
     rest = [c for c in df.columns if c not in (id_col, text_col, "chunk_index", "total_chunks")]
-    rows = df.select(id_col, *rest, chunks(F.col(text_col), most).alias("__chunks"))
-    rows = rows.select(id_col, *rest, F.size("__chunks").alias("total_chunks"), F.posexplode("__chunks").alias("chunk_index", text_col))
+    rows = df.select(id_col, *rest, F.col(text_col).cast("string").alias(text_col))
+    made = T.StructType([*rows.schema.fields[:-1], T.StructField("total_chunks", T.IntegerType()), T.StructField("chunk_index", T.IntegerType()), T.StructField(text_col, T.StringType())])
+    rows = rows.mapInArrow(lambda batches: cut_batches(batches, most), made)
     key = F.col(id_col).cast("string")
     return rows.withColumn(id_col, F.when(F.col("total_chunks") > 1, F.concat_ws("_c", key, F.col("chunk_index"))).otherwise(key))

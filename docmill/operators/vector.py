@@ -42,8 +42,8 @@ def top_k(df: DataFrame, query: list[float], k: int, vector_col: str = "embeddin
     return scored.orderBy(F.desc_nulls_last("score"), id_col).limit(k)
 
 
-#: Queries that go to the tasks at a time.
-QUERY_BLOCK = 1024
+#: Queries that go to the tasks at a time, and scores that a worker makes at a time.
+QUERY_BLOCK, CELLS = 1024, 1 << 20
 
 
 def usable(vector: Column) -> Column:
@@ -72,26 +72,35 @@ def blocks_of_queries(queries: DataFrame, query_col: str, vector_col: str, dims:
         yield names, units(vectors, dims)
 
 
+def best_of_batch(b: pa.RecordBatch, asked: np.ndarray, k: int) -> pa.RecordBatch:
+    """q, id, score of the k best rows (id, vector) of a batch for each of the asked unit vectors, ties by id; CELLS scores are made at a time."""
+    dims = asked.shape[1]
+    order = pc.sort_indices(b.column(0), null_placement="at_start").to_numpy()
+    key, score = np.zeros((len(asked), 0), np.int64), np.zeros((len(asked), 0))  # of the best so far
+    step = max(1, CELLS // len(asked))
+    for start in range(0, len(order), step):
+        rows = b.column(1).take(pa.array(order[start : start + step])).to_pylist()
+        good = np.array([v is not None and len(v) == dims and None not in v and bool(np.isfinite(v).all()) and any(v) for v in rows], bool)
+        s = np.full((len(asked), len(rows)), np.nan)
+        if good.any():
+            s[:, good] = asked @ units([v for v, g in zip(rows, good) if g], dims).T
+        # one number orders a row: nine digits of its score, then its place among the ids; none comes after all scores
+        own = np.where(np.isnan(s), -(1 << 31), np.rint(np.nan_to_num(s) * 1e9)).astype(np.int64) * (1 << 31) - np.arange(start, start + len(rows))
+        key, score = np.hstack([key, own]), np.hstack([score, s])
+        if key.shape[1] > k:
+            best = np.argpartition(-key, k - 1, axis=1)[:, :k]
+            key, score = np.take_along_axis(key, best, 1), np.take_along_axis(score, best, 1)
+    at = pa.array(order[(-key % (1 << 31)).reshape(-1)])
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(asked)), key.shape[1]), pa.int32()), b.column(0).take(at), pa.array(score.reshape(-1), mask=np.isnan(score).reshape(-1))], ["q", "id", "score"])
+
+
 def _block_best(df: DataFrame, names: list, asked: np.ndarray, k: int, kind: str, id_kind: str) -> DataFrame:
     """query_id, id, score: for each query of a block the k best rows of every batch of df (id, vector), by nine digits, ties by id."""
     shared = df.sparkSession.sparkContext.broadcast(asked)
-    dims = asked.shape[1]
 
     def run(batches):
-        x = shared.value
         for b in batches:
-            order = pc.sort_indices(b.column(0), null_placement="at_start").to_numpy()
-            rows = [v for v in b.column(1).take(pa.array(order)).to_pylist()]
-            good = np.array([v is not None and len(v) == dims and None not in v and bool(np.isfinite(v).all()) and any(v) for v in rows], bool)
-            s = np.full((len(x), len(rows)), np.nan)
-            if good.any():
-                s[:, good] = x @ units([v for v, g in zip(rows, good) if g], dims).T
-            # one number orders a row: nine digits of its score, then its place among the ids; none comes after all scores
-            key = np.where(np.isnan(s), -(1 << 31), np.rint(np.nan_to_num(s) * 1e9)).astype(np.int64) * (1 << 31) - np.arange(len(rows))
-            best = np.argpartition(-key, k - 1, axis=1)[:, :k] if k < len(rows) else np.broadcast_to(np.arange(len(rows)), key.shape)
-            score = np.take_along_axis(s, best, 1).reshape(-1)
-            at = pa.array(order[best.reshape(-1)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(x)), best.shape[1]), pa.int32()), b.column(0).take(at), pa.array(score, mask=np.isnan(score))], ["q", "id", "score"])
+            yield best_of_batch(b, shared.value, k)
 
     told = df.sparkSession.createDataFrame(list(enumerate(names)), f"q int, query_id {kind}")
     return df.mapInArrow(run, f"q int, id {id_kind}, score double").join(F.broadcast(told), "q").select("query_id", "id", "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docmill.operators.vector import blocks_of_queries, top_k_each, units, usable, where_equal
+from docmill.operators.vector import CELLS, blocks_of_queries, top_k_each, units, usable, where_equal
 from docmill.session import saved, scratch
 
 #: Rows that centroids and codebooks are trained on, queries (rows of the table too) that the probes are measured with, and entries of a codebook.
@@ -97,7 +98,8 @@ def build_index(df: DataFrame, path: str, id_col: str = "id", vector_col: str =
 
     def coded(batches):
         c, b = shared.value
-        for batch in batches:
+        step = max(1, CELLS // max(len(c), ENTRIES))
+        for batch in (whole.slice(start, step) for whole in batches for start in range(0, whole.num_rows, step)):
             x = units(batch.column(1).to_pylist(), dims)
             own = nearest(x, c)
             codes = np.stack([nearest(part, book) for part, book in zip(np.split(x - c[own], parts, axis=1), b)], 1).astype(np.uint8)
@@ -144,6 +146,45 @@ def _measured(spark: SparkSession, path: str, model: Model, k: int, recall: floa
     return model
 
 
+def best_coded(batches: Iterator[pa.RecordBatch], model: Model, queries: np.ndarray, asks: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """q, bucket, id, near: of all rows (bucket, id, code) of a task the `most` best for each query that asks for their bucket.
+
+    Scores are made CELLS at a time; of them only those stay that reach the query's bar, the least of its `most` best so far.
+    """
+    bar = np.full(len(queries), -np.inf)
+    held: list[tuple] = []
+    size = 0
+
+    def trimmed() -> tuple:
+        q, bucket, near = (np.concatenate([h[c] for h in held]) for c in (0, 1, 2))
+        order = np.lexsort((-near, q))
+        q = q[order]
+        starts = np.searchsorted(q, np.arange(len(queries) + 1))
+        place = np.arange(len(q)) - starts[q]
+        last = place == most - 1
+        bar[q[last]] = near[order[last]]
+        kept = order[place < most]
+        return q[place < most], bucket[kept], near[kept], pa.concat_arrays([h[3] for h in held]).take(pa.array(kept))
+
+    step = max(1, CELLS // max(1, len(queries)))
+    for b in (whole.slice(start, step) for whole in batches for start in range(0, whole.num_rows, step)):
+        bucket, codes = b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+        for own in np.unique(bucket).tolist():
+            at, q = np.flatnonzero(bucket == own), np.flatnonzero(asks[:, own])
+            s = queries[q] @ model.rebuilt(own, codes[at]).T
+            i, k = np.nonzero(s >= bar[q, None])
+            held.append((q[i].astype(np.int32), np.full(len(i), own, np.int32), s[i, k], b.column(1).take(pa.array(at[k]))))
+            size += len(i)
+        if size > CELLS:
+            held = [trimmed()]
+            size = -len(held[0][0])  # as many again and CELLS more, before they are gone through anew
+    if held:
+        q, bucket, near, ids = trimmed()
+        for start in range(0, len(q), CELLS):
+            end = start + CELLS
+            yield pa.RecordBatch.from_arrays([pa.array(q[start:end]), pa.array(bucket[start:end]), ids[start:end], pa.array(near[start:end])], ["q", "bucket", "id", "near"])
+
+
 def _candidates(spark: SparkSession, path: str, model: Model, queries: DataFrame, probes: int, most: int, **conditions) -> DataFrame:
     """query_id, bucket, id, place, coded: the `most` best rows of each query by the codes of the buckets that it probes, and how many rows those have."""
     kind = queries.schema["query_id"].dataType.simpleString()
@@ -156,21 +197,7 @@ def _candidates(spark: SparkSession, path: str, model: Model, queries: DataFrame
         shared = spark.sparkContext.broadcast((model, block, probed))
 
         def run(batches, shared=shared):
-            m, x, asks = shared.value
-            for b in batches:
-                bucket, codes = b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                q_all, at_all, s_all = [], [], []
-                for own in np.unique(bucket).tolist():
-                    at, q = np.flatnonzero(bucket == own), np.flatnonzero(asks[:, own])
-                    s = x[q] @ m.rebuilt(own, codes[at]).T
-                    if len(at) > most:
-                        best = np.argpartition(-s, most, axis=1)[:, :most]
-                        at, s = at[best], np.take_along_axis(s, best, 1)
-                    q_all.append(np.repeat(q, s.shape[1]))
-                    at_all.append(np.broadcast_to(at, s.shape).reshape(-1))
-                    s_all.append(s.reshape(-1))
-                at = np.concatenate([*at_all, np.zeros(0, np.int64)]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*q_all, np.zeros(0)]), pa.int32()), pa.array(bucket[at], pa.int32()), b.column(1).take(pa.array(at)), pa.array(np.concatenate([*s_all, np.zeros(0)]), pa.float64())], ["q", "bucket", "id", "near"])
+            return best_coded(batches, *shared.value, most)
 
         place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "id"))
         near = stored.where(F.col("bucket").isin(buckets)).mapInArrow(run, f"q int, bucket int, id {id_kind}, near double").withColumn("place", place).where(F.col("place") <= most)
@@ -203,7 +230,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, query_col
         kind = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
 
         def run(batches):
-            for b in batches:
+            for b in (whole.slice(start, 1024) for whole in batches for start in range(0, whole.num_rows, 1024)):
                 x, y = (units(b.column(c).to_pylist(), dims) for c in (3, 4))
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array((x * y).sum(1))], ["query_id", "id", "coded", "score"])
 

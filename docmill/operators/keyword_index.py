@@ -15,6 +15,10 @@ from docmill.session import saved, scratch
 
 #: Postings in a block, and documents of a query's rarest terms whose scores set the bar for all others (as many times k).
 BLOCK, SEEDS = 128, 20
+#: Documents whose postings of a token go to the tasks as one list.
+TOGETHER = 4096
+#: Pairs of candidates and queries that may be broadcast; for more the forward table is shuffled.
+BROADCAST_PAIRS = 500_000
 #: A bound may be this much below what it bounds, as sums of the same numbers differ in their last bits.
 SLACK = 1e-9
 
@@ -29,8 +33,8 @@ def weight(df: int, n: int) -> float:
     return idf if idf > 0 else 1e-6
 
 
-def _postings(tokens: DataFrame, kind: str, buckets: int) -> DataFrame:
-    """bucket, token, doc_id, dl, tf, places for each different token of a document; a place is that of the token among all, with a gap between columns."""
+def _counted(tokens: DataFrame, kind: str) -> DataFrame:
+    """doc_id, dl, words, tfs, places: the different tokens of each document with their counts and places; a place is that of the token among all, with a gap between columns."""
 
     def run(batches):
         for b in batches:
@@ -39,48 +43,76 @@ def _postings(tokens: DataFrame, kind: str, buckets: int) -> DataFrame:
                 lists = part_.column(2).flatten()
                 per_list = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
                 words = lists.flatten().dictionary_encode()
-                if not len(words):
-                    continue
                 n_columns = len(lists) // part_.num_rows
                 row = np.repeat(np.repeat(np.arange(part_.num_rows), n_columns), per_list)
                 column = np.repeat(np.tile(np.arange(n_columns), part_.num_rows), per_list)
                 first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part_.num_rows))])[row]
                 place = np.arange(len(row)) - first + column
                 code = words.indices.to_numpy()
-                order = np.lexsort((place, row, code))
+                order = np.lexsort((place, code, row))
                 code, row, place = code[order], row[order], place[order]
-                starts = np.concatenate([[0], np.flatnonzero((code[1:] != code[:-1]) | (row[1:] != row[:-1])) + 1])
-                token = words.dictionary.take(pa.array(code[starts]))
-                docs = pa.array(row[starts])
-                yield pa.RecordBatch.from_arrays(
-                    [token, part_.column(0).take(docs), part_.column(1).take(docs), pa.array(np.diff([*starts, len(code)]), pa.int32()), pa.ListArray.from_arrays(pa.array([*starts, len(code)], pa.int32()), pa.array(place, pa.int32()))],
-                    ["token", "doc_id", "dl", "tf", "places"],
-                )
-
-    rows = tokens.select("doc_id", "dl", "t").mapInArrow(run, f"token string, doc_id {kind}, dl long, tf int, places array<int>")
+                starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(code)), bool), (code[1:] != code[:-1]) | (row[1:] != row[:-1])]))
+                edges = np.array([*starts, len(code)], np.int32)
+                own = pa.array(np.searchsorted(row[starts], np.arange(part_.num_rows + 1)), pa.int32())
+                each = [words.dictionary.take(pa.array(code[starts])), pa.array(np.diff(edges), pa.int32()), pa.ListArray.from_arrays(pa.array(edges), pa.array(place, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part_.column(0), part_.column(1), *(pa.ListArray.from_arrays(own, x) for x in each)], ["doc_id", "dl", "words", "tfs", "places"])
+
+    return tokens.select("doc_id", "dl", "t").mapInArrow(run, f"doc_id {kind}, dl long, words array<string>, tfs array<int>, places array<array<int>>")
+
+
+def _posted(counted: DataFrame, kind: str, buckets: int) -> DataFrame:
+    """bucket, token, docs, dls, tfs, places: the postings of a token in up to TOGETHER documents, BLOCK in a row at most; places are those of all its documents in one list."""
+
+    def run(batches):
+        for b in (whole.slice(start, TOGETHER) for whole in batches for start in range(0, whole.num_rows, TOGETHER)):
+            words = b.column(2).flatten().dictionary_encode()
+            if not len(words):
+                continue
+            code = words.indices.to_numpy()
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False))
+            order = np.argsort(code, kind="stable")
+            starts = _starts(code[order])
+            ends, docs, at = pa.array([*starts, len(code)], pa.int32()), pa.array(row[order]), pa.array(order)
+            tfs, places = b.column(3).flatten().take(at), b.column(4).flatten().take(at)
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (b.column(0).take(docs), b.column(1).take(docs).cast(pa.int32()), tfs)]
+            of_row = np.concatenate([[0], np.cumsum(tfs.to_numpy())])[ends.to_numpy()]
+            token = words.dictionary.take(pa.array(code[order][starts]))
+            yield pa.RecordBatch.from_arrays([token, *lists, pa.ListArray.from_arrays(pa.array(of_row, pa.int32()), places.flatten())], ["token", "docs", "dls", "tfs", "places"])
+
+    rows = counted.mapInArrow(run, f"token string, docs array<{kind}>, dls array<int>, tfs array<int>, places array<int>")
     return rows.select(_bucket(F.col("token"), buckets).alias("bucket"), "*")
 
 
+def _starts(tokens: np.ndarray) -> np.ndarray:
+    """Where blocks start: at each new token of a sorted list, and BLOCK postings on."""
+    edges = np.concatenate([[0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1, [len(tokens)]])
+    size = np.diff(edges)
+    per = -(-size // BLOCK)
+    return np.repeat(edges[:-1], per) + BLOCK * (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))
+
+
 def _bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(token.cast("binary")), F.lit(buckets)).cast("int")
 
 
-def _blocks(postings: DataFrame, kind: str, mean: float, k1: float, b: float) -> DataFrame:
-    """Blocks of rows that come sorted by (bucket, token, doc_id): BLOCK postings of one token, their documents, lengths, counts and places, and the greatest part of a score among them."""
+def _blocks(posted: DataFrame, kind: str, mean: float, k1: float, b: float) -> DataFrame:
+    """Blocks of rows that come sorted by (bucket, token): BLOCK postings of one token, their documents, lengths, counts and places, and the greatest part of a score among them."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tokens = batch.column(1).dictionary_encode().indices.to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1, [batch.num_rows]])
-            starts = np.concatenate([np.arange(s, e, BLOCK) for s, e in zip(edges[:-1].tolist(), edges[1:].tolist())])
-            ends = pa.array([*starts, batch.num_rows], pa.int32())
-            best = np.maximum.reduceat(part(batch.column(4).to_numpy().astype(float), batch.column(3).to_numpy(), mean, k1, b), starts)
-            lists = [pa.ListArray.from_arrays(ends, batch.column(c)) for c in (2, 3, 4, 5)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(starts)), batch.column(1).take(pa.array(starts)), pa.array(np.diff([*starts, batch.num_rows]), pa.int32()), pa.array(best), *lists], ["bucket", "token", "n", "best", "docs", "dls", "tfs", "places"])
+            per = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            docs, dls, tfs, flat = (batch.column(c).flatten() for c in (2, 3, 4, 5))
+            places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tfs.to_numpy())]), pa.int32()), flat)
+            starts = _starts(np.repeat(batch.column(1).dictionary_encode().indices.to_numpy(), per))
+            ends = pa.array([*starts, len(docs)], pa.int32())
+            best = np.maximum.reduceat(part(tfs.to_numpy().astype(float), dls.to_numpy(), mean, k1, b), starts)
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (docs, dls.cast(pa.int64()), tfs, places)]
+            row = pa.array(np.repeat(np.arange(batch.num_rows), per)[starts])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.diff([*starts, len(docs)]), pa.int32()), pa.array(best), *lists], ["bucket", "token", "n", "best", "docs", "dls", "tfs", "places"])
 
-    return postings.mapInArrow(run, f"bucket int, token string, n int, best double, docs array<{kind}>, dls array<long>, tfs array<int>, places array<array<int>>")
+    return posted.mapInArrow(run, f"bucket int, token string, n int, best double, docs array<{kind}>, dls array<long>, tfs array<int>, places array<array<int>>")
 
 
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", columns: tuple[str, ...] = ("text",), buckets: int = 64, k1: float = 1.2, b: float = 0.75) -> None:
@@ -90,22 +122,23 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", columns: tup
     greatest part of a score in any of its blocks. forward: the tokens (as hashes) and counts of each document. about: the number and mean length
     of the documents, and the formula's constants. Ids are not null and stand in one row each.
 
-    The tokens of a document are counted where it is read; ranges of (bucket, token, document) go to the tasks, so the postings of a frequent
-    token are spread over many of them, and blocks end where a task's batch does. A clash of two tokens' hashes is an error.
+    The tokens of a document are counted where it is read, which gives its forward row. Postings go to the tasks as lists of a token's documents, one for
+    TOGETHER documents or fewer, by ranges of (bucket, token, first document): the postings of a frequent token are spread over many tasks, and
+    blocks end where a task's batch does. A clash of two tokens' hashes is an error.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     with scratch():
-        tokens = saved(_tokens(docs, id_col, list(columns)), "tokens")
-        n, mean = tokens.agg(F.count("*"), F.avg("dl")).first()
-        posted = saved(_postings(tokens, kind, buckets), "postings")
-        order = ["bucket", "token", "doc_id"]
-        dealt = posted.repartitionByRange(*order).sortWithinPartitions(*order)
-        _blocks(dealt, kind, float(mean or 1), k1, b).write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
+        counted = saved(_counted(_tokens(docs, id_col, list(columns)), kind), "counted", compression="zstd")
+        n, mean = counted.agg(F.count("*"), F.avg("dl")).first()
+        order = ["bucket", "token", F.col("docs")[0]]
+        dealt = _posted(counted, kind, buckets).repartitionByRange(*order).sortWithinPartitions(*order)
+        _blocks(dealt, kind, float(mean or 1), k1, b).write.mode("overwrite").option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(f"{path}/postings")
         terms = spark.read.parquet(f"{path}/postings").groupBy("bucket", "token").agg(F.sum("n").alias("df"), F.max("best").alias("best"), F.count("*").alias("blocks"))
         terms.withColumn("hash", F.xxhash64("token")).repartitionByRange("bucket", "token").sortWithinPartitions("bucket", "token").write.mode("overwrite").parquet(f"{path}/terms")
-        forward = posted.groupBy("doc_id", "dl").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("token").alias("hash"), "tf"))).alias("x"))
-        forward.select("doc_id", "dl", F.col("x.hash").alias("hashes"), F.col("x.tf").alias("tfs")).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/forward")
+        pairs = F.array_sort(F.zip_with("words", "tfs", lambda w, tf: F.struct(F.xxhash64(w).alias("hash"), tf.alias("tf"))))
+        forward = counted.where(F.size("words") > 0).select("doc_id", "dl", pairs.alias("x"))
+        forward.select("doc_id", "dl", F.col("x.hash").alias("hashes"), F.col("x.tf").alias("tfs")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/forward")
         spark.createDataFrame([(n, float(mean or 1), buckets, k1, b)], "n long, mean double, buckets int, k1 double, b double").write.mode("overwrite").parquet(f"{path}/about")
     stored = spark.read.parquet(f"{path}/terms")
     if not stored.groupBy("hash").count().where("count > 1").isEmpty():
@@ -200,12 +233,30 @@ def _opened(postings: DataFrame, wanted: dict[str, list[tuple[int, float]]], wei
     return found.groupBy("q", "doc_id").agg(F.sum("opened").alias("opened"))
 
 
+def _narrowed(forward: DataFrame, asked: np.ndarray, kind: str) -> DataFrame:
+    """The forward table with the asked hashes (sorted) alone, so that a shuffle doesn't carry all tokens of all documents."""
+    shared = forward.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches):
+        for b in batches:
+            h, tfs = (b.column(c).flatten() for c in (2, 3))
+            hit = np.isin(h.to_numpy(), shared.value)
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False))[hit]
+            ends, mask = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32()), pa.array(hit)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.ListArray.from_arrays(ends, x.filter(mask)) for x in (h, tfs))], ["doc_id", "dl", "hashes", "tfs"])
+
+    return forward.select("doc_id", "dl", "hashes", "tfs").mapInArrow(run, f"doc_id {kind}, dl long, hashes array<long>, tfs array<int>")
+
+
 def _exact(spark: SparkSession, path: str, cands: DataFrame, plan: _Plan, about, kind: str) -> DataFrame:
     """q, doc_id, score of candidates (q, doc_id), by all single terms of their queries: documents come with what is stored of them, each once."""
     own = [(np.array([plan.stats[t].hash for t in terms], np.int64), np.array([plan.weight[t] for t in terms])) for terms in plan.own]
     shared = spark.sparkContext.broadcast(own)
-    asked = cands.groupBy("doc_id").agg(F.collect_list("q").alias("qs"))
-    rows = asked.join(spark.read.parquet(f"{path}/forward"), "doc_id").select("doc_id", "qs", "dl", "hashes", "tfs")
+    asked = saved(cands.groupBy("doc_id").agg(F.collect_list("q").alias("qs")), "asked")
+    forward = spark.read.parquet(f"{path}/forward")
+    few = (asked.agg(F.sum(F.size("qs"))).first()[0] or 0) <= BROADCAST_PAIRS
+    joined = forward.join(F.broadcast(asked), "doc_id") if few else _narrowed(forward, np.unique(np.concatenate([h for h, _ in own])), kind).join(asked, "doc_id")
+    rows = joined.select("doc_id", "qs", "dl", "hashes", "tfs")
 
     def run(batches):
         for b in batches:
@@ -215,8 +266,8 @@ def _exact(spark: SparkSession, path: str, cands: DataFrame, plan: _Plan, about,
                 p = part(tfs.values.to_numpy().astype(float), dl, about.mean, about.k1, about.b)
                 for q in qs.values.to_numpy().tolist():
                     terms, w = shared.value[q]
-                    where = np.minimum(np.searchsorted(h, terms), len(h) - 1)
-                    hit = h[where] == terms
+                    where = np.minimum(np.searchsorted(h, terms), max(len(h) - 1, 0))
+                    hit = h[where] == terms if len(h) else np.zeros(len(terms), bool)
                     ids.append(q)
                     at.append(i)
                     score.append(float((p[where[hit]] * w[hit]).sum()))

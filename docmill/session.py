@@ -84,11 +84,11 @@ def scratch() -> Iterator[Callable[..., None]]:
             outer += kept
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: cuts lineage and outlives executors."""
+def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df written as Parquet (with the writer's options) into the shared folder and read again: cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{scratch_path(spark, name)}/rows"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     if (own := _open.get()) is not None:

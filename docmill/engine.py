@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.functions.text import search_tokens
+from docmill.functions.text import base_id, search_tokens
 from docmill.operators import analyze, keyword, keyword_index, quality, rank, store, usage, vector
 from docmill.session import saved, scratch
 
@@ -120,9 +120,9 @@ class Engine:
         fuero, materia, n = conditions.pop("fuero", None), conditions.pop("materia", None), rank.fetch_size(top_k)
         text = query_text(case, fuero, materia)
         with scratch() as keep:
-            near = saved(vector.top_k(self.chunks, self.embedder([text])[0], n, digits=9, materia=materia or fuero, **conditions), "near")
+            near = saved(vector.top_k_rows(self.chunks, self.embedder([text])[0], n, digits=9, materia=materia or fuero, **conditions), "near")
             if near.isEmpty() and (materia or fuero or conditions):
-                near = saved(vector.top_k(self.chunks, self.embedder([text])[0], n, digits=9), "near")
+                near = saved(vector.top_k_rows(self.chunks, self.embedder([text])[0], n, digits=9), "near")
             near = near.withColumn("input_rank", F.row_number().over(_by(F.desc_nulls_last("score"), "id")))
             asked = self.spark.createDataFrame([(0, case)], "query_id int, q string")
             if self.keywords:
@@ -131,7 +131,9 @@ class Engine:
                 hits = keyword.bm25(store.index_rows(self.documents), asked, n, "doc_id", KEYWORD_COLUMNS)
             found = rank.lookup_hits(hits.select(F.col("doc_id").alias("id"), "rank"), self.chunks, fix_chunk_ids=fix_chunk_ids)
             best = rank.funnel(near, found, self.score(text), top_k, as_of_year, self.least)
-            keep(out := saved(store.enrich(best, self.fulltext), "search"))
+            best = saved(best, "ranked")
+            own = [r[0] for r in best.select(base_id(F.col("id"))).collect()]  # top_k of them at most
+            keep(out := saved(store.enrich(best, vector.with_ids(self.fulltext, F.col("id"), own)), "search"))
         return out
 
     def analyze_stream(self, case: str, reader: Callable[[DataFrame], DataFrame], top_k: int = 30, as_of_year: int = 2024, **options) -> Iterator[tuple[str, DataFrame]]:

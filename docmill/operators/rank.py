@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import clean_markup, or_empty, strip, year_of
+from docmill.operators.vector import with_ids
 
 FTS_SCORE, THRESHOLD, MIN_RESULTS = 0.85, 0.1, 3
 
@@ -37,10 +38,13 @@ def lookup_hits(hits: DataFrame, chunks: DataFrame, most: int = 100, fix_chunk_i
     """Rows of the vector store for the first `most` distinct ids of keyword hits (id, rank), with a constant score.
 
     Hits are document ids, the store's are chunk ids: documents of several chunks are found only with fix_chunk_ids.
+    The few ids are named in a condition, so that of chunks which come from a join no others go through it.
     """
     first = hits.groupBy("id").agg(F.min("rank").alias("input_rank")).orderBy("input_rank", "id").limit(most)
+    rows = first.collect()
+    first = hits.sparkSession.createDataFrame(rows, first.schema)
     key = F.regexp_replace("id", r"(?s)^(.+)_c\d+$", "$1") if fix_chunk_ids else F.col("id")
-    own = chunks.withColumn("__key", key).join(first.withColumnRenamed("id", "__hit"), F.col("__key") == F.col("__hit"))
+    own = with_ids(chunks, key, [r.id for r in rows]).withColumn("__key", key).join(F.broadcast(first.withColumnRenamed("id", "__hit")), F.col("__key") == F.col("__hit"))
     return own.drop("__key", "__hit").withColumn("score", F.lit(score))
 
 

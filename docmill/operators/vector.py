@@ -42,6 +42,19 @@ def top_k(df: DataFrame, query: list[float], k: int, vector_col: str = "embeddin
     return scored.orderBy(F.desc_nulls_last("score"), id_col).limit(k)
 
 
+def with_ids(df: DataFrame, key: Column, ids: list) -> DataFrame:
+    """The rows whose key is one of a few ids, as a condition that a join below them takes on to its inputs."""
+    named = key.isin([i for i in ids if i is not None])
+    return df.where(named | key.isNull() if None in ids else named)
+
+
+def top_k_rows(df: DataFrame, query: list[float], k: int, vector_col: str = "embedding", id_col: str = "id", digits: int | None = None, **conditions) -> DataFrame:
+    """top_k() of rows that are wide or come from a join: the ids are found by the vectors alone, then the rows of these ids are read and ranked. k is small."""
+    narrow = where_equal(df, **conditions).select(id_col, vector_col)
+    ids = [r[0] for r in top_k(narrow, query, k, vector_col, id_col, digits).select(id_col).collect()]
+    return top_k(with_ids(df, F.col(id_col), ids), query, k, vector_col, id_col, digits, **conditions)
+
+
 #: Queries that go to the tasks at a time, and scores that a worker makes at a time.
 QUERY_BLOCK, CELLS = 1024, 1 << 20
 

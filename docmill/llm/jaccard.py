@@ -8,15 +8,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import discard, partitions, saved, scratch, sliced, small
+from docmill.llm.common import BROADCAST_ROWS, discard, partitions, saved, scratch, sliced, small
 
 WIDTH, SHARE = 5, 75
 #: Bits of the shingle sketch, coordinates of a coarse count vector, points in a leaf.
 SKETCH_BITS, GROUPS, LEAF = 24, 256, 16
 #: Rows and bytes of sets in a piece of a group.
 CHUNK, CHUNK_BYTES = 1000, 32 << 20
-#: How often groups of several pieces are dealt anew before their components are set against one another.
+#: How often groups of several pieces are dealt anew at most before their components are set against one another.
 ROUNDS = 2
+#: Links that a task joins at a time before they are shuffled, and nodes of a small table of labels that a task takes.
+JOINED, TASK_ROWS = 200_000, 50_000
 #: A bucket of shingles goes on from a task if it holds two or more, and more than chance puts there; it counts as frequent from HOT on.
 HOT = 12
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -294,6 +296,13 @@ def _seated(seats: DataFrame, rows: DataFrame, value: str, solve, schema: str, n
     return dealt.mapInArrow(run, schema)
 
 
+def _root(parent: dict[int, int], x: int) -> int:
+    """The root of x in a union-find, whose paths are shortened on the way."""
+    while (up := parent.get(x, x)) != x:
+        parent[x] = x = parent.get(up, up)
+    return x
+
+
 def _live(seats: DataFrame, vectors: DataFrame, share: int) -> DataFrame:
     """The seats that have, in their block, a partner of another label which sizes and count vectors don't rule out."""
 
@@ -320,12 +329,7 @@ def _linked(seats: DataFrame, docs: DataFrame, width: int, share: int) -> DataFr
         own = [np.frombuffer(r[7], np.uint64) for r in rows]
         fine = [count_vector(x) for x in own]
         parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = x = parent.get(up, up)
-            return x
-
+        root = lambda k: _root(parent, k)
         q, x = _near(rows, coarse(fine), share)
         order = np.argsort(q, kind="stable")
         q, x = q[order], x[order]
@@ -370,47 +374,79 @@ def _within(groups: DataFrame, seed: int) -> DataFrame:
     return groups.select("leader", place, "node", "n", "label").select("leader", "i", F.col("i").alias("j"), F.lit(2).alias("side"), "node", "label", "n")
 
 
-def _across(groups: DataFrame, chunk: int) -> DataFrame:
-    """Seats for groups with several labels: the label with the most rows against the others, and those against one another, piece by piece."""
+def _majors(groups: DataFrame, chunk: int) -> DataFrame:
+    """For each group (leader): the label with the most rows, into how many pieces its rows go (mp), and those of all others (op)."""
     sizes = groups.groupBy("leader", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     top = sizes.groupBy("leader").agg(F.max(F.struct("c", "label", "s")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
     top = top.select("leader", F.col("top.label").alias("major"), F.col("top.c").alias("mc"), F.col("top.s").alias("ms"), (F.col("c") - F.col("top.c")).alias("oc"), (F.col("s") - F.col("top.s")).alias("os"))
-    top = saved(top.select("leader", "major", _slots("mc", "ms", chunk).alias("p"), _slots("oc", "os", chunk).alias("q")), "majors")
-    rows = groups.drop("p").join(top, "leader").withColumn("is_major", F.col("label") == F.col("major"))
+    return top.select("leader", "major", _slots("mc", "ms", chunk).alias("mp"), _slots("oc", "os", chunk).alias("op"), (F.col("oc") > 0).alias("mixed"))
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """Seats for groups with several labels and their _majors(): the label with the most rows against the others, and those against one another, piece by piece."""
+    rows = rows.withColumn("is_major", F.col("label") == F.col("major"))
     slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cols = ["leader", "i", "j", "side", "node", "label", "n"]
-    major = rows.where("is_major").select("*", slot("p").alias("i"), F.explode(upto("q")).alias("j"), F.lit(0).alias("side"))
-    other = rows.where("NOT is_major").withColumn("own", slot("q"))
-    asking = other.select("*", F.explode(upto("p")).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
+    major = rows.where("is_major").select("*", slot("mp").alias("i"), F.explode(upto("op")).alias("j"), F.lit(0).alias("side"))
+    other = rows.where("NOT is_major").withColumn("own", slot("op"))
+    asking = other.select("*", F.explode(upto("mp")).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
     o, own = F.col("o"), F.col("own")
-    inner = other.select("*", F.explode(upto("q")).alias("o")).select("*", (-1 - F.least(own, o)).alias("i"), F.greatest(own, o).alias("j"), F.when(own == o, 2).when(own < o, 0).otherwise(1).alias("side"))
+    inner = other.select("*", F.explode(upto("op")).alias("o")).select("*", (-1 - F.least(own, o)).alias("i"), F.greatest(own, o).alias("j"), F.when(own == o, 2).when(own < o, 0).otherwise(1).alias("side"))
     return major.select(cols).unionByName(asking.select(cols)).unionByName(inner.select(cols))
 
 
-def _labelled(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """The groups that still hold several components, with the component of each node as its label."""
-    labels = components(links)
-    own = groups.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _labelled(groups: DataFrame, labels: DataFrame, chunk: int) -> DataFrame:
+    """The groups that still hold several components, with the component of each node as its label and the group's _majors()."""
+    own = groups.drop("label").join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     own = saved(own, "labelled")
-    mixed = saved(own.groupBy("leader").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("leader"), "mixed")
-    return own.join(mixed, "leader")
+    majors = saved(_majors(own, chunk).where("mixed").drop("mixed"), "majors")
+    return own.join(small(majors), "leader")
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """Links a, b that join what links (a, b) join, but straight to the least of the nodes that are joined within a task; no more than there were."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([_root(parent, x) for x in parent], list(parent))], ["a", "b"])
+
+        for batch in batches:
+            for b in sliced([batch], 10_000):
+                for x, y in zip(*(c.to_pylist() for c in b.columns)):
+                    x, y = _root(parent, x), _root(parent, y)
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                if len(parent) >= JOINED:
+                    yield told()
+                    parent.clear()
+        if parent:
+            yield told()
+
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node that is reachable, for each node of the links (a, b).
 
-    Each round takes the smallest label among a node and its neighbours (a join that Spark may split where a node is
-    hot, and an aggregate with a partial step), then the label's own label; it ends when no label changes.
+    Each task first joins what its links join, so that chains become stars and rounds are few. Each round takes the smallest
+    label among a node and its neighbours (a join that Spark may split where a node is hot, and an aggregate with a partial
+    step), then the label's own label; it ends when no label changes. Few labels are broadcast, so that a round shuffles once,
+    and go to no more tasks than they need.
     """
-    links = saved(links.select("a", "b").where("a != b").distinct(), "links")
+    links = saved(_stars(links), "links")
+    most = 2 * links.count()
+    few = F.broadcast if most <= BROADCAST_ROWS else lambda df: df
+    tasks = max(links.sparkSession.sparkContext.defaultParallelism, -(-most // TASK_ROWS))
     edges = links.union(links.select("b", "a"))
-    labels = saved(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    labels = saved(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")).coalesce(tasks), "labels")
     while True:
-        around = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        best = labels.join(around, labels["node"] == around["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        roots = labels.select(F.col("node").alias("root"), F.col("label").alias("further"))
-        after = saved(best.join(roots, best["label"] == roots["root"], "left").select("node", "old", F.least("label", "further").alias("label")), "labels")
+        around = edges.join(few(labels), edges["b"] == labels["node"]).select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        best = around.union(labels.select("node", "label", F.col("label").alias("old"))).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        roots = few(labels.select(F.col("node").alias("root"), F.col("label").alias("further")))
+        after = saved(best.join(roots, best["label"] == roots["root"], "left").select("node", "old", F.least("label", "further").alias("label")).coalesce(tasks), "labels")
         done = after.where("label != old").isEmpty()
         if done:
             return after.select("node", "label")
@@ -456,9 +492,13 @@ def _links(docs: DataFrame, first: DataFrame, ranks, width: int, share: int, chu
     for k in range(ROUNDS + 1):
         if large.isEmpty():
             break
-        large = _labelled(large, links)
-        found = solved(_within(large, k + 1) if k < ROUNDS else _across(large, chunk))
-        links = links.union(found)
+        labels = components(links)
+        links = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
+        large = _labelled(large, labels, chunk)
+        # A group whose other components fill one piece is done once they are set against its largest; dealing it anew saves nothing.
+        last = F.lit(k == ROUNDS) | (F.col("op") == 1)
+        links = links.union(solved(_across(large.where(last)).unionByName(_within(large.where(~last), k + 1))))
+        large = large.where(~last).drop("major", "mp", "op")
     discard(prefixes)
     return links
 
@@ -477,8 +517,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     don't bring documents together. Equal sets become one node first. Of the nodes with a common prefix shingle the one
     with the least hash is the leader; each leader's group, with all shingles that it leads, goes to tasks in pieces of
     bounded size. There the count-vector R-tree rules out pairs, exact sets decide the others, and a union-find keeps no
-    more links than a piece has rows. Only groups of several pieces go on: dealt anew a few times, so that copies become
-    one component, then the remaining components of each against one another. Pairs are never listed as rows.
+    more links than a piece has rows. Only groups of several pieces go on: dealt anew a few times at most, so that copies
+    become one component, then the remaining components of each against one another. Pairs are never listed as rows.
     """
     spark = df.sparkSession
     with scratch() as keep:

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docmill.llm import jaccard, substring_dedup
 from tests.llm.conftest import ROWS
@@ -236,3 +237,44 @@ def test_counts_above_full_rule_nothing_out():
     assert len(jaccard.RTree(v, n).near(v, n)[0]) == 400
     v[10:] = 255  # exact counts of sets that the bound rules out as before
     assert not jaccard.may_link(v, n, v[10], n[10]).any()
+
+
+def counted(monkeypatch, name):
+    """A list that gets the arguments of each call of a function of jaccard."""
+    calls, f = [], getattr(jaccard, name)
+    monkeypatch.setattr(jaccard, name, lambda *a, **b: calls.append(a) or f(*a, **b))
+    return calls
+
+
+def test_links_of_a_task_take_few_rounds(spark, monkeypatch):
+    """A path as long as a large group of near copies can make it; links that a task holds not all at once, and ones in many tasks."""
+    calls = counted(monkeypatch, "saved")
+    path = [(i, i + 1) for i in range(600)]
+    random.Random(1).shuffle(path)
+    rows = lambda n: spark.createDataFrame(path + [(5000, 4000), (7, 7)], "a long, b long").repartition(n)
+    want = {i: 0 for i in range(601)} | {4000: 4000, 5000: 4000}
+    assert {r.node: r.label for r in jaccard.components(rows(1)).collect()} == want
+    assert sum(name == "labels" for _, name in calls) <= 3
+    assert all(a < b for a, b in jaccard._stars(rows(3)).collect()) and jaccard._stars(rows(3)).count() <= len(path) + 1
+    assert {r.node: r.label for r in jaccard.components(rows(5)).collect()} == want
+    monkeypatch.setattr(jaccard, "JOINED", 50)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)  # labels are shuffled
+    monkeypatch.setattr(jaccard, "sliced", lambda batches, rows: (b.slice(k, 40) for b in batches for k in range(0, b.num_rows, 40)))
+    assert {r.node: r.label for r in jaccard.components(rows(2)).collect()} == want
+
+
+def test_large_groups_are_labelled_once(spark, monkeypatch):
+    """Near copies in several pieces with a few others that share a passage: what the pieces leave fits one piece, and is not dealt anew."""
+    monkeypatch.setattr(jaccard, "HOT", 10**6)
+    calls, seats = counted(monkeypatch, "components"), counted(monkeypatch, "_across")
+    rng = random.Random(4)
+    words = [f"g{k}" for k in range(3000)]
+    passage = rng.choices(words, k=20)
+    base = passage + rng.choices(words, k=40)
+    texts = [base + [f"own{k}"] for k in range(40)] + [passage + rng.choices(words, k=15) for _ in range(8)]
+    ids = [r.id for r in spark.range(48).orderBy(F.xxhash64("id")).collect()]  # the first of those that share a shingle leads
+    rows = [(i, " ".join(t)) for i, t in zip(ids, texts)]
+    want = brute_components(rows)
+    assert len({c for _, _, c in want}) == 9
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk=12) == want
+    assert len(seats) == 1 and len(calls) == 2

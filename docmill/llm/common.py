@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.session import delete, discard, saved, scratch, scratch_path, shared_dir  # noqa: F401  the operators take them from here
+from docmill.session import bounded_batches, delete, discard, saved, scratch, scratch_path, shared_dir  # noqa: F401  the operators take them from here
 from docmill.session import file_system as _file_system  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

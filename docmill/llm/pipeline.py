@@ -2,6 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir). For all of them: an empty table gives an empty table with the same columns; columns
 other than doc_id and text (and n_chars, which follows a changed text) are handed on as they are, whatever their names.
+Stages whose result runs in Python workers bound the batches of the session (common.bounded_batches), as what batches of long texts take
+outside the JVM's heap stays taken for the stages after them.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts have the score of an empty window. Equal texts, and so repeated rows and ties, share one fate unless they score at the threshold to six places.
     Each row is judged by its text alone, so a null or repeated doc_id changes nothing. Very long texts are scored whole.
     """
+    common.bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
 
@@ -51,6 +54,7 @@ def substring_dedup_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     A null text becomes empty. Rows that share a doc_id are one document and keep what they have in common; each row with
     a null doc_id is a document of its own, after all others.
     """
+    common.bounded_batches(spark)
     return substring_dedup.drop_repeated_spans(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -60,6 +64,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text is its end token alone. Every row is packed, repeated ones and those with a null doc_id as
     well. Long texts are cut into pieces of a sequence at most. Only doc_id and text are read.
     """
+    common.bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

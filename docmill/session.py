@@ -12,6 +12,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: While a table is written Python workers get batches of a few MB however long the texts are.
+WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _own: dict[str, str] = {}
 #: The tables of the innermost scratch() of this thread.
 _open: ContextVar[list[DataFrame] | None] = ContextVar("open", default=None)
@@ -84,11 +86,32 @@ def scratch() -> Iterator[Callable[..., None]]:
             outer += kept
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on Python workers of the session get batches of a few MB, as while a table is written, unless it has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, WRITING[key])
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings are these inside, and at its end what they were."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written as Parquet (with the writer's options) into the shared folder and read again: cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{scratch_path(spark, name)}/rows"
-    df.write.options(**options).parquet(path)
+    with settings(spark, WRITING):
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     if (own := _open.get()) is not None:

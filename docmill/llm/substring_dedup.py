@@ -123,8 +123,10 @@ def _later_spans(docs: DataFrame, n: int) -> DataFrame:
         discard(anchors)
         some = docs.join(shared, F.col("key") == F.col("shared_key")).select("key", "text", "shared")
         spans = saved(some.mapInArrow(emit_spans, "key long, own array<long>, twin array<long>"), "spans")
+        discard(shared)
         places = spans.select("key", F.explode(F.arrays_zip("own", "twin")).alias("x")).select("key", F.col("x.own").alias("value"), F.col("x.twin").alias("twin"))
-        later = _repeated(places, ["value", "twin"]).where("key > first")
+        later = saved(_repeated(places, ["value", "twin"]).where("key > first").select("key", "value"), "later")
+        discard(spans)  # before the next shuffle, so that what a document and a span take doesn't stand on disk together
         keep(gone := saved(later.groupBy(F.col("key").alias("__gone_key")).agg(F.collect_set("value").alias("__gone")), "gone-spans"))
     return gone
 

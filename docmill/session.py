@@ -12,8 +12,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: While a table is written Python workers get batches of a few MB however long the texts are.
-WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: While a table is written its shuffle files go at the end, not when the driver happens to collect its garbage, and Python workers get batches of a few MB however long the texts are.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _own: dict[str, str] = {}
 #: The tables of the innermost scratch() of this thread.
 _open: ContextVar[list[DataFrame] | None] = ContextVar("open", default=None)

@@ -1,4 +1,8 @@
-"""What the writes of scratch tables send to Python workers."""
+"""What the writes of scratch tables leave on disk and send to Python workers."""
+
+import glob
+import os
+import time
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -50,3 +54,23 @@ def test_settings_are_put_back_after_an_error(spark):
     except ValueError:
         pass
     assert {k: spark.conf.get(k, None) for k in WRITING} == before
+
+
+def shuffled(spark):
+    """The shuffle files of the session's application."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in dirs for f in glob.glob(os.path.join(d, "*", "shuffle_*.data"))}
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    """Files of a written table's shuffles don't stay for as long as the driver keeps its plan."""
+    before = shuffled(spark)
+    df = spark.range(200_000).select((F.xxhash64("id") % 1000).alias("k"), "id").repartition(4, "k").groupBy("k").agg(F.collect_set("id").alias("ids"))
+    got = saved(df, "grouped")
+    for _ in range(50):  # they go in the background
+        if not (left := [f for f in shuffled(spark) - before if os.path.exists(f) and os.path.getsize(f) > 100_000]):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert got.select(F.explode("ids")).count() == 200_000
+    discard(got)

@@ -127,7 +127,7 @@ class Engine:
             asked = self.spark.createDataFrame([(0, case)], "query_id int, q string")
             if self.keywords:
                 hits = keyword_index.search_index(self.spark, self.keywords, asked, n)
-            else:  # the same columns and cuts as an index has
+            else:  # the same columns as an index has
                 hits = keyword.bm25(store.index_rows(self.documents), asked, n, "doc_id", KEYWORD_COLUMNS)
             found = rank.lookup_hits(hits.select(F.col("doc_id").alias("id"), "rank"), self.chunks, fix_chunk_ids=fix_chunk_ids)
             best = rank.funnel(near, found, self.score(text), top_k, as_of_year, self.least)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.functions.text import clean_markup, or_empty, strip, year_of
+from docmill.functions.text import clean_markup, or_empty, present, strip, year_of
 from docmill.operators.vector import with_ids
 
 FTS_SCORE, THRESHOLD, MIN_RESULTS = 0.85, 0.1, 3
@@ -74,9 +74,8 @@ def rerank_pool(df: DataFrame, top_k: int) -> DataFrame:
 
 
 def rerank_passage() -> Column:
-    """What a reranker reads of a ruling: its title, 300 characters of its summary and 500 of its text; N/D if there is nothing."""
-    own = [or_empty(F.col("caratula")), F.substring(or_empty(F.col("sumario")), 1, 300), F.substring(or_empty(F.col("texto")), 1, 500)]
-    parts = F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in own))
+    """What a reranker reads of a ruling: its title, summary and text; N/D if there is nothing."""
+    parts = F.concat_ws(" ", *(present(F.col(c)) for c in ("caratula", "sumario", "texto")))
     return F.coalesce(F.nullif(strip(parts), F.lit("")), F.lit("N/D"))
 
 

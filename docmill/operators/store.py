@@ -26,9 +26,10 @@ def enrich(hits: DataFrame, store: DataFrame, id_col: str = "id", text_col: str
     return hits.join(full, base_id(hits[id_col]) == full["__store_id"], "left").withColumn(text_col, F.when(longer, F.col("__full")).otherwise(F.col(text_col))).drop("__store_id", "__full")
 
 
-def index_rows(df: DataFrame) -> DataFrame:
-    """What a full-text index holds: doc_id, caratula, the first 2000 characters of text and summary, tribunal, materia."""
-    body = F.substring(F.concat(or_empty(F.col("texto")), F.lit(" "), or_empty(F.col("sumario"))), 1, 2000)
+def index_rows(df: DataFrame, most: int | None = None) -> DataFrame:
+    """What a full-text index holds: doc_id, caratula, the whole text and summary (their first `most` characters, if it is given), tribunal, materia."""
+    body = F.concat(or_empty(F.col("texto")), F.lit(" "), or_empty(F.col("sumario")))
+    body = body if most is None else F.substring(body, 1, most)
     return df.where(or_empty(F.col("id")) != "").select(F.col("id").alias("doc_id"), or_empty(F.col("caratula")).alias("caratula"), body.alias("texto"), or_empty(F.col("tribunal")).alias("tribunal"), or_empty(F.col("materia")).alias("materia"))
 
 

@@ -124,7 +124,7 @@ def fulltext_enrich(spark, sf_dir):
 
 @query(f"""WITH {CORPUS_SQL} SELECT id AS doc_id, caratula, substr(texto || ' ' || sumario, 1, 2000) AS texto, tribunal, materia FROM corpus""")
 def fts_index_rows(spark, sf_dir):
-    return store.index_rows(corpus(spark, sf_dir))
+    return store.index_rows(corpus(spark, sf_dir), 2000)
 
 
 _NOISE_SQL = """CASE WHEN length(text) < 500 THEN 'texto muy corto (' || length(text) || ' chars)'
